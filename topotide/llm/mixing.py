@@ -59,7 +59,7 @@ def _same_source(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def multipliers(hist: DataFrame, wanted: DataFrame, rounds: int = 40, close: float = 1e-9) -> DataFrame:
+def multipliers(hist: DataFrame, wanted: DataFrame, rounds: int = 40, close: float = 1e-6) -> DataFrame:
     """(source, source_size, target, scale, c): the multiplier of each source.
 
     ``hist`` counts rows by (source, size).  A Newton step that leaves the
