@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.operators.graphs import components
-from topotide.operators.pairs import COUNT
 
 #: The 0.99 quantile of chi-square with one degree of freedom.
 CHI_SQUARE_99 = 6.6349
@@ -21,13 +20,13 @@ def topic_words(posts: DataFrame, least_letters: int = 3) -> DataFrame:
 
 def frequent_words(words: DataFrame, min_n: int = 10, max_words: int = 75) -> DataFrame:
     """(topic, word, n) seen more than ``min_n`` times, for topics with fewer than ``max_words`` of them."""
-    counts = words.groupBy("topic", "word").agg(F.count(COUNT).alias("n")).where(F.col("n") > min_n)
-    return counts.withColumn("k", F.count(COUNT).over(Window.partitionBy("topic"))).where(F.col("k") < max_words).drop("k")
+    counts = words.groupBy("topic", "word").agg(F.count("*").alias("n")).where(F.col("n") > min_n)
+    return counts.withColumn("k", F.count("*").over(Window.partitionBy("topic"))).where(F.col("k") < max_words).drop("k")
 
 
 def contingency(counts: DataFrame, max_topics: int = 10) -> DataFrame:
     """(word, topic, n00, n01, n10, n11): both, the word elsewhere, the topic's other words, and the rest."""
-    w = counts.withColumn("wt", F.sum("n").over(Window.partitionBy("word"))).withColumn("k", F.count(COUNT).over(Window.partitionBy("word"))).where(F.col("k") <= max_topics)
+    w = counts.withColumn("wt", F.sum("n").over(Window.partitionBy("word"))).withColumn("k", F.count("*").over(Window.partitionBy("word"))).where(F.col("k") <= max_topics)
     t = counts.groupBy("topic").agg(F.sum("n").alias("tt"))
     whole = counts.agg(F.sum("n").alias("all"))
     rows = w.join(t, "topic").crossJoin(F.broadcast(whole))
@@ -73,14 +72,14 @@ def lead_lag_status(majority: DataFrame, thresholds: tuple[int, ...] = (5, 25))
     """(min_common, l, r, n, mean_status): which of two cells reaches its majority bucket first, over topics; ties are left out."""
     a = majority.select("topic", F.col("cell").alias("l"), F.col("bucket").alias("x"))
     b = majority.select("topic", F.col("cell").alias("r"), F.col("bucket").alias("y"))
-    pairs = a.join(b, "topic").where("l < r and x <> y").groupBy("l", "r").agg(F.count(COUNT).alias("n"), F.avg(F.signum(F.col("x") - F.col("y"))).alias("mean_status"))
+    pairs = a.join(b, "topic").where("l < r and x <> y").groupBy("l", "r").agg(F.count("*").alias("n"), F.avg(F.signum(F.col("x") - F.col("y"))).alias("mean_status"))
     return pairs.withColumn("min_common", F.explode(F.array(*[F.lit(int(x)) for x in thresholds]))).where("n >= min_common")
 
 
 def kde(values: DataFrame, column: str, points: int = 100, low: float = -1.0, high: float = 1.0, factor: float = 0.25) -> DataFrame:
     """(x, density): Gaussian density on a fixed grid, from values counted after rounding to four digits."""
-    counts = values.groupBy(F.round(column, 4).alias("v")).agg(F.count(COUNT).alias("c"))
-    stats = values.agg(F.stddev_samp(column).alias("sd"), F.count(COUNT).alias("n"))
+    counts = values.groupBy(F.round(column, 4).alias("v")).agg(F.count("*").alias("c"))
+    stats = values.agg(F.stddev_samp(column).alias("sd"), F.count("*").alias("n"))
     grid = counts.crossJoin(F.broadcast(stats)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.lit(low) + F.col("i") * ((high - low) / (points - 1))
     h = F.col("sd") * factor

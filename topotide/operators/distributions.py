@@ -7,106 +7,105 @@ from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, haversine
 
-COUNT = F.lit(1)
 
 
 def occurrence_stats(occ: DataFrame, loc: str = "cell") -> DataFrame:
     """(n_occurrences, n_topics, n_cells)."""
-    return occ.agg(F.count(COUNT).alias("n_occurrences"), F.count_distinct("topic").alias("n_topics"), F.count_distinct(loc).alias("n_cells"))
+    return occ.agg(F.count("*").alias("n_occurrences"), F.count_distinct("topic").alias("n_topics"), F.count_distinct(loc).alias("n_cells"))
 
 
 def post_stats(posts: DataFrame) -> DataFrame:
     """(n_posts, n_with_topic, n_mentions, n_topics) of posts with an array column topics."""
     t = F.explode_outer("topics")
     base = posts.select(F.size(F.coalesce("topics", F.array())).alias("k"))
-    counts = base.agg(F.count(COUNT).alias("n_posts"), F.sum((F.col("k") > 0).cast("bigint")).alias("n_with_topic"), F.sum("k").cast("bigint").alias("n_mentions"))
+    counts = base.agg(F.count("*").alias("n_posts"), F.sum((F.col("k") > 0).cast("bigint")).alias("n_with_topic"), F.sum("k").cast("bigint").alias("n_mentions"))
     return counts.crossJoin(F.broadcast(posts.select(t.alias("t")).agg(F.count_distinct("t").alias("n_topics"))))
 
 
 def histogram_of_groups(df: DataFrame, key: str, distinct: str | None = None) -> DataFrame:
     """(size, n): how many keys have so many rows, or so many distinct values of a column."""
-    size = F.count_distinct(distinct) if distinct else F.count(COUNT)
-    return df.groupBy(key).agg(size.alias("size")).groupBy("size").agg(F.count(COUNT).alias("n"))
+    size = F.count_distinct(distinct) if distinct else F.count("*")
+    return df.groupBy(key).agg(size.alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
 def topics_by_occurrence_bin(occ: DataFrame, width: int = 100) -> DataFrame:
     """(bin, n_topics); bin is the upper edge."""
-    return occ.groupBy("topic").agg(F.count(COUNT).alias("n")).groupBy(bin_up(F.col("n"), width).alias("bin")).agg(F.count(COUNT).alias("n_topics"))
+    return occ.groupBy("topic").agg(F.count("*").alias("n")).groupBy(bin_up(F.col("n"), width).alias("bin")).agg(F.count("*").alias("n_topics"))
 
 
 def occurrences_per_cell(occ: DataFrame, more_than: int = 0, loc: str = "cell") -> DataFrame:
-    return occ.groupBy(loc).agg(F.count(COUNT).alias("n")).where(F.col("n") > more_than)
+    return occ.groupBy(loc).agg(F.count("*").alias("n")).where(F.col("n") > more_than)
 
 
 def location_profile(occ: DataFrame, loc: str = "cell") -> DataFrame:
     """(cell, n, n_topics)."""
-    return occ.groupBy(loc).agg(F.count(COUNT).alias("n"), F.count_distinct("topic").alias("n_topics"))
+    return occ.groupBy(loc).agg(F.count("*").alias("n"), F.count_distinct("topic").alias("n_topics"))
 
 
 def occurrences_by_hour_at(occ: DataFrame, cells: DataFrame, offset_hours: int = -5, loc: str = "cell") -> DataFrame:
     """(cell, hour, n, share) by local hour of day for the chosen cells."""
     hour = F.pmod(F.floor((F.col("t") + offset_hours * 3600) / 3600), F.lit(24)).cast("bigint")
-    counts = occ.join(cells.select(loc).distinct(), loc, "left_semi").groupBy(loc, hour.alias("hour")).agg(F.count(COUNT).alias("n"))
+    counts = occ.join(cells.select(loc).distinct(), loc, "left_semi").groupBy(loc, hour.alias("hour")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(loc)))
 
 
 def cell_topic_counts(occ: DataFrame, min_total: int = 1250, loc: str = "cell") -> DataFrame:
     """(cell, topic, n, total) of cells with enough occurrences."""
-    counts = occ.groupBy(loc, "topic").agg(F.count(COUNT).alias("n"))
+    counts = occ.groupBy(loc, "topic").agg(F.count("*").alias("n"))
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(loc))).where(F.col("total") >= min_total)
 
 
 def cell_pair_common(counts: DataFrame, least: int = 100, loc: str = "cell") -> DataFrame:
     """(cell, nbr, n_common): directed pairs that share enough topics."""
     other = counts.select("topic", F.col(loc).alias("nbr"))
-    return counts.select(loc, "topic").join(other, "topic").where(F.col(loc) != F.col("nbr")).groupBy(loc, "nbr").agg(F.count(COUNT).alias("n_common")).where(F.col("n_common") >= least)
+    return counts.select(loc, "topic").join(other, "topic").where(F.col(loc) != F.col("nbr")).groupBy(loc, "nbr").agg(F.count("*").alias("n_common")).where(F.col("n_common") >= least)
 
 
 def topic_cell_counts_rollup(occ: DataFrame, loc: str = "cell") -> DataFrame:
     """(topic, cell, n): counts by topic and cell, by topic (cell null), and of all (both null)."""
-    return occ.rollup("topic", loc).agg(F.count(COUNT).alias("n"))
+    return occ.rollup("topic", loc).agg(F.count("*").alias("n"))
 
 
 def neighbour_summary(common: DataFrame, loc: str = "cell") -> DataFrame:
     """(cell, n_neighbours, mean_common)."""
-    return common.groupBy(loc).agg(F.count(COUNT).alias("n_neighbours"), F.avg("n_common").alias("mean_common"))
+    return common.groupBy(loc).agg(F.count("*").alias("n_neighbours"), F.avg("n_common").alias("mean_common"))
 
 
 def cell_load_by_size(points: DataFrame, sizes: list[float], at_least: int) -> DataFrame:
     """(size, ci, cj, n): cells of several lattices with enough points."""
     s = points.withColumn("size", F.explode(F.array(*[F.lit(float(x)) for x in sizes])))
     cells = s.groupBy("size", (F.col("lat") / F.col("size")).cast("bigint").alias("ci"), (F.col("lon") / F.col("size")).cast("bigint").alias("cj"))
-    return cells.agg(F.count(COUNT).alias("n")).where(F.col("n") >= at_least)
+    return cells.agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
 
 
 def metric_by_bin(metrics: DataFrame, by: str, width: int = 25, least: int = 10) -> DataFrame:
     """(bin, n_topics, entropy, focus, spread): means by bins of ``by`` with more than ``least`` topics."""
-    rows = metrics.groupBy(bin_up(F.col(by), width).alias("bin")).agg(F.count(COUNT).alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("focus").alias("focus"), F.avg("spread").alias("spread"))
+    rows = metrics.groupBy(bin_up(F.col(by), width).alias("bin")).agg(F.count("*").alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("focus").alias("focus"), F.avg("spread").alias("spread"))
     return rows.where(F.col("n_topics") > least)
 
 
 def entropy_by_focus(metrics: DataFrame, digits: int = 2) -> DataFrame:
     """(focus, n_topics, entropy, peak_iid): means by rounded focus."""
-    return metrics.groupBy(F.round("focus", digits).alias("focus")).agg(F.count(COUNT).alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("peak_iid").alias("peak_iid"))
+    return metrics.groupBy(F.round("focus", digits).alias("focus")).agg(F.count("*").alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("peak_iid").alias("peak_iid"))
 
 
 def spread_classes(metrics: DataFrame) -> DataFrame:
     """(spread_class, n_topics, share, median_entropy, median_focus): spread up to 1600, up to 4000 and beyond are classes 800, 1600, 4000."""
     cls = F.when(F.col("spread") <= 1600, 800).when(F.col("spread") <= 4000, 1600).otherwise(4000)
-    rows = metrics.groupBy(cls.alias("spread_class")).agg(F.count(COUNT).alias("n_topics"), F.percentile("entropy", F.lit(0.5)).alias("median_entropy"), F.percentile("focus", F.lit(0.5)).alias("median_focus"))
+    rows = metrics.groupBy(cls.alias("spread_class")).agg(F.count("*").alias("n_topics"), F.percentile("entropy", F.lit(0.5)).alias("median_entropy"), F.percentile("focus", F.lit(0.5)).alias("median_focus"))
     return rows.withColumn("share", F.col("n_topics") / F.sum("n_topics").over(Window.partitionBy()))
 
 
 def peak_categories(metrics: DataFrame, early: int = 6, late: int = 120) -> DataFrame:
     """(peak_class, n_topics, share)."""
     cls = F.when(F.col("peak_iid") <= early, "early").when(F.col("peak_iid") <= late, "middle").otherwise("late")
-    rows = metrics.groupBy(cls.alias("peak_class")).agg(F.count(COUNT).alias("n_topics"))
+    rows = metrics.groupBy(cls.alias("peak_class")).agg(F.count("*").alias("n_topics"))
     return rows.withColumn("share", F.col("n_topics") / F.sum("n_topics").over(Window.partitionBy()))
 
 
 def locality_by_focus_location(metrics: DataFrame, top: int = 100) -> DataFrame:
     """(focus_cell, n_topics, entropy, spread) of the cells that most topics focus on."""
-    rows = metrics.groupBy("focus_cell").agg(F.count(COUNT).alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("spread").alias("spread"))
+    rows = metrics.groupBy("focus_cell").agg(F.count("*").alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("spread").alias("spread"))
     return rows.orderBy(F.desc("n_topics"), "focus_cell").limit(top)
 
 
@@ -124,11 +123,11 @@ def topics_by_entropy_class(metrics: DataFrame, examples: int = 25) -> DataFrame
     cls = F.round("entropy", 0)
     ranked = metrics.select(cls.alias("entropy_class"), "topic", F.row_number().over(Window.partitionBy(cls).orderBy("topic")).alias("r"))
     some = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("topic")))), ",")
-    return ranked.groupBy("entropy_class").agg(F.count(COUNT).alias("n_topics"), some.alias("examples"))
+    return ranked.groupBy("entropy_class").agg(F.count("*").alias("n_topics"), some.alias("examples"))
 
 
 def top_locations(occ: DataFrame, k: int = 5, loc: str = "cell") -> DataFrame:
-    return occ.groupBy(loc).agg(F.count(COUNT).alias("n")).orderBy(F.desc("n"), loc).limit(k)
+    return occ.groupBy(loc).agg(F.count("*").alias("n")).orderBy(F.desc("n"), loc).limit(k)
 
 
 def global_and_local_topics(metrics: DataFrame, k: int = 20) -> DataFrame:
@@ -140,13 +139,13 @@ def global_and_local_topics(metrics: DataFrame, k: int = 20) -> DataFrame:
 
 def affinity_by_distance(pairs: DataFrame, value: str, width: int = 100, more_than: int = 0) -> DataFrame:
     """(bin, n, mean) of a value of location pairs by distance bin."""
-    rows = pairs.groupBy(bin_up(F.col("distance"), width).alias("bin")).agg(F.count(COUNT).alias("n"), F.avg(value).alias("mean"))
+    rows = pairs.groupBy(bin_up(F.col("distance"), width).alias("bin")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return rows.where(F.col("n") > more_than)
 
 
 def locality_correlation(pairs: DataFrame, value: str, width: int = 100, more_than: int = 0) -> DataFrame:
     """(n_bins, r): Pearson r of distance bins with the bins' means."""
-    return affinity_by_distance(pairs, value, width, more_than).agg(F.count(COUNT).alias("n_bins"), F.corr("bin", "mean").alias("r"))
+    return affinity_by_distance(pairs, value, width, more_than).agg(F.count("*").alias("n_bins"), F.corr("bin", "mean").alias("r"))
 
 
 def with_distance(pairs: DataFrame, points: DataFrame, loc: str = "cell") -> DataFrame:
@@ -163,29 +162,29 @@ def rare_and_distant_pairs(pairs: DataFrame, k: int = 50) -> DataFrame:
 
 def class_stats(topics: DataFrame, labels: DataFrame) -> DataFrame:
     """(class, n_topics): labelled topics by class; class 0 is unlabelled."""
-    return topics.select("topic").distinct().join(labels.where("class <> 0"), "topic").groupBy("class").agg(F.count(COUNT).alias("n_topics"))
+    return topics.select("topic").distinct().join(labels.where("class <> 0"), "topic").groupBy("class").agg(F.count("*").alias("n_topics"))
 
 
 def word_count(lines: DataFrame, column: str = "text") -> DataFrame:
     """(word, n) of white-space words."""
-    return lines.select(F.explode(F.split(F.col(column), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(COUNT).alias("n"))
+    return lines.select(F.explode(F.split(F.col(column), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def checkins_per_user(checkins: DataFrame, least: int = 100) -> DataFrame:
     """Check-ins of users with enough of them."""
-    some = checkins.groupBy("user").agg(F.count(COUNT).alias("n")).where(F.col("n") >= least)
+    some = checkins.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return checkins.join(some.select("user"), "user", "left_semi")
 
 
 def checkins_by_network(checkins: DataFrame, least: int = 100) -> DataFrame:
     """(cell, network, n, total) of cells with enough check-ins over all networks."""
-    counts = checkins.groupBy("cell", "network").agg(F.count(COUNT).alias("n"))
+    counts = checkins.groupBy("cell", "network").agg(F.count("*").alias("n"))
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy("cell"))).where(F.col("total") >= least)
 
 
 def loyal_locations(checkins: DataFrame, min_user_visits: int = 3, min_total: int = 100) -> DataFrame:
     """(cell, user, n): visits of loyal users, at cells where these are enough."""
-    visits = checkins.groupBy("cell", "user").agg(F.count(COUNT).alias("n")).where(F.col("n") >= min_user_visits)
+    visits = checkins.groupBy("cell", "user").agg(F.count("*").alias("n")).where(F.col("n") >= min_user_visits)
     return visits.withColumn("total", F.sum("n").over(Window.partitionBy("cell"))).where(F.col("total") >= min_total).drop("total")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COUNT = F.lit(1)
 
 
 def before_after(occ: DataFrame, loc: str = "loc") -> DataFrame:
@@ -19,7 +18,7 @@ def before_after(occ: DataFrame, loc: str = "loc") -> DataFrame:
     equal times count for neither.  Times are aggregated to counts before the
     join, and a running count of r's times gives each of l's its rank.
     """
-    times = occ.groupBy("topic", F.col(loc).alias("loc"), "t").agg(F.count(COUNT).alias("c"))
+    times = occ.groupBy("topic", F.col(loc).alias("loc"), "t").agg(F.count("*").alias("c"))
     own = times.groupBy("topic", "loc").agg(F.sum("c").alias("n"), F.min("t").alias("first"), (F.sum(F.col("t") * F.col("c")) / F.sum("c")).alias("mean"))
     a = own.select("topic", F.col("loc").alias("l"), F.col("n").alias("nl"), F.col("first").alias("first_l"), F.col("mean").alias("mean_l"))
     b = own.select("topic", F.col("loc").alias("r"), F.col("n").alias("nr"), F.col("first").alias("first_r"), F.col("mean").alias("mean_r"))
@@ -33,11 +32,10 @@ def before_after(occ: DataFrame, loc: str = "loc") -> DataFrame:
     return pairs.join(counts, ["topic", "l", "r"]).select("topic", "l", "r", (F.col("nl") * F.col("nr") - F.col("not_before")).alias("before"), "after", "nl", "nr", "first_l", "first_r", "mean_l", "mean_r")
 
 
-#: Scores of l against r from a row of ``before_after``; the score of r against l is its negative.
-MODELS: dict[str, Column] = {}
 
 
 def _models() -> dict[str, Column]:
+    """Scores of l against r from a row of ``before_after``; the score of r against l is its negative."""
     both = F.col("nl") + F.col("nr")
     return {
         "first_occurrence": F.signum(F.col("first_r") - F.col("first_l")),
@@ -54,14 +52,14 @@ def scores(pairs: DataFrame, model: str) -> DataFrame:
 
 
 def _topic_counts(occ: DataFrame, loc: str) -> DataFrame:
-    rows = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.count(COUNT).alias("n"))
+    rows = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.count("*").alias("n"))
     w = Window.partitionBy("loc")
-    return rows.select("loc", "topic", (F.col("n") / F.sum("n").over(w)).alias("weight"), F.count(COUNT).over(w).alias("k"))
+    return rows.select("loc", "topic", (F.col("n") / F.sum("n").over(w)).alias("weight"), F.count("*").over(w).alias("k"))
 
 
 def pure_influence(occ: DataFrame, model: str = "aggregate", extra: bool = False, loc: str = "loc") -> DataFrame:
     """Directed (loc, nbr, n_common, score): mean score over common topics; with ``extra`` topics of one side add 1 or -1."""
-    s = scores(before_after(occ, loc), model).groupBy("loc", "nbr").agg(F.count(COUNT).alias("n_common"), F.sum("score").alias("s"))
+    s = scores(before_after(occ, loc), model).groupBy("loc", "nbr").agg(F.count("*").alias("n_common"), F.sum("score").alias("s"))
     if not extra:
         return s.select("loc", "nbr", "n_common", (F.col("s") / F.col("n_common")).alias("score"))
     k = _topic_counts(occ, loc).groupBy("loc").agg(F.max("k").alias("k"))
@@ -73,7 +71,7 @@ def influence(occ: DataFrame, model: str = "aggregate", loc: str = "loc") -> Dat
     """Directed (loc, nbr, n_common, score): mean of score times the topic's share at loc, times the share of common topics."""
     topics = _topic_counts(occ, loc)
     rows = scores(before_after(occ, loc), model).join(topics, ["loc", "topic"])
-    got = rows.groupBy("loc", "nbr").agg(F.count(COUNT).alias("n_common"), F.avg(F.col("score") * F.col("weight")).alias("m"), F.max("k").alias("k"))
+    got = rows.groupBy("loc", "nbr").agg(F.count("*").alias("n_common"), F.avg(F.col("score") * F.col("weight")).alias("m"), F.max("k").alias("k"))
     return got.select("loc", "nbr", "n_common", (F.col("m") * F.col("n_common") / F.col("k")).alias("score"))
 
 
@@ -122,14 +120,14 @@ def top_influencers(scored: DataFrame, n_locations: int, k: int) -> DataFrame:
 def influence_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
     """(bin, share) of scores between -1 and 1."""
     b = F.least(F.floor((F.round("score", 9) + 1) / 2 * bins), F.lit(bins - 1))
-    counts = scored.groupBy(b.alias("bin")).agg(F.count(COUNT).alias("n"))
+    counts = scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
     return counts.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 def model_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(overlap): share of the k strongest locations (loc, score) of two models that agree."""
     top = lambda d: d.orderBy(F.desc(F.round("score", 9)), "loc").limit(k).select("loc")
-    return top(a).join(top(b), "loc").agg((F.count(COUNT) / k).alias("overlap"))
+    return top(a).join(top(b), "loc").agg((F.count("*") / k).alias("overlap"))
 
 
 def rank_accuracy(order: DataFrame, occ: DataFrame, loc: str = "loc") -> DataFrame:
@@ -140,7 +138,7 @@ def rank_accuracy(order: DataFrame, occ: DataFrame, loc: str = "loc") -> DataFra
     """
     first = occ.groupBy("topic", F.col(loc).alias("loc")).agg(F.min("t").alias("t")).join(order, "loc")
     pos = F.row_number().over(Window.partitionBy("topic").orderBy("t", "loc"))
-    rows = first.select("topic", "loc", "rank", pos.alias("pos"), F.count(COUNT).over(Window.partitionBy("topic")).alias("n")).where("n > 1")
+    rows = first.select("topic", "loc", "rank", pos.alias("pos"), F.count("*").over(Window.partitionBy("topic")).alias("n")).where("n > 1")
     other = rows.select("topic", F.col("rank").alias("rank2"), F.col("pos").alias("pos2"))
     wrong = ((F.col("pos") < F.col("pos2")) & (F.col("rank") > F.col("rank2"))) | ((F.col("pos") > F.col("pos2")) & (F.col("rank") < F.col("rank2")))
     per = rows.join(other, "topic").groupBy("topic", "loc", "n").agg(F.sum(wrong.cast("bigint")).alias("wrong"))

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from topotide.functions.columns import haversine, temporal_score
 from topotide.operators.timeline import drop_outliers
 
-COUNT = F.lit(1)
 
 
 def location_topics(occ: DataFrame, loc: str = "cell", min_topics: int = 1) -> DataFrame:
     """(loc, topic, first_t, n): when a location first saw a topic, for locations with enough topics."""
-    rows = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.min("t").alias("first_t"), F.count(COUNT).alias("n"))
+    rows = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.min("t").alias("first_t"), F.count("*").alias("n"))
     if min_topics <= 1:
         return rows
-    some = rows.groupBy("loc").agg(F.count(COUNT).alias("k")).where(F.col("k") >= min_topics).select("loc")
+    some = rows.groupBy("loc").agg(F.count("*").alias("k")).where(F.col("k") >= min_topics).select("loc")
     return rows.join(some, "loc", "left_semi")
 
 
@@ -32,13 +31,13 @@ def _self_pairs(rows: DataFrame, directed: bool = False) -> DataFrame:
 
 
 def _sizes(rows: DataFrame, name: str, size: str) -> DataFrame:
-    return rows.groupBy(F.col("loc").alias(name)).agg(F.count(COUNT).alias(size))
+    return rows.groupBy(F.col("loc").alias(name)).agg(F.count("*").alias(size))
 
 
 def focus_pairs(focus: DataFrame, least: int = 10) -> DataFrame:
     """(l, r, n, mean_lag, jaccard) of focus cells (topic, cell, iid) that share enough topics."""
     rows = focus.select("topic", F.col("cell").alias("loc"), F.col("iid").alias("first_t"), F.lit(1).alias("n"))
-    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count(COUNT).alias("n"), F.avg(F.abs(F.col("tl") - F.col("tr"))).alias("mean_lag")).where(F.col("n") >= least)
+    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("tl") - F.col("tr"))).alias("mean_lag")).where(F.col("n") >= least)
     both = pairs.join(_sizes(rows, "l", "a"), "l").join(_sizes(rows, "r", "b"), "r")
     return both.select("l", "r", "n", "mean_lag", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("jaccard"))
 
@@ -48,16 +47,16 @@ def location_similarity_lag(occ: DataFrame, loc: str = "cell", min_common: int =
 
     First times of a topic that lie far from its other locations' are left out.
     """
-    first = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.min("bucket").alias("first_t"), F.count(COUNT).alias("n"))
+    first = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.min("bucket").alias("first_t"), F.count("*").alias("n"))
     rows = drop_outliers(first, ["topic"], "first_t")
-    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count(COUNT).alias("n_common"), F.avg(F.abs(F.col("tl") - F.col("tr")) / unit).alias("adoption_lag")).where(F.col("n_common") > min_common)
+    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count("*").alias("n_common"), F.avg(F.abs(F.col("tl") - F.col("tr")) / unit).alias("adoption_lag")).where(F.col("n_common") > min_common)
     both = pairs.join(_sizes(rows, "l", "a"), "l").join(_sizes(rows, "r", "b"), "r")
     return both.select("l", "r", "n_common", (F.col("n_common") / (F.col("a") + F.col("b") - F.col("n_common"))).alias("similarity"), "adoption_lag")
 
 
 def lattice_graph(rows: DataFrame, least: int = 5) -> DataFrame:
     """Directed (loc, nbr, n_common) of ``location_topics`` rows with enough common topics."""
-    return _self_pairs(rows, True).groupBy(F.col("l").alias("loc"), F.col("r").alias("nbr")).agg(F.count(COUNT).alias("n_common")).where(F.col("n_common") >= least)
+    return _self_pairs(rows, True).groupBy(F.col("l").alias("loc"), F.col("r").alias("nbr")).agg(F.count("*").alias("n_common")).where(F.col("n_common") >= least)
 
 
 def sharing_graph(rows: DataFrame, min_prob: float = 0.1) -> DataFrame:
@@ -68,7 +67,7 @@ def sharing_graph(rows: DataFrame, min_prob: float = 0.1) -> DataFrame:
 
 def transmitting_probability(rows: DataFrame) -> DataFrame:
     """Directed (loc, nbr, p): share of a location's topics that the neighbour saw later."""
-    later = _self_pairs(rows, True).where("tl < tr").groupBy(F.col("l").alias("loc"), F.col("r").alias("nbr")).agg(F.count(COUNT).alias("k"))
+    later = _self_pairs(rows, True).where("tl < tr").groupBy(F.col("l").alias("loc"), F.col("r").alias("nbr")).agg(F.count("*").alias("k"))
     return later.join(_sizes(rows, "loc", "n"), "loc").select("loc", "nbr", (F.col("k") / F.col("n")).alias("p"))
 
 
@@ -82,7 +81,7 @@ def temporal_closeness_graph(rows: DataFrame, periods: DataFrame, min_score: flo
     """(l, r, n_topics, mean_score): closeness in time over topics, (topic, period) giving the width."""
     score = temporal_score(F.abs(F.col("tl") - F.col("tr")), F.col("period"))
     pairs = _self_pairs(rows).join(periods, "topic").withColumn("score", score).where(F.col("score") >= min_score)
-    return pairs.groupBy("l", "r").agg(F.count(COUNT).alias("n_topics"), F.avg("score").alias("mean_score")).where(F.col("n_topics") >= min_obs)
+    return pairs.groupBy("l", "r").agg(F.count("*").alias("n_topics"), F.avg("score").alias("mean_score")).where(F.col("n_topics") >= min_obs)
 
 
 def in_out_closeness_graph(rows: DataFrame, sources: DataFrame, periods: DataFrame, min_score: float = 0.4, min_obs: int = 3) -> DataFrame:
@@ -92,12 +91,12 @@ def in_out_closeness_graph(rows: DataFrame, sources: DataFrame, periods: DataFra
     late = late.withColumn("score", temporal_score(F.col("first_t") - F.col("ts"), F.col("period"))).where(F.col("score") >= min_score)
     out = late.select(F.col("s").alias("loc"), F.col("loc").alias("nbr"), F.lit("out_link").alias("link_type"), "score")
     back = out.select(F.col("nbr").alias("loc"), F.col("loc").alias("nbr"), F.lit("in_link").alias("link_type"), "score")
-    return out.unionByName(back).groupBy("loc", "nbr", "link_type").agg(F.count(COUNT).alias("n_topics"), F.avg("score").alias("mean_score")).where(F.col("n_topics") >= min_obs)
+    return out.unionByName(back).groupBy("loc", "nbr", "link_type").agg(F.count("*").alias("n_topics"), F.avg("score").alias("mean_score")).where(F.col("n_topics") >= min_obs)
 
 
 def pair_distances(rows: DataFrame, points: DataFrame) -> DataFrame:
     """(l, r, n_common, jaccard, mean_gap, distance); points are (loc, lat, lon)."""
-    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count(COUNT).alias("n_common"), F.avg(F.abs(F.col("tl") - F.col("tr"))).alias("mean_gap"))
+    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count("*").alias("n_common"), F.avg(F.abs(F.col("tl") - F.col("tr"))).alias("mean_gap"))
     both = pairs.join(_sizes(rows, "l", "a"), "l").join(_sizes(rows, "r", "b"), "r")
     p, q = points.select(F.col("loc").alias("l"), F.col("lat").alias("x"), F.col("lon").alias("y")), points.select(F.col("loc").alias("r"), F.col("lat").alias("u"), F.col("lon").alias("v"))
     return both.join(p, "l").join(q, "r").select("l", "r", "n_common", (F.col("n_common") / (F.col("a") + F.col("b") - F.col("n_common"))).alias("jaccard"), "mean_gap", haversine(F.col("x"), F.col("y"), F.col("u"), F.col("v")).alias("distance"))
@@ -106,8 +105,8 @@ def pair_distances(rows: DataFrame, points: DataFrame) -> DataFrame:
 def checkin_graph(visits: DataFrame, weight: str = "overlap_max") -> DataFrame:
     """(u, v, n_common, w) of cells that share users; w is common over the larger user set, or the Jaccard index."""
     rows = visits.select("cell", "user").distinct()
-    sizes = rows.groupBy("cell").agg(F.count(COUNT).alias("k"))
-    pairs = rows.select(F.col("cell").alias("u"), "user").join(rows.select(F.col("cell").alias("v"), "user"), "user").where("u < v").groupBy("u", "v").agg(F.count(COUNT).alias("n_common"))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("k"))
+    pairs = rows.select(F.col("cell").alias("u"), "user").join(rows.select(F.col("cell").alias("v"), "user"), "user").where("u < v").groupBy("u", "v").agg(F.count("*").alias("n_common"))
     both = pairs.join(sizes.select(F.col("cell").alias("u"), F.col("k").alias("a")), "u").join(sizes.select(F.col("cell").alias("v"), F.col("k").alias("b")), "v")
     whole = F.greatest("a", "b") if weight == "overlap_max" else F.col("a") + F.col("b") - F.col("n_common")
     return both.select("u", "v", "n_common", (F.col("n_common") / whole).alias("w"))
@@ -115,7 +114,7 @@ def checkin_graph(visits: DataFrame, weight: str = "overlap_max") -> DataFrame:
 
 def epoch_graph(occ: DataFrame, unit: int = 21600, least: int = 10, loc: str = "cell") -> DataFrame:
     """(ep, u, v, w): in each epoch, over topics, the smaller of both counts of locations with enough occurrences."""
-    rows = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("ep"), "topic", loc).agg(F.count(COUNT).alias("n")).where(F.col("n") >= least)
+    rows = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("ep"), "topic", loc).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     a, b = rows.select("ep", "topic", F.col(loc).alias("u"), F.col("n").alias("a")), rows.select("ep", "topic", F.col(loc).alias("v"), F.col("n").alias("b"))
     return a.join(b, ["ep", "topic"]).where("u < v").groupBy("ep", "u", "v").agg(F.sum(F.least("a", "b")).alias("w"))
 
@@ -128,7 +127,7 @@ def combine_graphs(edges: DataFrame, start: int, end: int, keep: float = 1.0) ->
 
 def trim_edges(edges: DataFrame, keep: float) -> DataFrame:
     """The heaviest share of the edges, by weight, then ends."""
-    bound = edges.agg(F.ceil(F.count(COUNT) * keep).alias("m"))
+    bound = edges.agg(F.ceil(F.count("*") * keep).alias("m"))
     rank = F.row_number().over(Window.orderBy(F.desc("w"), "u", "v"))
     return edges.withColumn("rank", rank).crossJoin(F.broadcast(bound)).where("rank <= m").drop("rank", "m")
 
@@ -161,7 +160,7 @@ def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """(adjusted_rand): agreement of two clusterings (node, cluster)."""
     both = a.select("node", F.col("cluster").alias("x")).join(b.select("node", F.col("cluster").alias("y")), "node")
     choose = F.col("n") * (F.col("n") - 1) / 2
-    cells = both.groupBy("x", "y").agg(F.count(COUNT).alias("n"))
+    cells = both.groupBy("x", "y").agg(F.count("*").alias("n"))
     sums = cells.agg(F.sum(choose).alias("ij"), F.sum("n").alias("total"))
     for c in ("x", "y"):
         sums = sums.crossJoin(F.broadcast(cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(choose).alias(c))))
@@ -172,9 +171,9 @@ def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def location_clusters(occ: DataFrame, loc: str, min_share: float = 0.03, min_topics: int = 25, min_jaccard: float = 0.1) -> DataFrame:
     """(l, r, n_common, jaccard) of locations that hold enough of a topic each, have enough topics, and share enough."""
-    counts = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.count(COUNT).alias("n"), F.min("t").alias("first_t"))
+    counts = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
     rows = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("topic"))).where(F.col("share") >= min_share)
-    rows = rows.withColumn("k", F.count(COUNT).over(Window.partitionBy("loc"))).where(F.col("k") >= min_topics)
-    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count(COUNT).alias("n_common"))
+    rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("loc"))).where(F.col("k") >= min_topics)
+    pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count("*").alias("n_common"))
     both = pairs.join(_sizes(rows, "l", "a"), "l").join(_sizes(rows, "r", "b"), "r")
     return both.select("l", "r", "n_common", (F.col("n_common") / (F.col("a") + F.col("b") - F.col("n_common"))).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from topotide.functions.columns import haversine, spread_kernel
 
-COUNT = F.lit(1)
 
 
 def window_counts(occ: DataFrame, history: int, future: int, unit: int = 3600, loc: str = "loc") -> tuple[DataFrame, DataFrame]:
@@ -21,7 +20,7 @@ def window_counts(occ: DataFrame, history: int, future: int, unit: int = 3600, l
     The history of tu is [tu - history, tu), its future [tu, tu + future), in
     units; only times with both count.
     """
-    b = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("b"), F.col(loc).alias("loc"), "topic").agg(F.count(COUNT).alias("n"))
+    b = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("b"), F.col(loc).alias("loc"), "topic").agg(F.count("*").alias("n"))
     past = b.withColumn("tu", F.explode(F.sequence(F.col("b") + unit, F.col("b") + history * unit, F.lit(unit).cast("bigint"))))
     ahead = b.withColumn("tu", F.explode(F.sequence(F.col("b") - (future - 1) * unit, F.col("b"), F.lit(unit).cast("bigint"))))
     h = past.groupBy("tu", "loc", "topic").agg(F.sum("n").alias("n"))
@@ -80,7 +79,7 @@ def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int]) -> DataFra
     best = top_k(ideal_ranking(future), max(ks), ("tu", "loc")).select("tu", "loc", "topic", F.col("score").alias("share"), F.col("rank").alias("best_rank"))
     mine = top_k(scored, max(ks)).select("tu", "loc", "model", "topic", "rank")
     k = F.explode(F.array(*[F.lit(int(x)) for x in ks])).alias("k")
-    whole = best.select("*", k).where("best_rank <= k").groupBy("tu", "loc", "k").agg(F.count(COUNT).alias("m"), F.sum("share").alias("best_share"))
+    whole = best.select("*", k).where("best_rank <= k").groupBy("tu", "loc", "k").agg(F.count("*").alias("m"), F.sum("share").alias("best_share"))
     hit = mine.join(ideal_ranking(future).withColumnRenamed("score", "share"), ["tu", "loc", "topic"]).join(best.select("tu", "loc", "topic", "best_rank"), ["tu", "loc", "topic"], "left")
     hit = hit.select("*", k).where("rank <= k").groupBy("tu", "loc", "model", "k").agg(F.sum((F.col("best_rank") <= F.col("k")).cast("bigint")).alias("hits"), F.sum("share").alias("got"))
     rows = mine.select("tu", "loc", "model").distinct().join(whole, ["tu", "loc"]).join(hit, ["tu", "loc", "model", "k"], "left")
@@ -88,7 +87,7 @@ def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int]) -> DataFra
 
 
 def model_performance(evaluated: DataFrame) -> DataFrame:
-    return evaluated.groupBy("model", "k").agg(F.count(COUNT).alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("impact").alias("impact"))
+    return evaluated.groupBy("model", "k").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("impact").alias("impact"))
 
 
 def feature_vectors(scored: DataFrame, future: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -103,7 +102,7 @@ def time_split(rows: DataFrame, test_share: float = 0.25) -> DataFrame:
     """Add is_test: times after the one at place int(n * (1 - share)) of the location's distinct times, from 0."""
     times = rows.select("loc", "tu").distinct()
     w = Window.partitionBy("loc")
-    ranked = times.select("loc", "tu", F.row_number().over(w.orderBy("tu")).alias("r"), F.count(COUNT).over(w).alias("n"))
+    ranked = times.select("loc", "tu", F.row_number().over(w.orderBy("tu")).alias("r"), F.count("*").over(w).alias("n"))
     pivot = ranked.where(F.col("r") - 1 == F.floor(F.col("n") * (1 - test_share))).select("loc", F.col("tu").alias("pivot"))
     return rows.join(pivot, "loc").withColumn("is_test", F.col("tu") > F.col("pivot")).drop("pivot")
 
@@ -137,7 +136,7 @@ def flipping_ratio(chosen: DataFrame) -> DataFrame:
     """(loc, n, ratio): share of a location's times whose model isn't that of the time before."""
     w = Window.partitionBy("loc").orderBy("tu")
     rows = chosen.select("loc", (F.col("model") == F.lag("model").over(w)).alias("same"))
-    return rows.groupBy("loc").agg(F.count(COUNT).alias("n"), (1 - F.sum(F.when(F.col("same"), 1).otherwise(0)) / F.count(COUNT)).alias("ratio"))
+    return rows.groupBy("loc").agg(F.count("*").alias("n"), (1 - F.sum(F.when(F.col("same"), 1).otherwise(0)) / F.count("*")).alias("ratio"))
 
 
 def winning_topics(history: DataFrame) -> DataFrame:
