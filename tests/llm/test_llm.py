@@ -168,10 +168,10 @@ def contamination_case():
     rng = random.Random(2)
     items = [(i, some_text(rng, n, 50)) for i, n in enumerate((30, 12, 10, 4, 1, 0))] + [(20, None), (21, "it's a \\ 'test' ÄÖÜ")]
     items[4] = (4, "solitaire")
-    docs = [(i, some_text(rng, 60, 50), "en", "a", 0) for i in range(40)]
+    docs = [(200 + i, some_text(rng, 60, 50), "en", "a", 0) for i in range(40)]
     for j in range(0, 40, 3):
         item = items[j % 5][1]
-        docs[j] = (j, docs[j][1] + ". " + item.upper().replace(" ", "--") + "! " + docs[j][1], "en", "a", 0)
+        docs[j] = (200 + j, docs[j][1] + ". " + item.upper().replace(" ", "--") + "! " + docs[j][1], "en", "a", 0)
     docs.append((77, "well IT S a, test ÄÖÜ it's A 'test' ÄÖÜ", "en", "a", 0))
     return docs + odd_rows(), items
 

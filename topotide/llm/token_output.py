@@ -122,7 +122,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_
             arrays = [packed(x)[: 4 * DICTIONARY_BYTES] for x in coder(tokenizer_path).encode(texts)]
             yield pa.RecordBatch.from_arrays([keys, pa.array(arrays, pa.binary())], ["doc_id", "ids"])
 
-    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", text_of().alias("text"))
+    picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k"), "left_semi")
     rows = picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary").orderBy("doc_id", "ids").limit(sample).collect()
     samples = [bytes(r["ids"]) for r in rows]
     try:

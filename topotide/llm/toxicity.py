@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [word_ids(t.as_py()).astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "pos", "ids"])
 
-    texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("k")).select("doc_id", "pos", text_of().alias("text"))
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("k")).select("doc_id", "pos", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"doc_id {kind}, pos int, ids binary").orderBy("doc_id", "pos", "ids").limit(POSITIVES + UNLABELLED).collect()
     features = [(r["pos"], np.frombuffer(r["ids"], "<i4").astype(np.int64)) for r in rows]
