@@ -49,14 +49,23 @@ def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = 5
     by_n: dict[int, list[int]] = {}
     for r in rows:
         by_n.setdefault(r["n_gram"], []).append(r["h"])
-    out = docs.withColumn("__words", words_of(text_of(text)))
+    out = _once(docs, "__words", words_of(text_of(text)))
     none = "CAST(array() AS array<struct<pos:int,n:int,gram:string>>)"
     found = []
     for n, hashes in sorted(by_n.items()):
         keys = ",".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in sorted(hashes))
         at = f"filter(sequence(0, size(__words) - {n}), i -> xxhash64(array_join(slice(__words, i + 1, {n}), ' ')) IN ({keys}))"
         found.append(f"CASE WHEN size(__words) >= {n} THEN transform({at}, i -> struct(i AS pos, {n} AS n, array_join(slice(__words, i + 1, {n}), ' ') AS gram)) ELSE {none} END")
-    return out.withColumn("__hits", F.expr(f"concat({', '.join(found)})" if found else none))
+    return _once(out, "__hits", F.expr(f"concat({', '.join(found)})" if found else none))
+
+
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column that is computed once for each row.
+
+    A plain alias may be put in place of its uses, here inside a function that
+    runs for every word; the optimizer doesn't look through a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def _covered(hits: str) -> str:
