@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topotide.operators import association as assoc
+from topotide.operators import clusters as cl
 from topotide.operators import distributions as dist
 from topotide.operators import graphs, grid
 from topotide.operators import influence as infl
 from topotide.operators import metrics as met
 from topotide.operators import pairs as pr
+from topotide.operators import linear, selection
 from topotide.operators import predict as pred
 from topotide.operators import timeline as tl
 from topotide.sources import adapter as src
@@ -429,3 +431,77 @@ _query("chi_square", lambda s, d: assoc.chi_square(_table(s, d)), _WORDS + ", x
 _query("fisher_exact", lambda s, d: assoc.fisher_exact(_table(s, d)))
 _query("topic_groups", lambda s, d: assoc.topic_groups(assoc.chi_square(_table(s, d)).where("is_significant")))
 _query("volume_similarity_lag", lambda s, d: pr.location_similarity_lag(src.occ_lineitem(s, d), "loc", 10, 86400))
+
+
+# clusters, patterns, selection and learning
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return pr.combine_graphs(_epochs(s, d), _START, _START + 5 * 86400)
+
+
+_query("markov_clusters", lambda s, d: cl.markov_clusters(_edges(s, d)))
+_query("affinity_clusters", lambda s, d: cl.affinity_clusters(_edges(s, d)))
+_query("influence_zones", lambda s, d: cl.influence_zones(infl.boundary_influence(_influence(s, d), 25), 0.00002))
+_TESTED = _PAIRS + _MAJ + ", pp AS (SELECT a.cell AS l, b.cell AS r, count(*) AS n, avg(sign(a.bucket - b.bucket)) AS mean_status FROM m1 a JOIN m1 b USING (topic) WHERE a.cell < b.cell AND a.bucket <> b.bucket GROUP BY ALL HAVING count(*) >= 5), bt AS (SELECT l, r, n, mean_status, CAST(ceil(round(n * (1 + abs(mean_status)) / 2, 6)) AS BIGINT) AS k FROM pp), tp AS (SELECT l, r, n, mean_status, least(1.0, 2 * list_sum(list_transform(range(k, n + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) - n * ln(2.0))))) AS p FROM bt)"
+
+
+def _tested(s: SparkSession, d: str) -> DataFrame:
+    return cl.binomial_p(assoc.lead_lag_status(_majority(s, d), (5,)))
+
+
+_query("lead_lag_p", lambda s, d: _tested(s, d).drop("min_common"), _TESTED + "\nSELECT * FROM tp", "mean_status p")
+_query("non_random_share", lambda s, d: cl.non_random_share(_tested(s, d)), _TESTED + "\nSELECT 5 AS min_common, count(*) AS n, avg(CASE WHEN p <= 0.05 THEN 1.0 ELSE 0.0 END) AS share FROM tp HAVING count(*) > 0", "share")
+_query("lead_lag_kde", lambda s, d: assoc.kde(assoc.lead_lag_status(_majority(s, d), (5,)), "mean_status"))
+_STEP = _PAIRS + ", st AS (SELECT topic, loc, (t - min(t) OVER (PARTITION BY topic)) // 21600 AS step FROM occ), se AS (SELECT topic, loc, count(*) AS n FROM st WHERE step < 40 GROUP BY ALL), gr AS (SELECT topic, loc, row_number() OVER (PARTITION BY topic ORDER BY n DESC, loc) AS rank FROM se)"
+
+
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    return selection.replay_units(src.occ_pairs(s, d), 21600)
+
+
+def _seen(s: SparkSession, d: str) -> DataFrame:
+    return selection.seen(_steps(s, d), 40)
+
+
+_query("select_greedy", lambda s, d: selection.select_greedy(_seen(s, d), 5), _STEP + "\nSELECT * FROM gr WHERE rank <= 5")
+_query("select_random", lambda s, d: selection.select_random(_seen(s, d), 5))
+_query(
+    "select_coverage",
+    lambda s, d: selection.select_coverage(_seen(s, d), src.location_points(s, d), 5),
+    _STEP + f", pt AS (SELECT DISTINCT loc, {_POINT.format('loc')} FROM occ), ke AS (SELECT a.loc, b.loc AS nbr, pow(1.01, -({_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')})) AS w FROM pt a, pt b), rw AS (SELECT topic, ke.loc, sum(n * w) AS s FROM se JOIN ke ON ke.nbr = se.loc GROUP BY ALL), sh AS (SELECT topic, loc, s / sum(s) OVER (PARTITION BY topic) AS x FROM rw)\nSELECT topic, loc, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(x, 9) DESC, loc) AS rank FROM sh) WHERE rank <= 5",
+)
+_query("select_coverage_greedy", lambda s, d: selection.filled(selection.select_greedy(_seen(s, d), 3), selection.select_coverage(_seen(s, d), src.location_points(s, d), 5), 5))
+_query("select_sharing", lambda s, d: selection.select_by_links(_seen(s, d), pr.sharing_graph(_loc_topics(s, d)), pr.sharing_probability(_loc_topics(s, d)), 5))
+_query("select_transmitting", lambda s, d: selection.select_by_links(_seen(s, d), pr.transmitting_probability(_loc_topics(s, d)), pr.sharing_probability(_loc_topics(s, d)), 5))
+_query(
+    "selection_metrics",
+    lambda s, d: selection.selection_metrics(selection.select_greedy(_seen(s, d), 5), _steps(s, d), 40, 5),
+    _STEP + ", lo AS (SELECT topic, loc, CAST(sum(CASE WHEN step >= 40 THEN 1 ELSE 0 END) AS BIGINT) AS later, count(*) AS n FROM st GROUP BY ALL), be AS (SELECT lo.*, row_number() OVER (PARTITION BY lo.topic ORDER BY later DESC, lo.loc) <= 5 AND later > 0 AS best, gr.rank IS NOT NULL AS hit FROM lo LEFT JOIN (FROM gr WHERE rank <= 5) gr ON gr.topic = lo.topic AND gr.loc = lo.loc)\nSELECT topic, sum(later) FILTER (hit) / nullif(sum(later), 0) AS hit_rate, sum(later) FILTER (best) / nullif(sum(later), 0) AS best_rate, 1 - sum(later) / sum(n) AS miss_before, count(*) FILTER (best AND hit) / nullif(count(*) FILTER (best), 0) AS target_accuracy FROM be GROUP BY topic",
+    "hit_rate best_rate miss_before target_accuracy",
+)
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    scored, future = _two_models(s, d)
+    return pred.time_split(pred.feature_vectors(scored, future, _ORDER))
+
+
+def _varied(vectors: DataFrame) -> DataFrame:
+    """Rows with both values, of locations whose predictor isn't constant, as there the line is not determined."""
+    rows = vectors.where("actual is not null and greedy is not null")
+    return rows.join(rows.groupBy("loc").agg(F.min("greedy").alias("a"), F.max("greedy").alias("b")).where("a < b").select("loc"), "loc", "left_semi")
+
+
+_VEC = _HP + _BOTH + ", wd AS (SELECT tu, loc, topic, max(score) FILTER (model = 'greedy') AS greedy, max(score) FILTER (model = 'coverage_probability') AS coverage_probability FROM sco WHERE EXISTS (FROM fu WHERE fu.tu = sco.tu AND fu.loc = sco.loc) GROUP BY ALL), fv AS (SELECT coalesce(wd.tu, i.tu) AS tu, coalesce(wd.loc, i.loc) AS loc, coalesce(wd.topic, i.topic) AS topic, greedy, coverage_probability, share AS actual FROM wd FULL JOIN ideal i ON i.tu = wd.tu AND i.loc = wd.loc AND i.topic = wd.topic), tm AS (SELECT loc, tu, row_number() OVER (PARTITION BY loc ORDER BY tu) - 1 AS r, floor(count(*) OVER (PARTITION BY loc) * 0.75) AS m FROM (SELECT DISTINCT loc, tu FROM fv)), pv AS (SELECT loc, tu AS last_train FROM tm WHERE r = m)"
+_query("feature_vectors", _vectors, _VEC + "\nSELECT fv.*, tu > last_train AS is_test FROM fv JOIN pv USING (loc)", "greedy coverage_probability actual")
+_query("learning_to_rank", lambda s, d: pred.top_k(linear.ranked_by_regression(_vectors(s, d), _ORDER), 5))
+_query("least_squares_one", lambda s, d: linear.least_squares(_varied(_vectors(s, d)), ["loc"], ["greedy"], "actual").select("loc", "n", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")), _VEC + "\nSELECT loc, count(*) AS n, regr_intercept(actual, greedy) AS intercept, regr_slope(actual, greedy) AS slope FROM fv JOIN pv USING (loc) WHERE actual IS NOT NULL AND greedy IS NOT NULL GROUP BY loc HAVING min(greedy) < max(greedy)", "intercept slope")
+_query("significant_neighbours", lambda s, d: linear.significant_neighbours(linear.regression_frames(dist.cell_topic_counts(_occ(s, d), 50), dist.cell_pair_common(dist.cell_topic_counts(_occ(s, d), 50), 20)), 100))
+_query("coarse_cell_pairs", lambda s, d: grid.coarse_cell_pairs(pr.focus_pairs(_focus(s, d), 2), 2))
+_query("class_stats", lambda s, d: dist.class_stats(_occ(s, d), _occ(s, d).select("topic", (F.substring("topic", 2, 9).cast("bigint") % 7).alias("class")).distinct()), _OCC + "\nSELECT CAST(substr(topic, 2) AS BIGINT) % 7 AS class, count(DISTINCT topic) AS n_topics FROM occ WHERE CAST(substr(topic, 2) AS BIGINT) % 7 <> 0 GROUP BY 1")
+_query("influence_histogram", lambda s, d: infl.influence_histogram(infl.pure_influence(src.occ_pairs(s, d))), _BA + ", pi AS (SELECT loc, nbr, round(avg(aggregate), 9) AS score FROM sc GROUP BY ALL)\nSELECT CAST(least(floor((score + 1) / 2 * 20), 19) AS BIGINT) AS bin, count(*) / sum(count(*)) OVER () AS share FROM pi GROUP BY 1", "share")
+_query("classify_topic", lambda s, d: met.classify_topic(_occ(s, d), 500.0, src.UNIT, 1, 2, 1))
+_query("affinity_by_distance", lambda s, d: dist.affinity_by_distance(pr.pair_distances(_loc_topics(s, d), src.location_points(s, d)), "jaccard", 500))
+_query("locality_correlation", lambda s, d: dist.locality_correlation(pr.pair_distances(_loc_topics(s, d), src.location_points(s, d)), "jaccard", 500))
+_query("life_fraction_at_share", lambda s, d: tl.life_fraction_at_share(src.occ_pairs(s, d).withColumnRenamed("loc", "cell"), 0.25, 3))
+_query("in_out_closeness", lambda s, d: pr.in_out_closeness_graph(_loc_topics(s, d), tl.source_cell_percent(src.occ_pairs(s, d).withColumnRenamed("loc", "cell"), 0.1).select("topic", F.col("cell").alias("loc")), _periods(s, d), 0.05, 1))
+_query("metric_cells", lambda s, d: grid.with_metric_cell(_occ(s, d), 100_000).groupBy("utm_cell").agg(F.count("*").alias("n")))
