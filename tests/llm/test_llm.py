@@ -526,19 +526,43 @@ def test_unique_rows(spark, odd):
     assert sorted((r["doc_id"] for r in unique_rows(odd).collect()), key=repr) == sorted({r[0] for r in odd_rows()}, key=repr)
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_equal_brute_force(spark, tokenizer):
     import corpus_pipeline as cp
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = []
+    kept = [docs.collect()]
     for name, stage in cp.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         path = new_path(spark, name)
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
-        sizes.append(docs.count())
-    assert 100 < sizes[2] <= sizes[1] <= sizes[0] <= 200
-    last = cp.STAGES[-1][1](spark, docs, sf)
-    assert last.count() == sizes[3] and last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        kept.append(docs.collect())
+    ids = [sorted(r["doc_id"] for r in rows) for rows in kept]
+    toxic = {r["doc_id"] for r in tox.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    assert ids[1] == [i for i in ids[0] if i not in toxic]
+    fps = [(r["doc_id"], brute_fingerprint(r["text"])) for r in kept[1]]
+    roots = brute_components({f for _, f in fps})
+    first = {}
+    for i, f in sorted(fps):
+        first.setdefault(roots[f], i)
+    assert ids[2] == sorted(first.values())
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    hit = {r[0] for r in brute_contamination([tuple(r) for r in kept[2]], items) if r[5]}
+    assert ids[3] == [i for i in ids[2] if i not in hit] and len(ids[3]) > 100
+    sizes, taken = {}, {}
+    for r in kept[3]:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
+    for r in kept[4]:
+        taken[r["source"]] = taken.get(r["source"], 0) + len(words(r["text"]))
+    assert max(ids[4].count(i) for i in ids[4]) <= 2 and set(ids[4]) <= set(ids[3])
+    for source, target in brute_targets(sizes).items():
+        biggest = max(len(words(r["text"])) for r in kept[3] if r["source"] == source)
+        assert abs(taken.get(source, 0) - target) <= biggest
+    got = sorted(rows_of(cp.STAGES[-1][1](spark, docs, sf)), key=lambda r: r[1])
+    codes = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in kept[4]}
+    start = 0
+    for i, (doc, at, n, crc) in zip(ids[4], got, strict=True):
+        assert (doc, at, n, crc) == (i, start, len(codes[i]), zlib.crc32(np.array(codes[i], "<u4").tobytes()))
+        start += n

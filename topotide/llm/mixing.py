@@ -20,6 +20,8 @@ from topotide.plans.scratch import new_path, remove, written
 MAX_COPIES = 2
 #: Bins of one level of the search for the rounding threshold.
 BINS = 1024
+#: Rounds of the rounding; each leaves at most half of a row that is no larger than the error before.
+PASSES = 3
 
 
 def word_count(text: Column) -> Column:
@@ -105,9 +107,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     reruns agree: a row keeps the whole part of its rate, and one copy more if
     its place, hash minus fraction, is below a threshold of its source.  The
     threshold is found by binned sums, two levels deep, where the words come
-    nearest to the target.  Rows that hold more than a hundredth of their
-    source are rounded to the nearest copy first, so that many small rows make
-    up for their rounding.
+    nearest to the target.  What then is off by the size of a large row is made
+    up by another pass over the rows that are no larger than that.
     """
     slim = docs.select("doc_id", "source", word_count(text_of()).alias("size"))
     slim = written(slim.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -118,16 +119,23 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     limit = F.lit(float(MAX_COPIES))
     rate = F.when(F.col("c").isNull(), limit).otherwise(limit / (1 + F.exp(-F.col("c") * F.col("size") / F.col("scale"))))
     rated = slim.join(tuned, _same_source("source", "s")).withColumn("rate", rate)
-    large = F.col("size") * F.col("n") * 100 > F.col("source_size")
     whole = F.least(F.floor("rate"), F.lit(MAX_COPIES)).cast("long")
     u = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    place = F.when((whole >= MAX_COPIES) | (F.col("size") == 0), F.lit(None)).when(large, F.lit(None)).otherwise(u - (F.col("rate") - whole))
-    base = F.when(large & (whole < MAX_COPIES), F.round("rate").cast("long")).otherwise(whole)
-    rated = written(rated.select("doc_id", "source", "n", "size", "source_size", "target", base.alias("base"), place.alias("place")), "rated")
-    cut = _thresholds(rated)
-    out = rated.join(written(cut, "thresholds"), _same_source("source", "s"), "left")
-    extra = F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)
-    return out.select("doc_id", "source", "n", "size", "source_size", "target", (F.col("base") + F.coalesce(extra, F.lit(0))).alias("copies"))
+    place = F.when((whole < MAX_COPIES) & (F.col("size") > 0), u - (F.col("rate") - whole))
+    row = ["doc_id", "source", "n", "size", "source_size", "target"]
+    rated = written(rated.select(*row, whole.alias("base"), place.alias("place")), "rated")
+    for left in reversed(range(PASSES)):
+        cut = written(_thresholds(rated), "thresholds")
+        copies = F.col("base") + F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)
+        out = rated.join(cut, _same_source("source", "s"), "left").select(*row, copies.alias("copies"), "base", "place")
+        if not left:
+            break
+        off = out.groupBy(F.col("source").alias("s"), "target").agg(F.sum(F.col("copies") * F.col("size") * F.col("n")).alias("got"))
+        off = written(off.select("s", F.abs(F.col("got") - F.col("target")).alias("off")), "errors")
+        small = F.col("size") * F.col("n") <= F.col("off")
+        again = out.join(off, _same_source("source", "s"))
+        rated = written(again.select(*row, F.when(small, F.col("base")).otherwise(F.col("copies")).alias("base"), F.when(small, F.col("place")).alias("place")), "rated")
+    return out.select(*row, "copies")
 
 
 def _thresholds(rated: DataFrame) -> DataFrame:
@@ -138,7 +146,9 @@ def _thresholds(rated: DataFrame) -> DataFrame:
     step = 2.0 / BINS
     state = written(_crossing(placed, state, step), "coarse")
     inside = (F.col("place") >= F.col("bottom")) & (F.col("place") < F.col("bottom") + step)
-    return _crossing(placed, state.drop("edge"), step / BINS, inside).select("s", F.col("edge").alias("threshold"))
+    fine = _crossing(placed, state.drop("edge"), step / BINS, inside).select(F.col("s").alias("f"), F.col("edge").alias("fine"))
+    # where all rows together stay below what is missing, no bin is crossed, and the coarse edge lies above them
+    return state.join(fine, _same_source("s", "f"), "left").select("s", F.coalesce("fine", "edge").alias("threshold"))
 
 
 def _crossing(placed: DataFrame, state: DataFrame, step: float, inside: Column | None = None) -> DataFrame:
