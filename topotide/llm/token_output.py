@@ -1,9 +1,11 @@
 """Token-id output with a shared zstandard dictionary.
 
-File format: a folder with two Parquet tables.  ``dictionary`` has one row
-(hash, bytes).  ``blocks`` has rows of a few megabytes: the dictionary's hash,
-the number of ids before the block, the doc_ids, and for each document the
-offset of its frame in ``payload`` and its count of ids.  A frame is one
+File format: a folder with three Parquet tables.  ``dictionary`` has one row
+(hash, bytes).  ``ranges`` has a row for each range of doc_ids: its number and
+the number of ids before it.  ``blocks`` has rows of a few megabytes: the
+dictionary's hash, the range, the number of ids of the range before the block,
+the doc_ids, and for each document the offset of its frame in ``payload`` and
+its count of ids.  A frame is one
 document's ids as little-endian unsigned 16-bit numbers (32-bit if one is
 larger), compressed by itself with the dictionary; the frame of a document can
 so be cut out and read without its neighbours.
@@ -22,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.tables import table, text_of
-from topotide.plans.scratch import new_path, written
+from topotide.plans.scratch import new_path, remove, written
 
 END_ID = 0
 DICTIONARY_BYTES = 65536
 #: Documents that train the dictionary, at most, and bytes taken from each in training.
 SAMPLE_DOCS = 1000
 BLOCK_BYTES = 4 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: ASCII marks that may follow a word.
+MARKS = "!#$%&*+,-./:;=?@|~"
 
 #: A space before anything that may count as white space somewhere: no cut there.
 _NO_CUT = re.compile(r" (?=[\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|$)")
@@ -52,9 +56,12 @@ class Coder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # in a byte-level vocabulary this letter stands for the space
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
         if self.special is not None and self.special.search(text):
@@ -70,15 +77,35 @@ class Coder:
                 out[-1] += " " + x
         return out
 
+    def chained(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that hold one space each, at their start.
+
+        They are coded as one text and cut where an id starts with a space.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.spaced[ids]).tolist()
+        if len(cuts) != len(pieces) or cuts[0]:
+            return self.whole(pieces)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list({p for s in split if s for p in s if p not in self.known})
-        for at in range(0, len(new), 10000):
-            some = new[at : at + 10000]
-            self.known.update(zip(some, self.whole(some)))
+        # letters end a piece of the library's own pattern, so marks after a word are coded apart from it
+        ends = {p: p.rstrip(MARKS) for p in new if p[-1:] in MARKS}
+        ended = [p for p, core in ends.items() if core[:1] == " " and core[1:].isalpha() and max(core) < "\u0590"]
+        new = list(set(new).difference(ended) | {q for p in ended for q in (ends[p], p[len(ends[p]) :]) if q not in self.known})
+        plain = [p for p in new if p[:1] == " " and p.count(" ") == 1]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            self.known.update(zip(some, self.chained(some)))
+        rest = [p for p in new if p not in self.known]
+        self.known.update(zip(rest, self.whole(rest)))
+        self.known.update((p, self.known[ends[p]] + self.known[p[len(ends[p]) :]]) for p in ended)
         known = self.known
         return [self.whole([t])[0] if s is None else b"".join([known[p] for p in s]) for t, s in zip(texts, split)]
 
@@ -152,7 +179,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     slim = docs.select("doc_id", text_of().alias("text"))
     key = slim.schema["doc_id"].dataType.simpleString()
-    frames = written(slim.mapInArrow(compress, f"doc_id {key}, n_tokens long, frame binary"), "frames")
+    frames_path = new_path(spark, "frames")
+    frames = written(slim.mapInArrow(compress, f"doc_id {key}, n_tokens long, frame binary"), "frames", frames_path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = frames.withColumn("tie", F.xxhash64("frame")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
@@ -161,37 +189,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
         counts: list[int] = []
         offsets = [0]
         payload: list[bytes] = []
+        before = 0
 
         def block() -> pa.RecordBatch:
-            columns = [pa.array([sum(counts)], pa.int64()), pa.array([list(keys)], pa.list_(key_type)), pa.array([list(offsets)], pa.list_(pa.int64())), pa.array([list(counts)], pa.list_(pa.int64())), pa.array([b"".join(payload)], pa.binary())]
-            keys.clear(), counts.clear(), payload.clear()
-            del offsets[1:]
-            return pa.RecordBatch.from_arrays(columns, ["n_ids", "doc_ids", "offsets", "counts", "payload"])
+            columns = [pa.array([digest]), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64())]
+            columns += [pa.array([keys], pa.list_(key_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(payload)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["dictionary", "range", "before", "n_ids", "doc_ids", "offsets", "counts", "payload"])
 
-        key_type = pa.int64()
         for batch in batches:
-            key_type = batch.column(0).type
+            key_type, number = batch.column(0).type, batch.column(3)[0].as_py() if batch.num_rows else None
             for k, n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 frame = f.as_py()
                 keys.append(k), counts.append(n), payload.append(frame)
                 offsets.append(offsets[-1] + len(frame))
                 if offsets[-1] >= BLOCK_BYTES:
                     yield block()
+                    before += sum(counts)
+                    keys, counts, offsets, payload = [], [], [0], []
         if keys:
             yield block()
 
-    schema = f"n_ids long, doc_ids array<{key}>, offsets array<long>, counts array<long>, payload binary"
-    blocks = ranged.select("doc_id", "n_tokens", "frame").mapInArrow(pack, schema)
-    place = F.struct(F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("block"))
-    blocks = written(blocks.select(place.alias("place"), "*"), "blocks")
-    totals = blocks.groupBy("place.range").agg(F.sum("n_ids").alias("n"))
+    schema = f"dictionary string, range int, before long, n_ids long, doc_ids array<{key}>, offsets array<long>, counts array<long>, payload binary"
+    blocks = ranged.select("doc_id", "n_tokens", "frame", F.spark_partition_id().alias("range")).mapInArrow(pack, schema)
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    remove(spark, frames_path)
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("range").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(F.col("range").alias("r"), before.alias("range_start"))
-    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("place.range").orderBy("place.block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("place", "n_ids").withColumn("within", within).join(starts, F.col("place.range") == F.col("r"))
-    offsets = offsets.select(F.col("place").alias("p"), (F.col("range_start") + F.col("within")).cast("long").alias("start"))
-    final = blocks.join(offsets, F.col("place") == F.col("p")).select(F.lit(digest).alias("dictionary"), "start", "n_ids", "doc_ids", "offsets", "counts", "payload")
-    final.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    totals.select("range", before.cast("long").alias("range_start")).coalesce(1).write.parquet(f"{path}/ranges")  # a row for each shuffle partition
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +247,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     columns = [pa.array(keys[at:upto], batch.column(1).type.value_type), pa.array(starts[at:upto], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), lists]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return blocks.select("start", "doc_ids", "offsets", "counts", "payload").mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    ranges = spark.read.parquet(f"{path}/ranges")  # at most a row for each shuffle partition of the writer
+    placed = blocks.join(F.broadcast(ranges), "range").withColumn("start", F.col("range_start") + F.col("before"))
+    return placed.select("start", "doc_ids", "offsets", "counts", "payload").mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
