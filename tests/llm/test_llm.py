@@ -253,6 +253,31 @@ def test_substring_duplicates(spark, empty, odd):
     assert strange[8] == strange[4] == 4 and strange[5] == 5 and strange[None] is None
 
 
+def test_equal_passages_are_found_behind_fragments_of_smaller_rows(spark):
+    rng = random.Random(14)
+    docs, same = [], []
+    for j in range(24):
+        fill = lambda n=80: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+        p = fill(50)
+        # smaller rows hold parts of the passage, too short to be similar, and one text holds it twice
+        texts = [fill() + p[:30] + fill(), fill() + p[20:] + fill(), fill() + p + fill(), fill() + p + fill() + p + fill()]
+        docs += [(i * 1000 + j, " ".join(w)) for i, w in enumerate(texts)]
+        same.append((2000 + j, 3000 + j))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sub.substring_duplicates(df).collect()}
+    words_of = {i: t.split() for i, t in docs}
+    shared = {}
+    for i, w in words_of.items():
+        for at in range(len(w) - 49):
+            shared.setdefault(tuple(w[at : at + 50]), []).append((i, at))
+    assert sorted({tuple(sorted({i for i, _ in x})) for x in shared.values() if len(x) > 1}) == same
+    assert {(a, b) for a, b in same if got[a]["class_id"] == got[b]["class_id"] == a} == set(same)
+    for x in shared.values():
+        for i, at in x if len(x) > 1 else ():
+            assert any(int(s) <= at and at + 50 <= int(e) for s, e in (y.split(":") for y in got[i]["spans"].split(",")))
+    assert all(got[i]["class_id"] == i and got[i]["spans"] == "" for i in got if i < 2000)
+
+
 # 5 -----------------------------------------------------------------------
 
 
