@@ -202,6 +202,16 @@ def test_decontaminate_removes_documents_or_spans(spark):
     assert {i: len(w) for i, w in left.items()} == expected
 
 
+def test_benchmark_beyond_the_set_is_joined(spark):
+    docs, items = contamination_case()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, DOCS)
+    assert sorted(rows_of(dc.contamination(df, bench, max_set=20)), key=repr) == brute_contamination(docs, items)
+    for action in ("documents", "spans"):
+        sent, joined = dc.decontaminate(df, bench, action=action), dc.decontaminate(df, bench, action=action, max_set=20)
+        assert joined.columns == df.columns and sorted(rows_of(joined), key=repr) == sorted(rows_of(sent), key=repr)
+
+
 # 4 -----------------------------------------------------------------------
 
 

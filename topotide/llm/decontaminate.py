@@ -2,7 +2,8 @@
 
 Each training text is scanned inside its own row: window hashes are looked up
 in a set of the benchmark's window hashes, hits are verified by comparing the
-words themselves, and only verified windows leave the row.
+words themselves, and only verified windows leave the row.  Where the set is
+too large to be sent, the hashes are joined instead, with the same rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from topotide.plans.scratch import written
 #: Characters of words: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Largest set of benchmark windows that is sent with the plan.
+MAX_SET = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -35,17 +38,16 @@ def test_grams(items: DataFrame, n: int = 10, item: str = "item_id", text: str =
     return long.unionByName(short).select("item_id", F.size("gram").alias("n_gram"), F.concat_ws(" ", "gram").alias("gram")).distinct()
 
 
-def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = MAX_SET) -> DataFrame:
     """``docs`` with the array columns __words and __hits (pos, n, gram) of verified windows.
 
     The set of window hashes is sent to every task as part of the plan; its
-    size is counted first, and a larger set than ``max_set`` is refused with
-    the advice to scan in several runs, each with a part of the items (results
-    of the runs add up, as windows are found one by one).
+    size is counted first, and a larger set than ``max_set`` is joined with
+    the hashes of the documents' windows.
     """
     rows = grams.select("n_gram", F.xxhash64("gram").alias("h")).distinct().limit(max_set + 1).collect()
     if len(rows) > max_set:
-        raise ValueError(f"more than {max_set} benchmark windows: scan in parts")
+        return _joined(docs, grams, text)
     by_n: dict[int, list[int]] = {}
     for r in rows:
         by_n.setdefault(r["n_gram"], []).append(r["h"])
@@ -56,7 +58,22 @@ def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = 5
         keys = ",".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in sorted(hashes))
         at = f"filter(sequence(0, size(__words) - {n}), i -> xxhash64(array_join(slice(__words, i + 1, {n}), ' ')) IN ({keys}))"
         found.append(f"CASE WHEN size(__words) >= {n} THEN transform({at}, i -> struct(i AS pos, {n} AS n, array_join(slice(__words, i + 1, {n}), ' ') AS gram)) ELSE {none} END")
-    return _once(out, "__hits", F.expr(f"concat({', '.join(found)})" if found else none))
+    return _verified(_once(out, "__hits", F.expr(f"concat({', '.join(found)})" if found else none)), grams)
+
+
+def _joined(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
+    """The same rows as ``scan`` by a join of window hashes; documents are written once to give their rows a number."""
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    slim = _once(base.select("__row", F.col(text).alias("__t")), "__words", words_of(text_of("__t"))).drop("__t")
+    sizes = sorted(r[0] for r in grams.select("n_gram").distinct().collect())
+    none = "CAST(array() AS array<struct<pos:int,n:int,h:bigint>>)"
+    hashed = [f"CASE WHEN size(__words) >= {n} THEN transform(sequence(0, size(__words) - {n}), i -> struct(i AS pos, {n} AS n, xxhash64(array_join(slice(__words, i + 1, {n}), ' ')) AS h)) ELSE {none} END" for n in sizes]
+    windows = slim.select("__row", F.explode(F.expr(f"concat({', '.join(hashed)})")).alias("x")).select("__row", "x.pos", "x.n", "x.h")
+    wanted = grams.select(F.col("n_gram").alias("n"), F.xxhash64("gram").alias("h"), "gram").distinct()
+    found = windows.join(wanted, ["n", "h"]).groupBy("__row").agg(F.collect_list(F.struct("pos", "n", "gram")).alias("__found"))
+    out = _once(base, "__words", words_of(text_of(text))).join(found, "__row", "left")
+    hits = "filter(coalesce(__found, CAST(array() AS array<struct<pos:int,n:int,gram:string>>)), x -> array_join(slice(__words, x.pos + 1, x.n), ' ') = x.gram)"
+    return _once(out, "__hits", F.expr(hits)).drop("__row", "__found")
 
 
 def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
@@ -73,7 +90,7 @@ def _covered(hits: str) -> str:
     return f"array_sort(array_distinct(flatten(transform({hits}, x -> sequence(x.pos, x.pos + x.n - 1)))))"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str = "documents", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str = "documents", text: str = "text", max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without the documents that hold a test window, or without the words inside such windows.
 
     action "documents" drops contaminated rows; "spans" cuts the hit words,
@@ -83,7 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str =
     words are compared with the benchmark's, so equal hashes alone do nothing.
     """
     grams = written(test_grams(items, n), "grams")
-    seen = _verified(scan(docs.withColumn("__text", F.col(text)), grams, "__text"), grams)
+    seen = scan(docs.withColumn("__text", F.col(text)), grams, "__text", max_set)
     if action == "documents":
         return seen.where("size(__hits) = 0").select(docs.columns)
     if action != "spans":
@@ -99,8 +116,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str =
 def _verified(scanned: DataFrame, grams: DataFrame) -> DataFrame:
     """Keep the hits whose words are a benchmark window.
 
-    The windows have been counted by ``scan``, so their texts are a list of
-    known size too.
+    ``scan`` has counted the windows, so their texts are a list of known size
+    too.
     """
     texts = [r[0] for r in grams.select("gram").distinct().collect()]
     if not texts:
@@ -109,7 +126,7 @@ def _verified(scanned: DataFrame, grams: DataFrame) -> DataFrame:
     return scanned.withColumn("__hits", F.expr(f"filter(__hits, x -> x.gram IN ({listed}))"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_set: int = MAX_SET) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; with no hits, items_sha256 is that of
@@ -118,7 +135,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """
     grams = written(test_grams(items, n), "grams")
     slim = docs.select("doc_id", "text")
-    seen = _verified(scan(slim, grams), grams).select(
+    seen = scan(slim, grams, max_set=max_set).select(
         "doc_id",
         F.xxhash64(text_of()).alias("k1"),
         F.hash(text_of()).alias("k2"),
