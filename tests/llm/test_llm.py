@@ -368,6 +368,15 @@ def test_pigeonring_links_join_what_brute_force_joins(spark, pair_bucket):
     assert {frozenset(x) for x in a.values()} == {frozenset(x) for x in b.values()}
 
 
+def test_rows_with_null_or_repeated_ids_stay_one_by_one(spark):
+    rng = random.Random(15)
+    texts = [some_text(rng, 100, 5000) for _ in range(6)]
+    rows = [(None, texts[0], "en", None, 0), (None, texts[1], None, "en", 0), (None, texts[1], "en", None, 0), (5, texts[2], "en", "a", 0), (5, texts[3], "en", "a", 0)]
+    rows += [(6, texts[4], "en", "a", 0), (6, texts[4], "en", "a", 0), (None, texts[4], "en", "a", 0), (7, texts[5], "en", "a", 0), (8, texts[5], "en", "a", 0)]
+    kept = rows_of(sim.drop_near_duplicates(spark.createDataFrame(rows, DOCS)))
+    assert sorted(((r[0], texts.index(r[1])) for r in kept), key=repr) == [(5, 2), (5, 3), (6, 4), (7, 5), (None, 0), (None, 1)]
+
+
 # 6 -----------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topotide.llm.tables import table, text_of, unique_rows
+from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
 from topotide.plans.scratch import written
 
@@ -56,16 +56,18 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): a row for each row of ``docs``; fp is the fingerprint as a signed long.  The columns ``more`` follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            rest = [batch.column(i + 2) for i in range(len(more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *rest], ["doc_id", "fp", *more])
 
-    slim = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    slim = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), *more)
+    types = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in more]
+    return slim.mapInArrow(run, ", ".join([f"doc_id {slim.schema['doc_id'].dataType.simpleString()}", "fp long", *types]))
 
 
 def _rotated(fp: Column | str, bits: int) -> Column:
@@ -128,26 +130,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     have fingerprint zero and link like any other.
     """
     fps = written(fingerprints(docs, key, text), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(near_links(nodes.select("fp"), budget))
-    nodes = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    nodes = written(nodes, "labelled")
+    nodes = _labelled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), budget)
     first = nodes.groupBy("c").agg(F.min("first").alias("component_id"))
     of_fp = written(nodes.join(first, "c").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _labelled(nodes: DataFrame, budget: int) -> DataFrame:
+    """(fp, first, c): distinct fingerprints with the label of their component."""
+    nodes = written(nodes, "nodes")
+    labels = components(near_links(nodes.select("fp"), budget))
+    nodes = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    return written(nodes, "labelled")
+
+
 def drop_near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id.
 
-    Rows that repeat a doc_id count as one document.  Rows whose doc_id is
-    null stay only if their component has no other doc_id, all of them, as
-    they can't be told apart by their key.
+    Rows are told apart by their doc_id and a digest of all columns, so rows
+    with a null or repeated doc_id count one by one.  A null doc_id comes
+    last; of rows with one doc_id that of the smallest digest stays.
     """
-    docs = unique_rows(docs)
-    found = near_duplicates(docs, budget=budget)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    content = [*columns, *[c.isNull() for c in columns]]
+    keyed = docs.withColumns({"__k1": F.xxhash64(*content), "__k2": F.hash(*content)})
+    rows = written(fingerprints(keyed, more=("__k1", "__k2")), "fingerprints").groupBy("fp", "doc_id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("n"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k1", "__k2", "n")).alias("first")
+    nodes = _labelled(rows.groupBy("fp").agg(one), budget)
+    stay = nodes.groupBy("c").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__k1").alias("__a"), F.col("x.__k2").alias("__b"), F.col("x.n").alias("__n"))
+    stay = written(stay, "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b"))
+    kept = keyed.join(stay.where("__n = 1"), same, "left_semi").select(columns)
+    often = stay.where("__n > 1")
+    if often.isEmpty():
+        return kept
+    return kept.unionByName(keyed.join(often, same, "left_semi").select(columns).dropDuplicates())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
