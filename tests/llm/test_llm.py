@@ -377,6 +377,21 @@ def test_rows_with_null_or_repeated_ids_stay_one_by_one(spark):
     assert sorted(((r[0], texts.index(r[1])) for r in kept), key=repr) == [(5, 2), (5, 3), (6, 4), (7, 5), (None, 0), (None, 1)]
 
 
+@pytest.mark.parametrize("budget", [0, 1, 3, 7, 8, 12, 20])
+def test_near_links_of_any_budget(spark, budget):
+    rng = random.Random(16)
+    fps = [rng.getrandbits(64) for _ in range(20)]
+    for f in fps[:20]:
+        for _ in range(3):
+            fps.append(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 22))))
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    links = {tuple(sorted((u % (1 << 64), v % (1 << 64)))) for u, v in sim.near_links(df, budget).collect()}
+    assert links == {(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= budget}
+    with pytest.raises(ValueError):
+        sim.near_links(df, 64)
+
+
 # 6 -----------------------------------------------------------------------
 
 

@@ -97,7 +97,13 @@ def near_links(fps: DataFrame, budget: int = 2, m: int = 8, pair_bucket: int = P
     values that differ from it in at most one bit, and all that emit a value
     link to the smallest of them, which loses no link and makes no pairs; the
     way holds for budgets up to 2, so a larger budget compares all pairs.
+    A chain has an exact part only if there are more segments than ``budget``,
+    so ``m`` is doubled until there are.
     """
+    if not 0 <= budget < BITS:
+        raise ValueError(f"the budget is 0 to {BITS - 1} bits")
+    while m <= budget:
+        m *= 2
     exact = max(1, (m - 1) // budget if budget else m)
     while exact * budget // m > 0:
         exact -= 1
