@@ -410,6 +410,13 @@ def test_blocks():
     assert text_of_page(page("<article><p>a < b > c</p><script>x</script><p>d</p></article>")) == "a < b > c d"
 
 
+def test_words_of_a_wrapper_do_not_hide_the_only_article():
+    article = "<article class='tags'><h1>Title</h1><p>one</p><div class='social'>share</div><aside>side</aside></article>"
+    assert text_of_page(page(f"<nav>menu</nav><div class='layout has sidebar'><div>{article}</div><p>more</p></div>")) == "Title one"
+    assert text_of_page(page(f"<main><p>own</p></main><div class='sidebar'>{article}</div>")) == "own"
+    assert text_of_page(page(f"<aside>{article}</aside><p>rest</p>")) == ""
+
+
 def test_main_text_uses_the_style_tree_where_markup_is_silent(spark):
     rows = [(i, f"http://h.example/{i}", page(f"<div class='x'>Same line here</div><div class='y'><p>own text {i}</p></div>")) for i in range(6)]
     rows += [(10, "http://g.example/1", page("<article><p>only</p></article><div>rest</div>")), (11, None, None), (12, "", ""), (10, "http://g.example/1", page("<article><p>only</p></article>"))]

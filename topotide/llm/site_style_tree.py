@@ -60,7 +60,7 @@ def _style(name: str, attributes: str) -> tuple[str, bool]:
             names += re.split(r"[\s_]+|(?<=[a-z])-(?=[a-z])", value) + value.split()
             if m[1].lower() == "class":
                 cls = "." + ".".join(value.split())
-    return name + cls, name in NOISE or not NOISE_WORDS.isdisjoint(names)
+    return name + cls, 2 if name in NOISE else int(not NOISE_WORDS.isdisjoint(names))
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
@@ -68,7 +68,9 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
 
     path holds tag and class of the block elements above the text; role is 0
     inside what the mark-up names as noise, 2 inside an article or main
-    element, else 1.  Texts have references decoded and white space as one
+    element, else 1.  Where all such elements stand inside what only class or
+    id words name as noise, the words name a layout and the elements have
+    role 2.  Texts have references decoded and white space as one
     space.  Unclosed paragraphs and list items end where HTML ends them;
     closing tags without an open element are ignored.
     """
@@ -146,13 +148,21 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         style, noise = _style(name, m[3])
         _, path, role = stack[-1]
         if name in ("html", "body"):
-            noise = False
+            noise = 0
         # a header inside an article holds its title; the page's own header does not
-        if name == "header" and role == 2 and "." not in style:
-            noise = False
-        stack.append((name, f"{path}/{style}", 0 if noise or role == 0 else 2 if name in MAIN else role))
+        if name == "header" and role in (2, -2) and "." not in style:
+            noise = 0
+        # -1 is noise by words alone, -2 an article or main element of such noise
+        if role == 0 or noise == 2 or noise and role in (2, -2):
+            role = 0
+        elif name in MAIN:
+            role = -2 if noise or role < 0 else 2
+        elif noise:
+            role = -1
+        stack.append((name, f"{path}/{style}", role))
     flush()
-    return out
+    hidden = 0 if any(x[2] == 2 for x in out) else 2
+    return [(path, text, hidden if role == -2 else max(role, 0)) for path, text, role in out]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
