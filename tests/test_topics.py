@@ -152,3 +152,24 @@ def test_selection(spark):
 def test_cluster_agreement_of_equal_clusterings(spark):
     a = spark.range(30).select(F.col("id").alias("node"), (F.col("id") % 3).alias("cluster"))
     assert pairs.cluster_agreement(a, a).first()[0] == pytest.approx(1.0)
+
+
+def test_clusters_see_the_edges_of_all_epochs(spark):
+    from topotide import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in q._epochs(spark, sf).collect():
+        want[r["u"], r["v"]] = want.get((r["u"], r["v"]), 0) + r["w"]
+    assert want and {(r["u"], r["v"]): r["w"] for r in q._edges(spark, sf).collect()} == want
+
+
+def test_affinity_clusters_run_until_choices_settle(spark):
+    from topotide.operators import clusters
+
+    rows = [(a, b, 5.0) for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(3, 10, 1.0)]
+    edges = spark.createDataFrame(rows, "u long, v long, w double")
+    got = {r["node"]: r["cluster"] for r in clusters.affinity_clusters(edges, preference=2.0).collect()}
+    assert set(got) == {*range(4), *range(10, 14)} and all(got[n] == (0 if n < 4 else 10) for n in got)
+    with pytest.raises(RuntimeError):
+        clusters.affinity_clusters(edges, rounds=3)

@@ -42,12 +42,13 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 20,
     return labels.select("node", F.col("component").alias("cluster"))
 
 
-def affinity_clusters(edges: DataFrame, damping: float = 0.5, rounds: int = 15, preference: float | None = None) -> DataFrame:
+def affinity_clusters(edges: DataFrame, damping: float = 0.5, rounds: int = 1000, preference: float | None = None, settled: int = 10) -> DataFrame:
     """(node, cluster) by affinity propagation with messages along the edges (u, v, w) only.
 
     Responsibilities need the best and second best of each node's sums, so two
     window ranks; availabilities need sums by receiver.  Messages are a table
-    that is written each round.
+    that is written each round.  Rounds end when no node has changed its choice
+    for ``settled`` rounds; without that after ``rounds`` there is no result.
     """
     spark = edges.sparkSession
     both = edges.select("u", "v", F.col("w").cast("double").alias("s")).unionAll(edges.select(F.col("v"), F.col("u"), F.col("w").cast("double"))).groupBy("u", "v").agg(F.max("s").alias("s"))
@@ -56,6 +57,8 @@ def affinity_clusters(edges: DataFrame, damping: float = 0.5, rounds: int = 15,
     path = new_path(spark, "messages")
     state = written(start.select("u", "v", "s", F.lit(0.0).alias("r"), F.lit(0.0).alias("a")), "messages", path)
     by_u, by_v = Window.partitionBy("u"), Window.partitionBy("v")
+    order = by_u.orderBy(F.desc(F.round(F.col("a") + F.col("r"), 9)), "v")
+    last, same = None, 0
     for _ in range(rounds):
         ranked = state.withColumn("as", F.col("a") + F.col("s")).withColumn("rank", F.row_number().over(by_u.orderBy(F.desc("as"), "v")))
         best, second = F.max(F.when(F.col("rank") == 1, F.col("as"))).over(by_u), F.max(F.when(F.col("rank") == 2, F.col("as"))).over(by_u)
@@ -70,8 +73,14 @@ def affinity_clusters(edges: DataFrame, damping: float = 0.5, rounds: int = 15,
         new = written(step, "messages", next_path)
         remove(spark, path)
         path, state = next_path, new
-    order = by_u.orderBy(F.desc(F.round(F.col("a") + F.col("r"), 9)), "v")
-    chosen = state.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+        chosen = state.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+        digest = tuple(chosen.agg(F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+        same = same + 1 if digest == last else 0
+        last = digest
+        if same >= settled:
+            break
+    else:
+        raise RuntimeError(f"the choices have not settled in {rounds} rounds")
     labels = components(chosen.select("u", "v"))
     return labels.select("node", F.col("component").alias("cluster"))
 

@@ -435,7 +435,7 @@ _query("volume_similarity_lag", lambda s, d: pr.location_similarity_lag(src.occ_
 
 # clusters, patterns, selection and learning
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return pr.combine_graphs(_epochs(s, d), _START, _START + 5 * 86400)
+    return _epochs(s, d).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
 _query("markov_clusters", lambda s, d: cl.markov_clusters(_edges(s, d)))
