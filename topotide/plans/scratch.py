@@ -47,3 +47,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that is no longer read."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder of any file system holds, in order; none where there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(folder)) if system.exists(folder) else []
