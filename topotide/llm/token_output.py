@@ -14,48 +14,82 @@ so be cut out and read without its neighbours.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.tables import table, text_of
-from topotide.plans.scratch import new_path, remove, written
+from topotide.plans.scratch import new_path, written
 
 END_ID = 0
 DICTIONARY_BYTES = 65536
-#: Documents that train the dictionary, at most, and bytes taken from each in training.
+#: Documents that train the dictionary, at most, and the bytes of their ids after which no further document is taken.
 SAMPLE_DOCS = 1000
+SAMPLE_BYTES = 16 << 20
 BLOCK_BYTES = 4 << 20
-CACHE_WORDS = 1_000_000
+#: Ranges of doc_ids for each shuffle partition; many small ones fall evenly to the partitions.
+RANGES = 4
+#: Pieces that a worker remembers.
+CACHE_WORDS = 400_000
+#: Rows and bytes of texts that are coded at a time.
+SLICE_ROWS = 8192
+SLICE_BYTES = 4 << 20
 #: ASCII marks that may follow a word.
 MARKS = "!#$%&*+,-./:;=?@|~"
 
 #: A space before anything that may count as white space somewhere: no cut there.
 _NO_CUT = re.compile(r" (?=[\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|$)")
+#: White space, in any library's sense, other than single spaces and line ends between visible characters.
+_NOT_PLAIN = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+_NO_IDS = np.zeros(0, "<u4")
 _coders: dict[str, Coder] = {}
 
 
+def splits_at_spaces(description: dict) -> bool:
+    """Whether a tokenizer's file describes a byte-level BPE with the usual pattern and nothing before it.
+
+    Only such a tokenizer is known to cut a text before each single space and
+    around each single line end between visible characters.
+    """
+    before = description.get("pre_tokenizer") or {}
+    added = description.get("added_tokens") or []
+    return (
+        description.get("normalizer") is None
+        and (description.get("model") or {}).get("type") == "BPE"
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex") is True
+        and before.get("add_prefix_space") is False
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") for t in added)
+    )
+
+
 class Coder:
     """Encodes texts with a tokenizer of the tokenizers library.
 
-    A byte-level BPE splits a text before every single space that a visible
-    character follows, and codes the pieces independently of each other, so
-    the ids of such pieces are kept and looked up.  New pieces of a batch are
-    coded together.  Texts for which that isn't certain are coded whole.
+    Where the tokenizer's file says that it codes the pieces between single
+    spaces and line ends independently of each other (``splits_at_spaces``),
+    the ids of pieces are kept and looked up, and new pieces of a batch are
+    coded together.  Other tokenizers, and texts in which a cut isn't certain,
+    are coded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.by_piece = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of pieces as they stand, and of pieces without the space before them.
         self.known: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary this letter stands for the space
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
@@ -63,12 +97,9 @@ class Coder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        if self.special is not None and self.special.search(text):
-            return None
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of any text, cut before single spaces that a visible character follows."""
         cut = text.split(" ")
-        if _NO_CUT.search(text) is None:
-            return [cut[0], *[" " + x for x in cut[1:]]]
         out = [cut[0]]
         for x in cut[1:]:
             if x and _NO_CUT.match(" " + x[0]) is None:
@@ -77,37 +108,92 @@ class Coder:
                 out[-1] += " " + x
         return out
 
-    def chained(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that hold one space each, at their start.
+    def chained(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before each.
 
         They are coded as one text and cut where an id starts with a space.
         """
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.spaced[ids]).tolist()
-        if len(cuts) != len(pieces) or cuts[0]:
-            return self.whole(pieces)
+        if len(cuts) != len(words) or cuts[0]:
+            return self.whole([" " + x for x in words])
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({p for s in split if s for p in s if p not in self.known})
-        # letters end a piece of the library's own pattern, so marks after a word are coded apart from it
-        ends = {p: p.rstrip(MARKS) for p in new if p[-1:] in MARKS}
-        ended = [p for p, core in ends.items() if core[:1] == " " and core[1:].isalpha() and max(core) < "\u0590"]
-        new = list(set(new).difference(ended) | {q for p in ended for q in (ends[p], p[len(ends[p]) :]) if q not in self.known})
-        plain = [p for p in new if p[:1] == " " and p.count(" ") == 1]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            self.known.update(zip(some, self.chained(some)))
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self.whole(rest)))
-        self.known.update((p, self.known[ends[p]] + self.known[p[len(ends[p]) :]]) for p in ended)
-        known = self.known
-        return [self.whole([t])[0] if s is None else b"".join([known[p] for p in s]) for t, s in zip(texts, split)]
+    def _learn_words(self, words: set[str]) -> None:
+        """Code words that follow a space; marks behind letters are pieces of their own in the library's pattern."""
+        known = self.after_space
+        ends = {p: p.rstrip(MARKS) for p in words if p[-1:] in MARKS}
+        ended = [(p, core) for p, core in ends.items() if core.isalpha() and max(core) < "\u0590"]
+        new = list(words.difference([p for p, _ in ended]).union(core for _, core in ended if core not in known))
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            known.update(zip(some, self.chained(some)))
+        self._learn({p[len(core) :] for p, core in ended}.difference(self.known))
+        known.update((p, known[core] + self.known[p[len(core) :]]) for p, core in ended)
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces)
+        self.known.update(zip(new, self.whole(new)))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text.
+
+        A text whose spaces and line ends all stand alone between visible
+        characters is cut at its spaces, all such texts of the call at once;
+        each distinct word is looked up once and its ids are spread to its
+        places.
+        """
+        if not self.by_piece:
+            return [np.frombuffer(x, "<u4") for x in self.whole(texts)]
+        if len(self.known) + len(self.after_space) > CACHE_WORDS:
+            self.known.clear(), self.after_space.clear()
+        column = pa.array(texts, pa.string())
+        plain = pc.invert(pc.match_substring_regex(column, _NOT_PLAIN))
+        for mark in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(column, mark)))
+        mask = plain.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [_NO_IDS] * len(texts)
+        for i, ids in zip(np.flatnonzero(mask).tolist(), self._plain(column.filter(plain))):
+            out[i] = ids
+        rest = np.flatnonzero(~mask).tolist()
+        cuts = [None if any(m in texts[i] for m in self.special) else self.pieces(texts[i]) for i in rest]
+        self._learn({p for c in cuts if c for p in c}.difference(self.known))
+        for i, cut in zip(rest, cuts):
+            out[i] = np.frombuffer(self.whole([texts[i]])[0] if cut is None else b"".join(map(self.known.__getitem__, cut)), "<u4")
+        return out
+
+    def _looked_up(self, words: list[str], known: dict[str, bytes], learn: Callable[[set[str]], None]) -> list[bytes]:
+        """The ids of words that may hold single line ends; new ones are learnt and kept."""
+        ids = list(map(known.get, words))
+        new = {w for w, x in zip(words, ids) if x is None}
+        if not new:
+            return ids
+        lines = {w: w.split("\n") for w in new if "\n" in w}
+        self._learn({"\n", *(x for w in lines.values() for x in w[1:])}.difference(self.known))
+        learn(new.difference(lines).union(w[0] for w in lines.values()).difference(known))
+        newline = self.known["\n"]
+        known.update((w, newline.join([known[x[0]], *[self.known[y] for y in x[1:]]])) for w, x in lines.items())
+        return list(map(known.__getitem__, words))
+
+    def _plain(self, column: pa.Array) -> list[np.ndarray]:
+        if not len(column):
+            return []
+        words = pc.split_pattern(column, " ")
+        offsets = words.offsets.to_numpy()
+        flat = words.flatten()
+        coded = flat.dictionary_encode()
+        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
+        ids = self._looked_up(distinct, self.after_space, self._learn_words) + self._looked_up(firsts, self.known, self._learn)
+        codes[offsets[:-1]] = np.arange(len(distinct), len(ids))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        n = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        all_ids = table[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[offsets].tolist()
+        return [all_ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def coder(path: str) -> Coder:
@@ -117,40 +203,50 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def packed(ids: bytes) -> bytes:
-    """Little-endian 32-bit ids with the end id, narrowed to 16 bits where they fit."""
-    wide = np.frombuffer(ids + END_ID.to_bytes(4, "little"), "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if int(wide.max()) < 65536 else b"\x04" + wide.tobytes()
+def packed(ids: np.ndarray) -> bytes:
+    """Little-endian ids with the end id, in 16 bits where they fit, else in 32."""
+    wide = np.append(ids, np.uint32(END_ID))
+    return b"\x02" + wide.astype("<u2").tobytes() if int(wide.max()) < 65536 else b"\x04" + wide.astype("<u4").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[:1] == b"\x02" else "<u4", offset=1).astype("<u4")
 
 
-def _small_batches(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[tuple[pa.Array, list[str]]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of some rows at a time; a slice ends after SLICE_ROWS rows or SLICE_BYTES bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0), part.column(1).to_pylist()
-
-
-def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_DOCS) -> bytes:
-    """A zstandard dictionary from the id arrays of ``sample`` documents, those with the smallest hash of doc_id.
-
-    The sample is bounded, so the driver trains it.  Too few or too short
-    documents make no dictionary: the bytes are then empty and frames are
-    compressed without one.
+        sizes = pc.binary_length(batch.column(1)).to_pylist()
+        at = total = 0
+        for i, size in enumerate(sizes):
+            total += size
+            if total >= SLICE_BYTES or i + 1 - at >= SLICE_ROWS or i + 1 == len(sizes):
+                part = batch.slice(at, i + 1 - at)
+                yield part.column(0), part.column(1).to_pylist()
+                at, total = i + 1, 0
+
+
+def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """A zstandard dictionary from the id arrays of up to ``sample`` whole documents, those with the smallest hash of doc_id.
+
+    Documents are taken in the order of the hash until their ids have
+    ``sample_bytes`` bytes; none is cut.  The dictionary serves compression
+    only: with any sample the files give back the same ids.  Too few or too
+    short documents make no dictionary: the bytes are then empty and frames
+    are compressed without one.
     """
     ids = docs.select("doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
     ids = written(ids.select(F.col("doc_id").alias("k")).distinct(), "sample")  # at most `sample` long numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _small_batches(batches):
-            arrays = [packed(x)[: 4 * DICTIONARY_BYTES] for x in coder(tokenizer_path).encode(texts)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(arrays, pa.binary())], ["doc_id", "ids"])
+        for keys, texts in _slices(batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array([packed(x) for x in coder(tokenizer_path).encode(texts)], pa.binary())], ["doc_id", "ids"])
 
     picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k"), "left_semi")
-    rows = picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary").orderBy("doc_id", "ids").limit(sample).collect()
+    coded = written(picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary"), "coded")
+    first = coded.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("ids").alias("tie"), F.length("ids").alias("n"), "ids").orderBy("h", "tie").limit(sample)
+    upto = F.sum("n").over(Window.orderBy("h", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over at most `sample` rows
+    rows = first.withColumn("before", upto - F.col("n")).where(F.col("before") < sample_bytes).select("ids").collect()
     samples = [bytes(r["ids"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -161,35 +257,42 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     """Encode the whole texts of ``docs`` and write them to ``path`` in ascending doc_id order.
 
-    A null doc_id comes first; null texts count as empty and hold the end id
-    alone; rows that repeat a doc_id are documents of their own, ordered by
-    their ids' digest.
+    doc_id is a whole number.  A null doc_id comes first; null texts count as
+    empty and hold the end id alone; rows that repeat a doc_id are documents of
+    their own, ordered by their frames' digest.  Ranges of doc_ids are cut by
+    quantiles of that column alone, so the frames are made once and go straight
+    to the sorted blocks; very long texts make long frames and blocks.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * parts
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(25 * ranges)).alias("q")).first()["q"]  # RANGES numbers a shuffle partition
+    bounds = np.unique(np.array(found or [], np.int64))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_dict_id=False)
-        for keys, texts in _small_batches(batches):
+        for keys, texts in _slices(batches):
             arrays = [packed(x) for x in coder(tokenizer_path).encode(texts)]
             counts = [(len(a) - 1) // a[0] for a in arrays]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array([press.compress(a) for a in arrays], pa.binary())], ["doc_id", "n_tokens", "frame"])
+            place = np.searchsorted(bounds, pc.fill_null(keys.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
+            frames = pa.array([press.compress(a) for a in arrays], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), frames, pa.array(place)], ["doc_id", "n_tokens", "frame", "range"])
 
     slim = docs.select("doc_id", text_of().alias("text"))
     key = slim.schema["doc_id"].dataType.simpleString()
-    frames_path = new_path(spark, "frames")
-    frames = written(slim.mapInArrow(compress, f"doc_id {key}, n_tokens long, frame binary"), "frames", frames_path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frames.withColumn("tie", F.xxhash64("frame")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    frames = slim.mapInArrow(compress, f"doc_id {key}, n_tokens long, frame binary, range int")
+    ranged = frames.withColumn("tie", F.xxhash64("frame")).repartition(parts, "range").sortWithinPartitions("range", "doc_id", "tie")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         counts: list[int] = []
         offsets = [0]
         payload: list[bytes] = []
-        before = 0
+        number = before = 0
 
         def block() -> pa.RecordBatch:
             columns = [pa.array([digest]), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64())]
@@ -197,22 +300,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
             return pa.RecordBatch.from_arrays(columns, ["dictionary", "range", "before", "n_ids", "doc_ids", "offsets", "counts", "payload"])
 
         for batch in batches:
-            key_type, number = batch.column(0).type, batch.column(3)[0].as_py() if batch.num_rows else None
-            for k, n, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                frame = f.as_py()
-                keys.append(k), counts.append(n), payload.append(frame)
-                offsets.append(offsets[-1] + len(frame))
-                if offsets[-1] >= BLOCK_BYTES:
+            key_type = batch.column(0).type
+            for k, n, f, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                if keys and (r != number or offsets[-1] >= BLOCK_BYTES):
                     yield block()
                     before += sum(counts)
                     keys, counts, offsets, payload = [], [], [0], []
+                if r != number:
+                    number, before = r, 0
+                frame = f.as_py()
+                keys.append(k), counts.append(n), payload.append(frame)
+                offsets.append(offsets[-1] + len(frame))
         if keys:
             yield block()
 
     schema = f"dictionary string, range int, before long, n_ids long, doc_ids array<{key}>, offsets array<long>, counts array<long>, payload binary"
-    blocks = ranged.select("doc_id", "n_tokens", "frame", F.spark_partition_id().alias("range")).mapInArrow(pack, schema)
-    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    remove(spark, frames_path)
+    ranged.select("doc_id", "n_tokens", "frame", "range").mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("range").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals.select("range", before.cast("long").alias("range_start")).coalesce(1).write.parquet(f"{path}/ranges")  # a row for each shuffle partition
@@ -223,8 +326,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     ids is the array of ids, the end id included.
     """
-    import zlib
-
     found = spark.read.parquet(f"{path}/dictionary").collect()  # one row of at most DICTIONARY_BYTES
     dictionary, digest = bytes(found[0]["bytes"]), found[0]["hash"]
     if hashlib.sha256(dictionary).hexdigest() != digest:
