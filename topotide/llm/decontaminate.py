@@ -1,9 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of n-grams.
 
-Each training text is scanned inside its own row: window hashes are looked up
-in a set of the benchmark's window hashes, hits are verified by comparing the
-words themselves, and only verified windows leave the row.  Where the set is
-too large to be sent, the hashes are joined instead, with the same rows.
+Every window of a training text is hashed and looked up in a broadcast set of
+the benchmark's window hashes; a set too large to be sent at once goes in parts
+of bounded size, one after the other.  What is found is set against its
+document again, where the words themselves are compared with the benchmark's.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from topotide.plans.scratch import written
 #: Characters of words: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: Largest set of benchmark windows that is sent with the plan.
-MAX_SET = 500_000
+#: Most hashes of benchmark windows that are broadcast at a time; a map of so many long numbers has some 200 MB.
+MAX_SET = 4_000_000
+#: Most found windows that are broadcast back to the documents; more are joined by a shuffle.
+MAX_FOUND = 200_000
+#: Words of a document whose windows are made at a time.
+CHUNK = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -38,42 +42,47 @@ def test_grams(items: DataFrame, n: int = 10, item: str = "item_id", text: str =
     return long.unionByName(short).select("item_id", F.size("gram").alias("n_gram"), F.concat_ws(" ", "gram").alias("gram")).distinct()
 
 
-def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = MAX_SET) -> DataFrame:
+def _word_hashes(words: str) -> str:
+    return f"transform({words}, w -> xxhash64(w))"
+
+
+def found_windows(docs: DataFrame, grams: DataFrame, keys: list[str], text: str, max_set: int) -> DataFrame:
+    """Distinct (*keys, pos, n, gram): windows of the documents whose hashes are those of benchmark windows."""
+    hashed = written(grams.select("n_gram", "gram", F.expr(f"xxhash64({_word_hashes("split(gram, ' ')")})").alias("h")).distinct(), "hashes")
+    sizes = sorted(r[0] for r in hashed.select("n_gram").distinct().collect())  # at most as many as a window has words
+    if not sizes:
+        return docs.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("gram")).where("false")
+    parts = -(-hashed.select("h").distinct().count() // max_set)
+    words = docs.select(*keys, words_of(text_of(text)).alias("__w"))
+    words = _once(words, "__h", F.expr(_word_hashes("__w"))).where(F.size("__h") >= sizes[0])
+    chunk = f"transform(sequence(0, size(__h) - 1, {CHUNK}), s -> struct(s, slice(__h, s + 1, {CHUNK + sizes[-1] - 1}) AS w))"
+    chunks = words.select(*keys, F.explode(F.expr(chunk)).alias("c"))
+    none = "CAST(array() AS array<struct<pos:int,n:int,h:bigint>>)"
+    each = [f"CASE WHEN size(c.w) >= {n} THEN transform(sequence(0, least(size(c.w) - {n}, {CHUNK - 1})), i -> struct(c.s + i AS pos, {n} AS n, xxhash64(slice(c.w, i + 1, {n})) AS h)) ELSE {none} END" for n in sizes]
+    windows = chunks.select(*keys, F.explode(F.expr(f"concat({', '.join(each)})")).alias("x")).select(*keys, "x.pos", "x.n", "x.h")
+    found = None
+    for part in range(parts):  # each set has about max_set hashes, for the parts are dealt by hash
+        some = hashed.select("h").distinct().where(F.pmod("h", F.lit(parts)) == part)
+        hit = windows.join(F.broadcast(some), "h")
+        found = hit if found is None else found.unionByName(hit)
+    same = hashed.select(F.col("n_gram").alias("n"), "h", "gram")
+    return written(found, "found").join(same, ["n", "h"]).select(*keys, "pos", "n", "gram").distinct()
+
+
+def scan(docs: DataFrame, grams: DataFrame, text: str = "text", max_set: int = MAX_SET, max_found: int = MAX_FOUND) -> DataFrame:
     """``docs`` with the array columns __words and __hits (pos, n, gram) of verified windows.
 
-    The set of window hashes is sent to every task as part of the plan; its
-    size is counted first, and a larger set than ``max_set`` is joined with
-    the hashes of the documents' windows.
+    Documents are told apart by two hashes of their text, as equal texts have
+    equal windows.  A hit counts if its words are those of the benchmark.
     """
-    rows = grams.select("n_gram", F.xxhash64("gram").alias("h")).distinct().limit(max_set + 1).collect()
-    if len(rows) > max_set:
-        return _joined(docs, grams, text)
-    by_n: dict[int, list[int]] = {}
-    for r in rows:
-        by_n.setdefault(r["n_gram"], []).append(r["h"])
-    out = _once(docs, "__words", words_of(text_of(text)))
-    none = "CAST(array() AS array<struct<pos:int,n:int,gram:string>>)"
-    found = []
-    for n, hashes in sorted(by_n.items()):
-        keys = ",".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in sorted(hashes))
-        at = f"filter(sequence(0, size(__words) - {n}), i -> xxhash64(array_join(slice(__words, i + 1, {n}), ' ')) IN ({keys}))"
-        found.append(f"CASE WHEN size(__words) >= {n} THEN transform({at}, i -> struct(i AS pos, {n} AS n, array_join(slice(__words, i + 1, {n}), ' ') AS gram)) ELSE {none} END")
-    return _verified(_once(out, "__hits", F.expr(f"concat({', '.join(found)})" if found else none)), grams)
-
-
-def _joined(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
-    """The same rows as ``scan`` by a join of window hashes; documents are written once to give their rows a number."""
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    slim = _once(base.select("__row", F.col(text).alias("__t")), "__words", words_of(text_of("__t"))).drop("__t")
-    sizes = sorted(r[0] for r in grams.select("n_gram").distinct().collect())
-    none = "CAST(array() AS array<struct<pos:int,n:int,h:bigint>>)"
-    hashed = [f"CASE WHEN size(__words) >= {n} THEN transform(sequence(0, size(__words) - {n}), i -> struct(i AS pos, {n} AS n, xxhash64(array_join(slice(__words, i + 1, {n}), ' ')) AS h)) ELSE {none} END" for n in sizes]
-    windows = slim.select("__row", F.explode(F.expr(f"concat({', '.join(hashed)})")).alias("x")).select("__row", "x.pos", "x.n", "x.h")
-    wanted = grams.select(F.col("n_gram").alias("n"), F.xxhash64("gram").alias("h"), "gram").distinct()
-    found = windows.join(wanted, ["n", "h"]).groupBy("__row").agg(F.collect_list(F.struct("pos", "n", "gram")).alias("__found"))
-    out = _once(base, "__words", words_of(text_of(text))).join(found, "__row", "left")
-    hits = "filter(coalesce(__found, CAST(array() AS array<struct<pos:int,n:int,gram:string>>)), x -> array_join(slice(__words, x.pos + 1, x.n), ' ') = x.gram)"
-    return _once(out, "__hits", F.expr(hits)).drop("__row", "__found")
+    keyed = docs.withColumns({"__k1": F.xxhash64(text_of(text)), "__k2": F.hash(text_of(text))})
+    hits = found_windows(keyed, grams, ["__k1", "__k2"], text, max_set)
+    hits = written(hits.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("pos", "n", "gram")).alias("__found")), "hits")
+    few = (hits.agg(F.sum(F.size("__found")).alias("n")).first()["n"] or 0) <= max_found
+    joined = keyed.join(F.broadcast(hits) if few else hits, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    out = _once(joined, "__words", words_of(text_of(text)))
+    real = "filter(coalesce(__found, CAST(array() AS array<struct<pos:int,n:int,gram:string>>)), x -> array_join(slice(__words, x.pos + 1, x.n), ' ') = x.gram)"
+    return _once(out, "__hits", F.expr(real)).drop("__found")
 
 
 def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
@@ -90,17 +99,18 @@ def _covered(hits: str) -> str:
     return f"array_sort(array_distinct(flatten(transform({hits}, x -> sequence(x.pos, x.pos + x.n - 1)))))"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str = "documents", text: str = "text", max_set: int = MAX_SET) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str = "documents", text: str = "text", max_set: int = MAX_SET, max_found: int = MAX_FOUND) -> DataFrame:
     """``docs`` without the documents that hold a test window, or without the words inside such windows.
 
     action "documents" drops contaminated rows; "spans" cuts the hit words,
     each with the characters that follow it up to the next word.  The columns
-    of ``docs`` return unchanged.  Null and empty texts have no words and stay
-    as they are.  An empty benchmark changes nothing.  Verification: the hit's
-    words are compared with the benchmark's, so equal hashes alone do nothing.
+    of ``docs`` return unchanged, whatever their names.  Null and empty texts
+    have no words and stay as they are; repeated rows fare alike; very long
+    texts are scanned whole, in chunks.  An empty benchmark changes nothing, an
+    empty table gives none.  Equal hashes alone do nothing.
     """
     grams = written(test_grams(items, n), "grams")
-    seen = scan(docs.withColumn("__text", F.col(text)), grams, "__text", max_set)
+    seen = scan(docs.withColumn("__text", F.col(text)), grams, "__text", max_set, max_found)
     if action == "documents":
         return seen.where("size(__hits) = 0").select(docs.columns)
     if action != "spans":
@@ -113,29 +123,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str =
     return cut.withColumn(text, F.when(F.expr("size(__hits) = 0"), F.col("__text")).otherwise(F.concat("__lead", kept))).select(docs.columns)
 
 
-def _verified(scanned: DataFrame, grams: DataFrame) -> DataFrame:
-    """Keep the hits whose words are a benchmark window.
-
-    ``scan`` has counted the windows, so their texts are a list of known size
-    too.
-    """
-    texts = [r[0] for r in grams.select("gram").distinct().collect()]
-    if not texts:
-        return scanned
-    listed = ",".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts)
-    return scanned.withColumn("__hits", F.expr(f"filter(__hits, x -> x.gram IN ({listed}))"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_set: int = MAX_SET) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_set: int = MAX_SET, max_found: int = MAX_FOUND) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; with no hits, items_sha256 is that of
     the empty string.  Rows with the same doc_id keep apart, as each result row
-    is keyed by the doc_id and a digest of the text.
+    is keyed by the doc_id and a digest of the text; repeated rows come as
+    often as they are.  Windows that several items hold count for each.  Very
+    long texts are scanned whole.  Other columns are not read.
     """
     grams = written(test_grams(items, n), "grams")
     slim = docs.select("doc_id", "text")
-    seen = scan(slim, grams, max_set=max_set).select(
+    seen = scan(slim, grams, max_set=max_set, max_found=max_found).select(
         "doc_id",
         F.xxhash64(text_of()).alias("k1"),
         F.hash(text_of()).alias("k2"),
