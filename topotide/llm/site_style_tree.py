@@ -1,8 +1,9 @@
 """HTML extraction with a site style tree.
 
-Pages of a host are merged by the paths of their elements.  A node's importance
-combines what its mark-up says with how much its presentation and content vary
-over the host's pages; branches of low importance leave every page.
+Pages of a host are merged by the paths of their elements.  A node's evidence
+is how much its presentation (the tags and classes of its children) and its
+content vary over the host's pages; what mark-up says of a block is its prior.
+Both are added up for every block of every page, and blocks below zero leave.
 """
 
 from __future__ import annotations
@@ -19,9 +20,16 @@ from pyspark.sql import functions as F
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import written
 
-#: A node below this entropy (0 to 1) over at least this many pages of a host repeats itself.
-LOW = 0.3
+#: Prior log odds of a block: inside a main or article element, of its own, and where mark-up names it as noise.
+PRIOR = {"main": 1.4, "open": 0.0, "noise": -4.0}
+#: Change of the log odds from entropy 1/2 to 1 or 0, of a node's texts and of its parent's children.
+CONTENT, PRESENTATION = 2.5, 1.0
+#: With fewer distinct pages than that, a host's tree says nothing of a node.
 LEAST_PAGES = 4
+#: Text beside the main elements is open if it has so many times their characters, else it is like noise.
+OUTWEIGHS = 3
+#: Most nodes that are broadcast; more are joined by a shuffle.
+MAX_NODES = 200_000
 
 # HTML's own element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +47,8 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr alert popup modal overlay sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar toolbar comment comments disqus replies reply respond reader-comments share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags legal copyright contentinfo complementary".split()
 )
+#: Words that may stand beside them in a hyphenated name.
+BESIDE = frozenset("area bar block box buttons container content form global icons inner left links list main outer panel posts right section site slot top bottom wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -50,17 +60,22 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
-def _style(name: str, attributes: str) -> tuple[str, bool]:
-    """A node's presentation (tag and class), and whether its mark-up names it as noise."""
-    names: list[str] = []
-    cls = ""
+def names_noise(name: str) -> bool:
+    """Whether a class, id or role names what is not main text: as a whole, or in hyphenated parts of which no other has a meaning of its own."""
+    parts = re.split("[-_]+", name)
+    return name in NOISE_WORDS or not NOISE_WORDS.isdisjoint(parts) and all(x in NOISE_WORDS or x in BESIDE for x in parts)
+
+
+def _style(attributes: str) -> tuple[str, bool]:
+    """The classes of an element as part of its path, and whether a class, id or role names noise."""
+    cls, noise = "", False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            names += re.split(r"[\s_]+|(?<=[a-z])-(?=[a-z])", value) + value.split()
+            value = (m[2] or m[3] or m[4] or "").lower().split()
+            noise = noise or any(map(names_noise, value))
             if m[1].lower() == "class":
-                cls = "." + ".".join(value.split())
-    return name + cls, 2 if name in NOISE else int(not NOISE_WORDS.isdisjoint(names))
+                cls = "." + ".".join(value)
+    return cls, noise
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
@@ -145,12 +160,11 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                 if stack[i][0] in CONTAINERS:
                     break
         flush()
-        style, noise = _style(name, m[3])
+        style, named = _style(m[3])
         _, path, role = stack[-1]
-        if name in ("html", "body"):
-            noise = 0
         # a header inside an article holds its title; the page's own header does not
-        if name == "header" and role in (2, -2) and "." not in style:
+        noise = 2 if name in NOISE and not (name == "header" and role in (2, -2)) else int(named)
+        if name in ("html", "body"):
             noise = 0
         # -1 is noise by words alone, -2 an article or main element of such noise
         if role == 0 or noise == 2 or noise and role in (2, -2):
@@ -159,71 +173,109 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
             role = -2 if noise or role < 0 else 2
         elif noise:
             role = -1
-        stack.append((name, f"{path}/{style}", role))
+        stack.append((name, f"{path}/{name}{style}", role))
     flush()
     hidden = 0 if any(x[2] == 2 for x in out) else 2
     return [(path, text, hidden if role == -2 else max(role, 0)) for path, text, role in out]
 
 
+def child_sequences(paths: list[str]) -> list[tuple[str, str]]:
+    """(path, children) of each element above the blocks with these paths: tags and classes of its children in page order.
+
+    A child that holds blocks of its own counts once for blocks in a row.
+    """
+    seen: dict[str, list[str]] = {}
+    for path in paths:
+        parts = path.split("/")
+        for i in range(1, len(parts)):
+            of = seen.setdefault("/".join(parts[:i]), [])
+            inner = i + 1 < len(parts)
+            name = parts[i] + "/" if inner else parts[i]
+            if not (inner and of and of[-1] == name):
+                of.append(name)
+    return [(p, " ".join(x)) for p, x in seen.items()]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks) of each page; blocks is an array of (path, text, role, mark)."""
+    """(page_id, url, host, blocks, nodes) of each page.
+
+    blocks is an array of (path, text, role, mark), nodes of (path, mark) of
+    the elements above them; marks are hashes of text or children.  Texts that
+    mark-up names as noise are left out, as no evidence can bring them back.
+    """
+
+    def mark(t: str) -> int:
+        return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("role", pa.int32()), ("mark", pa.int64())]))
+        block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("role", pa.int32()), ("mark", pa.int64())]))
+        node = pa.list_(pa.struct([("path", pa.string()), ("mark", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 urls = part.column(1).to_pylist()
-                rows = [[{"path": p, "text": t if r else None, "role": r, "mark": xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1} for p, t, r in blocks_of(h)] for h in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([host_of(u) for u in urls]), pa.array(rows, kind)], ["page_id", "url", "host", "blocks"])
+                found = [blocks_of(h.as_py()) for h in part.column(2)]
+                rows = [[{"path": p, "text": t if r else None, "role": r, "mark": mark(t)} for p, t, r in x] for x in found]
+                nodes = [[{"path": p, "mark": mark(c)} for p, c in child_sequences([p for p, _, _ in x])] for x in found]
+                columns = [part.column(0), part.column(1), pa.array([host_of(u) for u in urls]), pa.array(rows, block), pa.array(nodes, node)]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks", "nodes"])
 
     slim = pages.select("page_id", "url", text_of("html").alias("html"))
-    return slim.mapInArrow(run, f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<path:string,text:string,role:int,mark:bigint>>")
+    kind = slim.schema["page_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<path:string,text:string,role:int,mark:bigint>>, nodes array<struct<path:string,mark:bigint>>")
 
 
-def style_tree(parsed_pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of the merged trees of all hosts.
-
-    pages counts the host's pages that have the node.  presentation is the
-    entropy of the number of blocks that pages have there, content that of the
-    blocks' texts, each to a base of the number of cases, so 1 means that all
-    differ.  Copies of a page count once, as they say nothing about the site's
-    design: a page stands for all with the same sequence of texts.  importance
-    is the larger of both, and 1 with fewer than LEAST_PAGES pages.
+def _entropies(marks: DataFrame, name: str) -> DataFrame:
+    """(host, path, pages, ``name``): entropy of the marks of each node to a base of their number, so 1 means that all differ.
+
+    Counts by mark come before those by node, so no task gets all of a host.
     """
-    distinct = parsed_pages.select("host", F.xxhash64("blocks.path", "blocks.mark").alias("page"), F.explode("blocks").alias("b"))
-    distinct = distinct.select("host", "page", "b.path", "b.mark").groupBy("host", "path", "page", "mark").agg(F.lit(1).alias("one"))
-    content = distinct.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("c"))
-    content = content.groupBy("host", "path").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    on_page = distinct.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("k"))
-    style = on_page.groupBy("host", "path", "k").agg(F.count(F.lit(1)).alias("c"))
-    style = style.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("slogs"))
+    counted = marks.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("c"))
+    sums = counted.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(1.0)
+    return sums.select("host", "path", F.col("n").alias("pages"), entropy.alias(name))
+
 
-    def entropy(n: str, nlogn: str) -> F.Column:
-        return F.when(F.col(n) > 1, (F.log(n) - F.col(nlogn) / F.col(n)) / F.log(n)).otherwise(1.0)
+def style_tree(parsed_pages: DataFrame) -> DataFrame:
+    """(host, path, pages, presentation, content, evidence): the nodes with text of the merged trees of all hosts.
 
-    both = content.join(style, ["host", "path"]).select("host", "path", "pages", entropy("pages", "slogs").alias("presentation"), entropy("total", "clogc").alias("content"))
-    return both.withColumn("importance", F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(F.greatest("presentation", "content")))
+    presentation is the entropy of the child sequences of the node's parent,
+    content that of the node's texts, a text counting once a page.  pages
+    counts the pages that have the parent.  Copies of a page count once, as
+    they say nothing about the site's design: a page stands for all with the
+    same sequence of paths and texts.  evidence is 0 with fewer than
+    LEAST_PAGES pages.
+    """
+    slim = parsed_pages.select("host", F.xxhash64("blocks.path", "blocks.mark").alias("page"), F.expr("transform(blocks, b -> struct(b.path, b.mark))").alias("blocks"), "nodes")
+    slim = slim.where(F.size("blocks") > 0)
+    each = {c: slim.select("host", "page", F.explode(c).alias("x")).select("host", "page", "x.path", "x.mark").distinct() for c in ("blocks", "nodes")}
+    content = _entropies(each["blocks"], "content").drop("pages")
+    above = _entropies(each["nodes"], "presentation").select(F.col("host").alias("h"), F.col("path").alias("parent"), "pages", "presentation")
+    both = content.withColumn("up", F.expr("regexp_replace(path, '/[^/]*$', '')")).join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("parent")))
+    evidence = CONTENT * (2 * F.col("content") - 1) + PRESENTATION * (2 * F.col("presentation") - 1)
+    return both.select("host", "path", "pages", "presentation", "content", F.when(F.col("pages") < LEAST_PAGES, 0.0).otherwise(evidence).alias("evidence"))
 
 
-def main_text(pages: DataFrame, low: float = LOW) -> DataFrame:
+def main_text(pages: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of ``pages``.
 
-    Blocks that mark-up names as noise go, those inside an article or main
-    element stay, so the entropies decide between the rest: on pages with such
-    an element the rest goes, on others a block goes if its node's importance
-    on the host is below ``low``.  Null or empty html gives an empty text.
+    A block stays if its prior and its node's evidence are not below zero
+    together.  The prior comes from mark-up; text beside the main elements of
+    a page is open only if it outweighs them.  Null or empty html gives an
+    empty text; a null url has a host of its own, the empty one.  Repeated
+    rows come as often as they are; long pages are read whole; an empty table
+    gives no rows; other columns are not read.
     """
     read = written(parsed(pages), "parsed")
-    unsure = read.where("exists(blocks, b -> b.role = 1) and not exists(blocks, b -> b.role = 2)")
-    weak = style_tree(unsure).where(F.col("importance") < low)
-    weak = weak.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("weak"))  # bounded by the host's tree
-    # only pages whose blocks the tree decides meet the trees; the others keep their place
-    sure = read.where("not exists(blocks, b -> b.role = 1) or exists(blocks, b -> b.role = 2)").withColumn("weak", F.lit(None).cast("array<string>"))
-    found = sure.unionByName(unsure.join(weak, F.col("host") == F.col("h"), "left").drop("h"))
-    weak_paths = "coalesce(weak, CAST(array() AS array<string>))"
-    stays = f"CASE WHEN exists(blocks, x -> x.role = 2) THEN b.role = 2 ELSE b.role = 1 AND NOT array_contains({weak_paths}, b.path) END"
-    text = F.expr(f"array_join(transform(filter(blocks, b -> {stays}), b -> b.text), ' ')")
+    # evidence for a node changes nothing that its prior does not decide alike, so only evidence against nodes is sent
+    weak = written(style_tree(read).where("evidence < 0").select("host", "path", "evidence"), "weak")
+    few = weak.count() <= max_nodes
+    weak = weak.groupBy(F.col("host").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("path", "evidence"))).alias("weak"))  # bounded by the host's tree
+    found = read.drop("nodes").join(F.broadcast(weak) if few else weak, F.col("host") == F.col("h"), "left")
+    size = "aggregate(blocks, 0L, (n, b) -> n + IF(b.role = {}, length(b.text), 0))"
+    found = found.withColumn("beside", F.expr(f"IF({size.format(1)} >= {OUTWEIGHS} * {size.format(2)}, {PRIOR['open']}D, {PRIOR['noise']}D)"))
+    prior = f"CASE b.role WHEN 2 THEN {PRIOR['main']}D WHEN 1 THEN beside ELSE {PRIOR['noise']}D END"
+    text = F.expr(f"array_join(transform(filter(blocks, b -> {prior} + coalesce(weak[b.path], 0D) >= 0), b -> b.text), ' ')")
     return found.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
