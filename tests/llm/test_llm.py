@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -125,17 +128,46 @@ def brute_dedup(rows):
 
 
 def test_exact_dedup(spark, odd, empty):
-    index = ed.DigestIndex(spark, "idx_a", new_path(spark, "a"), 4)
+    index = ed.DigestIndex(spark, new_path(spark, "a"), 4)
     assert sorted(rows_of(index.add_batch(odd)), key=repr) == brute_dedup(odd_rows())
     # a second batch meets the index; a third run of the same batch appends nothing
     more = spark.createDataFrame([(50, "EinTexthier", None, None, None), (51, "brand new", None, None, None)], DOCS)
     got = {r["doc_id"]: r["keep_id"] for r in index.add_batch(more).collect()}
     assert got == {50: 7, 51: 51}
-    n = spark.table("idx_a").count()
+    n = index.table().count()
     index.add_batch(more).collect()
-    spark.catalog.refreshTable("idx_a")
-    assert spark.table("idx_a").count() == n
-    assert ed.DigestIndex(spark, "idx_b", new_path(spark, "b"), 4).add_batch(empty).count() == 0
+    assert index.table().count() == n and len(index.batches()) == 3
+    assert ed.DigestIndex(spark, new_path(spark, "b"), 4).add_batch(empty).count() == 0
+    assert ed.deduplicated(empty, new_path(spark, "c")).count() == 0
+
+
+def test_two_batches_decide_as_one(spark, odd):
+    rng = random.Random(18)
+    rows = odd_rows() + [(100 + i, " " * rng.randrange(4) + f"t{rng.randrange(40)}" + "\t" * rng.randrange(3), "en", "s", 0) for i in range(400)]
+    clash = spark.createDataFrame(rows, DOCS).withColumn("digest", F.lit("x")).withColumn("keep_id", F.lit(1)).withColumn("group_size", F.lit(1))
+    assert sorted(rows_of(ed.deduplicated(clash, new_path(spark, "d"))), key=repr) == brute_dedup(rows)
+
+
+def test_the_index_outlives_its_session(spark, tmp_path):
+    path = str(tmp_path / "index")
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / "warehouse")!r}).getOrCreate()
+from topotide.llm.exact_dedup import DigestIndex
+rows = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+DigestIndex(spark, {path!r}, 4).add_batch(rows).collect()
+"""
+    root = ed.__file__.rpartition("/topotide/")[0]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": root}, timeout=300)
+    index = ed.DigestIndex(spark, path, 99)
+    rows = spark.createDataFrame([(3, "t w o"), (4, "four")], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in index.add_batch(rows).collect()} == {3: 2, 4: 4}
+    assert index.table().count() == 3 and index.batches() == ["000000", "000001"]
+    # what has no marker isn't read
+    spark.createDataFrame([(b"x", 9)], "digest binary, keep_id long").write.parquet(f"{path}/batches/000002")
+    assert index.table().count() == 3
+    plan = index.table().select("digest").join(index.table().select(F.col("digest").alias("d")).hint("merge"), F.col("digest") == F.col("d"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
 
 
 # 3 -----------------------------------------------------------------------
@@ -181,7 +213,11 @@ def test_contamination(spark, empty):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("gram", F.lit("x"))
     df = spark.createDataFrame(docs, DOCS).withColumns({"gram": F.lit(1), "n_words": F.lit("x"), "item_id": F.lit(0)})
     assert sorted(rows_of(dc.contamination(df, bench)), key=repr) == brute_contamination(docs, items)
-    assert dc.contamination(empty, bench).count() == 0
+    long = some_text(random.Random(21), 4090) + " " + " ".join(items[0][1].split()) * 2 + " " + some_text(random.Random(22), 5000)
+    more = [(500, long, "en", "a", 0)] * 2
+    assert sorted(rows_of(dc.contamination(spark.createDataFrame(more, DOCS), bench)), key=repr) == brute_contamination(more, items)
+    assert sorted(rows_of(dc.contamination(df, bench, max_found=0)), key=repr) == brute_contamination(docs, items)
+    assert dc.contamination(empty, bench).count() == 0 and dc.decontaminate(empty, bench).count() == 0
     none = dc.contamination(df, bench.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(docs)
 
@@ -288,6 +324,62 @@ def test_equal_passages_are_found_behind_fragments_of_smaller_rows(spark):
     assert all(got[i]["class_id"] == i and got[i]["spans"] == "" for i in got if i < 2000)
 
 
+def test_passages_of_equal_runs_and_near_copies_link(spark):
+    """Against brute force over all pairs: every pair with an equal run of 50 words is connected, and no texts that share a line alone."""
+    rng = random.Random(15)
+    fill = lambda n: [f"g{rng.randrange(10**6)}" for _ in range(n)]
+    line = fill(20)
+    docs = []
+    for family in range(12):
+        p = fill(rng.randint(50, 70)) + [f"family{family}"]
+        docs += [fill(rng.randint(0, 90)) + p[: rng.choice((30, 45, 48, 49))] + fill(40) for _ in range(2)]  # pieces, too short by up to one word
+        docs += [fill(rng.randint(0, 90)) + p[at : at + 50] + fill(rng.randint(0, 60)) for at in (0, len(p) - 51)]
+        docs += [p + fill(30), fill(30) + line + p + line + fill(5)]
+        docs[-6:] = [(family, w) for w in docs[-6:]]
+    docs += [(100 + i, fill(60) + line + fill(60)) for i in range(40)]
+    rng.shuffle(docs)
+    families, docs = zip(*docs)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in sub.substring_duplicates(df).collect()}
+    parent = list(range(len(docs)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        one, two = ({tuple(w[a : a + 50]) for a in range(len(w) - 49)} for w in (docs[i], docs[j]))
+        if one & two:
+            parent[max(top(i), top(j))] = min(top(i), top(j))
+    for i in range(len(docs)):
+        assert got[i] == got[top(i)]  # long pieces are near copies and may join their passage's class
+    assert all(families[i] == families[got[i]] for i in range(len(docs)))
+
+
+def test_near_copies_are_found(spark):
+    """Recall of copies with one word in fifty changed, the farthest that reach 0.8."""
+    rng = random.Random(16)
+    docs = []
+    for i in range(150):
+        p = some_text(rng, 50 * rng.randint(1, 6), 10**6).split()
+        q = list(p)
+        for at in range(25, len(q), 50):
+            q[at] = "changed"
+        docs += [(2 * i, " ".join(p)), (2 * i + 1, some_text(rng, 30, 10**6) + " " + " ".join(q))]
+    got = {r["doc_id"]: r["class_id"] for r in sub.substring_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 135
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_passages_with_repeated_ids_and_white_space(spark):
+    rng = random.Random(17)
+    a, b, c = (some_text(rng, 49, 10**6) for _ in range(3))
+    rows = [(1, a + " x"), (1, b + " y"), (2, "pre " + a + " x"), (3, b + " y post"), (4, "\t" + c + "\n"), (5, c), (None, "q " + a + " x"), (6, b + " y"), (6, b + " y")]
+    got = sorted(rows_of(sub.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("hub", F.lit("h"))).select("doc_id", "class_id")), key=repr)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, 1), (6, 1), (6, 1)], key=repr)
+
+
 # 5 -----------------------------------------------------------------------
 
 
@@ -426,6 +518,45 @@ def test_main_text_uses_the_style_tree_where_markup_is_silent(spark):
     assert sst.main_text(df.limit(0)).count() == 0
 
 
+def test_hyphenated_names_and_titles_stay():
+    assert text_of_page(page("<article><header class='entry-header'><h1>Title</h1></header><div class='article-header'><p>one</p></div><div class='side-note'>two</div><div class='share-buttons'>x</div></article>")) == "Title one two"
+    assert [sst.names_noise(x) for x in ("sidebar", "cookie-banner", "site_header", "side-note", "article-header", "has-sidebar", "ad-slot", "box")] == [True, True, True, False, False, False, True, False]
+
+
+def test_a_story_beside_a_teaser_is_kept(spark):
+    story = " ".join(["word"] * 80)
+    rows = [(1, "http://a.example/1", page(f"<nav>m</nav><div id='content'><p>{story}</p></div><article><p>teaser text</p></article>"))]
+    rows += [(2, "http://a.example/2", page(f"<article><p>{story}</p></article><div><p>more to read</p></div>"))]
+    got = {r["page_id"]: r["text"] for r in sst.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"{story} teaser text", 2: story}
+
+
+def test_the_tree_removes_what_repeats_inside_articles(spark):
+    rng = random.Random(20)
+    rows = []
+    for i in range(30):
+        paragraphs = "".join(f"<p>{some_text(rng, 9)}</p>" for _ in range(rng.randint(1, 6)))
+        rows.append((i, f"http://b.example/{i}", page(f"<article>{paragraphs}<p class='end'>Read on at our site</p></article>")))
+    rows += [(100 + i, "http://b.example/0", rows[0][2]) for i in range(30)]  # copies say nothing about the design
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    plain = {r["page_id"]: r["text"] for r in sst.main_text(df).collect()}
+    assert plain == {r["page_id"]: r["text"] for r in sst.main_text(df, max_nodes=0).collect()}
+    assert all(t and "Read on" not in t for t in plain.values()) and plain[0] == plain[100]
+    # entropies against a plain count
+    tree = {(r["host"], r["path"]): r for r in sst.style_tree(sst.parsed(df)).collect()}
+    blocks = [sst.blocks_of(h) for _, _, h in rows[:30]]
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * np.log(c / n) for c in (values.count(x) for x in set(values))) / np.log(n)
+
+    for path in {p for b in blocks for p, _, _ in b}:
+        texts = [x for b in blocks for x in {t for p, t, _ in b if p == path}]
+        children = [dict(sst.child_sequences([p for p, _, _ in b]))[path.rpartition("/")[0]] for b in blocks]
+        r = tree["b.example", path]
+        assert (r["content"], r["presentation"], r["pages"]) == pytest.approx((entropy(texts), entropy(children), 30))
+
+
 # 7 -----------------------------------------------------------------------
 
 
@@ -501,6 +632,39 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, odd, empty):
     assert tox.toxicity(df.limit(3), lab.limit(0)).first()["score"] == pytest.approx(tox.DEFAULT_PRIOR)
 
 
+def plain_risk(positives, unlabelled, prior, w, bias):
+    def margin(row):
+        return bias + sum(w[i] for i in row)
+
+    def loss(z):
+        return np.log1p(np.exp(-z))
+
+    r_pos = prior * np.mean([loss(margin(x)) for x in positives])
+    r_neg = np.mean([loss(-margin(x)) for x in unlabelled]) - prior * np.mean([loss(-margin(x)) for x in positives])
+    return r_pos, r_neg
+
+
+def test_risk_and_gradient_equal_the_plain_ones():
+    rng = random.Random(12)
+    for prior in (0.05, 0.9):  # with the large prior the negatives' risk falls below zero
+        rows = [[np.array(sorted(rng.sample(range(6), rng.randint(0, 4))), np.int32) for _ in range(n)] for n in (7, 11)]
+        w, bias = np.array([rng.uniform(0.5, 2) for _ in range(6)]), -0.3
+        own = tuple(np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in rows)
+        flat = tuple(np.concatenate(x) for x in rows)
+        r_pos, r_neg, grad, grad_b = tox.risk(own, flat, (7, 11), prior, w, bias)
+        assert (r_pos, r_neg) == pytest.approx(plain_risk(*rows, prior, w, bias)) and (r_neg < 0) == (prior == 0.9)
+
+        def followed(w, bias, rows=rows, prior=prior, below=r_neg < 0):
+            a, b = plain_risk(*rows, prior, w, bias)
+            return -b if below else a + b
+
+        step = 1e-6
+        for i in range(7):
+            dw, db = (np.eye(6)[i] * step, 0) if i < 6 else (np.zeros(6), step)
+            slope = (followed(w + dw, bias + db) - followed(w - dw, bias - db)) / (2 * step)
+            assert slope == pytest.approx(grad_b if i == 6 else grad[i], abs=1e-6)
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows = [(i, f"some words {'bad' if i % 4 == 0 else 'good'} {i}", "en", "a", 0) for i in range(400)]
     df = spark.createDataFrame(rows, DOCS)
@@ -529,8 +693,20 @@ def test_pieces_encode_like_whole_texts(tokenizer):
     rng = random.Random(10)
     texts = ["", " ", "  a", "a ", "don't  stop\n now", "x<|endoftext|>y z", "é  ñ ​ b 　c \x85 d \x1c e"]
     texts += ["".join(rng.choice("ab 1.'s\n\té  ​  ,") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
-    assert coder.encode(texts) == want
+    texts += [" ".join(rng.choice(("ab", "don't", "x.\nAb", "q,", "1.5", "\n", "", "é!")) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    coder.by_piece = False
+    assert [x.tolist() for x in coder.encode(texts)] == want
+
+
+def test_only_a_known_rule_is_coded_by_pieces(tokenizer):
+    import json
+
+    rule = json.loads(tokenizer.to_str())
+    assert tok.splits_at_spaces(rule)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": rule["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": {"type": "Unigram"}}):
+        assert not tok.splits_at_spaces(rule | change)
 
 
 def test_token_files(spark, odd, empty, tokenizer):
