@@ -407,6 +407,31 @@ def brute_components(fps, budget=2):
     return {f: find(f) for f in fps}
 
 
+def brute_near(texts, similarity=0.8):
+    """Components of texts by the Jaccard similarity of their sets of five-word shingles; shorter texts by their words."""
+    sequences = [tuple(w.encode() for w in SPACE.split(lower(t)) if w) for t in texts]
+    sets = [{s[i : i + 5] for i in range(len(s) - 4)} for s in sequences]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if sequences[i] == sequences[j] or common and common >= similarity * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def brute_kept(rows):
+    """The doc_ids that stay: the smallest of each component, null last; repeated rows are one."""
+    rows = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    roots = brute_near([t for _, t in rows])
+    return sorted((i for (i, _), n, root in zip(rows, range(len(rows)), roots) if n == root), key=repr)
+
+
 def test_simhash(spark, odd, empty):
     rows = odd_rows()
     rng = random.Random(6)
@@ -425,10 +450,11 @@ def test_simhash(spark, odd, empty):
             smallest[roots[f]] = min(i, smallest.get(roots[f], i))
     expected = sorted(((i, f"{f:016x}", smallest.get(roots[f])) for i, f in fps), key=repr)
     assert sorted(rows_of(sim.near_duplicates(df)), key=repr) == expected
-    kept = sim.drop_near_duplicates(df)
-    assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted({i for i, _, c in expected if i == c}, key=repr)
     assert sim.near_duplicates(empty).count() == 0
+    kept = sim.drop_near_duplicates(df.withColumns({"row": F.lit(1), "hub": F.lit("x"), "ring": F.lit(2), "size": F.lit(3), "component": F.lit("c")}))
+    assert kept.columns == [*df.columns, "row", "hub", "ring", "size", "component"]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == brute_kept(rows)
+    assert sim.drop_near_duplicates(empty).count() == 0
 
 
 @pytest.mark.parametrize("pair_bucket", [0, 3, 1000])
@@ -469,6 +495,53 @@ def test_rows_with_null_or_repeated_ids_stay_one_by_one(spark):
     assert sorted(((r[0], texts.index(r[1])) for r in kept), key=repr) == [(5, 2), (5, 3), (6, 4), (7, 5), (None, 0), (None, 1)]
 
 
+@pytest.mark.parametrize("pair_bucket", [0, 4, 32])
+def test_similar_texts_meet_in_crowded_buckets(spark, monkeypatch, pair_bucket):
+    monkeypatch.setattr(sim, "PAIR_BUCKET", pair_bucket)
+    rng = random.Random(23)
+    rows, base = [], some_text(rng, 200, 10**5)
+    for i in range(300):
+        w = base.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, some_text(rng, rng.randint(1, 200), 10**5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == brute_kept(rows)
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs at Jaccard similarities from 0.8 upward, by words changed and by words added; and none below."""
+    rng = random.Random(24)
+    rows = []
+    for i in range(400):
+        w = some_text(rng, rng.randint(50, 400), 10**6).split()
+        rows.append((2 * i, " ".join(w)))
+        if i % 2:
+            for at in rng.sample(range(len(w)), max(1, len(w) // rng.choice((45, 60, 100)))):
+                w[at] = "changed"
+        else:
+            w += some_text(rng, int(len(w) * rng.choice((0.05, 0.15, 0.24, 0.3))), 10**6).split()
+        rows.append((2 * i + 1, " ".join(w)))
+    roots = brute_near([t for _, t in rows])
+    near = {i for i, root in enumerate(roots) if i != root}
+    kept = {r["doc_id"] for r in sim.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = set(range(800)) - kept
+    assert len(near) > 200 and gone <= near and len(gone) >= 0.95 * len(near)
+
+
+def test_rings_equal_plain_sums():
+    rng = np.random.default_rng(25)
+    counts = [0, 3, 300, 1, 0, 700]
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    hashes = rng.integers(0, 1 << 63, starts[-1], dtype=np.int64).astype(np.uint64)
+    got = sim.rings_of(hashes, starts, 3)
+    for i, n in enumerate(counts):
+        for j in range(3):
+            h = sim.mixed(hashes[starts[i] : starts[i + 1]] + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).tolist()
+            assert int(got[i, j]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+
+
 @pytest.mark.parametrize("budget", [0, 1, 3, 7, 8, 12, 20])
 def test_near_links_of_any_budget(spark, budget):
     rng = random.Random(16)
@@ -784,12 +857,7 @@ def test_pipeline_stages_equal_brute_force(spark, tokenizer):
     ids = [sorted(r["doc_id"] for r in rows) for rows in kept]
     toxic = {r["doc_id"] for r in tox.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
     assert ids[1] == [i for i in ids[0] if i not in toxic]
-    fps = [(r["doc_id"], brute_fingerprint(r["text"])) for r in kept[1]]
-    roots = brute_components({f for _, f in fps})
-    first = {}
-    for i, f in sorted(fps):
-        first.setdefault(roots[f], i)
-    assert ids[2] == sorted(first.values())
+    assert ids[2] == sorted(brute_kept([(r["doc_id"], r["text"]) for r in kept[1]]))
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {r[0] for r in brute_contamination([tuple(r) for r in kept[2]], items) if r[5]}
     assert ids[3] == [i for i in ids[2] if i not in hit] and len(ids[3]) > 100

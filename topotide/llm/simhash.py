@@ -4,7 +4,9 @@ A pair within the Hamming budget must have, on the ring of fingerprint
 segments, a chain of consecutive segments whose cumulative differences stay
 within proportional budgets for every length.  The part of the chain that must
 agree exactly is the join key; the rest is checked on the joined pair before
-the full distance.
+the full distance.  ``near_duplicates`` links 64-bit fingerprints within a few
+bits; ``drop_near_duplicates`` finds texts by the similarity of their shingle
+sets, over rings of some hundred bits and with a verification of each pair.
 """
 
 from __future__ import annotations
@@ -14,18 +16,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topotide.llm.pairing import compared
+from topotide.llm.shingling import mixed, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
-from topotide.plans.scratch import written
+from topotide.plans.scratch import new_path, written
 
 SHINGLE = 3
 SEED = 42
 BITS = 64
 #: Largest bucket whose members are compared pair by pair.
 PAIR_BUCKET = 32
+#: What near-duplicate documents are: words of a shingle, Jaccard similarity, and the least chance to find a pair just as similar.
+WORDS_A_SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.95
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -150,20 +158,199 @@ def _labelled(nodes: DataFrame, budget: int) -> DataFrame:
     return written(nodes, "labelled")
 
 
-def drop_near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id.
+def rings_of(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash rings of ``words`` 64-bit words of all texts, whose shingle hashes begin at ``starts``; one row a text.
 
-    Rows are told apart by their doc_id and a digest of all columns, so rows
-    with a null or repeated doc_id count one by one.  A null doc_id comes
-    last; of rows with one doc_id that of the smallest digest stays.
+    Bits are counted in byte lanes of up to 255 shingles.  Texts without
+    shingles have rings of zeros.
+    """
+    out = np.zeros((len(starts) - 1, words), np.uint64)
+    counts = np.diff(starts)
+    own = np.flatnonzero(counts)
+    if not len(own):
+        return out
+    blocks = -(-counts[own] // 255)
+    first = np.cumsum(blocks) - blocks
+    begin = np.repeat(starts[own], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    lanes, one = np.uint64(0x0101010101010101), np.uint64(1)
+    for j in range(words):
+        h = mixed(hashes + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for bit in range(8):
+            sums = np.add.reduceat((h >> np.uint64(bit)) & lanes, begin).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+            high = (ones * 2 > counts[own, None]).astype(np.uint64)
+            for byte in range(8):
+                out[own, j] |= high[:, byte] << (np.uint64(8 * byte + bit) * one)
+    return out
+
+
+def ring_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(width, segments) of a ring for n texts.
+
+    Segments have some two bits less than it takes to number the texts, so a
+    text meets a few others by chance at any n; there are as many as let a
+    pair of that Jaccard similarity agree in one with probability ``recall``.
+    """
+    width = max(16, min(48, int(np.ceil(np.log2(max(2, n)))) - 2))
+    same = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
+    return width, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
+def _segments(rings: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """The segments of each ring as numbers, a column each."""
+    bits = np.unpackbits(rings.view(np.uint8).reshape(len(rings), -1), axis=1, bitorder="little")[:, : width * segments]
+    return bits.reshape(len(rings), segments, width).astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
+
+
+def ring_budget(similarity: float) -> float:
+    """The share of a ring's bits in which pairs of that similarity may differ: the mean and some five deviations in a ring of 512 bits."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return share + 5 * (share * (1 - share) / 512) ** 0.5
+
+
+def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
+    """Candidate pairs (hub, row) of ``nodes`` (row, size, ring): rings that agree in a segment and keep to the budget all along a chain.
+
+    Sizes are numbers of distinct shingles; pairs whose sizes alone rule out the
+    similarity don't meet.  Members of a bucket, the rows with one segment and
+    near sizes, are set against its smallest row; those beyond the budget stay
+    for the next round while the bucket is large, and meet pair by pair when
+    it is small.  If the rounds stop making large buckets smaller, their rows
+    meet pair by pair as well, so none is left out.
+    """
+    words = -(-width * segments // 64)
+    budget = ring_budget(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                ring = part.column(2).flatten().to_numpy().view(np.uint64).reshape(len(rows), words)
+                keys = _segments(ring, width, segments).astype(np.uint64)
+                low = np.floor(np.log2(sizes)).astype(np.int64)
+                high = np.floor(np.log2(sizes / similarity + 1e-9)).astype(np.int64)  # a partner may be in the next band
+                for band, some in ((low, np.arange(len(rows))), (high, np.flatnonzero(high > low))):
+                    salt = mixed(np.arange(segments, dtype=np.uint64)[None, :] * np.uint64(64) + band[some, None].astype(np.uint64))
+                    bucket = mixed(keys[some] + salt).view(np.int64).ravel()
+                    each = [np.repeat(x[some], segments) for x in (rows, sizes, ring[:, 0].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each)], ["bucket", "row", "size", "f"])
+
+    members = nodes.select("row", "size", "ring").mapInArrow(run, "bucket long, row long, size long, f long")
+    spark = nodes.sparkSession
+    path = new_path(spark, "members")
+    crowded = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    members = written(members.withColumn("n", crowded).where("n > 1"), "members", path)
+    # one word of the ring goes along: it may differ in so many bits, six deviations more than the mean
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5)
+    near = (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2") - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= most)
+    found, rest, left = None, members.where(F.col("n") > PAIR_BUCKET), None
+    before = rest.count()
+    small = members.where(F.col("n") <= PAIR_BUCKET)
+    while before:
+        hubs = rest.groupBy("bucket").agg(F.min(F.struct("row", "size", "f")).alias("h")).select("bucket", F.col("h.row").alias("hub"), F.col("h.size").alias("size2"), F.col("h.f").alias("f2"))
+        told = written(rest.drop("n").join(hubs, "bucket").where("row <> hub").withColumn("near", near), "rounds")
+        star = told.where("near").select("hub", "row")
+        found = star if found is None else found.unionByName(star)
+        open_ = told.where("not near").select("bucket", "row", "size", "f").withColumn("n", crowded).where("n > 1")
+        left = written(open_, "open")
+        small = small.unionByName(left.where(F.col("n") <= PAIR_BUCKET))
+        rest = left.where(F.col("n") > PAIR_BUCKET)
+        now = rest.count()
+        if now > 0.9 * before:
+            small = small.unionByName(rest)
+            break
+        before = now
+    a = small.select("bucket", F.col("row").alias("hub"), F.col("size").alias("size2"), F.col("f").alias("f2"))
+    pairs = small.select("bucket", "row", "size", "f").join(a, "bucket").where(F.col("hub") < F.col("row")).where(near).select("hub", "row")
+    pairs = written((pairs if found is None else pairs.unionByName(found)).distinct(), "candidates")
+    rings = nodes.select(F.col("row").alias("r"), "ring")
+    both = pairs.join(rings.select(F.col("r").alias("hub"), F.col("ring").alias("a")), "hub").join(rings.select(F.col("r").alias("row"), F.col("ring").alias("b")), "row")
+    # pigeonring: some chain of words of the ring keeps to its share of the budget at every length
+    differ = F.expr("zip_with(a, b, (x, y) -> bit_count(x ^ y))")
+    quota = f"{budget * 64}D"
+    chain = f"exists(sequence(0, {words - 1}), s -> aggregate(sequence(0, {words - 1}), struct(0 AS sum, true AS ok), (c, i) -> struct(c.sum + d[(s + i) % {words}] AS sum, c.ok AND c.sum + d[(s + i) % {words}] <= (i + 1) * {quota} AS ok), c -> c.ok))"
+    return both.select("hub", "row", F.explode(F.array(differ)).alias("d")).where(F.expr(chain)).select("hub", "row")
+
+
+def _set_of(text: str, k: int) -> np.ndarray:
+    return np.unique(shingles_of(pa.array([text], pa.string()), k)[0])
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> list[tuple[float]]:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return [(common / max(1, len(a) + len(b) - common),)]
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS_A_SHINGLE) -> DataFrame:
+    """(key columns, component): ``docs`` (key columns, text) by near-duplicate texts.
+
+    Texts with the same words, apart from case in A-Z, are one node.  Nodes of
+    k words or more link where the Jaccard similarity of their sets of k-word
+    shingles reaches ``similarity``; every link is verified on whole texts.
+    Candidates come from rings of SimHash bits; a pair just at ``similarity``
+    is among them with probability RECALL, nearer ones with a higher one.
+    """
+    keys = [c for c in docs.columns if c != "text"]
+    width, segments = ring_plan(docs.count(), similarity)
+    words = -(-width * segments // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.num_columns - 1):
+                texts = part.column(part.num_columns - 1)
+                names = [b" ".join(t.as_py().encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+                digests = [xxhash.xxh3_128_digest(x) for x in names]
+                hashes, starts = shingles_of(texts, k)
+                owner = np.repeat(np.arange(len(names)), np.diff(starts))
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.concatenate((np.ones(min(1, len(hashes)), bool), (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
+                hashes, owner = hashes[new], owner[new]
+                sizes = np.bincount(owner, minlength=len(names))
+                rings = rings_of(hashes, np.concatenate(([0], np.cumsum(sizes))), words)
+                lists = pa.ListArray.from_arrays(np.arange(0, rings.size + 1, words, dtype=np.int32), pa.array(rings.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(digests, pa.binary()), pa.array(sizes), lists], [*keys, "digest", "size", "ring"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    rows = written(docs.select(*keys, "text").mapInArrow(run, f"{kinds}, digest binary, size long, ring array<long>"), "rings")
+    first = F.min(F.struct(*keys)).alias("first")  # any row of the node has its words
+    nodes = rows.groupBy("digest", "size").agg(first, F.first("ring").alias("ring"))
+    nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")
+    pairs = written(similar_pairs(nodes.where("size > 0"), similarity, width, segments), "pairs")
+    ends = pairs.select(F.explode(F.array("hub", "row")).alias("r")).distinct()
+    named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
+    texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
+    checked = written(compared(pairs, written(texts, "texts"), lambda t: _set_of(t, k), _jaccard, "jaccard double"), "checked")
+    labels = components(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v")))
+    nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
+    nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
+    return rows.drop("ring").join(nodes, ["digest", "size"]).select(*keys, "component")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS_A_SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicate texts: that of its smallest doc_id.
+
+    Near-duplicates have a Jaccard similarity of ``similarity`` of their sets
+    of k-word shingles (``similar_components``); shorter texts only have equal
+    ones.  Null texts are empty, and all empty texts are equal.  Rows are told
+    apart by their doc_id and a digest of all columns, so rows with a null or
+    repeated doc_id count one by one.  A null doc_id comes last; of rows with
+    one doc_id that of the smallest digest stays, and of rows alike in all
+    columns one.  Very long texts are compared whole.  The columns return
+    unchanged, whatever their names.  An empty table gives none.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     content = [*columns, *[c.isNull() for c in columns]]
     keyed = docs.withColumns({"__k1": F.xxhash64(*content), "__k2": F.hash(*content)})
-    rows = written(fingerprints(keyed, more=("__k1", "__k2")), "fingerprints").groupBy("fp", "doc_id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("n"))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k1", "__k2", "n")).alias("first")
-    nodes = _labelled(rows.groupBy("fp").agg(one), budget)
-    stay = nodes.groupBy("c").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.__k1").alias("__a"), F.col("x.__k2").alias("__b"), F.col("x.n").alias("__n"))
+    rows = similar_components(keyed.select(F.col("doc_id").alias("__id"), "__k1", "__k2", text_of().alias("text")), similarity, k)
+    rows = rows.groupBy("component", "__id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("__n"))
+    one = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__k1", "__k2", "__n")).alias("x")
+    stay = rows.groupBy("component").agg(one).select(F.col("x.__id").alias("__id"), F.col("x.__k1").alias("__a"), F.col("x.__k2").alias("__b"), F.col("x.__n").alias("__n"))
     stay = written(stay, "stay")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b"))
     kept = keyed.join(stay.where("__n = 1"), same, "left_semi").select(columns)
