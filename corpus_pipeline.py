@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component of near-equal fingerprints."""
+    """Keep the smallest doc_id of each component of documents whose five-word shingles have Jaccard similarity 0.8."""
     return drop_near_duplicates(docs)
 
 
