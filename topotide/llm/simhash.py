@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.pairing import compared
-from topotide.llm.shingling import mixed, shingles_of, slices
+from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
 from topotide.plans.scratch import new_path, written
@@ -274,10 +274,6 @@ def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int
     return both.select("hub", "row", F.explode(F.array(differ)).alias("d")).where(F.expr(chain)).select("hub", "row")
 
 
-def _set_of(text: str, k: int) -> np.ndarray:
-    return np.unique(shingles_of(pa.array([text], pa.string()), k)[0])
-
-
 def _jaccard(a: np.ndarray, b: np.ndarray) -> list[tuple[float]]:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return [(common / max(1, len(a) + len(b) - common),)]
@@ -325,7 +321,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
     texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
-    checked = written(compared(pairs, written(texts, "texts"), lambda t: _set_of(t, k), _jaccard, "jaccard double"), "checked")
+    checked = written(compared(pairs, written(texts, "texts"), lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double"), "checked")
     labels = components(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v")))
     nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
     nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
