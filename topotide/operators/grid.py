@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topotide.functions.columns import CELL_STRIDE, cell_index, cell_key
+from topotide.functions.columns import CELL_STRIDE, cell_index, cell_key, haversine
 
 Box = tuple[float, float, float, float]
 
@@ -105,14 +105,23 @@ def country_of(cells: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     return cells.join(found, ["ci", "cj"], "left")
 
 
-def coarse_cell_pairs(pairs: DataFrame, factor: int = 10, top: int = 2) -> DataFrame:
-    """(l, r, n) pairs of cells rolled up to cells ``factor`` times as wide; pairs inside one cell drop out."""
-    def coarse(c: str) -> Column:
-        ci = F.round(F.col(c) / CELL_STRIDE).cast("bigint")
-        return cell_key((ci / factor).cast("bigint"), ((F.col(c) - ci * CELL_STRIDE) / factor).cast("bigint"))
+def coarse_cell_pairs(pairs: DataFrame, size: float, factor: int = 10, top: int = 2) -> DataFrame:
+    """(l, r, distance, n): pairs of cells rolled up to cells ``factor`` times as wide, the most frequent ``top`` of each distance.
 
-    both = pairs.select(coarse("l").alias("a"), coarse("r").alias("b")).where("a <> b")
-    return both.groupBy(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    Pairs inside one wide cell drop out.  distance is in whole miles between
+    the wide cells' points.
+    """
+    def index(c: str) -> tuple[Column, Column]:
+        ci = F.round(F.col(c) / CELL_STRIDE).cast("bigint")
+        return (ci / factor).cast("bigint"), ((F.col(c) - ci * CELL_STRIDE) / factor).cast("bigint")
+
+    both = pairs.select(cell_key(*index("l")).alias("a"), cell_key(*index("r")).alias("b")).where("a <> b")
+    counts = both.groupBy(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    (li, lj), (ri, rj) = ((F.round(F.col(c) / CELL_STRIDE).cast("bigint"), F.col(c) - F.round(F.col(c) / CELL_STRIDE).cast("bigint") * CELL_STRIDE) for c in ("l", "r"))
+    wide = size * factor
+    rows = counts.withColumn("distance", F.round(haversine(li * wide, lj * wide, ri * wide, rj * wide)).cast("bigint"))
+    rank = F.row_number().over(Window.partitionBy("distance").orderBy(F.desc("n"), "l", "r"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("l", "r", "distance", "n")
 
 
 def degrees_of_miles(miles: float) -> float:

@@ -143,3 +143,38 @@ def rank_accuracy(order: DataFrame, occ: DataFrame, loc: str = "loc") -> DataFra
     wrong = ((F.col("pos") < F.col("pos2")) & (F.col("rank") > F.col("rank2"))) | ((F.col("pos") > F.col("pos2")) & (F.col("rank") < F.col("rank2")))
     per = rows.join(other, "topic").groupBy("topic", "loc", "n").agg(F.sum(wrong.cast("bigint")).alias("wrong"))
     return per.groupBy("topic").agg(F.avg(1 - F.col("wrong") / (F.col("n") - 1)).alias("accuracy"))
+
+
+def directed_vectors(scored: DataFrame, kind: str, top: int = 25) -> DataFrame:
+    """``influence_vectors`` of all links, or of the outgoing (positive) or incoming (negative) ones alone."""
+    rows = {"complete": scored, "outgoing": scored.where("score > 0"), "incoming": scored.where("score < 0")}[kind]
+    return influence_vectors(rows, top)
+
+
+def similarity_with_jaccard(vectors: DataFrame, topics: DataFrame) -> DataFrame:
+    """(l, r, similarity, jaccard): vector similarity of locations and the Jaccard index of their topics (loc, topic)."""
+    rows = topics.select("loc", "topic").distinct()
+    sizes = rows.groupBy("loc").agg(F.count("*").alias("k"))
+    common = rows.select(F.col("loc").alias("l"), "topic").join(rows.select(F.col("loc").alias("r"), "topic"), "topic").where("l < r").groupBy("l", "r").agg(F.count("*").alias("c"))
+    both = common.join(sizes.select(F.col("loc").alias("l"), F.col("k").alias("a")), "l").join(sizes.select(F.col("loc").alias("r"), F.col("k").alias("b")), "r")
+    index = both.select("l", "r", (F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("jaccard"))
+    return influence_similarity(vectors).join(index, ["l", "r"])
+
+
+def similarity_by(pairs: DataFrame, by: Column) -> DataFrame:
+    """(bin, n, similarity): mean vector similarity by a binned column of the pairs."""
+    return pairs.groupBy(by.alias("bin")).agg(F.count("*").alias("n"), F.avg("similarity").alias("similarity"))
+
+
+def transmission_by_class(occ: DataFrame, labels: DataFrame, loc: str = "loc") -> DataFrame:
+    """(class, loc, nbr, n_common, score): ``influence`` with the topics of one label class (topic, class) at a time; class 0 is unlabelled."""
+    labelled = occ.join(labels.where("class <> 0"), "topic")
+    place = F.struct(F.col("class"), F.col(loc).alias("loc"))
+    rows = influence(labelled.withColumn("__place", place), loc="__place")
+    same = rows.where(F.col("loc.class") == F.col("nbr.class"))
+    return same.select(F.col("loc.class").alias("class"), F.col("loc.loc").alias("loc"), F.col("nbr.loc").alias("nbr"), "n_common", "score")
+
+
+def zone_spans(zones: DataFrame) -> DataFrame:
+    """(zone, n, low, high) of the scores in each zone."""
+    return zones.groupBy("zone").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topotide.functions.columns import entropy_of, haversine
+from topotide.functions.columns import bin_up, entropy_of, haversine
 from topotide.operators.timeline import by_topic, drop_outliers, highest_active_region, active_regions, interval_counts, peak_interval, with_bucket
 
 
@@ -105,3 +107,26 @@ def global_locality(occ: DataFrame, loc: str = "cell") -> DataFrame:
     counts = occ.groupBy(loc).agg(F.count(F.lit(1)).alias("c"))
     share = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy()))
     return share.agg(entropy_of(F.col("p")).alias("entropy"), F.min(F.struct((-F.col("p")).alias("m"), F.col(loc).alias("cell"))).alias("b")).select("entropy", F.col("b.cell").alias("focus_cell"), (-F.col("b.m")).alias("focus"))
+
+
+def early_radius_error(occ: DataFrame, unit: int, first: Sequence[int], width: int = 50, more_than: int = 10, least: int = 3) -> DataFrame:
+    """(units, bin, n_topics): how far the radius of a topic's first units is from its final radius, in bins of ``width`` miles.
+
+    Topics count that have more than ``more_than`` occurrences in these units,
+    and bins that have at least ``least`` topics.
+    """
+    rows = occ.withColumn("place", F.floor((F.col("t") - F.min("t").over(by_topic())) / unit))
+    early = rows.withColumn("units", F.explode(F.array(*[F.lit(int(u)) for u in first]))).where("place < units")
+    enough = early.groupBy("topic", "units").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+    near = radius(early.join(enough, ["topic", "units"], "left_semi"), ["topic", "units"]).withColumnRenamed("radius", "early")
+    gap = F.abs(F.col("early") - F.col("radius"))
+    both = near.join(radius(occ, ["topic"]), "topic").select("units", bin_up(F.round(gap, 6), width).alias("bin"))
+    return both.groupBy("units", "bin").agg(F.count(F.lit(1)).alias("n_topics")).where(F.col("n_topics") >= least)
+
+
+def outlier_bound(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, bound, mean): the upper outlier bound of a value, and the mean of what keeps to it."""
+    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    bound = q.select(*keys, (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("bound"))
+    joined = rows.join(bound, list(keys)) if keys else rows.crossJoin(F.broadcast(bound))
+    return joined.where(F.col(value) <= F.col("bound")).groupBy(*keys, "bound").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topotide.functions.columns import haversine, temporal_score
 from topotide.operators.timeline import drop_outliers
+from topotide.plans.scratch import first_rows, written
 
 
 
@@ -126,10 +127,49 @@ def combine_graphs(edges: DataFrame, start: int, end: int, keep: float = 1.0) ->
 
 
 def trim_edges(edges: DataFrame, keep: float) -> DataFrame:
-    """The heaviest share of the edges, by weight, then ends."""
-    bound = edges.agg(F.ceil(F.count("*") * keep).alias("m"))
-    rank = F.row_number().over(Window.orderBy(F.desc("w"), "u", "v"))
-    return edges.withColumn("rank", rank).crossJoin(F.broadcast(bound)).where("rank <= m").drop("rank", "m")
+    """The heaviest share of the edges, by weight, then ends.
+
+    Counts by weight tell the weight at which the share ends; only the edges
+    of that weight are put in order.
+    """
+    edges = written(edges.select("u", "v", "w"), "edges")
+    counts = edges.groupBy("w").agg(F.count("*").alias("n"))  # one row a weight
+    upto = F.sum("n").over(Window.orderBy(F.desc("w")))
+    wanted = edges.agg(F.ceil(F.count("*") * keep).alias("m"))
+    cut = counts.select("w", "n", upto.alias("upto")).crossJoin(F.broadcast(wanted)).where("upto - n < m and upto >= m").first()
+    if cut is None:
+        return edges.limit(0)
+    ties = first_rows(edges.where(F.col("w") == cut["w"]), cut["m"] - cut["upto"] + cut["n"], "u", "v")
+    return edges.where(F.col("w") > cut["w"]).unionByName(ties)
+
+
+def node_weights(occ: DataFrame, unit: int = 21600, least: int = 10, loc: str = "cell") -> DataFrame:
+    """(ep, node, w): in each epoch, the counts of a location over topics that have enough at two locations or more."""
+    rows = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("ep"), "topic", loc).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    both = rows.withColumn("m", F.count("*").over(Window.partitionBy("ep", "topic"))).where("m >= 2")
+    return both.groupBy("ep", F.col(loc).alias("node")).agg(F.sum("n").alias("w"))
+
+
+def without_far_lags(rows: DataFrame) -> DataFrame:
+    """(topic, l, r, tl, tr) of pairs of locations, without topics whose lag is far from the pair's others."""
+    pairs = _self_pairs(rows).select("topic", "l", "r", "tl", "tr", F.abs(F.col("tl") - F.col("tr")).alias("lag"))
+    return drop_outliers(pairs, ["l", "r"], "lag")
+
+
+def filtered_sharing(rows: DataFrame) -> DataFrame:
+    """Directed (loc, nbr, p_share, p_transmit): common topics after ``without_far_lags`` over the location's topics, and those that it saw first."""
+    near = without_far_lags(rows)
+    ends = near.select(F.col("l").alias("loc"), F.col("r").alias("nbr"), F.col("tl").alias("own"), F.col("tr").alias("other")).unionByName(near.select(F.col("r").alias("loc"), F.col("l").alias("nbr"), F.col("tr").alias("own"), F.col("tl").alias("other")))
+    counts = ends.groupBy("loc", "nbr").agg(F.count("*").alias("n"), F.sum(F.when(F.col("own") < F.col("other"), 1).otherwise(0)).alias("k"))
+    return counts.join(_sizes(rows, "loc", "m"), "loc").select("loc", "nbr", (F.col("n") / F.col("m")).alias("p_share"), (F.col("k") / F.col("m")).alias("p_transmit"))
+
+
+def probability_graph(rows: DataFrame, points: DataFrame, keep: float = 0.25) -> DataFrame:
+    """Directed (u, v, w): chance to observe u times chance to share with v, between ``points`` (loc); the heaviest share of the edges."""
+    inside = points.select("loc")
+    links = sharing_graph(rows, 0.0).join(inside, "loc", "left_semi").join(inside.select(F.col("loc").alias("nbr")), "nbr", "left_semi")
+    weighted = links.join(sharing_probability(rows), "loc").select(F.col("loc").alias("u"), F.col("nbr").alias("v"), F.round(F.col("p_observe") * F.col("p"), 9).alias("w"))
+    return trim_edges(weighted, keep)
 
 
 def dyadic_rollup(edges: DataFrame, unit: int, levels: int = 3) -> DataFrame:

@@ -5,13 +5,14 @@ Windows, models and k are columns: one plan covers every hour.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topotide.functions.columns import haversine, spread_kernel
-
+from topotide.functions.columns import bin_up, haversine, spread_kernel
+from topotide.operators.timeline import drop_outliers
 
 
 def window_counts(occ: DataFrame, history: int, future: int, unit: int = 3600, loc: str = "loc") -> tuple[DataFrame, DataFrame]:
@@ -59,6 +60,81 @@ def predict_by_links(history: DataFrame, links: DataFrame, model: str) -> DataFr
     return seen.join(p, "nbr").groupBy("tu", "loc", "topic").agg(F.sum("p").alias("score")).withColumn("model", F.lit(model))
 
 
+def predict_with_coverage(history: DataFrame, links: DataFrame, coverage: DataFrame, model: str) -> DataFrame:
+    """Sum over neighbours with the topic of p(loc, nbr) times the topic's coverage score at the neighbour; the location itself has p = 1."""
+    seen = history.select("tu", F.col("loc").alias("nbr"), "topic").distinct()
+    cover = seen.join(coverage.select("tu", F.col("loc").alias("nbr"), "topic", F.col("score").alias("c")), ["tu", "nbr", "topic"])
+    own = history.select("loc").distinct().select("loc", F.col("loc").alias("nbr"), F.lit(1.0).alias("p"))
+    p = links.select("loc", "nbr", F.col("p").cast("double").alias("p")).where("loc <> nbr and p <> 0").unionByName(own)
+    return cover.join(p, "nbr").groupBy("tu", "loc", "topic").agg(F.sum(F.col("p") * F.col("c")).alias("score")).withColumn("model", F.lit(model))
+
+
+def ranking_dataset(scored: DataFrame, future: DataFrame, k: int) -> DataFrame:
+    """(tu, loc, model, topic, score, rank): the k best topics of each model, and of the future as the model ideal."""
+    both = scored.select("tu", "loc", "model", "topic", "score").unionByName(ideal_ranking(future).select("tu", "loc", F.lit("ideal").alias("model"), "topic", "score"))
+    return top_k(both, k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def rankings_by_location(rankings: DataFrame, k: int) -> DataFrame:
+    """Rows of ``rankings`` up to rank k where all models have a ranking and the ideal one has k topics."""
+    models = rankings.agg(F.count_distinct("model").alias("models"))
+    sizes = rankings.where(F.col("rank") <= k).groupBy("tu", "loc").agg(F.count_distinct("model").alias("m"), F.sum(F.when(F.col("model") == "ideal", 1).otherwise(0)).alias("n"))
+    good = sizes.crossJoin(F.broadcast(models)).where((F.col("m") == F.col("models")) & (F.col("n") >= k)).select("tu", "loc")
+    return rankings.where(F.col("rank") <= k).join(good, ["tu", "loc"], "left_semi")
+
+
+def model_gaps(rankings: DataFrame, better: str, worse: str) -> DataFrame:
+    """(tu, loc, better, worse, gap): how many ideal topics two models have, for ``rankings_by_location`` rows."""
+    ideal = rankings.where("model = 'ideal'").select("tu", "loc", "topic")
+    n = rankings.where(F.col("model").isin(better, worse)).join(ideal.withColumn("hit", F.lit(1)), ["tu", "loc", "topic"], "left")
+    count = lambda m: F.sum(F.when((F.col("model") == m) & (F.col("hit") == 1), 1).otherwise(0))
+    both = n.groupBy("tu", "loc").agg(count(better).alias("better"), count(worse).alias("worse"))
+    return both.withColumn("gap", F.col("better") - F.col("worse"))
+
+
+def performance_grid(occ: DataFrame, rank: Callable[[DataFrame], DataFrame], windows: Sequence[tuple[int, int]], ks: Sequence[int], unit: int = 3600, loc: str = "loc") -> DataFrame:
+    """``evaluate`` rows with the lengths h and p of history and future, for each (h, p) of ``windows``; ``rank`` scores a history."""
+    parts = []
+    for h, p in windows:
+        history, future = window_counts(occ, h, p, unit, loc)
+        parts.append(evaluate(rank(history), future, ks).select(F.lit(h).alias("h"), F.lit(p).alias("p"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def performance_by(grid: DataFrame, param: str, **fixed: int) -> DataFrame:
+    """(param, model, n, accuracy, impact): means by h, p or k with the other two fixed."""
+    for name, value in fixed.items():
+        grid = grid.where(F.col(name) == value)
+    return grid.groupBy(F.col(param).alias("param"), "model").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("impact").alias("impact"))
+
+
+def performance_by_location(evaluated: DataFrame) -> DataFrame:
+    """(loc, model, accuracy, impact): the best values of each location and model."""
+    return evaluated.groupBy("loc", "model").agg(F.max("accuracy").alias("accuracy"), F.max("impact").alias("impact"))
+
+
+def best_model_by_location(evaluated: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(loc, model, accuracy): the model with the highest mean accuracy; ties go by ``order``."""
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    means = evaluated.groupBy("loc", "model").agg(F.avg("accuracy").alias("accuracy"))
+    best = means.groupBy("loc").agg(F.min(F.struct((-F.round("accuracy", 9)).alias("a"), place.alias("o"), "model", "accuracy")).alias("b"))
+    return best.select("loc", "b.model", "b.accuracy")
+
+
+def performance_by_area(best: DataFrame, areas: DataFrame) -> DataFrame:
+    """(area, model, n, share): the mix of best models in each area; ``areas`` has (loc, area)."""
+    counts = best.join(areas, "loc").groupBy("area", "model").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("area")))
+
+
+def score_distribution(best: DataFrame, areas: DataFrame, bins: int = 20) -> DataFrame:
+    """(area, bin, n, ccdf): how many locations of an area have a score in each bin, and the share in it or above."""
+    b = F.least(F.floor(F.round("accuracy", 9) * bins), F.lit(bins - 1))
+    counts = best.join(areas, "loc").groupBy("area", b.alias("bin")).agg(F.count("*").alias("n"))
+    above = Window.partitionBy("area").orderBy(F.desc("bin"))
+    return counts.withColumn("ccdf", F.sum("n").over(above) / F.sum("n").over(Window.partitionBy("area")))
+
+
 def predict_coverage(history: DataFrame, points: DataFrame, kind: str = "probability") -> DataFrame:
     """Counts of the history spread to every location by the distance kernel.
 
@@ -75,19 +151,28 @@ def predict_coverage(history: DataFrame, points: DataFrame, kind: str = "probabi
 
 
 def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """(tu, loc, model, k, accuracy, impact): share of the best topics that are predicted, and of their future occurrences."""
-    best = top_k(ideal_ranking(future), max(ks), ("tu", "loc")).select("tu", "loc", "topic", F.col("score").alias("share"), F.col("rank").alias("best_rank"))
+    """(tu, loc, model, k, accuracy, impact, difference) for every model at every location that has a future.
+
+    accuracy is the share of the best topics that are predicted, impact the
+    predicted topics' share of the future relative to that of the best, and
+    difference the gap between both shares.  Where a model has no ranking it
+    scores 0, and its difference is 1.
+    """
+    ideal = ideal_ranking(future)
+    best = top_k(ideal, max(ks), ("tu", "loc")).select("tu", "loc", "topic", F.col("score").alias("share"), F.col("rank").alias("best_rank"))
     mine = top_k(scored, max(ks)).select("tu", "loc", "model", "topic", "rank")
     k = F.explode(F.array(*[F.lit(int(x)) for x in ks])).alias("k")
     whole = best.select("*", k).where("best_rank <= k").groupBy("tu", "loc", "k").agg(F.count("*").alias("m"), F.sum("share").alias("best_share"))
-    hit = mine.join(ideal_ranking(future).withColumnRenamed("score", "share"), ["tu", "loc", "topic"]).join(best.select("tu", "loc", "topic", "best_rank"), ["tu", "loc", "topic"], "left")
-    hit = hit.select("*", k).where("rank <= k").groupBy("tu", "loc", "model", "k").agg(F.sum((F.col("best_rank") <= F.col("k")).cast("bigint")).alias("hits"), F.sum("share").alias("got"))
-    rows = mine.select("tu", "loc", "model").distinct().join(whole, ["tu", "loc"]).join(hit, ["tu", "loc", "model", "k"], "left")
-    return rows.select("tu", "loc", "model", "k", (F.coalesce("hits", F.lit(0)) / F.col("m")).alias("accuracy"), (F.coalesce("got", F.lit(0.0)) / F.col("best_share")).alias("impact"))
+    hit = mine.join(ideal.withColumnRenamed("score", "share"), ["tu", "loc", "topic"], "left").join(best.select("tu", "loc", "topic", "best_rank"), ["tu", "loc", "topic"], "left")
+    hit = hit.select("*", k).where("rank <= k").groupBy("tu", "loc", "model", "k").agg(F.sum(F.when(F.col("best_rank") <= F.col("k"), 1).otherwise(0)).alias("hits"), F.sum(F.coalesce("share", F.lit(0.0))).alias("got"))
+    models = scored.select("model").distinct()  # a handful of names
+    rows = whole.crossJoin(F.broadcast(models)).join(hit, ["tu", "loc", "model", "k"], "left")
+    accuracy, impact = F.coalesce(F.col("hits") / F.col("m"), F.lit(0.0)), F.coalesce(F.col("got") / F.col("best_share"), F.lit(0.0))
+    return rows.select("tu", "loc", "model", "k", accuracy.alias("accuracy"), impact.alias("impact"), F.coalesce(F.col("best_share") - F.col("got"), F.lit(1.0)).alias("difference"))
 
 
 def model_performance(evaluated: DataFrame) -> DataFrame:
-    return evaluated.groupBy("model", "k").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("impact").alias("impact"))
+    return evaluated.groupBy("model", "k").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("impact").alias("impact"), F.avg("difference").alias("difference"))
 
 
 def feature_vectors(scored: DataFrame, future: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -132,6 +217,66 @@ def hedging_expected(performance: DataFrame, order: Sequence[str], beta: float =
     return rows.groupBy("loc", "tu").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"))
 
 
+def learner_history(performance: DataFrame, order: Sequence[str], beta: float = 0.5, metric: str = "accuracy") -> DataFrame:
+    """(loc, tu, model, past, weight): each model's loss before a time, and its weight among the models."""
+    rows = _losses(performance, order, metric).withColumn("least", F.min("past").over(Window.partitionBy("loc", "tu")))
+    w = F.pow(F.lit(beta), F.col("past") - F.col("least"))
+    return rows.select("loc", "tu", "model", "past", (w / F.sum(w).over(Window.partitionBy("loc", "tu"))).alias("weight"))
+
+
+def random_learner(performance: DataFrame, order: Sequence[str], seed: int = 1, metric: str = "accuracy") -> DataFrame:
+    """(loc, tu, model, value): a model by hash at each time."""
+    rows = _losses(performance, order, metric)
+    best = rows.groupBy("loc", "tu").agg(F.min(F.struct(F.md5(F.concat_ws("|", F.lit(seed), "loc", "tu", "model")).alias("h"), "model", "value")).alias("b"))
+    return best.select("loc", "tu", "b.model", "b.value")
+
+
+def hedging_sampled(performance: DataFrame, order: Sequence[str], beta: float = 0.5, seed: int = 1, metric: str = "accuracy") -> DataFrame:
+    """(loc, tu, model, value): a model drawn by hash with the chances of ``learner_history``."""
+    rows = learner_history(performance, order, beta, metric).join(_losses(performance, order, metric).select("loc", "tu", "model", "value"), ["loc", "tu", "model"])
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    upto = F.sum("weight").over(Window.partitionBy("loc", "tu").orderBy(place))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "loc", "tu")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    got = rows.withColumn("upto", F.round(upto, 9)).withColumn("o", place).where(F.col("upto") > F.least(u, F.lit(1 - 1e-8)))
+    first = got.groupBy("loc", "tu").agg(F.min(F.struct("o", "model", "value")).alias("b"))
+    return first.select("loc", "tu", "b.model", "b.value")
+
+
+def final_family(performance: DataFrame, order: Sequence[str], families: Mapping[str, str], metric: str = "accuracy") -> DataFrame:
+    """(loc, family): the family of the models with the least loss over all times, where it is a single one."""
+    rows = _losses(performance, order, metric).groupBy("loc", "model").agg(F.round(F.sum(1 - F.col("value")), 9).alias("loss"))
+    best = rows.withColumn("least", F.min("loss").over(Window.partitionBy("loc"))).where("loss = least").select("loc", family_of(families).alias("family"))
+    one = best.groupBy("loc").agg(F.count_distinct("family").alias("n"), F.min("family").alias("family"))
+    return one.where("n = 1").select("loc", "family")
+
+
+def family_of(families: Mapping[str, str]) -> Column:
+    """The family of the column model."""
+    out = F.lit(None).cast("string")
+    for model, family in families.items():
+        out = F.when(F.col("model") == model, F.lit(family)).otherwise(out)
+    return out
+
+
+def flips_by_time(chosen: DataFrame, families: Mapping[str, str]) -> DataFrame:
+    """(tu, n, share): the share of locations whose family isn't that of their time before; n counts locations with one before."""
+    w = Window.partitionBy("loc").orderBy("tu")
+    rows = chosen.withColumn("family", family_of(families)).withColumn("before", F.lag("family").over(w)).where("before is not null")
+    return rows.groupBy("tu").agg(F.count("*").alias("n"), F.avg((F.col("family") != F.col("before")).cast("double")).alias("share"))
+
+
+def flipping_by_volume(ratios: DataFrame, volumes: DataFrame, width: int, least: int = 5) -> DataFrame:
+    """(bin, n, ratio): mean flipping ratio by bin of a location's occurrences (loc, n), without far outliers of a bin, for bins with enough."""
+    rows = ratios.select("loc", "ratio").join(volumes, "loc").select(bin_up(F.col("n"), width).alias("bin"), F.round("ratio", 9).alias("ratio"))
+    kept = drop_outliers(rows, ["bin"], "ratio")
+    return kept.groupBy("bin").agg(F.count("*").alias("n"), F.avg("ratio").alias("ratio")).where(F.col("n") >= least)
+
+
+def line_fit(binned: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, r, slope, intercept) of y on x."""
+    return binned.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
 def flipping_ratio(chosen: DataFrame) -> DataFrame:
     """(loc, n, ratio): share of a location's times whose model isn't that of the time before."""
     w = Window.partitionBy("loc").orderBy("tu")
@@ -144,3 +289,10 @@ def winning_topics(history: DataFrame) -> DataFrame:
     counts = history.groupBy("loc", "topic").agg(F.sum("n").alias("n"))
     best = counts.groupBy("loc").agg(F.min(F.struct((-F.col("n")).alias("m"), "topic")).alias("b"))
     return best.select("loc", "b.topic", (-F.col("b.m")).alias("n"))
+
+
+def winning_topics_by_score(scored: DataFrame) -> DataFrame:
+    """(loc, topic, score): each location's topic with the highest sum of scores over all times."""
+    means = scored.groupBy("loc", "topic").agg(F.sum("score").alias("score"))
+    best = means.groupBy("loc").agg(F.min(F.struct((-F.round("score", 9)).alias("m"), "topic", "score")).alias("b"))
+    return best.select("loc", "b.topic", "b.score")

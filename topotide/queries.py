@@ -375,7 +375,7 @@ _query(
 _HP = _FEW + ", b AS (SELECT bucket, loc, topic, count(*) AS n FROM occ GROUP BY ALL), hi AS (SELECT tu, loc, topic, sum(n) AS n FROM (SELECT *, unnest(range(bucket + 3600, bucket + 21601, 3600)) AS tu FROM b) GROUP BY ALL), fu AS (SELECT tu, loc, topic, sum(n) AS n FROM (SELECT *, unnest(range(bucket - 3600, bucket + 1, 3600)) AS tu FROM b) GROUP BY ALL), ideal AS (SELECT tu, loc, topic, n / sum(n) OVER (PARTITION BY tu, loc) AS share FROM fu)"
 _GREEDY = ", sco AS (SELECT tu, loc, topic, 'greedy' AS model, n / sum(n) OVER (PARTITION BY tu, loc) AS score FROM hi)"
 _COVER = f", pt AS (SELECT DISTINCT loc, {_POINT.format('loc')} FROM occ), ke AS (SELECT a.loc, b.loc AS nbr, pow(1.01, -({_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')})) AS w FROM pt a, pt b), raw AS (SELECT tu, ke.loc, topic, sum(n * w) AS s FROM hi JOIN ke ON ke.nbr = hi.loc GROUP BY ALL)"
-_EVAL = ", be AS (SELECT *, row_number() OVER (PARTITION BY tu, loc ORDER BY round(share, 9) DESC, topic) AS br FROM ideal), mi AS (SELECT *, row_number() OVER (PARTITION BY tu, loc, model ORDER BY round(score, 9) DESC, topic) AS rank FROM sco), ks AS (SELECT unnest([1, 5]) AS k), wh AS (SELECT tu, loc, k, count(*) AS m, sum(share) AS bs FROM be, ks WHERE br <= k GROUP BY ALL), he AS (SELECT tu, loc, model, k, sum(CASE WHEN br <= k THEN 1 ELSE 0 END) AS hits, sum(share) AS got FROM mi JOIN be USING (tu, loc, topic), ks WHERE rank <= k GROUP BY ALL), ev2 AS (SELECT x.tu, x.loc, x.model, wh.k, coalesce(hits, 0) / m AS accuracy, coalesce(got, 0) / bs AS impact FROM (SELECT DISTINCT tu, loc, model FROM sco) x JOIN wh USING (tu, loc) LEFT JOIN he ON he.tu = x.tu AND he.loc = x.loc AND he.model = x.model AND he.k = wh.k)"
+_EVAL = ", be AS (SELECT *, row_number() OVER (PARTITION BY tu, loc ORDER BY round(share, 9) DESC, topic) AS br FROM ideal), mi AS (SELECT *, row_number() OVER (PARTITION BY tu, loc, model ORDER BY round(score, 9) DESC, topic) AS rank FROM sco), ks AS (SELECT unnest([1, 5]) AS k), wh AS (SELECT tu, loc, k, count(*) AS m, sum(share) AS bs FROM be, ks WHERE br <= k GROUP BY ALL), he AS (SELECT tu, loc, model, k, sum(CASE WHEN br <= k THEN 1 ELSE 0 END) AS hits, sum(share) AS got FROM mi JOIN be USING (tu, loc, topic), ks WHERE rank <= k GROUP BY ALL), ev2 AS (SELECT wh.tu, wh.loc, x.model, wh.k, coalesce(hits, 0) / m AS accuracy, coalesce(got, 0) / bs AS impact, CASE WHEN pr.model IS NULL THEN 1.0 ELSE bs - coalesce(got, 0) END AS difference FROM wh CROSS JOIN (SELECT DISTINCT model FROM sco) x LEFT JOIN (SELECT DISTINCT tu, loc, model FROM sco) pr ON pr.tu = wh.tu AND pr.loc = wh.loc AND pr.model = x.model LEFT JOIN he ON he.tu = wh.tu AND he.loc = wh.loc AND he.model = x.model AND he.k = wh.k)"
 
 
 def _windows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -402,8 +402,8 @@ for _n, _kind in (("sharing", pr.sharing_graph), ("transmitting", pr.transmittin
         "score",
     )
 _query("predict_random", lambda s, d: pred.predict_random(_windows(s, d)[0]))
-_query("evaluate", lambda s, d: pred.evaluate(*_two_models(s, d), (1, 5)), _HP + _BOTH + _EVAL + "\nSELECT * FROM ev2", "accuracy impact")
-_query("model_performance", lambda s, d: pred.model_performance(pred.evaluate(*_two_models(s, d), (1, 5))), _HP + _BOTH + _EVAL + "\nSELECT model, k, count(*) AS n, avg(accuracy) AS accuracy, avg(impact) AS impact FROM ev2 GROUP BY model, k", "accuracy impact")
+_query("evaluate", lambda s, d: pred.evaluate(*_two_models(s, d), (1, 5)), _HP + _BOTH + _EVAL + "\nSELECT * FROM ev2", "accuracy impact difference")
+_query("model_performance", lambda s, d: pred.model_performance(pred.evaluate(*_two_models(s, d), (1, 5))), _HP + _BOTH + _EVAL + "\nSELECT model, k, count(*) AS n, avg(accuracy) AS accuracy, avg(impact) AS impact, avg(difference) AS difference FROM ev2 GROUP BY model, k", "accuracy impact difference")
 _ORDER = ("greedy", "coverage_probability")
 _LOSS = _EVAL + ", ls AS (SELECT g.loc, g.tu, g.model, g.o, coalesce(e.accuracy, 0) AS value FROM (SELECT DISTINCT loc, tu, m.model, m.o FROM ev2, (VALUES ('greedy', 1), ('coverage_probability', 2)) m(model, o)) g LEFT JOIN ev2 e ON e.loc = g.loc AND e.tu = g.tu AND e.model = g.model AND e.k = 5), pa AS (SELECT *, coalesce(sum(1 - value) OVER (PARTITION BY loc, model ORDER BY tu ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM ls)"
 
@@ -496,7 +496,6 @@ _query("feature_vectors", _vectors, _VEC + "\nSELECT fv.*, tu > last_train AS is
 _query("learning_to_rank", lambda s, d: pred.top_k(linear.ranked_by_regression(_vectors(s, d), _ORDER), 5))
 _query("least_squares_one", lambda s, d: linear.least_squares(_varied(_vectors(s, d)), ["loc"], ["greedy"], "actual").select("loc", "n", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")), _VEC + "\nSELECT loc, count(*) AS n, regr_intercept(actual, greedy) AS intercept, regr_slope(actual, greedy) AS slope FROM fv JOIN pv USING (loc) WHERE actual IS NOT NULL AND greedy IS NOT NULL GROUP BY loc HAVING min(greedy) < max(greedy)", "intercept slope")
 _query("significant_neighbours", lambda s, d: linear.significant_neighbours(linear.regression_frames(dist.cell_topic_counts(_occ(s, d), 50), dist.cell_pair_common(dist.cell_topic_counts(_occ(s, d), 50), 20)), 100))
-_query("coarse_cell_pairs", lambda s, d: grid.coarse_cell_pairs(pr.focus_pairs(_focus(s, d), 2), 2))
 _query("class_stats", lambda s, d: dist.class_stats(_occ(s, d), _occ(s, d).select("topic", (F.substring("topic", 2, 9).cast("bigint") % 7).alias("class")).distinct()), _OCC + "\nSELECT CAST(substr(topic, 2) AS BIGINT) % 7 AS class, count(DISTINCT topic) AS n_topics FROM occ WHERE CAST(substr(topic, 2) AS BIGINT) % 7 <> 0 GROUP BY 1")
 _query("influence_histogram", lambda s, d: infl.influence_histogram(infl.pure_influence(src.occ_pairs(s, d))), _BA + ", pi AS (SELECT loc, nbr, round(avg(aggregate), 9) AS score FROM sc GROUP BY ALL)\nSELECT CAST(least(floor((score + 1) / 2 * 20), 19) AS BIGINT) AS bin, count(*) / sum(count(*)) OVER () AS share FROM pi GROUP BY 1", "share")
 _query("classify_topic", lambda s, d: met.classify_topic(_occ(s, d), 500.0, src.UNIT, 1, 2, 1))
@@ -505,3 +504,5 @@ _query("locality_correlation", lambda s, d: dist.locality_correlation(pr.pair_di
 _query("life_fraction_at_share", lambda s, d: tl.life_fraction_at_share(src.occ_pairs(s, d).withColumnRenamed("loc", "cell"), 0.25, 3))
 _query("in_out_closeness", lambda s, d: pr.in_out_closeness_graph(_loc_topics(s, d), tl.source_cell_percent(src.occ_pairs(s, d).withColumnRenamed("loc", "cell"), 0.1).select("topic", F.col("cell").alias("loc")), _periods(s, d), 0.05, 1))
 _query("metric_cells", lambda s, d: grid.with_metric_cell(_occ(s, d), 100_000).groupBy("utm_cell").agg(F.count("*").alias("n")))
+
+from topotide import queries_more  # noqa: E402, F401  registers more queries, which use the fragments above

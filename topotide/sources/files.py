@@ -12,8 +12,8 @@ from topotide.operators.grid import with_cell
 POST = "id long, user struct<id:long,l:string>, t string, h array<string>, tx string, geo array<double>, bb array<double>, place struct<bounding_box:struct<coordinates:array<array<array<double>>>>>"
 CHECKIN_TSV = "user string, id string, lat double, lon double, at string, text string, place string"
 LABELS = "id int, topic string, class int"
-#: Format of a post's time.
-POST_TIME = "EEE MMM dd HH:mm:ss Z yyyy"
+#: Format of a post's time, behind the name of the day.
+POST_TIME = "MMM dd HH:mm:ss Z yyyy"
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
@@ -22,12 +22,11 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     The point is geo, else bb, else the mean of the place's ring, given as
     (lon, lat); rows without any and rows that aren't JSON drop out.
     """
-    spark.conf.set("spark.sql.legacy.timeParserPolicy", "LEGACY")  # day names in the format
     raw = spark.read.schema(POST).option("mode", "DROPMALFORMED").json(path)
     ring = F.col("place.bounding_box.coordinates")[0]
     mean = lambda i: F.aggregate(F.transform(ring, lambda p: p[i]), F.lit(0.0), lambda a, x: a + x) / F.size(ring)
     point = F.coalesce(F.when(F.size("geo") == 2, F.col("geo")), F.when(F.size("bb") == 2, F.col("bb")), F.when(ring.isNotNull(), F.array(mean(1), mean(0))))
-    ts = F.to_timestamp("t", POST_TIME)
+    ts = F.try_to_timestamp(F.regexp_replace("t", r"^\w+ ", ""), F.lit(POST_TIME))
     rows = raw.select("id", F.col("user.id").alias("user"), ts.alias("ts"), F.col("h").alias("topics"), F.col("tx").alias("text"), point[0].alias("lat"), point[1].alias("lon"))
     return rows.where("lat is not null and ts is not null").withColumn("year", F.year("ts")).withColumn("month", F.month("ts"))
 
