@@ -62,10 +62,11 @@ def fisher_exact(table: DataFrame) -> DataFrame:
 
 
 def topic_groups(significant: DataFrame) -> DataFrame:
-    """(group_id, n_topics, members): components of word-topic links; words and topics are apart by a prefix."""
+    """(group_id, node, n_topics): the nodes of each component of word-topic links, and how many of them are topics; words and topics are apart by a prefix."""
     edges = significant.select(F.concat(F.lit("t:"), "topic").alias("u"), F.concat(F.lit("w:"), "word").alias("v"))
     labels = components(edges)
-    return labels.groupBy(F.col("component").alias("group_id")).agg(F.sum(F.col("node").startswith("t:").cast("bigint")).alias("n_topics"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    sizes = labels.groupBy("component").agg(F.sum(F.col("node").startswith("t:").cast("bigint")).alias("n_topics"))
+    return labels.join(sizes, "component").select(F.col("component").alias("group_id"), "node", "n_topics")
 
 
 def lead_lag_status(majority: DataFrame, thresholds: tuple[int, ...] = (5, 25)) -> DataFrame:

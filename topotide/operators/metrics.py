@@ -21,10 +21,16 @@ def entropy_focus(occ: DataFrame, keys: list[str], loc: str = "cell") -> DataFra
 
 
 def spread(occ: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, spread): root mean squared miles of occurrences to their centre."""
-    centre = occ.groupBy(*keys).agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    """(keys, spread): root mean squared miles of occurrences to their centre.
+
+    Occurrences at one point count together, so that what meets the centre of
+    a frequent topic are its points.
+    """
+    points = occ.groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("c"))
+    mean = lambda x: F.sum(F.col(x) * F.col("c")) / F.sum("c")
+    centre = points.groupBy(*keys).agg(mean("lat").alias("clat"), mean("lon").alias("clon"))
     miles = haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    return occ.join(centre, keys).groupBy(*keys).agg(F.sqrt(F.avg(miles * miles)).alias("spread"))
+    return points.join(centre, keys).groupBy(*keys).agg(F.sqrt(F.sum(miles * miles * F.col("c")) / F.sum("c")).alias("spread"))
 
 
 def radius(occ: DataFrame, keys: list[str]) -> DataFrame:

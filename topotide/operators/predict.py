@@ -92,12 +92,12 @@ def model_gaps(rankings: DataFrame, better: str, worse: str) -> DataFrame:
     return both.withColumn("gap", F.col("better") - F.col("worse"))
 
 
-def performance_grid(occ: DataFrame, rank: Callable[[DataFrame], DataFrame], windows: Sequence[tuple[int, int]], ks: Sequence[int], unit: int = 3600, loc: str = "loc") -> DataFrame:
+def performance_grid(occ: DataFrame, rank: Callable[[DataFrame], DataFrame], windows: Sequence[tuple[int, int]], ks: Sequence[int], names: Sequence[str] | None = None, unit: int = 3600, loc: str = "loc") -> DataFrame:
     """``evaluate`` rows with the lengths h and p of history and future, for each (h, p) of ``windows``; ``rank`` scores a history."""
     parts = []
     for h, p in windows:
         history, future = window_counts(occ, h, p, unit, loc)
-        parts.append(evaluate(rank(history), future, ks).select(F.lit(h).alias("h"), F.lit(p).alias("p"), "*"))
+        parts.append(evaluate(rank(history), future, ks, names).select(F.lit(h).alias("h"), F.lit(p).alias("p"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -150,13 +150,14 @@ def predict_coverage(history: DataFrame, points: DataFrame, kind: str = "probabi
     return raw.select("tu", "loc", "topic", F.lit(f"coverage_{kind}").alias("model"), F.when(total > 0, F.col("s") / total).otherwise(1.0).alias("score"))
 
 
-def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int]) -> DataFrame:
+def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
     """(tu, loc, model, k, accuracy, impact, difference) for every model at every location that has a future.
 
     accuracy is the share of the best topics that are predicted, impact the
     predicted topics' share of the future relative to that of the best, and
     difference the gap between both shares.  Where a model has no ranking it
-    scores 0, and its difference is 1.
+    scores 0, and its difference is 1.  ``names`` are the models; where they
+    aren't given, the scores are read once more to find them.
     """
     ideal = ideal_ranking(future)
     best = top_k(ideal, max(ks), ("tu", "loc")).select("tu", "loc", "topic", F.col("score").alias("share"), F.col("rank").alias("best_rank"))
@@ -165,8 +166,11 @@ def evaluate(scored: DataFrame, future: DataFrame, ks: Sequence[int]) -> DataFra
     whole = best.select("*", k).where("best_rank <= k").groupBy("tu", "loc", "k").agg(F.count("*").alias("m"), F.sum("share").alias("best_share"))
     hit = mine.join(ideal.withColumnRenamed("score", "share"), ["tu", "loc", "topic"], "left").join(best.select("tu", "loc", "topic", "best_rank"), ["tu", "loc", "topic"], "left")
     hit = hit.select("*", k).where("rank <= k").groupBy("tu", "loc", "model", "k").agg(F.sum(F.when(F.col("best_rank") <= F.col("k"), 1).otherwise(0)).alias("hits"), F.sum(F.coalesce("share", F.lit(0.0))).alias("got"))
-    models = scored.select("model").distinct()  # a handful of names
-    rows = whole.crossJoin(F.broadcast(models)).join(hit, ["tu", "loc", "model", "k"], "left")
+    if names is None:
+        named = whole.crossJoin(F.broadcast(scored.select("model").distinct()))  # a handful of names
+    else:
+        named = whole.withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
+    rows = named.join(hit, ["tu", "loc", "model", "k"], "left")
     accuracy, impact = F.coalesce(F.col("hits") / F.col("m"), F.lit(0.0)), F.coalesce(F.col("got") / F.col("best_share"), F.lit(0.0))
     return rows.select("tu", "loc", "model", "k", accuracy.alias("accuracy"), impact.alias("impact"), F.coalesce(F.col("best_share") - F.col("got"), F.lit(1.0)).alias("difference"))
 
@@ -204,8 +208,9 @@ def follow_the_leader(performance: DataFrame, order: Sequence[str], metric: str
 
 
 def _losses(performance: DataFrame, order: Sequence[str], metric: str) -> DataFrame:
-    times = performance.select("loc", "tu").distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in order])))
-    rows = times.join(performance.select("loc", "tu", "model", F.col(metric).alias("v")), ["loc", "tu", "model"], "left").withColumn("value", F.coalesce("v", F.lit(0.0)))
+    known = F.map_from_entries(F.collect_list(F.struct("model", F.col(metric).alias("v"))))
+    times = performance.groupBy("loc", "tu").agg(known.alias("known")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in order])))
+    rows = times.select("loc", "tu", "model", F.coalesce(F.expr("known[model]"), F.lit(0.0)).alias("value"))
     past = F.sum(1 - F.col("value")).over(Window.partitionBy("loc", "model").orderBy("tu").rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("loc", "tu", "model", "value", F.coalesce(past, F.lit(0.0)).alias("past"))
 

@@ -54,11 +54,15 @@ def _query(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str |
     """Register; doubles, in both results, are rounded to six digits."""
     QUERIES[name] = lambda spark, sf_dir: _rounded(make(spark, sf_dir))
     if sql:
-        if doubles:
-            cols = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
-            head, _, body = sql.rpartition("\nSELECT ")
-            sql = f"{head}\nSELECT * REPLACE ({cols}) FROM (SELECT {body})"
-        SQL[name] = sql
+        SQL[name] = _with_rounding(sql, doubles)
+
+
+def _with_rounding(sql: str, doubles: str) -> str:
+    if not doubles:
+        return sql
+    cols = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+    head, _, body = sql.rpartition("\nSELECT ")
+    return f"{head}\nSELECT * REPLACE ({cols}) FROM (SELECT {body})"
 
 
 def _occ(spark: SparkSession, d: str) -> DataFrame:
@@ -326,12 +330,12 @@ def _epochs(s: SparkSession, d: str) -> DataFrame:
 _DAY0 = _START // 86400
 _query("epoch_graph", _epochs, _EPOCH + "\nSELECT * FROM eg")
 _query("combine_graphs", lambda s, d: pr.combine_graphs(_epochs(s, d), _START, _START + 10 * 86400), _EPOCH + f"\nSELECT u, v, CAST(sum(w) AS BIGINT) AS w FROM eg WHERE ep >= {_START} AND ep < {_START + 864000} GROUP BY u, v")
-_query("trim_edges", lambda s, d: pr.combine_graphs(_epochs(s, d), _START, _START + 10 * 86400, 0.25), _EPOCH + f", g AS (SELECT u, v, CAST(sum(w) AS BIGINT) AS w FROM eg WHERE ep >= {_START} AND ep < {_START + 864000} GROUP BY u, v)\nSELECT u, v, w FROM (SELECT *, row_number() OVER (ORDER BY w DESC, u, v) AS r, ceil(count(*) OVER () * 0.25) AS m FROM g) WHERE r <= m")
+_query("trim_edges", lambda s, d: pr.trim_edges(_edges(s, d), 0.25), _EPOCH + ", g AS (SELECT u, v, CAST(sum(w) AS BIGINT) AS w FROM eg GROUP BY u, v), gr AS (SELECT u, v, w, row_number() OVER (ORDER BY w DESC, u, v) AS rank, count(*) OVER () AS m FROM g)\nSELECT u, v, w FROM gr WHERE rank <= ceil(m * 0.25)")
 _query("dyadic_range", lambda s, d: pr.dyadic_range(pr.dyadic_rollup(_epochs(s, d), 86400), _DAY0 + 1, _DAY0 + 20), _EPOCH + f"\nSELECT u, v, CAST(sum(w) AS BIGINT) AS w FROM eg WHERE ep >= {(_DAY0 + 1) * 86400} AND ep < {(_DAY0 + 20) * 86400} GROUP BY u, v")
 _query(
     "components",
-    lambda s, d: graphs.components(pr.combine_graphs(_epochs(s, d), _START, _START + 5 * 86400)),
-    "WITH RECURSIVE" + _EPOCH[4:] + f", ed AS (SELECT DISTINCT u, v FROM eg WHERE ep >= {_START} AND ep < {_START + 432000}), bo AS (SELECT u AS a, v AS b FROM ed UNION SELECT v, u FROM ed), re AS (SELECT DISTINCT a AS node, a AS seen FROM bo UNION SELECT re.node, bo.b FROM re JOIN bo ON re.seen = bo.a)\nSELECT node, min(seen) AS component FROM re GROUP BY node",
+    lambda s, d: graphs.components(_edges(s, d)),
+    "WITH RECURSIVE" + _EPOCH[4:] + ", ed AS (SELECT DISTINCT u, v FROM eg), bo AS (SELECT u AS a, v AS b FROM ed UNION SELECT v, u FROM ed), re AS (SELECT DISTINCT a AS node, a AS seen FROM bo UNION SELECT re.node, bo.b FROM re JOIN bo ON re.seen = bo.a)\nSELECT node, min(seen) AS component FROM re GROUP BY node",
 )
 _query(
     "cluster_agreement",
@@ -402,14 +406,14 @@ for _n, _kind in (("sharing", pr.sharing_graph), ("transmitting", pr.transmittin
         "score",
     )
 _query("predict_random", lambda s, d: pred.predict_random(_windows(s, d)[0]))
-_query("evaluate", lambda s, d: pred.evaluate(*_two_models(s, d), (1, 5)), _HP + _BOTH + _EVAL + "\nSELECT * FROM ev2", "accuracy impact difference")
-_query("model_performance", lambda s, d: pred.model_performance(pred.evaluate(*_two_models(s, d), (1, 5))), _HP + _BOTH + _EVAL + "\nSELECT model, k, count(*) AS n, avg(accuracy) AS accuracy, avg(impact) AS impact, avg(difference) AS difference FROM ev2 GROUP BY model, k", "accuracy impact difference")
 _ORDER = ("greedy", "coverage_probability")
+_query("evaluate", lambda s, d: pred.evaluate(*_two_models(s, d), (1, 5), _ORDER), _HP + _BOTH + _EVAL + "\nSELECT * FROM ev2", "accuracy impact difference")
+_query("model_performance", lambda s, d: pred.model_performance(pred.evaluate(*_two_models(s, d), (1, 5), _ORDER)), _HP + _BOTH + _EVAL + "\nSELECT model, k, count(*) AS n, avg(accuracy) AS accuracy, avg(impact) AS impact, avg(difference) AS difference FROM ev2 GROUP BY model, k", "accuracy impact difference")
 _LOSS = _EVAL + ", ls AS (SELECT g.loc, g.tu, g.model, g.o, coalesce(e.accuracy, 0) AS value FROM (SELECT DISTINCT loc, tu, m.model, m.o FROM ev2, (VALUES ('greedy', 1), ('coverage_probability', 2)) m(model, o)) g LEFT JOIN ev2 e ON e.loc = g.loc AND e.tu = g.tu AND e.model = g.model AND e.k = 5), pa AS (SELECT *, coalesce(sum(1 - value) OVER (PARTITION BY loc, model ORDER BY tu ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM ls)"
 
 
 def _performance(s: SparkSession, d: str) -> DataFrame:
-    return pred.evaluate(*_two_models(s, d), (1, 5)).where("k = 5")
+    return pred.evaluate(*_two_models(s, d), (1, 5), _ORDER).where("k = 5")
 
 
 _FTL = ", fl AS (SELECT loc, tu, first(model ORDER BY round(past, 9), o) AS model, first(value ORDER BY round(past, 9), o) AS value FROM pa GROUP BY loc, tu)"

@@ -14,7 +14,7 @@ from topotide.operators import metrics as met
 from topotide.operators import pairs as pr
 from topotide.operators import predict as pred
 from topotide.operators import timeline as tl
-from topotide.queries import _BA, _BOTH, _COVER, _EVAL, _FEW, _FOCUS, _FTL, _HAV, _HP, _INF, _LINK, _LOCT, _LOSS, _MET, _OCC, _ORDER, _PAIRS, _POINT, _REGION, _STEP, _WORDS, _focus, _influence, _loc_topics, _metrics, _occ, _performance, _query, _seen, _steps, _table, _two_models, _windows
+from topotide.queries import _BA, _BOTH, _COVER, _EVAL, _FEW, _FOCUS, _FTL, _HAV, _HP, _INF, _LINK, _LOCT, _LOSS, _MAJ, _MET, _OCC, _ORDER, _PAIRS, _PERIOD, _POINT, _REGION, _SCORE, _STEP, _WORDS, _focus, _influence, _loc_topics, _metrics, _occ, _performance, _query, _seen, _steps, _table, _two_models, _windows, _with_rounding
 from topotide.queries import SQL as _sql
 from topotide.sources import adapter as src
 
@@ -65,7 +65,7 @@ _query(
 
 # performance by the lengths of history and future, by location and by area
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    return pred.performance_grid(src.occ_few_topics(s, d), pred.predict_greedy, ((6, 2), (6, 1), (6, 4), (3, 1), (12, 1)), (1, 5, 10))
+    return pred.performance_grid(src.occ_few_topics(s, d), pred.predict_greedy, ((6, 2), (6, 1), (6, 4), (3, 1), (12, 1)), (1, 5, 10), ("greedy",))
 
 
 _GRID = (
@@ -280,3 +280,24 @@ _query("only_locations", lambda s, d: grid.only_locations(_occ(s, d), dist.top_l
 _query("min_topic_at_location", lambda s, d: tl.min_topic_at_location(_occ(s, d), 2).groupBy("cell").agg(F.count("*").alias("n")), _OCC + "\nSELECT cell, CAST(sum(n) AS BIGINT) AS n FROM (SELECT cell, topic, count(*) AS n FROM occ GROUP BY ALL HAVING count(*) >= 2) GROUP BY cell")
 _query("cell_points", lambda s, d: grid.cell_point(_occ(s, d).select("ci", "cj").distinct(), 14.5), _OCC + "\nSELECT DISTINCT ci, cj, ci * 14.5 AS cell_lat, cj * 14.5 AS cell_lon FROM occ", "cell_lat cell_lon")
 _query("decay_curve", lambda s, d: tl.decay_curve(tl.interval_counts(_occ(s, d), src.UNIT), 50), _OCC + ", ch AS (SELECT iid, (n - lag(n, 1, 0) OVER (PARTITION BY topic ORDER BY iid)) / sum(n) OVER (PARTITION BY topic) AS change FROM iv JOIN pk USING (topic) WHERE peak_iid < 288)\nSELECT iid, avg(change) AS mean_change FROM ch GROUP BY iid ORDER BY iid LIMIT 50", "mean_change")
+
+# SQL of queries that are registered elsewhere
+_CHI = _WORDS + ", x AS (SELECT *, (n00 + n01 + n10 + n11)::DOUBLE AS nn, greatest(abs(n00::DOUBLE * n11 - n01::DOUBLE * n10) - (n00 + n01 + n10 + n11) / 2, 0) AS o, (n00 + n01)::DOUBLE * (n10 + n11) * (n00 + n10) * (n01 + n11) AS mg FROM ct), sg AS (SELECT word, topic FROM x WHERE mg > 0 AND nn * o * o / mg > 6.6349)"
+_sql["topic_groups"] = "WITH RECURSIVE" + _CHI[4:] + ", tt AS (SELECT DISTINCT a.topic AS a, b.topic AS b FROM sg a JOIN sg b USING (word)), re AS (SELECT a AS node, b AS seen FROM tt UNION SELECT re.node, tt.b FROM re JOIN tt ON re.seen = tt.a), gl AS (SELECT node AS topic, min(seen) AS g FROM re GROUP BY node), gt AS (SELECT g, count(*) AS n_topics FROM gl GROUP BY g), mem AS (SELECT g, 't:' || topic AS node FROM gl UNION SELECT g, 'w:' || word FROM sg JOIN gl USING (topic))\nSELECT 't:' || g AS group_id, node, n_topics FROM mem JOIN gt USING (g)"
+_sql["volume_similarity_lag"] = _with_rounding(
+    f"WITH occ AS (SELECT 'p' || (l_partkey % 200) AS topic, s_nationkey AS loc, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), f AS (SELECT loc, topic, min(t - t % 86400) AS ft FROM occ GROUP BY ALL), q AS (SELECT *, {_OUTLIERS.format('ft', 'topic')} FROM f), g AS (SELECT loc, topic, ft FROM q WHERE ft BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), k AS (SELECT loc, count(*) AS k FROM g GROUP BY loc), p2 AS (SELECT a.loc AS l, b.loc AS r, count(*) AS n_common, avg(abs(a.ft - b.ft) / 86400) AS adoption_lag FROM g a JOIN g b USING (topic) WHERE a.loc < b.loc GROUP BY ALL HAVING count(*) > 10)\nSELECT l, r, n_common, n_common / (x.k + y.k - n_common) AS similarity, adoption_lag FROM p2 JOIN k x ON x.loc = l JOIN k y ON y.loc = r",
+    "similarity adoption_lag",
+)
+_sql["life_fraction_at_share"] = _with_rounding(_PAIRS + ", w AS (SELECT t, row_number() OVER (PARTITION BY topic, loc ORDER BY t) AS rank, count(*) OVER (PARTITION BY topic, loc) AS n, min(t) OVER (PARTITION BY topic, loc) AS a, max(t) OVER (PARTITION BY topic, loc) AS b FROM occ), at_ AS (SELECT p, CAST(floor((t - a) * 100 / (b - a)) AS BIGINT) AS place FROM w, (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS p) WHERE n > 3 AND b > a AND rank = greatest(floor(round(p * n, 6)), 1))\nSELECT p, place, count(*) / sum(count(*)) OVER (PARTITION BY p) AS weight FROM at_ GROUP BY p, place", "p weight")
+_sql["in_out_closeness"] = _with_rounding(
+    _PAIRS + _LOCT + _PERIOD + f", er AS (SELECT topic, loc, row_number() OVER (PARTITION BY topic ORDER BY t, loc) AS rank, floor(count(*) OVER (PARTITION BY topic) * 0.1) AS upto FROM occ), so AS (SELECT topic, first(loc ORDER BY n DESC, loc) AS s FROM (SELECT topic, loc, count(*) AS n FROM er WHERE rank <= upto GROUP BY ALL) GROUP BY topic), la AS (SELECT so.s, lt.loc, {_SCORE.format('(lt.first_t - o.first_t)')} AS x FROM so JOIN lt o ON o.topic = so.topic AND o.loc = so.s JOIN lt ON lt.topic = so.topic AND lt.loc <> so.s AND lt.first_t > o.first_t JOIN pe ON pe.topic = so.topic), io AS (SELECT s AS loc, loc AS nbr, 'out_link' AS link_type, x FROM la WHERE x >= 0.05 UNION ALL SELECT loc, s, 'in_link', x FROM la WHERE x >= 0.05)\nSELECT loc, nbr, link_type, count(*) AS n_topics, avg(x) AS mean_score FROM io GROUP BY loc, nbr, link_type",
+    "mean_score",
+)
+_sql["classify_topic"] = _with_rounding(_OCC + _REGION + ", " + _RADIUS.format("cr", "topic", "ho") + ", fb AS (SELECT topic, count(*) AS n FROM occ JOIN reg USING (topic) WHERE is_highest AND bucket = start_bucket GROUP BY topic)\nSELECT topic, radius, radius < 500 AS is_local, n > 1 AS is_sudden FROM cr JOIN fb USING (topic)", "radius")
+_sql["lead_lag_kde"] = _with_rounding(
+    _PAIRS + _MAJ + ", pp AS (SELECT a.cell AS l, b.cell AS r, count(*) AS n, avg(sign(a.bucket - b.bucket)) AS m FROM m1 a JOIN m1 b USING (topic) WHERE a.cell < b.cell AND a.bucket <> b.bucket GROUP BY ALL HAVING count(*) >= 5), vc AS (SELECT round(m, 4) AS v, count(*) AS c FROM pp GROUP BY 1), sd AS (SELECT stddev_samp(m) * 0.25 AS h, count(*) AS n FROM pp), gx AS (SELECT unnest(range(0, 100)) AS i)\nSELECT -1.0::DOUBLE + i * (2.0::DOUBLE / 99) AS x, sum(c * exp(-pow((-1.0::DOUBLE + i * (2.0::DOUBLE / 99) - v) / h, 2) / 2) / (n * h * 2.5066282746310002)) AS density FROM gx, vc, sd GROUP BY i",
+    "x density",
+)
+_LG = "lgamma({} + 1)"
+_LP = f"(base - {_LG.format('{0}')} - {_LG.format('(r - {0})')} - {_LG.format('(c - {0})')} - {_LG.format('(n - r - c + {0})')})"
+_sql["fisher_exact"] = _with_rounding(_WORDS + f", mg AS (SELECT *, n00 + n01 AS r, n00 + n10 AS c, n00 + n01 + n10 + n11 AS n FROM ct), ba AS (SELECT *, {_LG.format('r')} + {_LG.format('(n - r)')} + {_LG.format('c')} + {_LG.format('(n - c)')} - {_LG.format('n')} AS base FROM mg), su AS (SELECT word, topic, n00, n01, n10, n11, {_LP.format('n00')} AS own, unnest(range(greatest(0, r + c - n), least(r, c) + 1)) AS x, r, c, n, base FROM ba)\nSELECT word, topic, n00, n01, n10, n11, least(sum(CASE WHEN {_LP.format('x')} <= own + 1e-7 THEN exp({_LP.format('x')}) ELSE 0 END), 1.0) AS p FROM su GROUP BY word, topic, n00, n01, n10, n11", "p")
