@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topotide.llm.caches import hold
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import new_path, written
 
@@ -38,7 +39,7 @@ BLOCK_BYTES = 4 << 20
 #: Ranges of doc_ids for each shuffle partition; many small ones fall evenly to the partitions.
 RANGES = 4
 #: Pieces that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Rows and bytes of texts that are coded at a time.
 SLICE_ROWS = 8192
 SLICE_BYTES = 4 << 20
@@ -198,6 +199,7 @@ class Coder:
 
 def coder(path: str) -> Coder:
     """The worker's coder of a tokenizer file."""
+    hold("tokens", _coders.clear)
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]

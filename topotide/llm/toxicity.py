@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topotide.llm.caches import hold
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import written
 
@@ -33,7 +34,7 @@ PREFIXES = (5, 7)
 #: Standard errors by which a feature must favour the positives.
 EVIDENCE = 3.0
 #: Words that a worker remembers.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 _word_ids: dict[bytes, tuple[int, ...]] = {}
 
 
@@ -45,23 +46,28 @@ def distinct_words(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "surrogatepass").translate(_MARKS).split())
 
 
+def _forget() -> None:
+    _word_ids.clear()
+    _models.clear()
+
+
 def features_of(word: bytes) -> tuple[int, ...]:
     """The hashed features of a word: itself and its beginnings."""
-    known = _word_ids.get(word)
-    if known is None:
-        if len(_word_ids) > CACHE_WORDS:
-            _word_ids.clear()
-        letters = word.decode("utf-8", "surrogatepass")
-        named = [word, *[("^" + letters[:n]).encode("utf-8", "surrogatepass") for n in PREFIXES if len(letters) >= n]]
-        known = _word_ids[word] = tuple(xxhash.xxh32_intdigest(x) % DIM for x in named)
-    return known
+    letters = word.decode("utf-8", "surrogatepass")
+    named = [word, *[("^" + letters[:n]).encode("utf-8", "surrogatepass") for n in PREFIXES if len(letters) >= n]]
+    return tuple(xxhash.xxh32_intdigest(x) % DIM for x in named)
 
 
 def word_ids(text: str) -> np.ndarray:
     """The distinct hashed features of a text: its words in lower case, and their beginnings."""
     got: set[int] = set()
     for w in distinct_words(text):
-        got.update(features_of(w))
+        known = _word_ids.get(w)
+        if known is None:
+            if len(_word_ids) > CACHE_WORDS:
+                _word_ids.clear()
+            known = _word_ids[w] = features_of(w)
+        got.update(known)
     return np.array(sorted(got), np.int64)
 
 
@@ -92,8 +98,9 @@ _models: dict[str, Model] = {}
 
 def shared_model(key: str, weights: np.ndarray, bias: float) -> Model:
     """The worker's copy of a model, kept from task to task."""
+    hold("toxicity", _forget)
     if key not in _models:
-        _models.clear()
+        _forget()
         _models[key] = Model(weights, bias)
     return _models[key]
 
@@ -166,6 +173,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", _forget)
         counts, rows = np.zeros(DIM, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
@@ -203,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     picked = written(pos.unionByName(unl).distinct(), "picked")  # at most positives + unlabelled rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", _forget)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = [word_ids(t.as_py()).astype("<i4") for t in batch.column(2)[at : at + 256]]
