@@ -103,6 +103,24 @@ def test_crf_finds_private_words_in_held_out_rows():
     assert pii.crf_spans("in 2019 of 300 items at 12:30", crf) == []
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(26)
+    move = np.where(pii._allowed(), rng.normal(size=(pii.T + 1, pii.T)), -1e4)
+    crf = pii.Crf({}, np.zeros((0, pii.T)), move)
+    chains = [rng.normal(size=(n, pii.T)) * 2 for n in (1, 2, 3, 4, 3, 1)]
+    for scores, path in zip(chains, crf.decode(chains)):
+        def value(p, s=scores):
+            return sum(s[i, t] + move[p[i - 1] if i else pii.T, t] for i, t in enumerate(p))
+
+        best = max(itertools.product(range(pii.T), repeat=len(scores)), key=value)
+        assert value(path) == pytest.approx(value(best)) and tuple(path) == best
+
+
+def test_neighbouring_numbers_are_two_spans():
+    crf = pii.train(pii.labelled_rows())
+    assert pii.crf_spans("see 7536784127813050 4845168114407329 there", crf) == [("card", 4, 20), ("card", 21, 37)]
+
+
 def test_find_private(spark, odd, empty):
     got = pii.find_private(odd, pii.labelled_table(spark)).collect()
     assert len(got) == odd.count()

@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tags of a word: outside, and begin and inside of each kind.
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 T = len(TAGS)
+#: A number with more digits than a card has is more than one.
+CARD_DIGITS = 19
 #: Words on either side of a chain's marked words that belong to the chain.
 MARGIN = 1
 
@@ -370,7 +372,9 @@ def _spans_of(text: str, found: list[list[tuple[int, int]]], paths: list[list[in
         open_: list | None = None
         for (s, e), tag in zip([*chain, (0, 0)], [*path, 0]):
             name = TAGS[tag]
-            if name[0] == "I" and open_ and open_[0] == name[2:]:
+            inside = name[0] == "I" and open_ and open_[0] == name[2:]
+            full = inside and open_[0] == "card" and sum(c.isdigit() for c in text[open_[1] : e]) > CARD_DIGITS
+            if inside and not full:
                 open_[2] = e
                 continue
             if open_:
@@ -381,7 +385,7 @@ def _spans_of(text: str, found: list[list[tuple[int, int]]], paths: list[list[in
                     b -= 1
                 if "@" in text[a:b] if kind == "email" else sum(c.isdigit() for c in text[a:b]) >= 4:
                     out.append((kind, a, b))
-            open_ = [name[2:], s, e] if name[0] == "B" else None
+            open_ = [name[2:], s, e] if name[0] == "B" or full else None
     return out
 
 
@@ -403,17 +407,19 @@ def all_spans(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]
     return sorted([*base, *more], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-def find_private(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 20_000) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf, a row for each row of ``docs``.
 
-    ``labelled`` is a small table (text, spans) that the CRF is trained from on
-    the driver; it is refused beyond 20,000 rows.  The counts are those of the
-    base spans; spans adds the CRF's, n_crf of them.  Null and empty texts have
-    no spans.  Nothing is cut: very long texts are searched whole.
+    ``labelled`` is a table (text, spans) that the CRF is trained from on the
+    driver, by at most ``max_rows`` of its rows, those with the smallest hash
+    of text and spans.  The counts are those of the base spans; spans adds the
+    CRF's, n_crf of them.  Null and empty texts have no spans; repeated rows
+    come as often as they are; an empty table gives none; without labelled
+    rows there are base spans alone.  Nothing is cut: very long texts are
+    searched whole.  Other columns are not read.
     """
-    rows = labelled.select("text", "spans").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("the labelled table is not small")
+    order = F.xxhash64("text", F.to_json("spans"))
+    rows = labelled.select("text", "spans", order.alias("h")).orderBy("h", "text").limit(max_rows).collect()
     crf = train([(r["text"] or "", [tuple(x) for x in r["spans"] or []]) for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # a few thousand features
 
