@@ -475,8 +475,8 @@ def test_simhash(spark, odd, empty):
     assert sim.drop_near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("pair_bucket", [0, 3, 1000])
-def test_pigeonring_links_join_what_brute_force_joins(spark, pair_bucket):
+@pytest.mark.parametrize(("pair_bucket", "m"), [(0, 8), (3, 8), (1000, 8), (3, 16), (3, 32)])
+def test_pigeonring_links_join_what_brute_force_joins(spark, pair_bucket, m):
     rng = random.Random(7)
     fps = {rng.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1, 1 << 63}
     for f in list(fps)[:20]:
@@ -485,7 +485,7 @@ def test_pigeonring_links_join_what_brute_force_joins(spark, pair_bucket):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
     signed = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    links = {tuple(r) for r in sim.near_links(signed, 2, 8, pair_bucket).collect()}
+    links = {tuple(r) for r in sim.near_links(signed, 2, m, pair_bucket).collect()}
     roots = brute_components(fps)
     parent = {f: f for f in fps}
 
@@ -859,6 +859,26 @@ def test_unique_rows(spark, odd):
     assert sorted((r["doc_id"] for r in unique_rows(odd).collect()), key=repr) == sorted({r[0] for r in odd_rows()}, key=repr)
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    clash = odd.withColumns({c: F.lit("x") for c in ("row", "hub", "score", "size", "copies", "digest", "range", "h")})
+    for docs in (odd, empty, clash):
+        kept = docs
+        for name, stage in cp.STAGES[:-1]:
+            got = stage(spark, kept, sf)
+            assert got.columns == docs.columns, name
+            path = new_path(spark, name)
+            got.write.parquet(path)
+            kept = spark.read.parquet(path)
+        last = cp.STAGES[-1][1](spark, kept, sf)
+        assert last.count() == kept.count()
+    # of the odd rows: empty texts are one, the two long texts are one, the texts of three words that differ in case and space are one
+    near = sorted((r["doc_id"] for r in cp.near_duplicates(spark, odd, sf).collect()), key=repr)
+    assert near == sorted([1, 4, 5, 9, None], key=repr)
+
+
 def test_pipeline_stages_equal_brute_force(spark, tokenizer):
     import corpus_pipeline as cp
 

@@ -153,7 +153,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
 def _labelled(nodes: DataFrame, budget: int) -> DataFrame:
     """(fp, first, c): distinct fingerprints with the label of their component."""
     nodes = written(nodes, "nodes")
-    labels = components(near_links(nodes.select("fp"), budget))
+    # more segments make longer keys, so that buckets stay small in larger tables
+    n = nodes.count()
+    labels = components(near_links(nodes.select("fp"), budget, 8 if n < 1 << 27 else 16 if n < 1 << 31 else 32))
     nodes = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     return written(nodes, "labelled")
 
