@@ -170,7 +170,14 @@ def _crossing(placed: DataFrame, state: DataFrame, step: float, inside: Column |
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """Query rows: doc_id, size, source_size, target, taken, for each row of ``docs``."""
+    """Query rows: doc_id, size, source_size, target, taken, for each row of ``docs``.
+
+    A null source is a source of its own, the last; a null or empty text has
+    size 0; a null doc_id is hashed like any other; repeated rows come as often
+    as they are, with the same copies; very long texts count whole; ties in
+    the rounding fall alike, so reruns agree.  An empty table gives no rows.
+    Other columns are not read, whatever their names.
+    """
     each = mixed(docs)
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("__i")).drop("__i")
 
@@ -178,7 +185,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as its copies say.
 
-    Rows of no words are taken once, as their copies change no count.
+    Rows of no words are taken once, as their copies change no count.  Nulls,
+    ties, repeated rows, long texts and empty tables are as in ``mixture``.  The
+    columns of ``docs`` return unchanged, whatever their names.
     """
     copies = mixed(docs).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("__c"))
     sized = docs.withColumn("__size", word_count(text_of()))

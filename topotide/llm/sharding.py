@@ -63,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows, repeated rows included, stay in one shard whatever its size, so one
     group with more than a shard's share makes that shard larger; differencing
     then leaves the other shards as equal as it can.  slot counts each shard's
-    rows from 0 in the order of doc_id (null first), then digest.  An empty table gives no rows.
+    rows from 0 in the order of doc_id (null first), then digest; repeated rows get
+    slots one after the other.  Very long texts are items of their own.  An empty
+    table gives no rows.  Other columns are not read, whatever their names.
     """
     body = text_of()
     rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("digest"))

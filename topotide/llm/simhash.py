@@ -141,7 +141,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     Equal fingerprints are one node of the graph, so copies make no links.
     component_id is the smallest doc_id that links reach, and null where all
     doc_ids of the component are null.  Texts that are null or hold no words
-    have fingerprint zero and link like any other.
+    have fingerprint zero and link like any other.  Repeated rows come as often
+    as they are; very long texts are hashed whole, in parts; an empty table
+    gives no rows; other columns are not read, whatever their names.
     """
     fps = written(fingerprints(docs, key, text), "fingerprints")
     nodes = _labelled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), budget)

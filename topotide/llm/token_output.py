@@ -356,7 +356,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` in the file format below the shared folder and read the files back."""
+    """Write ``docs`` in the file format below the shared folder and read the files back.
+
+    (doc_id, start, n_tokens, ids_crc32), a row for each row of ``docs``; nulls,
+    repeated rows and long texts are as in ``write_tokens``.  An empty table
+    gives no rows.  Other columns are not read, whatever their names.
+    """
     import public_tokenizers
 
     spark = docs.sparkSession

@@ -267,14 +267,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts score as empty ones do: by the bias alone.  A null doc_id is
     never in training, and its held_out is null.  Without labels every score
-    is the prior.
+    is the prior.  Rows of ``labels`` with a null are left out, and of repeated
+    ones the highest counts; equal texts have equal scores, repeated rows come
+    as often as they are, and very long texts are scored whole.  An empty table
+    gives no rows.  Other columns are not read, whatever their names.
     """
     out = scored(docs, fit(docs, labels))
     return out.select("doc_id", (~_in_training()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic, scored in place and not joined."""
+    """``docs`` without the rows that are predicted toxic, scored in place and not joined.
+
+    Nulls, repeated rows, long texts and empty tables are as in ``toxicity``.
+    The columns of ``docs`` return unchanged, whatever their names.
+    """
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.weights.astype(np.float32), model.bias))
     place = docs.columns.index("text")
