@@ -2,7 +2,10 @@
 
 Each stage gets the documents that its predecessor kept, reads whatever other
 tables it needs from ``sf_dir``, and returns what it keeps; the last returns
-what the token files hold.
+what the token files hold.  In every stage null texts are empty, very long
+texts are read whole, an empty table gives an empty one, and the columns of the
+documents, clashing names included, return unchanged.  What a stage does with
+null doc_ids, ties and repeated rows is said where its operator is.
 """
 
 from __future__ import annotations
