@@ -39,10 +39,10 @@ BLOCK_BYTES = 4 << 20
 #: Ranges of doc_ids for each shuffle partition; many small ones fall evenly to the partitions.
 RANGES = 4
 #: Pieces that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Rows and bytes of texts that are coded at a time.
 SLICE_ROWS = 8192
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: ASCII marks that may follow a word.
 MARKS = "!#$%&*+,-./:;=?@|~"
 
@@ -279,6 +279,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_dict_id=False)
         for keys, texts in _slices(batches):
             arrays = [packed(x) for x in coder(tokenizer_path).encode(texts)]
+            del texts
             counts = [(len(a) - 1) // a[0] for a in arrays]
             place = np.searchsorted(bounds, pc.fill_null(keys.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
             frames = pa.array([press.compress(a) for a in arrays], pa.binary())
