@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topotide.llm.caches import tidied
 from topotide.llm.pairing import compared
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     slim = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), *more)
     types = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in more]
-    return slim.mapInArrow(run, ", ".join([f"doc_id {slim.schema['doc_id'].dataType.simpleString()}", "fp long", *types]))
+    return slim.mapInArrow(tidied(run), ", ".join([f"doc_id {slim.schema['doc_id'].dataType.simpleString()}", "fp long", *types]))
 
 
 def _rotated(fp: Column | str, bits: int) -> Column:
@@ -240,7 +241,7 @@ def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int
                     each = [np.repeat(x[some], segments) for x in (rows, sizes, ring[:, 0].view(np.int64))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each)], ["bucket", "row", "size", "f"])
 
-    members = nodes.select("row", "size", "ring").mapInArrow(run, "bucket long, row long, size long, f long")
+    members = nodes.select("row", "size", "ring").mapInArrow(tidied(run), "bucket long, row long, size long, f long")
     spark = nodes.sparkSession
     path = new_path(spark, "members")
     crowded = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
@@ -314,7 +315,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(digests, pa.binary()), pa.array(sizes), lists], [*keys, "digest", "size", "ring"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
-    rows = written(docs.select(*keys, "text").mapInArrow(run, f"{kinds}, digest binary, size long, ring array<long>"), "rings")
+    rows = written(docs.select(*keys, "text").mapInArrow(tidied(run), f"{kinds}, digest binary, size long, ring array<long>"), "rings")
     first = F.min(F.struct(*keys)).alias("first")  # any row of the node has its words
     nodes = rows.groupBy("digest", "size").agg(first, F.first("ring").alias("ring"))
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.caches import hold
+from topotide.llm.caches import hold, tidied
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import new_path, written
 
@@ -245,7 +245,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_
             yield pa.RecordBatch.from_arrays([keys, pa.array([packed(x) for x in coder(tokenizer_path).encode(texts)], pa.binary())], ["doc_id", "ids"])
 
     picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("k"), "left_semi")
-    coded = written(picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary"), "coded")
+    coded = written(picked.mapInArrow(tidied(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary"), "coded")
     first = coded.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("ids").alias("tie"), F.length("ids").alias("n"), "ids").orderBy("h", "tie").limit(sample)
     upto = F.sum("n").over(Window.orderBy("h", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over at most `sample` rows
     rows = first.withColumn("before", upto - F.col("n")).where(F.col("before") < sample_bytes).select("ids").collect()
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     slim = docs.select("doc_id", text_of().alias("text"))
     key = slim.schema["doc_id"].dataType.simpleString()
-    frames = slim.mapInArrow(compress, f"doc_id {key}, n_tokens long, frame binary, range int")
+    frames = slim.mapInArrow(tidied(compress), f"doc_id {key}, n_tokens long, frame binary, range int")
     ranged = frames.withColumn("tie", F.xxhash64("frame")).repartition(parts, "range").sortWithinPartitions("range", "doc_id", "tie")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
             yield block()
 
     schema = f"dictionary string, range int, before long, n_ids long, doc_ids array<{key}>, offsets array<long>, counts array<long>, payload binary"
-    ranged.select("doc_id", "n_tokens", "frame", "range").mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ranged.select("doc_id", "n_tokens", "frame", "range").mapInArrow(tidied(pack), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("range").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals.select("range", before.cast("long").alias("range_start")).coalesce(1).write.parquet(f"{path}/ranges")  # a row for each shuffle partition
@@ -353,7 +353,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     ranges = spark.read.parquet(f"{path}/ranges")  # at most a row for each shuffle partition of the writer
     placed = blocks.join(F.broadcast(ranges), "range").withColumn("start", F.col("range_start") + F.col("before"))
-    return placed.select("start", "doc_ids", "offsets", "counts", "payload").mapInArrow(run, f"doc_id {key}, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.select("start", "doc_ids", "offsets", "counts", "payload").mapInArrow(tidied(run), f"doc_id {key}, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def tokenised(docs: DataFrame) -> DataFrame:

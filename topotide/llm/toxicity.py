@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topotide.llm.caches import hold
+from topotide.llm.caches import hold, tidied
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import written
 
@@ -183,7 +183,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
         columns = [np.append(ids, -1), np.append(counts[ids], rows)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "n"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return docs.select(text_of().alias("text")).mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], batch.column(1)[at : at + 256], lists], ["doc_id", "pos", "ids"])
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("k")).select("doc_id", "pos", "text")
-    sample = written(texts.mapInArrow(features, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, pos int, ids array<int>"), "features")
+    sample = written(texts.mapInArrow(tidied(features), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, pos int, ids array<int>"), "features")
     everywhere = written(feature_counts(train_docs), "counts")  # at most DIM + 1 rows
     hot = sample.where("pos = 1").select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("p")).where("p > 1")
     n_p = sample.where("pos = 1").count()
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "pos", "places"])
 
     # the limit holds where a doc_id repeats, too
-    rows = sample.mapInArrow(slim, sample.schema["doc_id"].dataType.simpleString().join(("doc_id ", ", pos int, places binary"))).orderBy("doc_id", "pos", "places").limit(positives + unlabelled).collect()
+    rows = sample.mapInArrow(tidied(slim), sample.schema["doc_id"].dataType.simpleString().join(("doc_id ", ", pos int, places binary"))).orderBy("doc_id", "pos", "places").limit(positives + unlabelled).collect()
     groups = [[np.frombuffer(r["places"], "<i4") for r in rows if r["pos"] == p] for p in (1, 0)]
     if not groups[0] or not groups[1]:
         return nothing
@@ -259,7 +259,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     slim = docs.select("doc_id", text_of().alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
+    return slim.mapInArrow(tidied(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [own.score(t.as_py() or "") < 0.5 for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
