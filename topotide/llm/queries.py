@@ -12,6 +12,7 @@ from topotide.llm.site_style_tree import op6_html_extraction
 from topotide.llm.substring_dedup import op4_substring_dedup
 from topotide.llm.token_output import op9_token_output
 from topotide.llm.toxicity import op8_toxicity
+from topotide.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_sharding": op10_sharding,
+    "op13_whitening": op13_whitening,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
