@@ -13,6 +13,7 @@ from topotide.llm.substring_dedup import op4_substring_dedup
 from topotide.llm.token_output import op9_token_output
 from topotide.llm.toxicity import op8_toxicity
 from topotide.llm.whitening import op13_whitening
+from topotide.llm.word_bpe import op12_word_bpe
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_sharding": op10_sharding,
+    "op12_word_bpe": op12_word_bpe,
     "op13_whitening": op13_whitening,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
