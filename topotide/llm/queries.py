@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from topotide.llm.alignment import op11_alignment
 from topotide.llm.decontaminate import OP3_SQL, op3_decontaminate
 from topotide.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from topotide.llm.mixing import op7_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_output": op9_token_output,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
     "op12_word_bpe": op12_word_bpe,
     "op13_whitening": op13_whitening,
 }
