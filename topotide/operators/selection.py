@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import haversine, spread_kernel
+from topotide.operators.blockmatrix import BLOCK, numbered, solve
 from topotide.operators.metrics import radius
 from topotide.operators.timeline import by_topic
+from topotide.plans.scratch import written
 
 
 def replay_units(occ: DataFrame, unit: int = 300) -> DataFrame:
@@ -114,31 +116,24 @@ def share_vectors(steps: DataFrame, until: int, loc: str = "loc") -> tuple[DataF
     return x, whole.select("topic", "loc", (F.col("n") / F.sum("n").over(Window.partitionBy("topic"))).alias("y"))
 
 
-def share_regression(x: DataFrame, y: DataFrame, ridge: float = 1e-6) -> DataFrame:
+def share_regression(x: DataFrame, y: DataFrame, ridge: float = 1e-6, block: int = BLOCK) -> DataFrame:
     """(loc, src, coefficient): for every location, the linear model of its final share on the early shares of all (src).
 
-    All locations have the same predictors, so their products come from one
-    self-join and one small solve serves all; a little ridge makes it unique.
-    The products, locations squared, are all that leaves Spark.
+    All locations have the same predictors, so their products, which come from
+    one self-join, make one system with a right side for each location.  It is
+    solved in blocks of ``block`` locations (``blockmatrix.solve``); a little
+    ridge makes it unique.
     """
-    a, b = x.select("topic", F.col("loc").alias("i"), F.col("x").alias("xi")), x.select("topic", F.col("loc").alias("j"), F.col("x").alias("xj"))
-    gram = a.join(b, "topic").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g")).withColumn("kind", F.lit(0))
-    cross = a.join(y.select("topic", F.col("loc").alias("j"), "y"), "topic").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("y")).alias("g")).withColumn("kind", F.lit(1))
-    kind = x.schema["loc"].dataType.simpleString()
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        sources, targets = sorted(rows.i.unique()), sorted(rows.j[rows.kind == 1].unique())
-        at, to = {v: n for n, v in enumerate(sources)}, {v: n for n, v in enumerate(targets)}
-        g, c = np.eye(len(sources)) * ridge, np.zeros((len(sources), len(targets)))
-        for r in rows.itertuples():
-            if r.kind == 0:
-                g[at[r.i], at[r.j]] += r.g
-            else:
-                c[at[r.i], to[r.j]] += r.g
-        w = np.linalg.solve(g, c)
-        return pd.DataFrame({"loc": np.tile(targets, len(sources)), "src": np.repeat(sources, len(targets)), "coefficient": w.ravel()})
-
-    return gram.unionByName(cross).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, f"loc {kind}, src {kind}, coefficient double")
+    sources, targets = written(numbered(x, "loc", "number"), "sources"), written(numbered(y, "loc", "number"), "targets")
+    early = x.join(sources, "loc").select("topic", F.col("number").alias("row"), F.col("x").alias("a"))
+    gram = early.join(early.select("topic", F.col("row").alias("col"), F.col("a").alias("b")), "topic").groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
+    n = sources.count()
+    gram = written(gram.unionByName(sources.select(F.col("number").alias("row"), F.col("number").alias("col"), F.lit(float(ridge)).alias("value"))), "gram")
+    final = y.join(targets, "loc").select("topic", F.col("number").alias("col"), "y")
+    cross = written(early.join(final, "topic").groupBy("row", "col").agg(F.sum(F.col("a") * F.col("y")).alias("value")), "cross")
+    found = solve(gram, cross, n, block)
+    named = found.join(sources.select(F.col("number").alias("row"), F.col("loc").alias("src")), "row").join(targets.select(F.col("number").alias("col"), "loc"), "col")
+    return named.select("loc", "src", F.col("value").alias("coefficient"))
 
 
 def predicted_shares(x: DataFrame, model: DataFrame) -> DataFrame:
