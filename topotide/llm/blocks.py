@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from topotide.plans.scratch import new_path
 
 #: Bytes of text after which a block ends; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 BLOCKS_A_TASK = 1 << 20
 
 
@@ -89,7 +89,7 @@ def stored(blocks: DataFrame, label: str) -> DataFrame:
     spark = blocks.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.format("parquet").bucketBy(buckets, "block").option("path", new_path(spark, label)).saveAsTable(name)
+    blocks.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").option("path", new_path(spark, label)).saveAsTable(name)
     return spark.table(name)
 
 

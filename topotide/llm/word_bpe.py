@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ from topotide.llm.blocks import lists, numbered, ranked, restored, single, slice
 from topotide.llm.caches import hold, tidied
 from topotide.llm.tables import table, text_of
 
+#: Bytes of text that are split at a time.
+SPLIT_BYTES = 2 << 20
 #: Words that a task encodes before it sends their ids on, and ids that are decoded at a time.
 ENCODE_ROWS, DECODE_IDS = 1 << 18, 1 << 20
 #: White space at which texts are cut before the tokenizer's own rules see them; any other is left to those rules.
@@ -114,6 +117,19 @@ def words_of(path: str) -> Words:
     return _loaded[path]
 
 
+def split(texts: pa.Array, rules: Words) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, codes, lengths): distinct words of some texts, the word of each place, and how many places each text has."""
+    for c in CUTS:
+        texts = pc.replace_substring(texts, c, " ")
+    pieces = pc.split_pattern(texts, " ")
+    coded = pieces.flatten().dictionary_encode()
+    words, counts = rules.of_all(coded.dictionary)
+    table = pa.array(words, pa.string()).dictionary_encode()
+    index, ends = spread(coded.indices.to_numpy(), counts)
+    offsets = pieces.offsets.to_numpy()
+    return table.dictionary, table.indices.to_numpy()[index], np.diff(ends[offsets - offsets[0]])
+
+
 def word_blocks(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """(block, keys, lengths, words, places): blocks of documents as distinct words and the codes of their places.
 
@@ -123,18 +139,14 @@ def word_blocks(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, numbers = words_of(tokenizer_path), numbered()
         for part in slices(batches, 1):
-            texts = part.column(1)
-            for c in CUTS:
-                texts = pc.replace_substring(texts, c, " ")
-            pieces = pc.split_pattern(texts, " ")
-            offsets = pieces.offsets.to_numpy()
-            coded = pieces.flatten().dictionary_encode()
-            words, counts = rules.of_all(coded.dictionary)
-            table = pa.array(words, pa.string()).dictionary_encode()
-            index, ends = spread(coded.indices.to_numpy(), counts)
-            order, places = ranked(table.indices.to_numpy()[index], len(table.dictionary))
-            lengths = np.diff(ends[offsets - offsets[0]])
-            columns = [pa.array([next(numbers)], pa.int64()), single(part.column(0)), single(pa.array(lengths, pa.int32())), single(table.dictionary.take(pa.array(order)))]
+            tables, codes, lengths = [], [], []
+            for some in slices(iter([part]), 1, SPLIT_BYTES):
+                own, found, n = split(some.column(1), rules)
+                codes.append(found + sum(map(len, tables))), tables.append(own), lengths.append(n)
+            table = pa.concat_arrays(tables).dictionary_encode()
+            del tables
+            order, places = ranked(table.indices.to_numpy()[np.concatenate(codes)], len(table.dictionary))
+            columns = [pa.array([next(numbers)], pa.int64()), single(part.column(0)), single(pa.array(np.concatenate(lengths), pa.int32())), single(table.dictionary.take(pa.array(order)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([squeezed(places)], pa.binary())], ["block", "keys", "lengths", "words", "places"])
 
     slim = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c != text]).alias("key"), text_of(f"`{text}`").alias("text"))
@@ -251,7 +263,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "
             while at < batch.num_rows:
                 upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_IDS, "right")) - 1)
                 part = batch.slice(at, upto - at)
-                distinct, codes = np.unique(part.column(1).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                codes, distinct = pd.factorize(part.column(1).flatten().to_numpy(zero_copy_only=False))
                 lengths = np.diff(offsets[at : upto + 1])
                 columns = [single(part.column(0)), single(pa.array(lengths, pa.int32())), pa.array([codes.astype("<i4").tobytes()], pa.binary()), single(pa.array(distinct, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["keys", "lengths", "codes", "found"])
