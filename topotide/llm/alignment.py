@@ -28,7 +28,7 @@ from topotide.llm.token_output import _NOT_PLAIN, splits_at_spaces
 from topotide.llm.word_bpe import byte_alphabet
 
 #: Bytes of text of a block, and of the documents that are merged at a time.
-BLOCK_BYTES, BATCH_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, BATCH_BYTES = 3 << 20, 1 << 20
 #: Words that are coded in one call.
 CALL_WORDS = 2000
 
@@ -142,13 +142,14 @@ def aligned_batch(texts: pa.Array, a: np.ndarray, a_counts: np.ndarray, b: np.nd
     bytes_a, bytes_b = side_a.bytes.take(pa.array(a)), side_b.bytes.take(pa.array(b))
     spelt = []
     for found, counts in ((bytes_a, a_counts), (bytes_b, b_counts)):
-        offsets = found.offsets.to_numpy() if hasattr(found, "offsets") else np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy())))
-        data = memoryview(b"".join(found.to_pylist()))
-        spelt.append((data, offsets[np.concatenate(([0], np.cumsum(counts)))]))
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(), dtype=np.int64)))
+        spelt.append((pc.binary_join(single(found), b"")[0].as_py() if len(found) else b"", ends[np.concatenate(([0], np.cumsum(counts)))].tolist()))
+    (data_a, at_a), (data_b, at_b) = spelt
     right = np.zeros(n, bool)
     for i, text in enumerate(texts.to_pylist()):
-        want = (" " + text).encode() if text else b""
-        right[i] = bool(text) and all(data[at[i] : at[i + 1]] == want for data, at in spelt)
+        want = (" " + text).encode()
+        right[i] = bool(text) and data_a[at_a[i] : at_a[i + 1]] == want and data_b[at_b[i] : at_b[i + 1]] == want
+    del spelt, data_a, data_b
     keep_a, keep_b = np.repeat(right, a_counts), np.repeat(right, b_counts)
     a, b = a[keep_a], b[keep_b]
     doc_a, doc_b = np.repeat(np.arange(n), a_counts)[keep_a], np.repeat(np.arange(n), b_counts)[keep_b]
