@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topotide.functions.statistics import bound, coin_heads, dealt_p, random_pattern_p, sampled_pattern_p
 from topotide.operators.graphs import components
 from topotide.plans.scratch import new_path, remove, written
 
@@ -112,6 +113,41 @@ def binomial_p(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("p", F.least(F.lit(1.0), 2 * F.expr(tail)))
 
 
+def permutation_p(patterns: DataFrame, draws: int | None = None, seed: int = 7, replicates: int | None = None) -> DataFrame:
+    """Add p to patterns (n, mean_status) of signs: how well chance explains them, by a permutation test against fair coins.
+
+    A pattern and a random one are pooled and dealt out anew; p is the share of
+    deals whose difference is at least the one seen, meaned over random
+    patterns.  Without ``draws`` all patterns count by their weight; with it
+    that many are drawn by hashes of the row; with ``replicates`` the deals are
+    drawn too instead of counted exactly.
+    """
+    ones = F.round(F.col("n") * (1 + F.col("mean_status")) / 2).cast("bigint")
+    if draws is None:
+        return patterns.withColumn("p", random_pattern_p(F.col("n"), ones))
+    row = [F.lit(seed), F.xxhash64(*[F.col(f"`{c}`") for c in patterns.columns])]
+    if replicates is None:
+        return patterns.withColumn("p", sampled_pattern_p(F.col("n"), ones, draws, *row))
+    each = lambda d: bound(lambda heads: dealt_p(F.col("n"), ones, heads, replicates, *row, d), coin_heads(F.col("n"), *row, d))
+    return patterns.withColumn("p", F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0.0), lambda s, d: s + each(d)) / draws)
+
+
+def p_value_cdf(tested: DataFrame, digits: int = 2) -> DataFrame:
+    """(min_common, p, n, cdf, ccdf): how many pairs have a p-value, rounded, and the share of pairs at most and above it."""
+    counts = tested.groupBy("min_common", F.round("p", digits).alias("p")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("min_common")
+    cdf = F.sum("n").over(own.orderBy("p")) / F.sum("n").over(own)
+    return counts.select("min_common", "p", "n", cdf.alias("cdf"), (1 - cdf).alias("ccdf"))
+
+
+def p_value_examples(tested: DataFrame, alpha: float = 0.05, k: int = 5) -> DataFrame:
+    """(min_common, is_random, rank, l, r, p): the k pairs farthest below ``alpha`` and the k farthest above it."""
+    is_random = F.col("p") > alpha
+    order = [F.when(is_random, -F.round("p", 9)).otherwise(F.round("p", 9)), "l", "r"]
+    rank = F.row_number().over(Window.partitionBy("min_common", "is_random").orderBy(*order))
+    return tested.withColumn("is_random", is_random).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("min_common", "is_random", "rank", "l", "r", "p")
+
+
 def non_random_share(tested: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(min_common, n, share): share of pairs whose pattern is unlikely to be random."""
     return tested.groupBy("min_common").agg(F.count("*").alias("n"), F.avg((F.col("p") <= alpha).cast("double")).alias("share"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, haversine
+from topotide.functions.statistics import pearson_p
 from topotide.operators.timeline import drop_outliers
 
 
@@ -242,6 +243,14 @@ def pair_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
 
 
+def correlation_test(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, r, p): Pearson r of a key's pairs and its two-sided p-value by Student's t; null p below three pairs, null r without spread."""
+    known = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = known.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("xy"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("spread"))
+    found = sums.select(*keys, "n", F.when(F.col("spread") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / F.col("spread")))).alias("r"))
+    return found.withColumn("p", F.when(F.col("r").isNotNull(), pearson_p(F.col("r"), F.col("n"))))
+
+
 def ks_statistic(rows: DataFrame, value: str, side: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n_a, n_b, d): the largest gap between the distributions of two samples, told apart by a boolean column.
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import CELL_STRIDE, cell_index, cell_key, haversine
+from topotide.operators.regions import SQUARE, regions_of
 
 Box = tuple[float, float, float, float]
 
@@ -85,23 +87,17 @@ def network_of(user: Column) -> Column:
     return F.when(user.rlike("^[0-9]+$"), "4sq").otherwise(F.split(user, "_")[0])
 
 
-def country_of(cells: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Add country to rows with ci, cj: the polygon that holds the cell's point.
+def country_of(cells: DataFrame, polygons: DataFrame, size: float, aliases: Mapping[str, str] | None = None, square: float = SQUARE) -> DataFrame:
+    """Add country to rows with ci, cj: the polygon that holds the cell's point, null if none does.
 
-    ``polygons`` has (country, ring array<struct<lat,lon>>).  Each distinct
-    cell is looked up once: bounding boxes first, then crossings of a ray.
+    ``polygons`` has (country, ring array<struct<lat,lon>>), or (country, rings
+    array of such) with parts and holes; several rows of a country add up.
+    Each distinct cell is looked up once.
     """
-    ring = F.col("ring")
-    boxes = polygons.select("country", ring, F.array_min(ring.lat).alias("a"), F.array_max(ring.lat).alias("b"), F.array_min(ring.lon).alias("c"), F.array_max(ring.lon).alias("d"))
-    points = cell_point(cells.select("ci", "cj").distinct(), size)
-    near = points.join(boxes, F.col("cell_lat").between(F.col("a"), F.col("b")) & F.col("cell_lon").between(F.col("c"), F.col("d")))
-    crossings = F.expr(
-        """aggregate(sequence(1, size(ring)), 0, (n, i) -> n + CASE WHEN
-        (ring[i - 1].lat > cell_lat) <> (ring[i % size(ring)].lat > cell_lat) AND cell_lon <
-        (ring[i % size(ring)].lon - ring[i - 1].lon) * (cell_lat - ring[i - 1].lat) / (ring[i % size(ring)].lat - ring[i - 1].lat) + ring[i - 1].lon
-        THEN 1 ELSE 0 END)"""
-    )
-    found = near.where(crossings % 2 == 1).groupBy("ci", "cj").agg(F.min("country").alias("country"))
+    rings = F.array("ring") if "ring" in polygons.columns else F.col("rings")
+    regions = polygons.select(F.col("country").alias("region"), rings.alias("rings")).groupBy("region").agg(F.flatten(F.collect_list("rings")).alias("rings"))
+    points = cell_point(cells.select("ci", "cj").distinct(), size).select("ci", "cj", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"))
+    found = regions_of(points, regions, aliases, square).withColumnRenamed("region", "country")
     return cells.join(found, ["ci", "cj"], "left")
 
 

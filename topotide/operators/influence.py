@@ -6,9 +6,12 @@ merged sets, never from their pairs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topotide.functions.columns import bin_up
 
 
 def before_after(occ: DataFrame, loc: str = "loc") -> DataFrame:
@@ -130,19 +133,48 @@ def model_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return top(a).join(top(b), "loc").agg((F.count("*") / k).alias("overlap"))
 
 
-def rank_accuracy(order: DataFrame, occ: DataFrame, loc: str = "loc") -> DataFrame:
+def misranked(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, wrong): of the n rows (keys, pos, rank) of a key, the pairs that pos and rank order differently.
+
+    Ranks are whole numbers from 0; equal ones are in no order.  Two ranks
+    differ first in one bit: rows are dealt by the bits above it, and a running
+    sum over pos counts the ones before each zero.  So a row comes once a bit,
+    and no two rows of a key are set against each other.
+    """
+    keys = list(keys)
+    top = rows.agg(F.max("rank").alias("m")).first()["m"] or 0
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(int(top).bit_length(), 1) - 1)))
+    bits = rows.select(*keys, "pos", "rank", levels.alias("level")).withColumns({"above": F.expr("shiftright(rank, level + 1)"), "one": F.expr("shiftright(rank, level) & 1")})
+    before = F.sum("one").over(Window.partitionBy(*keys, "level", "above").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wrong = bits.withColumn("before", before).groupBy(*keys).agg(F.sum(F.when(F.col("one") == 0, F.col("before")).otherwise(0)).alias("wrong"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(wrong, keys)
+
+
+def rank_accuracy(order: DataFrame, occ: DataFrame, loc: str = "loc", seed: int | None = None) -> DataFrame:
     """(topic, accuracy): mean over locations of 1 - misranked/(n - 1), for the order in which locations first saw a topic.
 
-    ``order`` has (loc, rank).  A location is misranked against those that the
-    model and the topic order differently.
+    ``order`` has (loc, rank); locations of one rank, as those of one zone,
+    are in no order.  A location is misranked against those that the model and
+    the topic order differently.  With a seed the topic's order is shuffled
+    first, by hashes, which gives the accuracy of chance.
     """
-    first = occ.groupBy("topic", F.col(loc).alias("loc")).agg(F.min("t").alias("t")).join(order, "loc")
-    pos = F.row_number().over(Window.partitionBy("topic").orderBy("t", "loc"))
-    rows = first.select("topic", "loc", "rank", pos.alias("pos"), F.count("*").over(Window.partitionBy("topic")).alias("n")).where("n > 1")
-    other = rows.select("topic", F.col("rank").alias("rank2"), F.col("pos").alias("pos2"))
-    wrong = ((F.col("pos") < F.col("pos2")) & (F.col("rank") > F.col("rank2"))) | ((F.col("pos") > F.col("pos2")) & (F.col("rank") < F.col("rank2")))
-    per = rows.join(other, "topic").groupBy("topic", "loc", "n").agg(F.sum(wrong.cast("bigint")).alias("wrong"))
-    return per.groupBy("topic").agg(F.avg(1 - F.col("wrong") / (F.col("n") - 1)).alias("accuracy"))
+    dense = order.select("loc", (F.dense_rank().over(Window.orderBy("rank")) - 1).cast("bigint").alias("rank"))  # a row a location
+    first = occ.groupBy("topic", F.col(loc).alias("loc")).agg(F.min("t").alias("t")).join(dense, "loc")
+    by = ["t", "loc"] if seed is None else [F.xxhash64(F.lit(seed), "topic", "loc"), "loc"]
+    rows = first.select("topic", "rank", F.row_number().over(Window.partitionBy("topic").orderBy(*by)).alias("pos"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return misranked(rows, ["topic"]).where("n > 1").select("topic", (1 - F.col("wrong") / pairs).alias("accuracy"))
+
+
+def rank_accuracy_by_bin(order: DataFrame, occ: DataFrame, loc: str = "loc", width: int = 20, seed: int | None = None) -> DataFrame:
+    """(bin, n_topics, accuracy) by the occurrences of topics, and with a seed shuffled, the accuracy of chance."""
+    bins = occ.groupBy("topic").agg(bin_up(F.count("*"), width).alias("bin"))
+    rows = rank_accuracy(order, occ, loc).join(bins, "topic")
+    means = [F.count("*").alias("n_topics"), F.avg("accuracy").alias("accuracy")]
+    if seed is not None:
+        rows = rows.join(rank_accuracy(order, occ, loc, seed).withColumnRenamed("accuracy", "chance"), "topic")
+        means.append(F.avg("chance").alias("shuffled"))
+    return rows.groupBy("bin").agg(*means)
 
 
 def directed_vectors(scored: DataFrame, kind: str, top: int = 25) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topotide.functions.statistics import student_tail
+from topotide.plans.shipping import ship
+
 
 def regression_frames(counts: DataFrame, links: DataFrame) -> DataFrame:
     """(target, predictor, topic, x, y): topic counts of a cell and of each neighbour; a missing count is 0.
@@ -55,13 +58,17 @@ def predicted(rows: DataFrame, models: DataFrame, keys: Sequence[str], features:
     return rows.join(models.select(*keys, "coefficients"), list(keys)).withColumn("score", score).drop("coefficients")
 
 
-def significant_neighbours(frames: DataFrame, n_topics: int, least_t: float = 1.96) -> DataFrame:
+def significant_neighbours(frames: DataFrame, n_topics: int, alpha: float = 0.05) -> DataFrame:
     """(cell, neighbours): neighbours whose counts predict the cell's, after the least significant are dropped one by one.
 
+    A neighbour stays if the two-sided p-value of its coefficient, by Student's
+    t with as many degrees of freedom as topics are left, is at most ``alpha``.
+
     Cross products of a target's predictors come from a self-join on (target,
     topic) of non-zero counts; each target's matrix, as wide as its
     neighbourhood, goes through the elimination by itself.
     """
+    ship(frames.sparkSession)
     x = frames.where("x <> 0").select("target", "topic", F.col("predictor").alias("a"), F.col("x").cast("double").alias("xa"))
     gram = x.join(x.select("target", "topic", F.col("a").alias("b"), F.col("xa").alias("xb")), ["target", "topic"]).groupBy("target", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("v"))
     own = frames.groupBy("target", "predictor").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("v"))
@@ -87,7 +94,7 @@ def significant_neighbours(frames: DataFrame, n_topics: int, least_t: float = 1.
             var = max(yy - beta @ h[keep], 1e-12) / left
             t = np.abs(beta) / np.sqrt(np.maximum(np.diag(inv) * var, 1e-12))
             worst = int(np.argmin(t))
-            if t[worst] >= least_t:
+            if student_tail(float(t[worst]), left) <= alpha:
                 break
             del keep[worst]
         return pd.DataFrame({"cell": [df["target"].iloc[0]], "neighbours": [[int(names[i]) for i in keep]]})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import haversine, temporal_score
+from topotide.functions.statistics import random_pattern_p, sampled_pattern_p
 from topotide.operators.timeline import drop_outliers
 from topotide.plans.scratch import first_rows, written
 
@@ -209,11 +210,21 @@ def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return sums.select(((F.col("ij") - expected) / ((F.col("x") + F.col("y")) / 2 - expected)).alias("adjusted_rand"))
 
 
-def location_clusters(occ: DataFrame, loc: str, min_share: float = 0.03, min_topics: int = 25, min_jaccard: float = 0.1) -> DataFrame:
-    """(l, r, n_common, jaccard) of locations that hold enough of a topic each, have enough topics, and share enough."""
+def location_clusters(occ: DataFrame, loc: str, min_share: float = 0.03, min_topics: int = 25, min_jaccard: float = 0.1, max_p: float | None = None, draws: int | None = None, seed: int = 7) -> DataFrame:
+    """(l, r, n_common, jaccard) of locations that hold enough of a topic each, have enough topics, and share enough.
+
+    With ``max_p`` also p: how well chance explains which of their topics two
+    locations share, meaned over all random patterns (``random_pattern_p``), or
+    over ``draws`` of them by hashes of the pair; pairs above ``max_p`` go.
+    """
     counts = occ.groupBy(F.col(loc).alias("loc"), "topic").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
     rows = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("topic"))).where(F.col("share") >= min_share)
     rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("loc"))).where(F.col("k") >= min_topics)
     pairs = _self_pairs(rows).groupBy("l", "r").agg(F.count("*").alias("n_common"))
     both = pairs.join(_sizes(rows, "l", "a"), "l").join(_sizes(rows, "r", "b"), "r")
-    return both.select("l", "r", "n_common", (F.col("n_common") / (F.col("a") + F.col("b") - F.col("n_common"))).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+    whole = F.col("a") + F.col("b") - F.col("n_common")
+    found = both.select("l", "r", "n_common", (F.col("n_common") / whole).alias("jaccard"), whole.alias("n")).where(F.col("jaccard") >= min_jaccard)
+    if max_p is None:
+        return found.drop("n")
+    p = random_pattern_p(F.col("n"), F.col("n_common")) if draws is None else sampled_pattern_p(F.col("n"), F.col("n_common"), draws, F.lit(seed), F.col("l"), F.col("r"))
+    return found.withColumn("p", p).drop("n").where(F.col("p") <= max_p)

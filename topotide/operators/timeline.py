@@ -197,19 +197,6 @@ def displacement_by_day(occ: DataFrame, day: int = 86400) -> DataFrame:
     return days.join(centre, ["topic", "day"]).groupBy("topic", "day").agg(F.count(F.lit(1)).alias("n"), F.avg(miles).alias("miles"))
 
 
-def locality_index(occ: DataFrame, size: float, shares: Sequence[float] = (0.5, 0.75)) -> DataFrame:
-    """(topic, k, radius): smallest radius around one of a topic's cells that covers a share k of its occurrences."""
-    cells = occ.groupBy("topic", "ci", "cj").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("total", F.sum("n").over(by_topic()))
-    a = cells.select("topic", F.col("ci").alias("a"), F.col("cj").alias("b"))
-    miles = F.round(haversine(F.col("a") * size, F.col("b") * size, F.col("ci") * size, F.col("cj") * size), 6)
-    both = cells.join(a, "topic").withColumn("miles", miles)
-    around = both.groupBy("topic", "a", "b", "total", "miles").agg(F.sum("n").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("topic", "a", "b").orderBy("miles"))
-    reached = around.withColumn("cover", run / F.col("total")).withColumn("k", F.explode(F.array(*[F.lit(s) for s in shares])))
-    return reached.where("cover >= k").groupBy("topic", "k").agg(F.min("miles").alias("radius"))
-
-
 def life_span(occ: DataFrame) -> DataFrame:
     """(topic, minutes) between first and last bucket, after the outlier filter over the topic's buckets."""
     clean = drop_outliers(occ.select("topic", "bucket"), ["topic"], "bucket")

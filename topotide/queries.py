@@ -14,7 +14,7 @@ from topotide.operators import graphs, grid
 from topotide.operators import influence as infl
 from topotide.operators import metrics as met
 from topotide.operators import pairs as pr
-from topotide.operators import linear, selection
+from topotide.operators import linear, locality, selection
 from topotide.operators import predict as pred
 from topotide.operators import timeline as tl
 from topotide.sources import adapter as src
@@ -195,7 +195,7 @@ _query(
 )
 _query(
     "locality_index",
-    lambda s, d: tl.locality_index(_occ(s, d), src.SIZE),
+    lambda s, d: locality.locality_index(_occ(s, d), src.SIZE, (0.5, 0.75)).drop("ci", "cj"),
     _OCC + f", tc AS (SELECT topic, ci, cj, count(*) AS n FROM occ GROUP BY ALL), tt AS (SELECT topic, sum(n) AS total FROM tc GROUP BY topic), ds AS (SELECT a.topic, a.ci AS x, a.cj AS y, b.n, round({_HAV.format('a.ci * 14.5', 'a.cj * 14.5', 'b.ci * 14.5', 'b.cj * 14.5')}, 6) AS miles FROM tc a JOIN tc b USING (topic)), rn AS (SELECT topic, miles, sum(n) OVER (PARTITION BY topic, x, y ORDER BY miles) AS run FROM ds)\nSELECT topic, k, min(miles) AS radius FROM rn JOIN tt USING (topic), (SELECT unnest([0.5, 0.75]::DOUBLE[]) AS k) WHERE run / total >= k GROUP BY topic, k",
     "k radius",
 )
@@ -510,3 +510,4 @@ _query("in_out_closeness", lambda s, d: pr.in_out_closeness_graph(_loc_topics(s,
 _query("metric_cells", lambda s, d: grid.with_metric_cell(_occ(s, d), 100_000).groupBy("utm_cell").agg(F.count("*").alias("n")))
 
 from topotide import queries_more  # noqa: E402, F401  registers more queries, which use the fragments above
+from topotide import queries_depth  # noqa: E402, F401
