@@ -152,3 +152,50 @@ def test_regions_equal_ray_casting_over_all_edges(spark, square):
         assert got.get(i) == (min(own) if own else None), (i, lat, lon)
     squares = regions.covers(regions.region_edges(rings), square).collect()
     assert any(r.inner for r in squares) or square > 1
+
+
+def test_forest_equals_brute_force_and_its_cuts_single_linkage(spark):
+    rng = random.Random(12)
+    nodes = list(range(14))
+    weights = {(a, b): rng.randrange(1, 9) / 2 for a, b in itertools.combinations(nodes[:12], 2) if rng.random() < 0.3}
+    edges = spark.createDataFrame([(a, b, w) if rng.random() < 0.5 else (b, a, w) for (a, b), w in weights.items()], "u long, v long, w double")
+
+    def parts(some):
+        label = {n: n for n in nodes}
+        for a, b in some:
+            x, y = sorted((label[a], label[b]))
+            label = {n: x if v == y else v for n, v in label.items()}
+        return label
+
+    want, label = 0.0, {n: n for n in nodes}
+    for (a, b), w in sorted(weights.items(), key=lambda e: -e[1]):
+        if label[a] != label[b]:
+            want += w
+            x, y = sorted((label[a], label[b]))
+            label = {n: x if v == y else v for n, v in label.items()}
+    forest = clusters.spanning_forest(edges)
+    kept = [((r.u, r.v), r.w) for r in forest.collect()]
+    assert abs(sum(w for _, w in kept) - want) < 1e-9 and parts(e for e, _ in kept) == parts(weights) and all(weights[e] == w for e, w in kept)
+    frame = spark.createDataFrame([(n,) for n in nodes], "node long")
+    for height in (1.0, 2.5, 4.0, 9.0):
+        assert {r.node: r.cluster for r in clusters.cut_forest(forest, frame, height).collect()} == parts(e for e, w in weights.items() if w >= height)
+    for k in (14, 8, 6, 1):
+        assert len({r.cluster for r in clusters.cut_forest(forest, frame, clusters=k).collect()}) == max(k, len(set(parts(weights).values())))
+    assert clusters.spanning_forest(edges.where("w < 0")).count() == 0
+
+
+def test_zones_of_linked_locations(spark):
+    scores = spark.createDataFrame([(1, 0.0), (2, 0.05), (3, 0.1), (4, 0.12), (5, 0.9)], "loc long, score double")
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 5), (1, 5)], "loc long, nbr long")
+    got = {r["loc"]: r["zone"] for r in clusters.influence_zones(scores, 0.1, links).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3}
+    assert {r["loc"]: r["zone"] for r in clusters.influence_zones(scores, 0.1).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
+
+
+def test_clusters_are_mapped_by_their_overlap(spark):
+    a = spark.createDataFrame([(i, i // 4) for i in range(12)], "node long, cluster long")
+    b = spark.createDataFrame([(0, 9), (1, 9), (2, 9), (4, 8), (5, 8), (3, 7), (6, 7), (8, 7), (9, 6), (10, 6), (11, 6)], "node long, cluster long")
+    got = {r.y: (r.x, r.n, r.share) for r in pairs.cluster_mapping(a, b).collect()}
+    assert got == {9: (0, 3, 1.0), 8: (1, 2, 1.0), 6: (2, 3, 1.0)}
+    assert pairs.cluster_agreement(a, b, 0.5).first()[0] == pytest.approx(1.0)
+    assert pairs.cluster_agreement(a, b).first()[0] < 1

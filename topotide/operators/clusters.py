@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topotide.functions.statistics import bound, coin_heads, dealt_p, random_pattern_p, sampled_pattern_p
 from topotide.operators.graphs import components
-from topotide.plans.scratch import new_path, remove, written
+from topotide.plans.scratch import first_rows, new_path, remove, written
 
 
 def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 20, prune: float = 1e-4) -> DataFrame:
@@ -86,19 +86,80 @@ def affinity_clusters(edges: DataFrame, damping: float = 0.5, rounds: int = 1000
     return labels.select("node", F.col("component").alias("cluster"))
 
 
-def influence_zones(scored: DataFrame, width: float = 0.02) -> DataFrame:
-    """(loc, score, zone): locations (loc, score) in zones of near scores.
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(u, v, w): a heaviest spanning forest of undirected edges (u, v, w), the tree of single-link clustering.
 
-    In the order of scores a new zone starts where the step is wider than
-    ``width``; zones of one location are merged into one; zones are numbered
-    by their smallest score.  One row a location.
+    In each round every part of the graph takes its heaviest edge to another
+    part, the smallest ends of ties, and parts that share an edge become one;
+    of the edges between two parts only the heaviest goes on.  The parts at
+    least halve in a round.
     """
-    order = Window.orderBy("score", "loc")
-    marked = scored.select("loc", "score", F.when(F.col("score") - F.lag("score").over(order) > width, 1).otherwise(0).alias("new"))
-    raw = marked.withColumn("z", F.sum("new").over(order))
-    raw = raw.withColumn("z", F.when(F.count("*").over(Window.partitionBy("z")) == 1, -1).otherwise(F.col("z")))
-    low = raw.withColumn("low", F.min("score").over(Window.partitionBy("z")))
-    return low.select("loc", "score", F.dense_rank().over(Window.orderBy("low", "z")).cast("bigint").alias("zone"))
+    spark = edges.sparkSession
+    path = new_path(spark, "open")
+    open_ = edges.where("u is not null and v is not null and u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    open_ = written(_heaviest(open_), "open", path)
+    found = None
+    while not open_.isEmpty():
+        ends = open_.select(F.col("a").alias("part"), "*").unionByName(open_.select(F.col("b").alias("part"), "*"))
+        picked = ends.groupBy("part").agg(F.min(F.struct((-F.col("w")).alias("m"), "u", "v", "a", "b", "w")).alias("x")).select("x.*").drop("m").distinct()
+        picked = written(picked, "picked")
+        found = picked.select("u", "v", "w") if found is None else found.unionByName(picked.select("u", "v", "w"))
+        labels = components(picked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        to = [labels.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")) for c in ("a", "b")]
+        moved = open_.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "u", "v", "w").where("a <> b")
+        next_path = new_path(spark, "open")
+        open_ = written(_heaviest(moved), "open", next_path)
+        remove(spark, path)
+        path = next_path
+    return open_.select("u", "v", "w") if found is None else found
+
+
+def _heaviest(edges: DataFrame) -> DataFrame:
+    """Of the edges between two parts a, b the heaviest."""
+    rows = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "u", "v", "w")
+    return rows.groupBy("a", "b").agg(F.min(F.struct((-F.col("w")).alias("m"), "u", "v", "w")).alias("x")).select("a", "b", "x.u", "x.v", "x.w")
+
+
+def cut_forest(forest: DataFrame, nodes: DataFrame, height: float | None = None, clusters: int | None = None) -> DataFrame:
+    """(node, cluster) of all ``nodes`` (node): the trees left after the forest's edges below ``height`` go, or its lightest edges until there are ``clusters``.
+
+    A cluster is named by its smallest node.  Trees that no edge joins stay
+    apart, so there may be more clusters than asked for.
+    """
+    nodes = nodes.select("node").distinct()
+    kept = forest.select("u", "v", "w")
+    if height is not None:
+        kept = kept.where(F.col("w") >= height)
+    if clusters is not None:
+        joins = max(nodes.count() - clusters, 0)  # each edge of a forest joins two trees
+        kept = first_rows(kept.withColumn("light", -F.col("w")), joins, "light", "u", "v").select("u", "v", "w") if joins else kept.where(F.lit(False))
+    labels = components(kept)
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+
+
+def influence_zones(scored: DataFrame, width: float = 0.02, links: DataFrame | None = None) -> DataFrame:
+    """(loc, score, zone): locations (loc, score) in zones of near scores, by single-link clustering.
+
+    Two locations have a similarity of 1 / (1 + the difference of their
+    scores); the clustering is cut where scores differ by more than ``width``,
+    which leaves the components of the edges within it.  Similar are those of
+    ``links`` (loc, nbr), or without it any two: components are then runs in
+    the order of scores, a row a location.  Zones of one location are merged
+    into one; zones are numbered by their smallest score.
+    """
+    if links is None:
+        order = Window.orderBy("score", "loc")
+        new = F.when(F.col("score") - F.lag("score").over(order) > width, 1).otherwise(0)
+        rows = scored.select("loc", "score", new.alias("new")).withColumn("z", F.sum("new").over(order)).drop("new")
+    else:
+        own, other = scored.select("loc", "score"), scored.select(F.col("loc").alias("nbr"), F.col("score").alias("other"))
+        edges = links.select("loc", "nbr").where("loc <> nbr").join(own, "loc").join(other, "nbr").where(F.abs(F.col("score") - F.col("other")) <= width)
+        zones = cut_forest(edges.select(F.col("loc").alias("u"), F.col("nbr").alias("v"), F.lit(1.0).alias("w")), scored.select(F.col("loc").alias("node")))
+        rows = scored.select("loc", "score").join(zones.select(F.col("node").alias("loc"), F.col("cluster").alias("z")), "loc")
+    alone = F.count("*").over(Window.partitionBy("z")) == 1
+    rows = rows.withColumn("single", alone).withColumn("z", F.when(~F.col("single"), F.col("z")))
+    low = rows.withColumn("low", F.min("score").over(Window.partitionBy("single", "z")))
+    return low.select("loc", "score", F.dense_rank().over(Window.orderBy("low", F.col("single").desc(), "z")).cast("bigint").alias("zone"))  # a row a location
 
 
 def binomial_p(patterns: DataFrame) -> DataFrame:

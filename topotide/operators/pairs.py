@@ -197,8 +197,29 @@ def dyadic_range(rollup: DataFrame, start: int, end: int) -> DataFrame:
     return rollup.join(F.broadcast(wanted), ["level", "block"]).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
-def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(adjusted_rand): agreement of two clusterings (node, cluster)."""
+def cluster_mapping(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+    """(y, x, n, share): for each cluster y of ``b`` the cluster x of ``a`` (node, cluster) with which it has most nodes n, the smallest of ties.
+
+    share is n over the smaller cluster; a y whose share is below ``least``
+    has no counterpart and makes no row.
+    """
+    sizes = [d.groupBy(F.col("cluster").alias(c)).agg(F.count("*").alias(f"of_{c}")) for d, c in ((a, "x"), (b, "y"))]
+    both = a.select("node", F.col("cluster").alias("x")).join(b.select("node", F.col("cluster").alias("y")), "node").groupBy("x", "y").agg(F.count("*").alias("n"))
+    best = both.groupBy("y").agg(F.min(F.struct((-F.col("n")).alias("m"), "x")).alias("b")).select("y", F.col("b.x").alias("x"), (-F.col("b.m")).alias("n"))
+    shares = best.join(sizes[0], "x").join(sizes[1], "y").withColumn("share", F.col("n") / F.least("of_x", "of_y"))
+    return shares.where(F.col("share") >= least).select("y", "x", "n", "share")
+
+
+def cluster_agreement(a: DataFrame, b: DataFrame, least: float | None = None) -> DataFrame:
+    """(adjusted_rand): agreement of two clusterings (node, cluster).
+
+    With ``least``, clusters of ``b`` take the name of their counterpart in
+    ``a`` first (``cluster_mapping``), and nodes of clusters without one are
+    left out.  Two clusterings that both hold all nodes together agree.
+    """
+    if least is not None:
+        named = cluster_mapping(a, b, least).select("y", F.col("x").alias("to"))
+        b = b.join(named, F.col("cluster") == F.col("y")).select("node", F.col("to").alias("cluster"))
     both = a.select("node", F.col("cluster").alias("x")).join(b.select("node", F.col("cluster").alias("y")), "node")
     choose = F.col("n") * (F.col("n") - 1) / 2
     cells = both.groupBy("x", "y").agg(F.count("*").alias("n"))
@@ -207,7 +228,7 @@ def cluster_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
         sums = sums.crossJoin(F.broadcast(cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(choose).alias(c))))
     all_pairs = F.col("total") * (F.col("total") - 1) / 2
     expected = F.col("x") * F.col("y") / all_pairs
-    return sums.select(((F.col("ij") - expected) / ((F.col("x") + F.col("y")) / 2 - expected)).alias("adjusted_rand"))
+    return sums.select(F.coalesce(F.try_divide(F.col("ij") - expected, (F.col("x") + F.col("y")) / 2 - expected), F.lit(1.0)).alias("adjusted_rand"))
 
 
 def location_clusters(occ: DataFrame, loc: str, min_share: float = 0.03, min_topics: int = 25, min_jaccard: float = 0.1, max_p: float | None = None, draws: int | None = None, seed: int = 7) -> DataFrame:

@@ -12,7 +12,7 @@ from topotide.operators import grid
 from topotide.operators import influence as infl
 from topotide.operators import locality
 from topotide.operators import pairs as pr
-from topotide.queries import _HAV, _MAJ, _OCC, _PAIRS, _loc_topics, _majority, _occ, _query
+from topotide.queries import _HAV, _MAJ, _MET, _OCC, _PAIRS, _influence, _loc_topics, _majority, _metrics, _occ, _query
 from topotide.queries_more import _DIST, _distances
 from topotide.sources import adapter as src
 
@@ -94,6 +94,43 @@ _query(
     "share",
 )
 
+# clusterings
+_query("influence_zones_linked", lambda s, d: cl.influence_zones(infl.boundary_influence(_influence(s, d), 25), 0.00002, pr.lattice_graph(_loc_topics(s, d), 5)))
+
+_query("sharing_forest", lambda s, d: cl.spanning_forest(_distances(s, d).select(F.col("l").alias("u"), F.col("r").alias("v"), F.round("jaccard", 9).alias("w"))))
+
+
+def _sharing_clusters(s: SparkSession, d: str) -> DataFrame:
+    forest = cl.spanning_forest(_distances(s, d).select(F.col("l").alias("u"), F.col("r").alias("v"), F.round("jaccard", 9).alias("w")))
+    return cl.cut_forest(forest, src.location_points(s, d).select(F.col("loc").alias("node")), clusters=6)
+
+
+_query("sharing_clusters", _sharing_clusters)
+
+
+def _by_gaps(s: SparkSession, d: str, value: str, width: float) -> DataFrame:
+    """Topics in zones of near values, as a clustering."""
+    zones = cl.influence_zones(_metrics(s, d).select(F.col("topic").alias("loc"), F.round(value, 9).alias("score")), width)
+    return zones.select(F.col("loc").alias("node"), F.col("zone").alias("cluster"))
+
+
+def _gaps_sql(name: str, value: str, width: float) -> str:
+    return (
+        f"{name}0 AS (SELECT topic, round({value}, 9) AS s FROM met), {name}1 AS (SELECT *, CASE WHEN s - lag(s) OVER (ORDER BY s, topic) > {width} THEN 1 ELSE 0 END AS w FROM {name}0), "
+        f"{name}2 AS (SELECT topic, sum(w) OVER (ORDER BY s, topic) AS z FROM {name}1), {name} AS (SELECT topic, CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN -1 ELSE z END AS z FROM {name}2)"
+    )
+
+
+_CLUSTERINGS = _MET + ", " + _gaps_sql("ca", "entropy", 0.02) + ", " + _gaps_sql("cb", "focus", 0.002)
+_CELLS_OF = ", ct0 AS (SELECT a.z AS x, b.z AS y, count(*) AS n FROM ca a JOIN cb b USING (topic) GROUP BY ALL)"
+_query("cluster_mapping_sizes", lambda s, d: pr.cluster_mapping(_by_gaps(s, d, "entropy", 0.02), _by_gaps(s, d, "focus", 0.002)).select("n", "share"), _CLUSTERINGS + _CELLS_OF + ", sa AS (SELECT z AS x, count(*) AS i FROM ca GROUP BY z), sb AS (SELECT z AS y, count(*) AS j FROM cb GROUP BY z), mb AS (SELECT y, max(n) AS n FROM ct0 GROUP BY y)\nSELECT n, max(n / least(i, j)) AS share FROM mb JOIN ct0 USING (y, n) JOIN sa USING (x) JOIN sb USING (y) GROUP BY y, n HAVING max(n / least(i, j)) >= 0.5", "share")
+_query(
+    "zone_agreement",
+    lambda s, d: pr.cluster_agreement(_by_gaps(s, d, "entropy", 0.02), _by_gaps(s, d, "focus", 0.002)),
+    _CLUSTERINGS + _CELLS_OF + ", su AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct0) AS ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM ct0 GROUP BY x)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM ct0 GROUP BY y)) AS b, (SELECT sum(n) FROM ct0) AS t)\nSELECT (ij - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)) AS adjusted_rand FROM su",
+    "adjusted_rand",
+)
+
 # patterns against chance
 _choose = lambda m, k: f"(lgamma({m} + 1.0) - lgamma({k} + 1.0) - lgamma({m} - {k} + 1.0))"
 _EXPECTED = (
