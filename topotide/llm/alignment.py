@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from topotide.llm.blocks import lists, numbered, restored, single, slices, spread, squeezed, stored, with_parts
 from topotide.llm.caches import hold, tidied
-from topotide.llm.tables import table, text_of
+from topotide.llm.tables import plainly_named, table, text_of
 from topotide.llm.token_output import _NOT_PLAIN, splits_at_spaces
 from topotide.llm.word_bpe import byte_alphabet
 
@@ -228,7 +228,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
     count as often as they come; an empty table gives no rows.  Other columns
     return unchanged, whatever their names.
     """
-    made = aligned_blocks(docs, a_path, b_path, text)
+    names = [c for c in docs.columns if c != text]
+    made = aligned_blocks(plainly_named(docs, text), a_path, b_path, text)
     blocks = stored(made.withColumn("groups", F.transform("groups", groups)), "aligned_blocks")
     zipped = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("code", "x")).select("block", "code", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     scored = zipped.join(id_pairs(blocks), ["a", "b"]).select("block", "code", (F.col("count") * 2 + F.col("best").cast("long")).alias("score"))
@@ -256,7 +257,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", groups:
 
     longs = ", ".join(f"{c} long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     ordered = both.select("keys", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "parts")
-    return ordered.mapInArrow(tidied(run), f"key {key}, {longs}, groups {kind}").select("key.*", *[c.split()[0] for c in longs.split(", ")], "groups")
+    numbers = [c.split()[0] for c in longs.split(", ")]
+    return ordered.mapInArrow(tidied(run), f"key {key}, {longs}, groups {kind}").select("key.*", *numbers, "groups").toDF(*names, *numbers, "groups")
 
 
 def alignments(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def plainly_named(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with names that clash with nothing: the ``used`` columns keep theirs, the others are numbered.
+
+    Columns are taken by position, so dots, operators' own helper names and
+    names that differ in case alone do no harm; ``toDF`` with the old names
+    turns the result back.
+    """
+    names = docs.columns
+    return docs.toDF(*[n if n in used and names.index(n) == i else f"column_{i}" for i, n in enumerate(names)])
+
+
 def unique_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` with one row for each key.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topotide.llm.tables import table
+from topotide.llm.tables import plainly_named, table
 from topotide.plans.scratch import written
 
 SCALE, OFFSET = 1024, 100_000
@@ -166,6 +166,7 @@ def whitened(vectors: DataFrame, fit: Whitening, vector: str = "embedding") -> D
     A component whose eigenvalue is zero, to the precision of doubles, has no
     scale: its place in whitened is null.
     """
+    names, vectors = [c for c in vectors.columns if c != vector], plainly_named(vectors, vector)
     n, width = fit.n, len(fit.sums)
     usable = fit.values > max(float(fit.values[0]), 0.0) * width * np.finfo(float).eps
     scale = np.where(usable, 1 / np.sqrt(np.where(usable, fit.values, 1.0)), np.nan)
@@ -185,7 +186,7 @@ def whitened(vectors: DataFrame, fit: Whitening, vector: str = "embedding") -> D
     others = [f"`{c}`" for c in vectors.columns if c != vector]
     slim = vectors.select(F.struct(*others).alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     made = slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, deviation decimal(38,0), whitened array<double>")
-    return made.select("key.*", "deviation", "whitened")
+    return made.select("key.*", "deviation", "whitened").toDF(*names, "deviation", "whitened")
 
 
 def identity_error(rows: DataFrame, width: int) -> float | None:

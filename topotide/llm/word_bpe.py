@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from topotide.llm.blocks import lists, numbered, ranked, restored, single, slices, spread, squeezed, stored, with_parts
 from topotide.llm.caches import hold, tidied
-from topotide.llm.tables import table, text_of
+from topotide.llm.tables import plainly_named, table, text_of
 
 #: Bytes of text that are split at a time.
 SPLIT_BYTES = 2 << 20
@@ -205,7 +205,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
     an empty table gives no rows.  Other columns, ids aside, return unchanged,
     whatever their names.
     """
-    blocks = stored(word_blocks(docs, tokenizer_path, text), "word_blocks")
+    names = [c for c in docs.columns if c != text]
+    blocks = stored(word_blocks(plainly_named(docs, text), tokenizer_path, text), "word_blocks")
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     both = with_parts(blocks.drop("words"), encoded_words(words, tokenizer_path))
     key = blocks.schema["keys"].dataType.elementType.simpleString()
@@ -232,7 +233,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
                     step = upto
 
     made = both.select("keys", "lengths", "places", "parts").mapInArrow(tidied(run), f"key {key}, ids array<int>")
-    return made.select("key.*", "ids")
+    return made.select("key.*", "ids").toDF(*names, "ids")
 
 
 def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -253,6 +254,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "
     id that the vocabulary doesn't have adds nothing, as in the library.  Other
     columns, the text's name aside, return unchanged, whatever their names.
     """
+    names, rows = [c for c in rows.columns if c != ids], plainly_named(rows, ids)
     slim = rows.select(F.struct(*[f"`{c}`" for c in rows.columns if c != ids]).alias("key"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     key = slim.schema["key"].dataType.simpleString()
 
@@ -311,7 +313,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", into: str = "
     flat = entries.select("place", "x.*")
     pieces = F.broadcast(vocabulary(rows.sparkSession, tokenizer_path))  # as many rows as the vocabulary
     joined = flat.join(pieces, "id", "left").select("place", "keys", "lengths", "codes", "size", "id", "piece")
-    return joined.mapInArrow(tidied(unpack), f"key {key}, text string").select("key.*", F.col("text").alias(into))
+    return joined.mapInArrow(tidied(unpack), f"key {key}, text string").select("key.*", "text").toDF(*names, into)
 
 
 def recoded(docs: DataFrame) -> DataFrame:
