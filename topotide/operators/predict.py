@@ -92,13 +92,66 @@ def model_gaps(rankings: DataFrame, better: str, worse: str) -> DataFrame:
     return both.withColumn("gap", F.col("better") - F.col("worse"))
 
 
+def window_grid(occ: DataFrame, windows: Sequence[tuple[int, int]], unit: int = 3600, loc: str = "loc") -> tuple[DataFrame, DataFrame]:
+    """``window_counts`` of all (h, p) of ``windows`` in one plan: tu is a struct of h, p and the time.
+
+    Every predictor and measure takes tu as a key alone, so each window goes
+    through them as times of its own.
+    """
+    sizes = F.explode(F.array(*[F.struct(F.lit(int(h)).alias("h"), F.lit(int(p)).alias("p")) for h, p in windows])).alias("w")
+    b = occ.groupBy((F.col("t") - F.pmod(F.col("t"), F.lit(unit))).alias("b"), F.col(loc).alias("loc"), "topic").agg(F.count("*").alias("n")).select("*", sizes)
+    step = F.lit(unit).cast("bigint")
+    past, ahead = F.sequence(F.col("b") + unit, F.col("b") + F.col("w.h") * unit, step), F.sequence(F.col("b") - (F.col("w.p") - 1) * unit, F.col("b"), step)
+    key = F.struct(F.col("w.h").alias("h"), F.col("w.p").alias("p"), F.col("at").alias("tu")).alias("tu")
+    return tuple(b.withColumn("at", F.explode(x)).groupBy(key, "loc", "topic").agg(F.sum("n").alias("n")) for x in (past, ahead))
+
+
 def performance_grid(occ: DataFrame, rank: Callable[[DataFrame], DataFrame], windows: Sequence[tuple[int, int]], ks: Sequence[int], names: Sequence[str] | None = None, unit: int = 3600, loc: str = "loc") -> DataFrame:
     """``evaluate`` rows with the lengths h and p of history and future, for each (h, p) of ``windows``; ``rank`` scores a history."""
-    parts = []
-    for h, p in windows:
-        history, future = window_counts(occ, h, p, unit, loc)
-        parts.append(evaluate(rank(history), future, ks, names).select(F.lit(h).alias("h"), F.lit(p).alias("p"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    history, future = window_grid(occ, windows, unit, loc)
+    rows = evaluate(rank(history), future, ks, names)
+    return rows.select("tu.h", "tu.p", "tu.tu", *[c for c in rows.columns if c != "tu"])
+
+
+def all_models(history: DataFrame, points: DataFrame, sharing: DataFrame, transmitting: DataFrame, seed: int | None = None) -> DataFrame:
+    """The rankings of every model: greedy, by links, by coverage, their combinations, and with a seed random."""
+    coverage = {k: predict_coverage(history, points, k) for k in ("probability", "distance")}
+    links = {"sharing": sharing, "transmitting": transmitting}
+    parts = [predict_greedy(history), *coverage.values()]
+    parts += [predict_by_links(history, p, name) for name, p in links.items()]
+    parts += [predict_with_coverage(history, p, c, f"{name}_coverage_{k}") for name, p in links.items() for k, c in coverage.items()]
+    parts += [predict_random(history, seed)] if seed is not None else []
+    return reduce(DataFrame.unionByName, [p.select("tu", "loc", "topic", "model", "score") for p in parts])
+
+
+def performance_curve(scored: DataFrame, future: DataFrame, most: int = 24, names: Sequence[str] | None = None) -> DataFrame:
+    """``evaluate`` rows for every k from 1 to ``most``, from one ranking a model.
+
+    A predicted topic counts from its rank on for the impact, and from the
+    later of its rank and its place among the best for the accuracy; so the
+    values at all k are running sums over at most ``most`` topics, and no
+    ranking is repeated for each k.
+    """
+    ideal = ideal_ranking(future)
+    best = top_k(ideal, most, ("tu", "loc")).select("tu", "loc", "topic", F.col("rank").alias("place"))
+    shares = ideal.select("tu", "loc", "topic", F.col("score").alias("share")).join(best, ["tu", "loc", "topic"], "left")
+    wholes = shares.where("place is not null").groupBy("tu", "loc").agg(F.sort_array(F.collect_list(F.struct("place", "share"))).alias("best"))
+    mine = top_k(scored, most).select("tu", "loc", "model", "topic", "rank").join(shares, ["tu", "loc", "topic"])
+    hits = mine.groupBy("tu", "loc", "model").agg(F.sort_array(F.collect_list(F.struct("rank", F.greatest("rank", "place").alias("both"), "share", "place"))).alias("hits"))
+    if names is None:
+        named = wholes.crossJoin(F.broadcast(scored.select("model").distinct()))  # a handful of names
+    else:
+        named = wholes.withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
+    present = scored.select("tu", "loc", "model").distinct().withColumn("ranked", F.lit(True))
+    rows = named.join(hits, ["tu", "loc", "model"], "left").join(present, ["tu", "loc", "model"], "left")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
+    total = lambda name, upto, value: F.aggregate(F.filter(F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType)), upto), F.lit(0.0), lambda s, x: s + value(x))
+    m = F.least(F.col("k"), F.size("best"))
+    best_share = total("best", lambda x: x["place"] <= F.col("k"), lambda x: x["share"])
+    hit = total("hits", lambda x: x["place"].isNotNull() & (x["both"] <= F.col("k")), lambda x: F.lit(1.0))
+    got = total("hits", lambda x: x["rank"] <= F.col("k"), lambda x: x["share"])
+    sums = rows.select("tu", "loc", "model", "k", m.alias("m"), best_share.alias("whole"), hit.alias("hit"), got.alias("got"), F.coalesce("ranked", F.lit(False)).alias("ranked"))
+    return sums.select("tu", "loc", "model", "k", (F.col("hit") / F.col("m")).alias("accuracy"), (F.col("got") / F.col("whole")).alias("impact"), F.when(F.col("ranked"), F.col("whole") - F.col("got")).otherwise(1.0).alias("difference"))
 
 
 def performance_by(grid: DataFrame, param: str, **fixed: int) -> DataFrame:

@@ -10,9 +10,11 @@ from topotide.operators import clusters as cl
 from topotide.operators import distributions as dist
 from topotide.operators import grid
 from topotide.operators import influence as infl
+from topotide.operators import linear
 from topotide.operators import locality
 from topotide.operators import pairs as pr
-from topotide.queries import _HAV, _MAJ, _MET, _OCC, _PAIRS, _influence, _loc_topics, _majority, _metrics, _occ, _query
+from topotide.operators import predict as pred
+from topotide.queries import SQL, _COVER, _EVAL, _FEW, _HAV, _LOCT, _MAJ, _MET, _OCC, _PAIRS, _influence, _loc_topics, _majority, _metrics, _occ, _query
 from topotide.queries_more import _DIST, _distances
 from topotide.sources import adapter as src
 
@@ -94,6 +96,73 @@ _query(
     "share",
 )
 
+# every model, window and k
+MODELS = ("greedy", "coverage_probability", "coverage_distance", "sharing", "transmitting", *[f"{n}_coverage_{k}" for n in ("sharing", "transmitting") for k in ("probability", "distance")])
+LEARNT = MODELS[:5]
+
+
+def _every_model(s: SparkSession, d: str, history: DataFrame) -> DataFrame:
+    rows = pr.location_topics(src.occ_few_topics(s, d), "loc")
+    return pred.all_models(history, src.location_points(s, d), pr.sharing_graph(rows), pr.transmitting_probability(rows))
+
+
+def _every_model_sql(h: int, p: int, ks: str) -> str:
+    """(model, k, n, accuracy, impact, difference) of all models."""
+    windows = (
+        _FEW + f", b AS (SELECT bucket, loc, topic, count(*) AS n FROM occ GROUP BY ALL), hi AS (SELECT tu, loc, topic, sum(n) AS n FROM (SELECT *, unnest(range(bucket + 3600, bucket + {h * 3600 + 1}, 3600)) AS tu FROM b) GROUP BY ALL), "
+        f"fu AS (SELECT tu, loc, topic, sum(n) AS n FROM (SELECT *, unnest(range(bucket - {(p - 1) * 3600}, bucket + 1, 3600)) AS tu FROM b) GROUP BY ALL), ideal AS (SELECT tu, loc, topic, n / sum(n) OVER (PARTITION BY tu, loc) AS share FROM fu)"
+    )
+    parts = ["SELECT tu, loc, topic, 'greedy' AS model, n / sum(n) OVER (PARTITION BY tu, loc) AS score FROM hi"]
+    links = ""
+    for kind, over in (("probability", "topic"), ("distance", "loc")):
+        links += f", c{kind[0]} AS (SELECT tu, loc, topic, s / sum(s) OVER (PARTITION BY tu, {over}) AS c FROM raw)"
+        parts.append(f"SELECT tu, loc, topic, 'coverage_{kind}', c FROM c{kind[0]}")
+    for name, later, least in (("sharing", "", " WHERE c / k >= 0.1"), ("transmitting", " AND a.first_t < b.first_t", "")):
+        x = name[0]
+        links += f", tt{x} AS (SELECT a.loc, b.loc AS nbr, count(*) AS c FROM lt a JOIN lt b USING (topic) WHERE a.loc <> b.loc{later} GROUP BY ALL), pp{x} AS (SELECT loc, nbr, c / k AS p FROM tt{x} JOIN sz USING (loc){least} UNION ALL SELECT DISTINCT loc, loc, 1.0 FROM hi)"
+        parts.append(f"SELECT tu, pp{x}.loc, topic, '{name}', sum(p) FROM hi JOIN pp{x} ON pp{x}.nbr = hi.loc GROUP BY tu, pp{x}.loc, topic")
+        for kind in ("probability", "distance"):
+            parts.append(f"SELECT tu, pp{x}.loc, topic, '{name}_coverage_{kind}', sum(p * c) FROM (SELECT c{kind[0]}.* FROM c{kind[0]} JOIN hi USING (tu, loc, topic)) sn JOIN pp{x} ON pp{x}.nbr = sn.loc GROUP BY tu, pp{x}.loc, topic")
+    scores = windows + _COVER + _LOCT + links + ", sco AS (" + " UNION ALL ".join(parts) + ")"
+    return scores + _EVAL.replace("unnest([1, 5])", f"unnest({ks})") + "\nSELECT model, k, count(*) AS n, avg(accuracy) AS accuracy, avg(impact) AS impact, avg(difference) AS difference FROM ev2 GROUP BY model, k"
+
+
+def _curve(s: SparkSession, d: str) -> DataFrame:
+    h, f = pred.window_counts(src.occ_few_topics(s, d), 6, 2)
+    return pred.model_performance(pred.performance_curve(_every_model(s, d, h), f, 24, MODELS)).withColumn("k", F.col("k").cast("bigint"))
+
+
+_query("model_performance_curve", _curve, _every_model_sql(6, 2, "range(1, 25)"), "accuracy impact difference")
+_WINDOWS = ((6, 2), (3, 1), (12, 4))
+
+
+def _all_windows(s: SparkSession, d: str) -> DataFrame:
+    grid = pred.performance_grid(src.occ_few_topics(s, d), lambda h: _every_model(s, d, h), _WINDOWS, (1, 5, 10), MODELS)
+    means = [F.avg(c).alias(c) for c in ("accuracy", "impact", "difference")]
+    return grid.groupBy("h", "p", "model", "k").agg(F.count("*").alias("n"), *means)
+
+
+_query(
+    "model_performance_windows",
+    _all_windows,
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {h} AS h, {p} AS p, * FROM ({_every_model_sql(h, p, '[1, 5, 10]')})" for h, p in _WINDOWS) + ")\nSELECT *",
+)
+SQL["model_performance_windows"] = "SELECT * REPLACE (round(accuracy, 6) + 0.0 AS accuracy, round(impact, 6) + 0.0 AS impact, round(difference, 6) + 0.0 AS difference) FROM (" + SQL["model_performance_windows"].rpartition("\n")[0] + ")"
+
+
+def _learnt_curve(s: SparkSession, d: str) -> DataFrame:
+    """Learning to rank from five models, for every k."""
+    h, f = pred.window_counts(src.occ_few_topics(s, d), 6, 2)
+    scored = _every_model(s, d, h).where(F.col("model").isin(*LEARNT))
+    vectors = pred.time_split(pred.feature_vectors(scored, f, LEARNT))
+    ranked = linear.ranked_by_regression(vectors, LEARNT)
+    times = vectors.where("is_test").select("tu", "loc").distinct()
+    curve = pred.performance_curve(ranked, f.join(times, ["tu", "loc"], "left_semi"), 24, ("learning_to_rank",))
+    return pred.model_performance(curve)
+
+
+_query("learning_to_rank_curve", _learnt_curve)
+
 # clusterings
 _query("influence_zones_linked", lambda s, d: cl.influence_zones(infl.boundary_influence(_influence(s, d), 25), 0.00002, pr.lattice_graph(_loc_topics(s, d), 5)))
 
