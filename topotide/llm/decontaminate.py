@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topotide.llm.tables import ascii_lower, table, text_of
+from topotide.llm.tables import ascii_lower, plainly_named, table, text_of
 from topotide.plans.scratch import written
 
 #: Characters of words: digits, a-z and everything beyond ASCII.
@@ -109,10 +109,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str =
     texts are scanned whole, in chunks.  An empty benchmark changes nothing, an
     empty table gives none.  Equal hashes alone do nothing.
     """
+    names, docs = docs.columns, plainly_named(docs, text)
     grams = written(test_grams(items, n), "grams")
     seen = scan(docs.withColumn("__text", F.col(text)), grams, "__text", max_set, max_found)
     if action == "documents":
-        return seen.where("size(__hits) = 0").select(docs.columns)
+        return seen.where("size(__hits) = 0").select(docs.columns).toDF(*names)
     if action != "spans":
         raise ValueError("action is 'documents' or 'spans'")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -120,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, action: str =
     cut = seen.withColumn("__pieces", F.regexp_extract_all("__text", F.lit(f"({word}+{gap}*)"), F.lit(1)))
     cut = cut.withColumn("__lead", F.regexp_extract("__text", f"^({gap}*)", 1)).withColumn("__gone", F.expr(_covered("__hits")))
     kept = F.expr("array_join(filter(__pieces, (p, i) -> NOT array_contains(__gone, i)), '')")
-    return cut.withColumn(text, F.when(F.expr("size(__hits) = 0"), F.col("__text")).otherwise(F.concat("__lead", kept))).select(docs.columns)
+    return cut.withColumn(text, F.when(F.expr("size(__hits) = 0"), F.col("__text")).otherwise(F.concat("__lead", kept))).select(docs.columns).toDF(*names)
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_set: int = MAX_SET, max_found: int = MAX_FOUND) -> DataFrame:

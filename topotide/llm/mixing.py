@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.tables import table, text_of
+from topotide.llm.tables import plainly_named, table, text_of
 from topotide.plans.scratch import new_path, remove, written
 
 MAX_COPIES = 2
@@ -96,6 +96,8 @@ def multipliers(hist: DataFrame, wanted: DataFrame, rounds: int = 40, close: flo
         path = next_path
         if state.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the multipliers have not settled in {rounds} rounds")
     return state.select("source", "source_size", "target", "scale", "c")
 
 
@@ -189,11 +191,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     ties, repeated rows, long texts and empty tables are as in ``mixture``.  The
     columns of ``docs`` return unchanged, whatever their names.
     """
+    names, docs = docs.columns, plainly_named(docs, "doc_id", "source", "text")
     copies = mixed(docs).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("__c"))
     sized = docs.withColumn("__size", word_count(text_of()))
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
     taken = sized.join(copies.where("__c > 0"), same)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__i")).drop("__i")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__i")).drop("__i").toDF(*names)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

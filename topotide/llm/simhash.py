@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from topotide.llm.caches import tidied
 from topotide.llm.pairing import compared
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
-from topotide.llm.tables import table, text_of
+from topotide.llm.tables import plainly_named, table, text_of
 from topotide.operators.graphs import components
 from topotide.plans.scratch import new_path, written
 
@@ -345,7 +345,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int
     columns one.  Very long texts are compared whole.  The columns return
     unchanged, whatever their names.  An empty table gives none.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names, docs = docs.columns, plainly_named(docs, "doc_id", "text")
+    columns = [F.col(c) for c in docs.columns]
     content = [*columns, *[c.isNull() for c in columns]]
     keyed = docs.withColumns({"__k1": F.xxhash64(*content), "__k2": F.hash(*content)})
     rows = similar_components(keyed.select(F.col("doc_id").alias("__id"), "__k1", "__k2", text_of().alias("text")), similarity, k)
@@ -357,8 +358,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int
     kept = keyed.join(stay.where("__n = 1"), same, "left_semi").select(columns)
     often = stay.where("__n > 1")
     if often.isEmpty():
-        return kept
-    return kept.unionByName(keyed.join(often, same, "left_semi").select(columns).dropDuplicates())
+        return kept.toDF(*names)
+    return kept.unionByName(keyed.join(often, same, "left_semi").select(columns).dropDuplicates()).toDF(*names)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

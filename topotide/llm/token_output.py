@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topotide.llm.blocks import lists, single
 from topotide.llm.caches import hold, tidied
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import new_path, written
@@ -39,7 +40,7 @@ BLOCK_BYTES = 4 << 20
 #: Ranges of doc_ids for each shuffle partition; many small ones fall evenly to the partitions.
 RANGES = 4
 #: Pieces that a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Rows and bytes of texts that are coded at a time.
 SLICE_ROWS = 8192
 SLICE_BYTES = 2 << 20
@@ -291,31 +292,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     ranged = frames.withColumn("tie", F.xxhash64("frame")).repartition(parts, "range").sortWithinPartitions("range", "doc_id", "tie")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = []
-        counts: list[int] = []
-        offsets = [0]
-        payload: list[bytes] = []
-        number = before = 0
-
-        def block() -> pa.RecordBatch:
-            columns = [pa.array([digest]), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64())]
-            columns += [pa.array([keys], pa.list_(key_type)), pa.array([offsets], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(payload)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["dictionary", "range", "before", "n_ids", "doc_ids", "offsets", "counts", "payload"])
+        held: list[pa.RecordBatch] = []
+        number = before = size = 0
+
+        def block() -> tuple[pa.RecordBatch, int]:
+            keys, counts, frames = (pa.concat_arrays([h.column(i) for h in held]) for i in range(3))
+            offsets = np.concatenate(([0], np.cumsum(pc.binary_length(frames).to_numpy(), dtype=np.int64)))
+            total = pc.sum(counts).as_py()
+            columns = [pa.array([digest]), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64())]
+            columns += [single(keys), single(pa.array(offsets)), single(counts), pc.binary_join(single(frames), pa.scalar(b"", frames.type))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["dictionary", "range", "before", "n_ids", "doc_ids", "offsets", "counts", "payload"]), total
 
         for batch in batches:
-            key_type = batch.column(0).type
-            for k, n, f, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                if keys and (r != number or offsets[-1] >= BLOCK_BYTES):
-                    yield block()
-                    before += sum(counts)
-                    keys, counts, offsets, payload = [], [], [0], []
+            at = 0
+            for i, (bytes_, r) in enumerate(zip(pc.binary_length(batch.column(2)).to_pylist(), batch.column(3).to_pylist())):
+                if (held or i > at) and (r != number or size >= BLOCK_BYTES):
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    made, total = block()
+                    yield made
+                    before, size, at = before + total, 0, i
                 if r != number:
                     number, before = r, 0
-                frame = f.as_py()
-                keys.append(k), counts.append(n), payload.append(frame)
-                offsets.append(offsets[-1] + len(frame))
-        if keys:
-            yield block()
+                size += bytes_
+            if batch.num_rows > at:
+                held.append(batch.slice(at))
+        if held:
+            yield block()[0]
 
     schema = f"dictionary string, range int, before long, n_ids long, doc_ids array<{key}>, offsets array<long>, counts array<long>, payload binary"
     ranged.select("doc_id", "n_tokens", "frame", "range").mapInArrow(tidied(pack), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
@@ -342,13 +346,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
             for row in range(batch.num_rows):
-                first, keys, offsets, counts, payload = (batch.column(i)[row].as_py() for i in range(5))
-                view, starts = memoryview(payload), first + np.cumsum([0, *counts[:-1]])
+                keys, offsets, counts = batch.column(1)[row].values, batch.column(2)[row].values.to_numpy(), batch.column(3)[row].values.to_numpy()
+                view = memoryview(batch.column(4)[row].as_buffer())
+                starts = batch.column(0)[row].as_py() + np.concatenate(([0], np.cumsum(counts)[:-1]))
                 for at in range(0, len(keys), 256):
                     ids = [unpacked(press.decompress(view[offsets[i] : offsets[i + 1]])) for i in range(at, min(len(keys), at + 256))]
                     upto = at + len(ids)
-                    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids).view(np.int32)))
-                    columns = [pa.array(keys[at:upto], batch.column(1).type.value_type), pa.array(starts[at:upto], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), lists]
+                    each = lists(pa.array(np.concatenate(ids).view(np.int32)), np.cumsum([0, *map(len, ids)]))
+                    columns = [keys[at:upto], pa.array(starts[at:upto], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), each]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     ranges = spark.read.parquet(f"{path}/ranges")  # at most a row for each shuffle partition of the writer

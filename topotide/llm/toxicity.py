@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import hold, tidied
-from topotide.llm.tables import table, text_of
+from topotide.llm.tables import plainly_named, table, text_of
 from topotide.plans.scratch import written
 
 #: Hashed word features.
@@ -282,6 +282,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Nulls, repeated rows, long texts and empty tables are as in ``toxicity``.
     The columns of ``docs`` return unchanged, whatever their names.
     """
+    names, docs = docs.columns, plainly_named(docs, "doc_id", "text")
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.weights.astype(np.float32), model.bias))
     place = docs.columns.index("text")
@@ -292,7 +293,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [own.score(t.as_py() or "") < 0.5 for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema).toDF(*names)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
