@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from topotide.functions import statistics as st
-from topotide.operators import clusters, influence, linear, locality, pairs, regions
+from topotide.operators import clusters, influence, linear, locality, pairs, predict, regions, timeline
 from topotide.operators.distributions import correlation_test
+from topotide.operators.quantiles import exact_percentiles
 
 
 def miles(a, b):
@@ -199,3 +200,47 @@ def test_clusters_are_mapped_by_their_overlap(spark):
     assert got == {9: (0, 3, 1.0), 8: (1, 2, 1.0), 6: (2, 3, 1.0)}
     assert pairs.cluster_agreement(a, b, 0.5).first()[0] == pytest.approx(1.0)
     assert pairs.cluster_agreement(a, b).first()[0] < 1
+
+
+@pytest.mark.parametrize("bins", [2, 16])
+def test_exact_percentiles_equal_the_aggregate(spark, bins):
+    rng = random.Random(13)
+    rows = [(k, v) for k, vs in {
+        "many": [rng.gauss(0, 5) for _ in range(301)], "ties": [rng.choice([1.0, 2.0, 2.0, 9.0]) for _ in range(80)], "one": [4.0], "two": [1.0, 8.0], "same": [3.0] * 7,
+        "far": [-1.7e308, 1.7e308, 0.0, 1e-300, 5.0, 7.0], "none": [None],
+    }.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    want = {r.k: r.q for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q")).collect()}
+    got = {r.k: r.q for r in exact_percentiles(df, ["k"], "v", shares, bins).collect()}
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b, rel=1e-12) for k in want if k != "far" for a, b in zip(got[k], want[k]))
+    assert got["far"][0] == -1.7e308 and got["far"][4] == 1.7e308
+    whole = exact_percentiles(df.where("k <> 'far'"), [], "v", (0.5,), bins).first()["q"][0]
+    assert whole == pytest.approx(df.where("k <> 'far'").agg(F.percentile("v", 0.5)).first()[0])
+    assert exact_percentiles(df.where("v is null"), ["k"], "v", (0.5,)).count() == 0
+    rest = lambda hot: sorted(map(tuple, timeline.drop_outliers(df.where("k <> 'far' and v is not null"), ["k"], "v", hot=hot).collect()))
+    assert rest(True) == rest(False)
+
+
+def test_curves_equal_evaluation_at_each_k(spark):
+    rng = random.Random(14)
+    topics = [f"t{i}" for i in range(9)]
+    scored = [(tu, loc, m, t, round(rng.random(), 2)) for tu in range(3) for loc in range(3) for m in "ab" if (loc, m) != (2, "b") for t in rng.sample(topics, rng.randrange(1, 8))]
+    ahead = [(tu, loc, t, rng.randrange(1, 5)) for tu in range(3) for loc in range(3) for t in rng.sample(topics, rng.randrange(1, 7))]
+    s, f = spark.createDataFrame(scored, "tu long, loc long, model string, topic string, score double"), spark.createDataFrame(ahead, "tu long, loc long, topic string, n long")
+    row = lambda r: (r.tu, r.loc, r.model, r.k, round(r.accuracy, 9), round(r.impact, 9), round(r.difference, 9))
+    want = sorted(map(row, predict.evaluate(s, f, range(1, 7), ("a", "b")).collect()))
+    assert sorted(map(row, predict.performance_curve(s, f, 6, ("a", "b")).collect())) == want
+    assert sorted(map(row, predict.performance_curve(s, f, 6).collect())) == want
+
+
+def test_windows_as_columns_equal_each_by_itself(spark):
+    rng = random.Random(15)
+    occ = spark.createDataFrame([(f"t{rng.randrange(4)}", rng.randrange(3), rng.randrange(0, 40) * 1800) for _ in range(150)], "topic string, loc long, t long")
+    got = predict.performance_grid(occ, predict.predict_greedy, ((3, 1), (5, 2)), (1, 2), ("greedy",))
+    for h, p in ((3, 1), (5, 2)):
+        past, ahead = predict.window_counts(occ, h, p)
+        want = predict.evaluate(predict.predict_greedy(past), ahead, (1, 2), ("greedy",))
+        columns = ["tu", "loc", "model", "k", "accuracy", "impact", "difference"]
+        assert sorted(map(tuple, got.where((F.col("h") == h) & (F.col("p") == p)).select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, entropy_of, haversine
+from topotide.operators.quantiles import exact_percentiles
 from topotide.operators.timeline import by_topic, drop_outliers, highest_active_region, active_regions, interval_counts, peak_interval, with_bucket
 
 
@@ -132,7 +133,7 @@ def early_radius_error(occ: DataFrame, unit: int, first: Sequence[int], width: i
 
 def outlier_bound(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n, bound, mean): the upper outlier bound of a value, and the mean of what keeps to it."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_percentiles(rows, keys, value, (0.25, 0.75))
     bound = q.select(*keys, (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("bound"))
     joined = rows.join(bound, list(keys)) if keys else rows.crossJoin(F.broadcast(bound))
     return joined.where(F.col(value) <= F.col("bound")).groupBy(*keys, "bound").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))

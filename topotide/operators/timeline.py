@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bucket, haversine
+from topotide.operators.quantiles import exact_percentiles
 
 
 def by_topic() -> WindowSpec:
@@ -64,9 +65,16 @@ def min_topics_per_location_bucket(occ: DataFrame, k: int, loc: str = "cell") ->
     return occ.join(groups.select("bucket", loc), ["bucket", loc], "left_semi")
 
 
-def drop_outliers(df: DataFrame, keys: Sequence[str], value: str, upper_only: bool = False) -> DataFrame:
-    """Without values beyond one and a half quartile ranges from the quartiles of their group."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+def drop_outliers(df: DataFrame, keys: Sequence[str], value: str, upper_only: bool = False, hot: bool = False) -> DataFrame:
+    """Without values beyond one and a half quartile ranges from the quartiles of their group.
+
+    ``hot`` says that a group may have more distinct values than a task should
+    hold; quartiles then come from passes of histograms, with the same rows.
+    """
+    if hot:
+        q = exact_percentiles(df, keys, value, (0.25, 0.75)).withColumnRenamed("q", "__q")
+    else:
+        q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
     a, b = F.col("__q")[0], F.col("__q")[1]
     keep = F.col(value) <= b + 1.5 * (b - a)
     keep = keep if upper_only else keep & (F.col(value) >= a - 1.5 * (b - a))

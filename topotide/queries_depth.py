@@ -14,6 +14,7 @@ from topotide.operators import linear
 from topotide.operators import locality
 from topotide.operators import pairs as pr
 from topotide.operators import predict as pred
+from topotide.operators import timeline as tl
 from topotide.queries import SQL, _COVER, _EVAL, _FEW, _HAV, _LOCT, _MAJ, _MET, _OCC, _PAIRS, _influence, _loc_topics, _majority, _metrics, _occ, _query
 from topotide.queries_more import _DIST, _distances
 from topotide.sources import adapter as src
@@ -82,6 +83,14 @@ def _correlation_sql(y: str) -> str:
 _query("similarity_correlation_by_location", lambda s, d: dist.correlation_test(_both_ends(s, d), "distance", "jaccard", ["loc"]), _correlation_sql("jaccard"), "r p")
 _query("lag_correlation_by_location", lambda s, d: dist.correlation_test(_both_ends(s, d), "distance", "mean_gap", ["loc"]), _correlation_sql("mean_gap"), "r p")
 
+# quartiles of one group that holds the whole table
+_query(
+    "event_values_within_bounds",
+    lambda s, d: tl.drop_outliers(s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "value"), ["event_type"], "value", hot=True).groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean")),
+    "WITH q AS (SELECT event_type, value, quantile_cont(value, 0.25) OVER (PARTITION BY event_type) AS a, quantile_cont(value, 0.75) OVER (PARTITION BY event_type) AS b FROM events)\nSELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, avg(value) AS mean FROM q WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY event_type",
+    "low high mean",
+)
+
 # regions with parts and holes
 def _regions(s: SparkSession) -> DataFrame:
     box = lambda a, b, c, e: [{"lat": a, "lon": b}, {"lat": c, "lon": b}, {"lat": c, "lon": e}, {"lat": a, "lon": e}]
