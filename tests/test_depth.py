@@ -20,7 +20,7 @@ def miles(a, b):
     return 2 * 3958.761 * math.asin(math.sqrt(min(1.0, h)))
 
 
-@pytest.mark.parametrize("levels", [(), (4,), (16, 4, 2)])
+@pytest.mark.parametrize("levels", [None, (4,), (16, 4, 2)])
 def test_covering_radius_equals_all_pairs(spark, levels):
     rng = random.Random(3)
     rows = []
@@ -46,6 +46,7 @@ def test_covering_radius_equals_all_pairs(spark, levels):
                         break
                 best = min(best, (d, i, j)) if best else (d, i, j)
             assert abs(got[t, k][0] - best[0]) < 1e-5 and got[t, k][1:] == best[1:], (t, k)
+    assert locality.levels_for(200) == [] and locality.levels_for(1_000_000) == [32, 8, 2]
     assert locality.covering_radius(spark.createDataFrame([], "topic string, ci long, cj long, n long"), ["topic"], size).count() == 0
 
 

@@ -11,7 +11,7 @@ from topotide.streaming import live
 
 def test_posts(spark, tmp_path):
     posts = [
-        {"id": 1, "user": {"id": 7, "l": "x"}, "t": "Thu Feb 03 01:57:29 +0000 2011", "h": ["Ab", "c"], "tx": "hi", "geo": [40.0, -73.0]},
+        {"id": 1, "user": {"id": 7, "l": "x"}, "t": "Tue Feb 08 12:00:30 +0000 2011", "h": ["Ab", "c"], "tx": "hi", "geo": [40.0, -73.0]},
         {"id": 2, "user": {"id": 8, "l": ""}, "t": "Fri Mar 04 01:00:00 +0000 2011", "h": [], "tx": "yo", "bb": [1.0, 2.0]},
         {"id": 3, "user": {"id": 9, "l": ""}, "t": "Fri Mar 04 01:00:00 +0000 2011", "h": ["z"], "tx": "", "place": {"bounding_box": {"coordinates": [[[0.0, 10.0], [2.0, 10.0], [2.0, 12.0], [0.0, 12.0]]]}}},
         {"id": 4, "user": {"id": 9, "l": ""}, "t": "Fri Mar 04 01:00:00 +0000 2011", "h": ["z"], "tx": ""},
@@ -34,7 +34,7 @@ def test_posts(spark, tmp_path):
 def test_checkins_and_labels(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("u\t1\t1.5\t2.5\t2011-01-01 00:00:00\ttext\n" + "v\t2\t1.5\t2.5\t2011-01-01 00:00:00\ttext\tplace\n" + "w\tx\n")
     assert {r["user"]: r["place"] for r in files.read_checkins_tsv(spark, str(tmp_path / "a.tsv")).collect()} == {"u": None, "v": "place"}
-    (tmp_path / "b.txt").write_text("1 2010-10-19T23:55:27Z 30.2  -97.7 22847\nbad line\n2 x y z w\n")
+    (tmp_path / "b.txt").write_text("1 2012-05-06T07:08:09Z 30.2  -97.7 77\nbad line\n2 x y z w\n")
     assert [(r["user"], r["lat"]) for r in files.read_checkins_ws(spark, str(tmp_path / "b.txt"), "net").collect()] == [("net_1", 30.2)]
     (tmp_path / "l.csv").write_text("1,a,0\n2,b,3\n")
     assert [tuple(r) for r in files.read_topic_labels(spark, str(tmp_path / "l.csv")).collect()] == [("b", 3)]

@@ -22,12 +22,21 @@ from topotide.plans.scratch import written
 
 #: Shares of the occurrences.
 SHARES = tuple(round(0.5 + 0.05 * i, 2) for i in range(11))
-#: Widths of the wider cells, in cells, from wide to narrow.
-LEVELS = (8, 2)
+#: Wider cells of a key, above which a still wider level is laid over them.
+ENOUGH = 128
 #: Miles by which bounds may be off, for rounding.
 SLACK = 1e-4
 
 
+def levels_for(cells: int) -> list[int]:
+    """Widths of wider cells, in cells, from wide to narrow, for keys of up to so many cells: none for a few, each four times the next."""
+    widths, width = [], 2
+    while cells / width**2 > ENOUGH:
+        widths.insert(0, width)
+        width *= 4
+    return widths
+
+
 def _wide(cells: DataFrame, keys: Sequence[str], size: float, width: int) -> DataFrame:
     """(keys, wi, wj, lat, lon, reach, n): wide cells with a middle, the miles to the farthest of its cells, and its occurrences."""
     wide = cells.withColumn("wi", F.floor(F.col("ci") / width)).withColumn("wj", F.floor(F.col("cj") / width))
@@ -44,18 +53,21 @@ def _reached(pairs: DataFrame, centre: Sequence[str], total: str, distance: str,
     return cover.groupBy(*centre).agg(*[F.min(F.when(F.col("__run") >= F.lit(s), F.col(distance))).alias(f"{name}_{i}") for i, s in enumerate(shares)])
 
 
-def covering_radius(counts: DataFrame, keys: Sequence[str], size: float, shares: Sequence[float] = SHARES, levels: Sequence[int] = LEVELS) -> DataFrame:
+def covering_radius(counts: DataFrame, keys: Sequence[str], size: float, shares: Sequence[float] = SHARES, levels: Sequence[int] | None = None) -> DataFrame:
     """(keys, k, radius, ci, cj): the smallest radius around one of a key's cells that covers a share k of its occurrences, and that cell.
 
     ``counts`` has (keys, ci, cj, n), a row for each cell.  Radii are rounded
     to a millionth of a mile; of equal ones the smallest cell counts.  Bounds
-    only leave out cells that can't be centres, so any levels give the same
-    rows.
+    only leave out cells that can't be centres, so any ``levels``, the widths
+    of wider cells from wide to narrow, give the same rows; by default they
+    follow the cells of the largest key.
     """
     keys = list(keys)
     parts = 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = Window.partitionBy(*keys)
     cells = written(counts.select(*keys, "ci", "cj", "n", F.sum("n").over(whole).alias("total")), "cells")
+    if levels is None:
+        levels = levels_for(cells.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0)
     centres = cells.select(*keys, "ci", "cj", "total", F.array(*[F.lit(True)] * len(shares)).alias("alive"))
     for width in levels:
         wide = written(_wide(cells, keys, size, width), "wide")
