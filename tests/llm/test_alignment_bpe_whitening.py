@@ -235,3 +235,15 @@ def test_stages_return_clashing_columns_unchanged(spark):
         assert out.columns == df.columns
         got = [tuple(r) for r in out.collect()]
         assert got and set(got) <= set(rows)
+
+
+def test_thinned_links_keep_components(spark):
+    from topotide.llm.simhash import _thinned
+    from topotide.operators.graphs import components
+
+    rng = random.Random(9)
+    links = {(rng.randrange(0, 40), rng.randrange(40, 120)) for _ in range(150)} | {(a, b) for a, b in ((0, 1), (1, 2), (3, 39))}
+    df = spark.createDataFrame(sorted(links), "u long, v long")
+    thin = _thinned(df)
+    assert thin.count() <= len(links)
+    assert sorted(map(tuple, components(thin).collect())) == sorted(map(tuple, components(df).collect()))

@@ -327,12 +327,22 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
         same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
     texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
     checked = written(compared(pairs, written(texts, "texts"), lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double"), "checked")
-    labels = components(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v")))
+    labels = components(written(_thinned(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
     nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
     nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
     return rows.drop("ring").join(nodes, ["digest", "size"]).select(*keys, "component")
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links (u, v) with the same components: each v keeps its smallest u, to which its other u are linked instead.
+
+    A text of a large group has verified links to many hubs, which others of
+    the group share; between hubs one link each is enough.
+    """
+    least = links.select("u", "v", F.min("u").over(Window.partitionBy("v")).alias("least"))
+    return least.select(F.col("least").alias("u"), "v").unionByName(least.where("u <> least").select(F.col("least").alias("u"), F.col("u").alias("v"))).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS_A_SHINGLE) -> DataFrame:
     """``docs`` with one row of each component of near-duplicate texts: that of its smallest doc_id.
 
