@@ -320,7 +320,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     nodes = rows.groupBy("digest", "size").agg(first, F.first("ring").alias("ring"))
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")
     pairs = written(similar_pairs(nodes.where("size > 0"), similarity, width, segments), "pairs")
-    ends = pairs.select(F.explode(F.array("hub", "row")).alias("r")).distinct()
+    ends = pairs.select(F.col("hub").alias("r")).distinct().unionByName(pairs.select(F.col("row").alias("r")).distinct()).distinct()
     named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
     same = F.lit(True)
     for c in keys:
