@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it back."""
+def written(df: DataFrame, label: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back; ``codec`` zstd makes tables of texts smaller."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
