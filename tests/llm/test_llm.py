@@ -648,6 +648,59 @@ def test_the_tree_removes_what_repeats_inside_articles(spark):
         assert (r["content"], r["presentation"], r["pages"]) == pytest.approx((entropy(texts), entropy(children), 30))
 
 
+def entropy_of(values):
+    n = len(values)
+    return -sum(c / n * np.log(c / n) for c in (values.count(x) for x in set(values))) / np.log(n) if n > 1 else 1.0
+
+
+def brute_main_text(pages):
+    """page_id to text: every node's entropies and every block's log odds counted out on lists."""
+    parsed = [(i, sst.host_of(u), sst.blocks_of(h or "")) for i, u, h in pages]
+    evidence = {}
+    for host in {h for _, h, _ in parsed}:
+        unique = {tuple((p, t) for p, t, _ in b) for _, h, b in parsed if h == host and b}
+        trees = [dict(sst.child_sequences([p for p, _ in b])) for b in unique]
+        for path in {p for b in unique for p, _ in b}:
+            texts = [t for b in unique for t in {t for p, t in b if p == path}]
+            children = [x[path.rpartition("/")[0]] for x in trees if path.rpartition("/")[0] in x]
+            if len(children) >= sst.LEAST_PAGES:
+                evidence[host, path] = 2.5 * (2 * entropy_of(texts) - 1) + 2 * entropy_of(children) - 1
+    out = {}
+    for i, host, blocks in parsed:
+        main = sum(len(t) for _, t, role in blocks if role == 2)
+        kept = []
+        for path, text, role in blocks:
+            prior = {0: -4.0, 1: 0.0, 2: 1.4, 3: -1.5}[role]
+            if role == 1 and main:
+                own = sum(len(t) for p, t, r in blocks if r == 1 and p.rpartition("/")[0] == path.rpartition("/")[0])
+                prior = min(1.4, max(-4.0, np.log(own / main) - 0.5))
+            if prior + evidence.get((host, path), 0) >= 0:
+                kept.append(text)
+        out[i] = " ".join(kept)
+    return out
+
+
+def test_the_host_decides_on_teasers_quotes_and_repeated_blocks(spark):
+    rng = random.Random(33)
+    rows = []
+    for i in range(12):  # a story beside a teaser that is as long, a quote and a notice with names of noise, a rail that repeats
+        story = "".join(f"<p>{some_text(rng, 12)}</p>" for _ in range(rng.randint(2, 5)))
+        quote = f"<blockquote class='notice'>quoted {some_text(rng, 8)}</blockquote>" if i % 3 else ""
+        kind = f"<main><p>teaser {some_text(rng, 40)}</p>{quote}<div class='promo'>Half price now</div><div class='comments'>said {i}</div></main>"
+        rows.append((i, f"http://t.example/{i}", page(f"<nav>menu</nav>{kind}<div class='body'>{story}</div><div class='again'><p>{'The same words on every page ' * 20}</p></div>")))
+    rows += [(50, "http://lone.example/1", page(f"<article><p>{'short teaser of fifteen words ' * 3}</p></article><div><p>{'a story of some length here ' * 9}</p></div>"))]
+    rows += [(51, "http://lone.example/2", page(f"<article><p>{'the long story itself ' * 400}</p></article><div class='latest'>other headline</div>"))]
+    rows += [(52, "http://long.example/2", page(f"<article>{'<p>one more part</p>' * 20000}</article>")), (53, "http://long.example/3", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in sst.main_text(df).collect()}
+    assert got == brute_main_text(rows)
+    for i in range(12):
+        assert "w" in got[i] and "The same words" not in got[i] and "Half price" not in got[i] and "said" not in got[i]
+        assert all(t in got[i] for _, t, role in sst.blocks_of(rows[i][2]) if role == 1 and "The same" not in t)  # the whole story
+        assert ("quoted" in got[i]) == bool(i % 3)
+    assert "story of some length" in got[50] and "teaser" in got[50] and "headline" not in got[51] and len(got[52]) == 20000 * 14 - 1 and got[53] == ""
+
+
 # 7 -----------------------------------------------------------------------
 
 

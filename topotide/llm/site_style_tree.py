@@ -9,6 +9,7 @@ Both are added up for every block of every page, and blocks below zero leave.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,12 +23,14 @@ from topotide.plans.scratch import written
 
 #: Prior log odds of a block: inside a main or article element, of its own, and where mark-up names it as noise.
 PRIOR = {"main": 1.4, "open": 0.0, "noise": -4.0}
+#: Added to the prior inside a main element by a class, id or role that may name noise or a part of the story.
+DOUBT = -2.9
+#: Log odds of text beside main elements with as many characters as they have.
+AS_LONG = -0.5
 #: Change of the log odds from entropy 1/2 to 1 or 0, of a node's texts and of its parent's children.
 CONTENT, PRESENTATION = 2.5, 1.0
 #: With fewer distinct pages than that, a host's tree says nothing of a node.
 LEAST_PAGES = 4
-#: Text beside the main elements is open if it has so many times their characters, else it is like noise.
-OUTWEIGHS = 3
 #: Most nodes that are broadcast; more are joined by a shuffle.
 MAX_NODES = 200_000
 
@@ -47,6 +50,8 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr alert popup modal overlay sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar toolbar comment comments disqus replies reply respond reader-comments share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags legal copyright contentinfo complementary".split()
 )
+#: Those that also name parts of a story: inside a main element they are outweighed where a node's texts vary over the host.
+DOUBTFUL = frozenset("alert banner legal notice notices promo promotion".split())
 #: Words that may stand beside them in a hyphenated name.
 BESIDE = frozenset("area bar block box buttons container content form global icons inner left links list main outer panel posts right section site slot top bottom wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -66,16 +71,16 @@ def names_noise(name: str) -> bool:
     return name in NOISE_WORDS or not NOISE_WORDS.isdisjoint(parts) and all(x in NOISE_WORDS or x in BESIDE for x in parts)
 
 
-def _style(attributes: str) -> tuple[str, bool]:
-    """The classes of an element as part of its path, and whether a class, id or role names noise."""
-    cls, noise = "", False
+def _style(attributes: str) -> tuple[str, bool, bool]:
+    """The classes of an element as part of its path, whether a class, id or role names noise, and whether only doubtful words do."""
+    cls, noise = "", []
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower().split()
-            noise = noise or any(map(names_noise, value))
+            noise += filter(names_noise, value)
             if m[1].lower() == "class":
                 cls = "." + ".".join(value)
-    return cls, noise
+    return cls, bool(noise), bool(noise) and all(NOISE_WORDS.intersection(re.split("[-_]+", x)) <= DOUBTFUL for x in noise)
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
@@ -83,7 +88,8 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
 
     path holds tag and class of the block elements above the text; role is 0
     inside what the mark-up names as noise, 2 inside an article or main
-    element, else 1.  Where all such elements stand inside what only class or
+    element, 3 where there only a doubtful word names it as noise, else 1.
+    Where all such elements stand inside what only class or
     id words name as noise, the words name a layout and the elements have
     role 2.  Texts have references decoded and white space as one
     space.  Unclosed paragraphs and list items end where HTML ends them;
@@ -160,23 +166,47 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                 if stack[i][0] in CONTAINERS:
                     break
         flush()
-        style, named = _style(m[3])
+        style, named, doubtful = _style(m[3])
         _, path, role = stack[-1]
         # a header inside an article holds its title; the page's own header does not
         noise = 2 if name in NOISE and not (name == "header" and role in (2, -2)) else int(named)
         if name in ("html", "body"):
             noise = 0
-        # -1 is noise by words alone, -2 an article or main element of such noise
-        if role == 0 or noise == 2 or noise and role in (2, -2):
+        # -1 is noise by words alone, -2 an article or main element of such noise, -3 doubtful inside that
+        if role == 0 or noise == 2 or noise and abs(role) > 1 and not doubtful:
             role = 0
+        elif abs(role) == 3 or noise and abs(role) == 2:
+            role = 3 if role > 0 else -3
         elif name in MAIN:
             role = -2 if noise or role < 0 else 2
         elif noise:
             role = -1
         stack.append((name, f"{path}/{name}{style}", role))
     flush()
-    hidden = 0 if any(x[2] == 2 for x in out) else 2
-    return [(path, text, hidden if role == -2 else max(role, 0)) for path, text, role in out]
+    hidden = any(x[2] == -2 for x in out) and not any(x[2] == 2 for x in out)
+    return [(path, text, -role if hidden and role < -1 else max(role, 0)) for path, text, role in out]
+
+
+def priors(blocks: list[tuple[str, str, int]]) -> list[float]:
+    """The prior log odds of the blocks of a page.
+
+    Text beside main elements has AS_LONG and the log ratio of its characters,
+    with those of all such text in the same element, to the main elements'
+    characters, at least that of noise and at most that of main text.
+    """
+    main = sum(len(t) for _, t, role in blocks if role == 2)
+    beside: dict[str, int] = {}
+    for path, text, role in blocks:
+        if role == 1:
+            up = path.rpartition("/")[0]
+            beside[up] = beside.get(up, 0) + len(text)
+
+    def prior(path: str, role: int) -> float:
+        if role == 1 and main:
+            return min(PRIOR["main"], max(PRIOR["noise"], AS_LONG + math.log(beside[path.rpartition("/")[0]] / main)))
+        return (PRIOR["noise"], PRIOR["open"], PRIOR["main"], PRIOR["main"] + DOUBT)[role]
+
+    return [prior(path, role) for path, _, role in blocks]
 
 
 def child_sequences(paths: list[str]) -> list[tuple[str, str]]:
@@ -199,30 +229,30 @@ def child_sequences(paths: list[str]) -> list[tuple[str, str]]:
 def parsed(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, blocks, nodes) of each page.
 
-    blocks is an array of (path, text, role, mark), nodes of (path, mark) of
-    the elements above them; marks are hashes of text or children.  Texts that
-    mark-up names as noise are left out, as no evidence can bring them back.
+    blocks is an array of (path, text, prior, mark), nodes of (path, mark) of
+    the elements above them; marks are hashes of text or children.  Texts whose
+    prior no evidence can outweigh are left out.
     """
 
     def mark(t: str) -> int:
         return xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("role", pa.int32()), ("mark", pa.int64())]))
+        block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("prior", pa.float64()), ("mark", pa.int64())]))
         node = pa.list_(pa.struct([("path", pa.string()), ("mark", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 urls = part.column(1).to_pylist()
                 found = [blocks_of(h.as_py()) for h in part.column(2)]
-                rows = [[{"path": p, "text": t if r else None, "role": r, "mark": mark(t)} for p, t, r in x] for x in found]
+                rows = [[{"path": p, "text": t if o + CONTENT + PRESENTATION >= 0 else None, "prior": o, "mark": mark(t)} for (p, t, _), o in zip(x, priors(x))] for x in found]
                 nodes = [[{"path": p, "mark": mark(c)} for p, c in child_sequences([p for p, _, _ in x])] for x in found]
                 columns = [part.column(0), part.column(1), pa.array([host_of(u) for u in urls]), pa.array(rows, block), pa.array(nodes, node)]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks", "nodes"])
 
     slim = pages.select("page_id", "url", text_of("html").alias("html"))
     kind = slim.schema["page_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<path:string,text:string,role:int,mark:bigint>>, nodes array<struct<path:string,mark:bigint>>")
+    return slim.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<path:string,text:string,prior:double,mark:bigint>>, nodes array<struct<path:string,mark:bigint>>")
 
 
 def _entropies(marks: DataFrame, name: str) -> DataFrame:
@@ -260,22 +290,17 @@ def main_text(pages: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of ``pages``.
 
     A block stays if its prior and its node's evidence are not below zero
-    together.  The prior comes from mark-up; text beside the main elements of
-    a page is open only if it outweighs them.  Null or empty html gives an
-    empty text; a null url has a host of its own, the empty one.  Repeated
-    rows come as often as they are; long pages are read whole; an empty table
-    gives no rows; other columns are not read.
+    together (``priors``, ``style_tree``).  Null or empty html gives an empty
+    text; a null url has a host of its own, the empty one.  Repeated rows come
+    as often as they are; long pages are read whole; an empty table gives no
+    rows; other columns are not read.
     """
-    read = written(parsed(pages), "parsed")
-    # evidence for a node changes nothing that its prior does not decide alike, so only evidence against nodes is sent
-    weak = written(style_tree(read).where("evidence < 0").select("host", "path", "evidence"), "weak")
-    few = weak.count() <= max_nodes
-    weak = weak.groupBy(F.col("host").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("path", "evidence"))).alias("weak"))  # bounded by the host's tree
-    found = read.drop("nodes").join(F.broadcast(weak) if few else weak, F.col("host") == F.col("h"), "left")
-    size = "aggregate(blocks, 0L, (n, b) -> n + IF(b.role = {}, length(b.text), 0))"
-    found = found.withColumn("beside", F.expr(f"IF({size.format(1)} >= {OUTWEIGHS} * {size.format(2)}, {PRIOR['open']}D, {PRIOR['noise']}D)"))
-    prior = f"CASE b.role WHEN 2 THEN {PRIOR['main']}D WHEN 1 THEN beside ELSE {PRIOR['noise']}D END"
-    text = F.expr(f"array_join(transform(filter(blocks, b -> {prior} + coalesce(weak[b.path], 0D) >= 0), b -> b.text), ' ')")
+    read = written(parsed(pages), "parsed", codec="zstd")
+    tree = written(style_tree(read).where("evidence <> 0").select("host", "path", "evidence"), "tree")
+    few = tree.count() <= max_nodes
+    tree = tree.groupBy(F.col("host").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("path", "evidence"))).alias("tree"))  # bounded by the host's tree
+    found = read.drop("nodes").join(F.broadcast(tree) if few else tree, F.col("host") == F.col("h"), "left")
+    text = F.expr("array_join(transform(filter(blocks, b -> b.prior + coalesce(tree[b.path], 0D) >= 0), b -> b.text), ' ')")
     return found.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
