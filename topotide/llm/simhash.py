@@ -11,7 +11,7 @@ sets, over rings of some hundred bits and with a verification of each pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from topotide.llm.pairing import compared
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import plainly_named, table, text_of
 from topotide.operators.graphs import components
-from topotide.plans.scratch import new_path, written
+from topotide.plans.scratch import written
 
 SHINGLE = 3
 SEED = 42
@@ -35,6 +35,8 @@ PAIR_BUCKET = 32
 WORDS_A_SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.95
+#: Segments by which keys of large buckets grow where their smallest row doesn't stand for the others.
+LONGER = 3
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -213,18 +215,9 @@ def ring_budget(similarity: float) -> float:
     return share + 5 * (share * (1 - share) / 512) ** 0.5
 
 
-def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
-    """Candidate pairs (hub, row) of ``nodes`` (row, size, ring): rings that agree in a segment and keep to the budget all along a chain.
-
-    Sizes are numbers of distinct shingles; pairs whose sizes alone rule out the
-    similarity don't meet.  Members of a bucket, the rows with one segment and
-    near sizes, are set against its smallest row; those beyond the budget stay
-    for the next round while the bucket is large, and meet pair by pair when
-    it is small.  If the rounds stop making large buckets smaller, their rows
-    meet pair by pair as well, so none is left out.
-    """
+def _keyed(nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
+    """(bucket, row, size, f): ``nodes`` (row, size, ring) by their segments and bands of near sizes; f is a word of the ring."""
     words = -(-width * segments // 64)
-    budget = ring_budget(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,25 +234,56 @@ def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int
                     each = [np.repeat(x[some], segments) for x in (rows, sizes, ring[:, 0].view(np.int64))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each)], ["bucket", "row", "size", "f"])
 
-    members = nodes.select("row", "size", "ring").mapInArrow(tidied(run), "bucket long, row long, size long, f long")
-    spark = nodes.sparkSession
-    path = new_path(spark, "members")
-    crowded = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    members = written(members.withColumn("n", crowded).where("n > 1"), "members", path)
+    return nodes.select("row", "size", "ring").mapInArrow(tidied(run), "bucket long, row long, size long, f long")
+
+
+def _longer_keyed(members: DataFrame, nodes: DataFrame, width: int, segments: int) -> DataFrame:
+    """``members`` (bucket, row, size, f) with keys that are one segment longer: a row for each segment."""
+    words = -(-width * segments // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = part.column(0).to_numpy().view(np.uint64)
+                ring = part.column(4).flatten().to_numpy().view(np.uint64).reshape(len(own), words)
+                keys = mixed(_segments(ring, width, segments).astype(np.uint64) + mixed(np.arange(segments, dtype=np.uint64))[None, :])
+                bucket = mixed(own[:, None] + keys).view(np.int64).ravel()
+                each = [np.repeat(part.column(i).to_numpy(), segments) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each)], ["bucket", "row", "size", "f"])
+
+    rings = nodes.select(F.col("row").alias("r"), "ring")
+    return members.join(rings, F.col("row") == F.col("r")).select("bucket", "row", "size", "f", "ring").mapInArrow(tidied(run), "bucket long, row long, size long, f long")
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """``members`` of buckets of more than one, with the number n of the bucket's."""
+    return written(members.select("bucket", "row", "size", "f").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "members")
+
+
+def _met(members: DataFrame, similarity: float, pairwise: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (hub, row) of ``members`` (bucket, row, size, f, n) that meet, and of those of large buckets (bucket, hub, row, size, f).
+
+    Sizes are numbers of distinct shingles; pairs whose sizes alone rule out the
+    similarity don't meet.  Members of a large bucket are set against its
+    smallest row; those beyond the budget stay for the next round while the
+    bucket is large, and meet pair by pair when it is small.  If the rounds
+    stop making large buckets smaller, or with ``pairwise``, their rows meet
+    pair by pair as well, so none is left out.
+    """
     # one word of the ring goes along: it may differ in so many bits, six deviations more than the mean
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5)
     near = (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2") - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= most)
-    found, rest, left = None, members.where(F.col("n") > PAIR_BUCKET), None
+    large = F.lit(not pairwise) & (F.col("n") > PAIR_BUCKET)
+    stars, rest, small = None, members.where(large), members.where(~large)
     before = rest.count()
-    small = members.where(F.col("n") <= PAIR_BUCKET)
     while before:
         hubs = rest.groupBy("bucket").agg(F.min(F.struct("row", "size", "f")).alias("h")).select("bucket", F.col("h.row").alias("hub"), F.col("h.size").alias("size2"), F.col("h.f").alias("f2"))
         told = written(rest.drop("n").join(hubs, "bucket").where("row <> hub").withColumn("near", near), "rounds")
-        star = told.where("near").select("hub", "row")
-        found = star if found is None else found.unionByName(star)
-        open_ = told.where("not near").select("bucket", "row", "size", "f").withColumn("n", crowded).where("n > 1")
-        left = written(open_, "open")
+        star = told.where("near").select("bucket", "hub", "row", "size", "f")
+        stars = star if stars is None else stars.unionByName(star)
+        left = _crowded(told.where("not near"))
         small = small.unionByName(left.where(F.col("n") <= PAIR_BUCKET))
         rest = left.where(F.col("n") > PAIR_BUCKET)
         now = rest.count()
@@ -269,16 +293,45 @@ def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int
         before = now
     a = small.select("bucket", F.col("row").alias("hub"), F.col("size").alias("size2"), F.col("f").alias("f2"))
     pairs = small.select("bucket", "row", "size", "f").join(a, "bucket").where(F.col("hub") < F.col("row")).where(near).select("hub", "row")
-    pairs = written((pairs if found is None else pairs.unionByName(found)).distinct(), "candidates")
+    return (pairs if stars is None else pairs.unionByName(stars.select("hub", "row"))).distinct(), stars
+
+
+def _on_ring(pairs: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs whose rings of ``words`` words have a chain that keeps to its share of the budget at every length."""
     rings = nodes.select(F.col("row").alias("r"), "ring")
     both = pairs.join(rings.select(F.col("r").alias("hub"), F.col("ring").alias("a")), "hub").join(rings.select(F.col("r").alias("row"), F.col("ring").alias("b")), "row")
-    # pigeonring: some chain of words of the ring keeps to its share of the budget at every length
     differ = F.expr("zip_with(a, b, (x, y) -> bit_count(x ^ y))")
-    quota = f"{budget * 64}D"
+    quota = f"{ring_budget(similarity) * 64}D"
     chain = f"exists(sequence(0, {words - 1}), s -> aggregate(sequence(0, {words - 1}), struct(0 AS sum, true AS ok), (c, i) -> struct(c.sum + d[(s + i) % {words}] AS sum, c.ok AND c.sum + d[(s + i) % {words}] <= (i + 1) * {quota} AS ok), c -> c.ok))"
     return both.select("hub", "row", F.explode(F.array(differ)).alias("d")).where(F.expr(chain)).select("hub", "row")
 
 
+def similar_links(nodes: DataFrame, similarity: float, width: int, segments: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (hub, row) of ``nodes`` (row, size, ring): rings that agree in a segment, keep to the budget on a chain, and are ``verified``.
+
+    ``verified`` returns those of some pairs that reach the similarity.  A row
+    of a large bucket meets the bucket's smallest row.  Where that pair fails,
+    the row goes back: the bucket's failed rows meet again, pair by pair if
+    they are few, else by keys one segment longer, after LONGER such keys pair
+    by pair.  A verified row stays away, as its hub stands for it.
+    """
+    words = -(-width * segments // 64)
+    members, seen, links = _crowded(_keyed(nodes, similarity, width, segments)), None, None
+    for depth in range(LONGER + 2):
+        pairs, stars = _met(members, similarity, pairwise=depth > LONGER)
+        pairs = written(pairs if seen is None else pairs.join(seen, ["hub", "row"], "left_anti"), "candidates")
+        found = written(verified(written(_on_ring(pairs, nodes, similarity, words), "pairs")), "checked")
+        seen, links = (pairs, found) if seen is None else (seen.unionByName(pairs), links.unionByName(found))
+        if stars is None:
+            break
+        failed = _crowded(stars.join(links, ["hub", "row"], "left_anti"))
+        if failed.isEmpty():
+            break
+        few, many = failed.where(F.col("n") <= PAIR_BUCKET), failed.where(F.col("n") > PAIR_BUCKET)
+        members = few.unionByName(_crowded(_longer_keyed(many, nodes, width, segments)))
+    return links
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> list[tuple[float]]:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return [(common / max(1, len(a) + len(b) - common),)]
@@ -319,15 +372,18 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     first = F.min(F.struct(*keys)).alias("first")  # any row of the node has its words
     nodes = rows.groupBy("digest", "size").agg(first, F.first("ring").alias("ring"))
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")
-    pairs = written(similar_pairs(nodes.where("size > 0"), similarity, width, segments), "pairs")
-    ends = pairs.select(F.col("hub").alias("r")).distinct().unionByName(pairs.select(F.col("row").alias("r")).distinct()).distinct()
-    named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
-    texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
-    checked = written(compared(pairs, written(texts, "texts"), lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double"), "checked")
-    labels = components(written(_thinned(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("hub").alias("r")).distinct().unionByName(pairs.select(F.col("row").alias("r")).distinct()).distinct()
+        named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
+        texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
+        checked = compared(pairs, written(texts, "texts"), lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double")
+        return checked.where(F.col("jaccard") >= similarity - 1e-9).select("hub", "row")
+
+    links = similar_links(nodes.where("size > 0"), similarity, width, segments, verified)
+    labels = components(written(_thinned(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
     nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
     nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
     return rows.drop("ring").join(nodes, ["digest", "size"]).select(*keys, "component")
