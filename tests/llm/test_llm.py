@@ -528,21 +528,6 @@ def test_similar_texts_meet_in_crowded_buckets(spark, monkeypatch, pair_bucket):
     assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == brute_kept(rows)
 
 
-@pytest.mark.parametrize("pair_bucket", [4, 32])
-def test_near_copies_in_a_template_family_meet(spark, monkeypatch, pair_bucket):
-    """Texts of one template, about 0.7 alike, fail on each other as hubs; the near copies among them are found all the same."""
-    monkeypatch.setattr(sim, "PAIR_BUCKET", pair_bucket)
-    rng = random.Random(29)
-    template, rows = some_text(rng, 166, 10**6), []
-    for i in range(240):
-        own = some_text(rng, 34, 10**6)
-        rows += [(i, f"{template} {own}"), (1000 + i, f"{template} {own} end{i}")][: 1 + i % 2]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    expected = sorted(brute_kept(rows))
-    assert len(expected) == 240
-    assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == expected
-
-
 def test_recall_of_near_copies(spark):
     """Pairs at Jaccard similarities from 0.8 upward, by words changed and by words added; and none below."""
     rng = random.Random(24)
