@@ -71,6 +71,14 @@ def t_tail(t: Column, df: Column) -> Column:
     return F.when(df >= 1, incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5)))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson r of the pairs without nulls; NaN where a side has no spread, null where there are no pairs."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread == 0, float("nan")).otherwise(F.covar_pop(a, b) / spread)
+
+
 def pearson_p(r: Column, n: Column) -> Column:
     """Two-sided p-value of a correlation r of n pairs: null below three pairs, 0 for a perfect one."""
     t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(_TINY)))

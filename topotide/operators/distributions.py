@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, haversine
-from topotide.functions.statistics import pearson_p
+from topotide.functions.statistics import correlation, pearson_p
 from topotide.operators.timeline import drop_outliers
 
 
@@ -148,8 +148,8 @@ def affinity_by_distance(pairs: DataFrame, value: str, width: int = 100, more_th
 
 
 def locality_correlation(pairs: DataFrame, value: str, width: int = 100, more_than: int = 0) -> DataFrame:
-    """(n_bins, r): Pearson r of distance bins with the bins' means."""
-    return affinity_by_distance(pairs, value, width, more_than).agg(F.count("*").alias("n_bins"), F.corr("bin", "mean").alias("r"))
+    """(n_bins, r): Pearson r of distance bins with the bins' means; NaN without spread."""
+    return affinity_by_distance(pairs, value, width, more_than).agg(F.count("*").alias("n_bins"), correlation("bin", "mean").alias("r"))
 
 
 def with_distance(pairs: DataFrame, points: DataFrame, loc: str = "cell") -> DataFrame:
@@ -239,8 +239,8 @@ def filtered_affinity_by_distance(pairs: DataFrame, value: str, width: int = 100
 
 
 def pair_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, r): Pearson r over pairs, without bins."""
-    return pairs.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    """(n, r): Pearson r over pairs, without bins; NaN without spread."""
+    return pairs.agg(F.count("*").alias("n"), correlation(x, y).alias("r"))
 
 
 def correlation_test(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

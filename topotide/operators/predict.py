@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up, haversine, spread_kernel
+from topotide.functions.statistics import correlation
 from topotide.operators.timeline import drop_outliers
 
 
@@ -331,8 +332,9 @@ def flipping_by_volume(ratios: DataFrame, volumes: DataFrame, width: int, least:
 
 
 def line_fit(binned: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, r, slope, intercept) of y on x."""
-    return binned.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    """(n, r, slope, intercept) of y on x; without spread r is NaN, and where x has none so is the slope."""
+    slope = F.coalesce(F.regr_slope(y, x), F.when(F.regr_count(y, x) > 0, float("nan")))
+    return binned.agg(F.count("*").alias("n"), correlation(x, y).alias("r"), slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
 def flipping_ratio(chosen: DataFrame) -> DataFrame:
