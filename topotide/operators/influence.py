@@ -1,41 +1,141 @@
 """Influence between locations.
 
-Before-and-after counts of two time sets come from a running sum over the
-merged sets, never from their pairs.
+Before-and-after counts of the time sets of a topic's locations come from one
+pass over its sorted times, never from their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.functions.columns import bin_up
+from topotide.plans.scratch import written
+from topotide.plans.shipping import ship
+
+
+#: Entries that a task holds of a table of pairs at once.
+AREA = 1 << 21
+_SEGMENTS = "u long, tile int, start long, i int, j int, x long"
 
 
 def before_after(occ: DataFrame, loc: str = "loc") -> DataFrame:
     """(topic, l, r, before, after, nl, nr, first_l, first_r, mean_l, mean_r) for locations l < r that share a topic.
 
     before counts pairs of times with l's first, after those with r's first;
-    equal times count for neither.  Times are aggregated to counts before the
-    join, and a running count of r's times gives each of l's its rank.
+    equal times count for neither.  Occurrences are sorted by topic and time in
+    ranges and travel once, whatever the number of locations.  A task counts
+    inside its stretch of a topic, and stretches meet as one count a location.
+    Times and counts are written to the shared folder, so that they are made once.
     """
-    times = occ.groupBy("topic", F.col(loc).alias("loc"), "t").agg(F.count("*").alias("c"))
-    own = times.groupBy("topic", "loc").agg(F.sum("c").alias("n"), F.min("t").alias("first"), (F.sum(F.col("t") * F.col("c")) / F.sum("c")).alias("mean"))
-    a = own.select("topic", F.col("loc").alias("l"), F.col("n").alias("nl"), F.col("first").alias("first_l"), F.col("mean").alias("mean_l"))
-    b = own.select("topic", F.col("loc").alias("r"), F.col("n").alias("nr"), F.col("first").alias("first_r"), F.col("mean").alias("mean_r"))
-    pairs = a.join(b, "topic").where("l < r")
-    left = times.select("topic", F.col("loc").alias("l"), "t", F.col("c").alias("cl"), F.lit(0).cast("bigint").alias("cr")).join(pairs.select("topic", "l", "r"), ["topic", "l"])
-    right = times.select("topic", F.col("loc").alias("r"), "t", F.lit(0).cast("bigint").alias("cl"), F.col("c").alias("cr")).join(pairs.select("topic", "l", "r"), ["topic", "r"])
-    merged = left.unionByName(right).groupBy("topic", "l", "r", "t").agg(F.sum("cl").alias("cl"), F.sum("cr").alias("cr"))
-    upto = F.sum("cr").over(Window.partitionBy("topic", "l", "r").orderBy("t"))
-    ranked = merged.withColumn("le", upto)
-    counts = ranked.groupBy("topic", "l", "r").agg(F.sum(F.col("cl") * (F.col("le") - F.col("cr"))).alias("after"), F.sum(F.col("cl") * F.col("le")).alias("not_before"))
-    return pairs.join(counts, ["topic", "l", "r"]).select("topic", "l", "r", (F.col("nl") * F.col("nr") - F.col("not_before")).alias("before"), "after", "nl", "nr", "first_l", "first_r", "mean_l", "mean_r")
+    rows = occ.select("topic", F.col(loc).alias("loc"), F.col("t").cast("bigint").alias("t")).where("topic is not null and loc is not null")
+    rows = written(rows, "times")  # read three times: for the locations, for the ranges and for the counts
+    own = rows.groupBy("topic", "loc").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.try_divide(F.sum("t"), F.count("t")).alias("mean"))
+    topic = Window.partitionBy("topic")
+    numbered = own.withColumn("id", F.monotonically_increasing_id()).withColumns({"u": F.min("id").over(topic), "k": F.count("*").over(topic).cast("int"), "i": (F.row_number().over(topic.orderBy("loc")) - 1).cast("int")})
+    own = written(numbered.drop("id"), "locations")
+    pairs = _ends(own, "l").join(_ends(own, "r"), ["topic", "u"]).where("i_l < i_r")
+    counts = written(_counts(rows.join(own.select("topic", "loc", "u", "k", "i"), ["topic", "loc"]).where("k > 1 and t is not null").select("u", "k", "i", "t")), "counts")
+    zero = F.lit(0).cast("bigint")
+    both = pairs.join(counts, ["u", "i_l", "i_r"], "left")
+    return both.select("topic", "l", "r", F.coalesce("before", zero).alias("before"), F.coalesce("after", zero).alias("after"), "nl", "nr", "first_l", "first_r", "mean_l", "mean_r")
+
 
+def _ends(own: DataFrame, side: str) -> DataFrame:
+    names = {"loc": side, "i": f"i_{side}", "n": f"n{side}", "first": f"first_{side}", "mean": f"mean_{side}"}
+    return own.select("topic", "u", *[F.col(c).alias(a) for c, a in names.items()])
 
 
+def _counts(times: DataFrame) -> DataFrame:
+    """(u, i_l, i_r, before, after) of rows (u, k, i, t): place i of the k locations of topic u has an occurrence at t.
+
+    The pairs of a topic with many locations are dealt into tiles of rows of
+    at most ``AREA`` pairs, and its occurrences come once a tile.
+    """
+    high = F.greatest(F.lit(1), F.floor(F.lit(AREA) / F.col("k")).cast("int"))
+    tiles = times.withColumn("high", high).withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / F.col("high")).cast("int"))))
+    ship(times.sparkSession)
+    ranged = tiles.select("u", "tile", "t", "i", "k", "high").repartitionByRange("u", "tile", "t").sortWithinPartitions("u", "tile", "t")
+    found = written(ranged.mapInArrow(_segments, _SEGMENTS), "segments")
+    inside = found.where("j >= 0").select("u", "i", "j", "x")
+    own = found.where("j < 0").select("u", "tile", "start", "i", "x")
+    earlier = F.sum("x").over(Window.partitionBy("u", "tile", "i").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    upto = own.withColumn("y", earlier).where("y > 0").select("u", "tile", "start", F.col("i").alias("j"), "y")
+    across = found.where("j = -1 and x > 0").select("u", "tile", "start", "i", "x").join(upto, ["u", "tile", "start"]).where("i <> j").select("u", "i", "j", (F.col("x") * F.col("y")).alias("x"))
+    after = F.when(F.col("i") < F.col("j"), F.col("x")).otherwise(0)
+    before = F.when(F.col("i") > F.col("j"), F.col("x")).otherwise(0)
+    return inside.unionByName(across).groupBy("u", F.least("i", "j").alias("i_l"), F.greatest("i", "j").alias("i_r")).agg(F.sum(before).alias("before"), F.sum(after).alias("after"))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_counts``, sorted by u, tile and t: x pairs of occurrences of i and of j, j's first, inside a stretch.
+
+    A stretch is what a task has of a topic's tile, named by its first time.
+    With j = -1, x is the number of occurrences of place i of the tile in it,
+    with j = -2 that of a place outside the tile, zeros included.
+    """
+    key, state = None, None
+    for batch in batches:
+        u, tile, t, i, k, high = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = np.flatnonzero((u[1:] != u[:-1]) | (tile[1:] != tile[:-1])) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(u)].tolist()):
+            if a == b:
+                continue
+            if key != (u[a], tile[a]):
+                if state is not None:
+                    yield from state.rows()
+                key, state = (u[a], tile[a]), _Stretch(int(u[a]), int(tile[a]), int(t[a]), int(k[a]), int(high[a]))
+            step = max(1, AREA // int(k[a]))
+            for c in range(a, b, step):
+                state.add(t[c : min(c + step, b)], i[c : min(c + step, b)])
+    if state is not None:
+        yield from state.rows()
+
+
+class _Stretch:
+    """Counts of a stretch: ``seen`` by place so far, ``earlier`` those before the last time."""
+
+    def __init__(self, u: int, tile: int, start: int, k: int, high: int):
+        self.u, self.tile, self.start, self.k, self.low = u, tile, start, k, tile * high
+        self.after = np.zeros((min(high, k - self.low), k), np.int64)
+        self.seen, self.earlier, self.last = np.zeros(k, np.int64), np.zeros(k, np.int64), None
+
+    def add(self, t: np.ndarray, i: np.ndarray) -> None:
+        m = len(t)
+        upto = np.zeros((m + 1, self.k), np.int64)
+        upto[np.arange(1, m + 1), i] = 1
+        upto[0] = self.seen
+        np.cumsum(upto, axis=0, out=upto)
+        new = np.r_[t[0] != self.last, t[1:] != t[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(m), -1))  # where a row's time begins; -1: in what came before
+        before = np.where((first < 0)[:, None], self.earlier, upto[first]) if first[0] < 0 else upto[first]
+        mine = np.flatnonzero((i >= self.low) & (i < self.low + len(self.after)))
+        if len(mine):
+            order = mine[np.argsort(i[mine], kind="stable")]
+            starts = np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]])
+            self.after[i[order][starts] - self.low] += np.add.reduceat(before[order], starts, axis=0)
+        self.seen, self.earlier, self.last = upto[m].copy(), before[m - 1].copy(), t[m - 1]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        inside = (np.arange(self.k) >= self.low) & (np.arange(self.k) < self.low + len(self.after))
+        yield from self._batches(np.arange(self.k), np.where(inside, -1, -2), self.seen)
+        step = max(1, (1 << 16) // self.k)
+        for a in range(0, len(self.after), step):
+            part = self.after[a : a + step]
+            i, j = np.nonzero(part)
+            other = i + a + self.low != j
+            yield from self._batches((i + a + self.low)[other], j[other], part[i, j][other])
+
+    def _batches(self, i: np.ndarray, j: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(i), 1 << 16):
+            b = min(a + (1 << 16), len(i))
+            same = [pa.array(np.full(b - a, v), ty) for v, ty in ((self.u, pa.int64()), (self.tile, pa.int32()), (self.start, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c[a:b], ty) for c, ty in ((i, pa.int32()), (j, pa.int32()), (x, pa.int64()))]], ["u", "tile", "start", "i", "j", "x"])
+
 
 def _models() -> dict[str, Column]:
     """Scores of l against r from a row of ``before_after``; the score of r against l is its negative."""
@@ -111,7 +211,12 @@ def influence_similarity(vectors: DataFrame) -> DataFrame:
 
 def topic_influence(occ: DataFrame, model: str = "aggregate", loc: str = "loc") -> DataFrame:
     """(topic, loc, score): mean score of a location against all others that saw the topic."""
-    return scores(before_after(occ, loc), model).groupBy("topic", "loc").agg(F.avg("score").alias("score"))
+    return mean_scores(before_after(occ, loc), model)
+
+
+def mean_scores(pairs: DataFrame, model: str) -> DataFrame:
+    """``topic_influence`` from rows of ``before_after``, which several models can share."""
+    return scores(pairs, model).groupBy("topic", "loc").agg(F.avg("score").alias("score"))
 
 
 def top_influencers(scored: DataFrame, n_locations: int, k: int) -> DataFrame:

@@ -272,7 +272,14 @@ _query(
     "score",
 )
 _query("zone_spans", lambda s, d: infl.zone_spans(cl.influence_zones(infl.boundary_influence(_influence(s, d), 25), 0.00002)))
-_query("model_overlap", lambda s, d: infl.model_overlap(*[infl.topic_influence(src.occ_pairs(s, d), m).groupBy("loc").agg(F.sum("score").alias("score")) for m in ("aggregate", "first_occurrence")], 10), _BA + ", ta AS (SELECT loc, sum(a) AS x, sum(f) AS y FROM (SELECT topic, loc, avg(aggregate) AS a, avg(first_occurrence) AS f FROM sc GROUP BY ALL) GROUP BY loc), to_ AS (SELECT row_number() OVER (ORDER BY round(x, 9) DESC, loc) AS i, row_number() OVER (ORDER BY round(y, 9) DESC, loc) AS j FROM ta)\nSELECT count(*) / 10 AS overlap FROM to_ WHERE i <= 10 AND j <= 10", "overlap")
+
+
+def _overlap(s: SparkSession, d: str) -> DataFrame:
+    both = infl.before_after(src.occ_pairs(s, d))
+    return infl.model_overlap(*[infl.mean_scores(both, m).groupBy("loc").agg(F.sum("score").alias("score")) for m in ("aggregate", "first_occurrence")], 10)
+
+
+_query("model_overlap", _overlap, _BA + ", ta AS (SELECT loc, sum(a) AS x, sum(f) AS y FROM (SELECT topic, loc, avg(aggregate) AS a, avg(first_occurrence) AS f FROM sc GROUP BY ALL) GROUP BY loc), to_ AS (SELECT row_number() OVER (ORDER BY round(x, 9) DESC, loc) AS i, row_number() OVER (ORDER BY round(y, 9) DESC, loc) AS j FROM ta)\nSELECT count(*) / 10 AS overlap FROM to_ WHERE i <= 10 AND j <= 10", "overlap")
 
 # words and topics
 _query("all_word_pairs", lambda s, d: assoc.all_pairs(_table(s, d)), _WORDS + "\nSELECT *, 0.0 AS p, true AS is_significant FROM ct", "p")
