@@ -1,6 +1,8 @@
 """Statistics of values without spread, as tables with many events give them, against DuckDB."""
 
 import math
+import statistics
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -36,3 +38,12 @@ def test_agreement_that_chance_explains_is_not_a_number(spark):
         assert math.isnan(pairs.cluster_agreement(a, b).first()[0])
     assert pairs.cluster_agreement(together, apart).first()[0] == 0.0
     assert pairs.cluster_agreement(together.limit(0), apart).first()[0] is None
+
+
+def test_filtered_means_do_not_hang_on_the_order_of_rows(spark):
+    for values in ([0.1] * 10, [1.0] * 31 + [0.01], [0.01] + [1.0] * 31, [0.7, 0.1, 0.2] * 9):
+        df = spark.createDataFrame([(10.0, v) for v in values], "distance double, jaccard double").coalesce(1)
+        got = dist.filtered_affinity_by_distance(df, "jaccard", 500).first()
+        low, high = (statistics.quantiles(values, n=4, method="inclusive")[i] for i in (0, 2))
+        kept = [v for v in values if low - 1.5 * (high - low) <= v <= high + 1.5 * (high - low)]
+        assert (got["n"], got["mean"]) == (len(kept), float(sum(Fraction(str(v)) for v in kept) / len(kept)))

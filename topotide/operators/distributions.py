@@ -233,9 +233,15 @@ def co_occurrence_by_distance(pairs: DataFrame, count: str = "n", width: int = 1
 
 
 def filtered_affinity_by_distance(pairs: DataFrame, value: str, width: int = 100, more_than: int = 0) -> DataFrame:
-    """``affinity_by_distance`` without values far from the others of their bin."""
-    rows = pairs.select("distance", bin_up(F.col("distance"), width).alias("bin"), F.round(value, 9).alias(value))
-    return affinity_by_distance(drop_outliers(rows, ["bin"], value), value, width, more_than)
+    """``affinity_by_distance`` without values far from the others of their bin.
+
+    Values have nine digits, so that decimals sum them exactly and a mean that
+    lies between two roundings doesn't hang on the order of the rows.
+    """
+    rows = pairs.select(bin_up(F.col("distance"), width).alias("bin"), F.round(value, 9).alias(value))
+    known = F.sum(F.col(value).cast("decimal(28,9)")).cast("double")
+    kept = drop_outliers(rows, ["bin"], value).groupBy("bin").agg(F.count("*").alias("n"), F.try_divide(known, F.count(value)).alias("mean"))
+    return kept.where(F.col("n") > more_than)
 
 
 def pair_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
