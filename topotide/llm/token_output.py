@@ -17,7 +17,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.blocks import lists, single
+from topotide.llm.blocks import lists, single, spread
 from topotide.llm.caches import hold, tidied
 from topotide.llm.tables import table, text_of
 from topotide.plans.scratch import new_path, written
@@ -43,7 +43,7 @@ RANGES = 4
 CACHE_WORDS = 100_000
 #: Rows and bytes of texts that are coded at a time.
 SLICE_ROWS = 8192
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: ASCII marks that may follow a word.
 MARKS = "!#$%&*+,-./:;=?@|~"
 
@@ -51,6 +51,8 @@ MARKS = "!#$%&*+,-./:;=?@|~"
 _NO_CUT = re.compile(r" (?=[\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|$)")
 #: White space, in any library's sense, other than single spaces and line ends between visible characters.
 _NOT_PLAIN = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: A word of letters with marks behind it, which are pieces of their own in the usual pattern.
+_MARKED = r"\A(?P<core>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[" + re.escape(MARKS) + r"]+)\z"
 _NO_IDS = np.zeros(0, "<u4")
 _coders: dict[str, Coder] = {}
 
@@ -89,9 +91,11 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_at_spaces(json.loads(self.tokenizer.to_str()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of pieces as they stand, and of pieces without the space before them.
+        #: Ids of pieces as they stand.
         self.known: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
+        #: Words often seen, their ids as one array and each word's count of ids: words that follow a space, and others.
+        self.often = {spaced: (pa.array([], pa.string()), _NO_IDS, np.zeros(0, np.int64)) for spaced in (True, False)}
+        self.newline = np.frombuffer(self.whole(["\n"])[0], "<u4")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary this letter stands for the space
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
@@ -110,29 +114,23 @@ class Coder:
                 out[-1] += " " + x
         return out
 
-    def chained(self, words: list[str]) -> list[bytes]:
-        """The ids of words with a space before each.
+    def chained(self, words: list[str], spaced: bool = True) -> list[bytes]:
+        """The ids of words with a space before each, or without.
 
-        They are coded as one text and cut where an id starts with a space.
+        They are coded as one text, and cut where an id starts with a space or
+        is a line end.
         """
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(self.spaced[ids]).tolist()
+        if not words:
+            return []
+        if not spaced and len(self.newline) != 1:
+            return self.whole(words)
+        text = " " + " ".join(words) if spaced else "\n" + "\n".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.spaced[ids] if spaced else ids == self.newline[0]).tolist()
         if len(cuts) != len(words) or cuts[0]:
-            return self.whole([" " + x for x in words])
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
-
-    def _learn_words(self, words: set[str]) -> None:
-        """Code words that follow a space; marks behind letters are pieces of their own in the library's pattern."""
-        known = self.after_space
-        ends = {p: p.rstrip(MARKS) for p in words if p[-1:] in MARKS}
-        ended = [(p, core) for p, core in ends.items() if core.isalpha() and max(core) < "\u0590"]
-        new = list(words.difference([p for p, _ in ended]).union(core for _, core in ended if core not in known))
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            known.update(zip(some, self.chained(some)))
-        self._learn({p[len(core) :] for p, core in ended}.difference(self.known))
-        known.update((p, known[core] + self.known[p[len(core) :]]) for p, core in ended)
+            return self.whole([" " + x for x in words] if spaced else words)
+        data, skip = ids.tobytes(), 0 if spaced else 1
+        return [data[4 * (a + skip) : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces)
@@ -148,8 +146,8 @@ class Coder:
         """
         if not self.by_piece:
             return [np.frombuffer(x, "<u4") for x in self.whole(texts)]
-        if len(self.known) + len(self.after_space) > CACHE_WORDS:
-            self.known.clear(), self.after_space.clear()
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
         column = pa.array(texts, pa.string())
         plain = pc.invert(pc.match_substring_regex(column, _NOT_PLAIN))
         for mark in self.special:
@@ -165,19 +163,6 @@ class Coder:
             out[i] = np.frombuffer(self.whole([texts[i]])[0] if cut is None else b"".join(map(self.known.__getitem__, cut)), "<u4")
         return out
 
-    def _looked_up(self, words: list[str], known: dict[str, bytes], learn: Callable[[set[str]], None]) -> list[bytes]:
-        """The ids of words that may hold single line ends; new ones are learnt and kept."""
-        ids = list(map(known.get, words))
-        new = {w for w, x in zip(words, ids) if x is None}
-        if not new:
-            return ids
-        lines = {w: w.split("\n") for w in new if "\n" in w}
-        self._learn({"\n", *(x for w in lines.values() for x in w[1:])}.difference(self.known))
-        learn(new.difference(lines).union(w[0] for w in lines.values()).difference(known))
-        newline = self.known["\n"]
-        known.update((w, newline.join([known[x[0]], *[self.known[y] for y in x[1:]]])) for w, x in lines.items())
-        return list(map(known.__getitem__, words))
-
     def _plain(self, column: pa.Array) -> list[np.ndarray]:
         if not len(column):
             return []
@@ -185,18 +170,68 @@ class Coder:
         offsets = words.offsets.to_numpy()
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
-        firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
-        ids = self._looked_up(distinct, self.after_space, self._learn_words) + self._looked_up(firsts, self.known, self._learn)
-        codes[offsets[:-1]] = np.arange(len(distinct), len(ids))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
-        n = lengths[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        all_ids = table[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[offsets].tolist()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy().copy()
+        times = np.bincount(codes, minlength=len(distinct))
+        lines = pc.match_substring(distinct, "\n").to_numpy(zero_copy_only=False)
+        whole, broken = int((~lines).sum()), int(lines.sum())
+        # words with line ends inside, and the first words of the texts, which follow no space, are cut at line ends
+        cut = pc.split_pattern(pa.concat_arrays([distinct.filter(pa.array(lines)), flat.take(pa.array(offsets[:-1]))]), "\n")
+        at, inner = cut.offsets.to_numpy(), cut.flatten()
+        head = np.zeros(len(inner), bool)
+        head[at[:broken]] = True
+        spaced = pa.concat_arrays([distinct.filter(pa.array(~lines)), inner.filter(pa.array(head))])
+        ids, counts = self._words(spaced, np.concatenate((times[~lines], times[lines])), True)
+        more_ids, more_counts = self._words(inner.filter(pa.array(~head)), np.ones(len(inner) - broken, np.int64), False)
+        counts, newline = np.concatenate((counts, more_counts, [len(self.newline)])), len(spaced) + len(more_counts)
+        piece = np.empty(len(inner), np.int64)
+        piece[head], piece[~head] = whole + np.arange(broken), len(spaced) + np.arange(len(more_counts))
+        joined = np.delete(np.stack((np.full(len(inner), newline), piece), axis=1).ravel(), 2 * at[:-1])
+        pieces = np.concatenate((np.arange(whole), joined))
+        index, ends = spread(pieces, counts)
+        ids = np.concatenate((ids, more_ids, self.newline))[index]
+        lengths = np.diff(ends[np.concatenate((np.arange(whole), whole + 2 * at - np.arange(len(at))))])
+        # whole words come first, then those with line ends inside, then the first words of the texts
+        place = np.empty(len(distinct), np.int64)
+        place[~lines], place[lines] = np.arange(whole), whole + np.arange(broken)
+        codes = place[codes]
+        codes[offsets[:-1]] = len(distinct) + np.arange(len(column))
+        index, ends = spread(codes, lengths)
+        all_ids, bounds = ids[index], ends[offsets].tolist()
         return [all_ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    def _words(self, words: pa.Array, times: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space in one array, and how many each has; ``spaced`` words follow a space, ``times`` tells how often each comes.
+
+        Marks behind letters are coded apart.  Words that come more than once
+        are remembered, up to CACHE_WORDS.
+        """
+        often, often_ids, often_counts = self.often[spaced]
+        parts = pc.extract_regex(words, _MARKED)
+        marked = parts.is_valid()
+        coded = pc.if_else(marked, pc.struct_field(parts, "core"), words).dictionary_encode()
+        tails = pc.if_else(marked, pc.struct_field(parts, "tail"), pa.scalar("")).dictionary_encode()
+        cores, which = coded.dictionary, coded.indices.to_numpy()
+        found = pc.fill_null(pc.index_in(cores, value_set=often), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        texts, learnt = cores.take(pa.array(new)).to_pylist(), []
+        for at in range(0, len(texts), 1000):
+            learnt += self.chained(texts[at : at + 1000], spaced)
+        ends = tails.dictionary.to_pylist()
+        self._learn(set(ends).difference(self.known))
+        kept = len(often)
+        found[new] = kept + np.arange(len(new))
+        pieces = [*learnt, *map(self.known.__getitem__, ends)]
+        counts = np.concatenate((often_counts, np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4))
+        table = np.concatenate((often_ids, np.frombuffer(b"".join(pieces), "<u4")))
+        both = np.stack((found[which], kept + len(new) + tails.indices.to_numpy()), axis=1).ravel()
+        seen = np.bincount(which, weights=times, minlength=len(cores)) > 1
+        stay = new[seen[new]]
+        if kept + len(stay) > CACHE_WORDS:  # begin again with those of this call
+            stay, often, kept = np.flatnonzero(seen)[:CACHE_WORDS], often.slice(0, 0), 0
+        at = np.concatenate((np.arange(kept), found[stay]))
+        self.often[spaced] = pa.concat_arrays([often, cores.take(pa.array(stay))]), table[spread(at, counts)[0]], counts[at]
+        return table[spread(both, counts)[0]], counts[both].reshape(-1, 2).sum(axis=1)
+
 
 def coder(path: str) -> Coder:
     """The worker's coder of a tokenizer file."""
