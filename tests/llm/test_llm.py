@@ -528,6 +528,21 @@ def test_similar_texts_meet_in_crowded_buckets(spark, monkeypatch, pair_bucket):
     assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("pair_bucket", [4, 32])
+def test_near_copies_in_a_template_family_meet(spark, monkeypatch, pair_bucket):
+    """Texts of one template, about 0.7 alike, fail on each other as hubs; the near copies among them are found all the same."""
+    monkeypatch.setattr(sim, "PAIR_BUCKET", pair_bucket)
+    rng = random.Random(29)
+    template, rows = some_text(rng, 166, 10**6), []
+    for i in range(240):
+        own = some_text(rng, 34, 10**6)
+        rows += [(i, f"{template} {own}"), (1000 + i, f"{template} {own} end{i}")][: 1 + i % 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(brute_kept(rows))
+    assert len(expected) == 240
+    assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == expected
+
+
 def test_recall_of_near_copies(spark):
     """Pairs at Jaccard similarities from 0.8 upward, by words changed and by words added; and none below."""
     rng = random.Random(24)
@@ -967,3 +982,24 @@ def test_pipeline_stages_equal_brute_force(spark, tokenizer):
     for i, (doc, at, n, crc) in zip(ids[4], got, strict=True):
         assert (doc, at, n, crc) == (i, start, len(codes[i]), zlib.crc32(np.array(codes[i], "<u4").tobytes()))
         start += n
+
+
+def test_remembered_words_are_coded_as_the_library_does(monkeypatch):
+    """Words with marks and line ends inside, at the beginning of texts too, while the memory for words overflows; as often as a word comes, it is coded once."""
+    import public_tokenizers
+
+    from topotide.llm import token_output
+
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 40)
+    rng = random.Random(41)
+    words = ["the", "Stop!", "don't", "a.b", "x\ny", "end.\nNew", "\u00fcber,", "\u6771\u4eac", "12,5", "'s", "\u00e9!?", "word\n'll", "\u0391\u03b2.", "a\nb\nc"] + [f"{some_text(rng, 1, 500)}{m}" for m in ("", ".", ",", "...", "\n?") for _ in range(20)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(200)] + ["", "x", "two  spaces", "a\n\nb", " lead", "<|endoftext|> as text"]
+    coder = token_output.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 50):
+        assert [x.tolist() for x in coder.encode(texts[at : at + 50])] == expected[at : at + 50]
+    coded = []
+    monkeypatch.setattr(coder, "whole", lambda some, whole=coder.whole: coded.extend(some) or whole(some))
+    monkeypatch.setattr(coder, "chained", lambda some, spaced=True, chained=coder.chained: coded.extend((x, spaced) for x in some) or chained(some, spaced))
+    coder.encode(["one two. three\nthree two one"] * 50)
+    assert len(coded) == len(set(coded)) and ("two", True) in coded and "two." not in coded and not any("\n" in x[0] for x in coded)

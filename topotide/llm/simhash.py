@@ -11,7 +11,7 @@ sets, over rings of some hundred bits and with a verification of each pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,15 @@ from topotide.llm.pairing import compared
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import plainly_named, table, text_of
 from topotide.operators.graphs import components
-from topotide.plans.scratch import new_path, written
+from topotide.plans.scratch import written
 
 SHINGLE = 3
 SEED = 42
 BITS = 64
 #: Largest bucket whose members are compared pair by pair.
 PAIR_BUCKET = 32
+#: Texts of crowded buckets that hold a shingle, fewer than which make it a rare one.
+RARE = 8
 #: What near-duplicate documents are: words of a shingle, Jaccard similarity, and the least chance to find a pair just as similar.
 WORDS_A_SHINGLE = 5
 SIMILARITY = 0.8
@@ -213,18 +215,13 @@ def ring_budget(similarity: float) -> float:
     return share + 5 * (share * (1 - share) / 512) ** 0.5
 
 
-def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
-    """Candidate pairs (hub, row) of ``nodes`` (row, size, ring): rings that agree in a segment and keep to the budget all along a chain.
+def _members(nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
+    """(bucket, row, size, f, n) of ``nodes`` (row, size, ring): the n rows that have one segment and near sizes are a bucket; rows alone in theirs are left out.
 
     Sizes are numbers of distinct shingles; pairs whose sizes alone rule out the
-    similarity don't meet.  Members of a bucket, the rows with one segment and
-    near sizes, are set against its smallest row; those beyond the budget stay
-    for the next round while the bucket is large, and meet pair by pair when
-    it is small.  If the rounds stop making large buckets smaller, their rows
-    meet pair by pair as well, so none is left out.
+    similarity don't meet.  f is one word of the ring.
     """
     words = -(-width * segments // 64)
-    budget = ring_budget(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,43 +239,107 @@ def similar_pairs(nodes: DataFrame, similarity: float, width: int, segments: int
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, *each)], ["bucket", "row", "size", "f"])
 
     members = nodes.select("row", "size", "ring").mapInArrow(tidied(run), "bucket long, row long, size long, f long")
-    spark = nodes.sparkSession
-    path = new_path(spark, "members")
-    crowded = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    members = written(members.withColumn("n", crowded).where("n > 1"), "members", path)
-    # one word of the ring goes along: it may differ in so many bits, six deviations more than the mean
+    return written(members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "members")
+
+
+def _differing() -> Column:
+    return F.bit_count(F.col("f").bitwiseXOR(F.col("f2")))
+
+
+def _near(similarity: float) -> Column:
+    """Whether sizes and one word of the rings, which may differ in six deviations more bits than the mean, allow the similarity."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5)
-    near = (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2") - 1e-9) & (F.bit_count(F.col("f").bitwiseXOR(F.col("f2"))) <= most)
-    found, rest, left = None, members.where(F.col("n") > PAIR_BUCKET), None
-    before = rest.count()
-    small = members.where(F.col("n") <= PAIR_BUCKET)
-    while before:
-        hubs = rest.groupBy("bucket").agg(F.min(F.struct("row", "size", "f")).alias("h")).select("bucket", F.col("h.row").alias("hub"), F.col("h.size").alias("size2"), F.col("h.f").alias("f2"))
-        told = written(rest.drop("n").join(hubs, "bucket").where("row <> hub").withColumn("near", near), "rounds")
-        star = told.where("near").select("hub", "row")
-        found = star if found is None else found.unionByName(star)
-        open_ = told.where("not near").select("bucket", "row", "size", "f").withColumn("n", crowded).where("n > 1")
-        left = written(open_, "open")
-        small = small.unionByName(left.where(F.col("n") <= PAIR_BUCKET))
-        rest = left.where(F.col("n") > PAIR_BUCKET)
-        now = rest.count()
-        if now > 0.9 * before:
-            small = small.unionByName(rest)
-            break
-        before = now
-    a = small.select("bucket", F.col("row").alias("hub"), F.col("size").alias("size2"), F.col("f").alias("f2"))
-    pairs = small.select("bucket", "row", "size", "f").join(a, "bucket").where(F.col("hub") < F.col("row")).where(near).select("hub", "row")
-    pairs = written((pairs if found is None else pairs.unionByName(found)).distinct(), "candidates")
+    return (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2") - 1e-9) & (_differing() <= most)
+
+
+def _pairs_within(members: DataFrame, near: Column, *more: str) -> DataFrame:
+    """(hub, row): near pairs of each bucket, one by one, each pair once; ``near`` may use the columns ``more`` of both."""
+    a = members.select("bucket", F.col("row").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("size", "f", *more)])
+    return members.select("bucket", "row", "size", "f", *more).join(a, "bucket").where(F.col("hub") < F.col("row")).where(near).select("hub", "row").distinct()
+
+
+def _rare(texts: DataFrame, k: int) -> DataFrame:
+    """(s, row, n): the distinct shingles s of ``texts`` (row, text) that n < RARE of them hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
+                own = np.unique(shingles).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row, np.int64))], ["s", "row"])
+
+    each = written(texts.select("row", "text").mapInArrow(tidied(run), "s long, row long"), "shingles")
+    return written(each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < RARE), "s"), "rare")
+
+
+def _on_rings(pairs: DataFrame, nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
+    """The pairs (hub, row) whose rings keep to the budget all along a chain: some chain of words keeps to its share at every length."""
+    words = -(-width * segments // 64)
     rings = nodes.select(F.col("row").alias("r"), "ring")
     both = pairs.join(rings.select(F.col("r").alias("hub"), F.col("ring").alias("a")), "hub").join(rings.select(F.col("r").alias("row"), F.col("ring").alias("b")), "row")
-    # pigeonring: some chain of words of the ring keeps to its share of the budget at every length
     differ = F.expr("zip_with(a, b, (x, y) -> bit_count(x ^ y))")
-    quota = f"{budget * 64}D"
+    quota = f"{ring_budget(similarity) * 64}D"
     chain = f"exists(sequence(0, {words - 1}), s -> aggregate(sequence(0, {words - 1}), struct(0 AS sum, true AS ok), (c, i) -> struct(c.sum + d[(s + i) % {words}] AS sum, c.ok AND c.sum + d[(s + i) % {words}] <= (i + 1) * {quota} AS ok), c -> c.ok))"
     return both.select("hub", "row", F.explode(F.array(differ)).alias("d")).where(F.expr(chain)).select("hub", "row")
 
 
+def crowded_links(members: DataFrame, texts: DataFrame, k: int, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (hub, row) among rows of large buckets, whose buckets of any size are ``members`` (bucket, row, size, f), complete up to connection.
+
+    ``texts`` (row, text) has the rows' texts, and ``verified`` gets pairs (hub, row) and
+    returns those that link.  A shingle that one row alone has is in no
+    intersection, which bounds the similarity of every pair from above; pairs
+    whose bound is too low don't meet.  In a round every bucket has a hub, at
+    first the row with the largest share of shingles that others have too, then
+    any, in an order that all buckets share.  Every row is set against the
+    nearest of its buckets' hubs: so a row makes one pair, however many buckets
+    it shares with others of its group.  Linked rows have a common label, and a
+    bucket with one label is done.  A row that fails on its hub stays.  When
+    rounds no longer link a tenth of their pairs, rows with different labels meet pair by
+    pair, so none is left out: those that have a rare shingle in common, and
+    those of one bucket whose bound is high enough without the rare ones.
+    """
+    rare = _rare(texts, k)
+    few = rare.groupBy("row").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.count(F.lit(1)).alias("rare"))
+    counts = {"shared": F.col("size") - F.coalesce("single", F.lit(0)), "common": F.col("size") - F.coalesce("rare", F.lit(0))}
+    open_ = members.select("bucket", "row", "size", "f").join(written(few, "few"), "row", "left").withColumns(counts).drop("single", "rare")
+    open_ = open_.where(F.col("shared") >= F.lit(similarity) * F.col("size") - 1e-9).withColumn("label", F.col("row"))
+    apart = _near(similarity) & (F.col("label") != F.col("label2"))
+
+    def bounded(c: str) -> Column:
+        both = F.least(c, f"{c}2")
+        return both >= F.lit(similarity) * (F.col("size") + F.col("size2") - both) - 1e-9
+
+    near = apart & bounded("shared")
+    links = tested = open_.select(F.col("row").alias("hub"), "row").limit(0)
+    last, number = False, 0
+    while True:
+        bucket = Window.partitionBy("bucket")
+        several = open_.withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)}).where("low < high").drop("low", "high")
+        open_ = written(several, "open")
+        if open_.isEmpty():
+            return links
+        if last:
+            rows = open_.drop("bucket").distinct()
+            alike = _pairs_within(rare.where("n > 1").select(F.col("s").alias("bucket"), "row").join(rows, "row"), near, "shared", "label")
+            pairs = _pairs_within(open_, apart & bounded("common"), "common", "label").unionByName(alike).distinct().join(tested, ["hub", "row"], "left_anti")
+        else:
+            order = F.struct(F.lit(0.0) if number else -F.col("shared") / F.col("size"), F.xxhash64(F.lit(number), "row"))
+            first = F.min(F.struct(order.alias("o"), F.col("row").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("size", "f", "shared", "label")])).alias("h")
+            told = open_.join(open_.groupBy("bucket").agg(first).select("bucket", "h.*"), "bucket").where(near)
+            told = told.groupBy("row").agg(F.min(F.struct(_differing().alias("d"), "hub")).alias("h"))
+            pairs = told.select(F.least("row", "h.hub").alias("hub"), F.greatest("row", "h.hub").alias("row")).distinct()
+        pairs = written(pairs, "candidates")
+        found = written(verified(pairs), "crowded")
+        links = links.unionByName(found)
+        if last:
+            return links
+        tested = tested.unionByName(pairs)
+        labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
+        open_ = open_.drop("label").join(labels, "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
+        last, number = found.count() * 10 <= pairs.count(), number + 1
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> list[tuple[float]]:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return [(common / max(1, len(a) + len(b) - common),)]
@@ -319,15 +380,27 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     first = F.min(F.struct(*keys)).alias("first")  # any row of the node has its words
     nodes = rows.groupBy("digest", "size").agg(first, F.first("ring").alias("ring"))
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")
-    pairs = written(similar_pairs(nodes.where("size > 0"), similarity, width, segments), "pairs")
-    ends = pairs.select(F.col("hub").alias("r")).distinct().unionByName(pairs.select(F.col("row").alias("r")).distinct()).distinct()
+    members = _members(nodes.where("size > 0"), similarity, width, segments)
+    large = written(members.where(F.col("n") > PAIR_BUCKET).select("row").distinct(), "large")
+    members = members.join(large.withColumn("crowded", F.lit(True)), "row", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    few = members.where(F.col("n") <= PAIR_BUCKET)
+    pairs = written(_pairs_within(few, _near(similarity) & ~(F.col("crowded") & F.col("crowded2")), "crowded"), "candidates")
+    ends = pairs.select(F.col("hub").alias("r")).unionByName(pairs.select(F.col("row").alias("r"))).unionByName(large.select(F.col("row").alias("r"))).distinct()
     named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"__f_{c}"))
-    texts = docs.join(named, same).groupBy("row").agg(F.first("text").alias("text"))  # rows with equal keys hold equal texts
-    checked = written(compared(pairs, written(texts, "texts"), lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double"), "checked")
-    labels = components(written(_thinned(checked.where(F.col("jaccard") >= similarity - 1e-9).select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
+    texts = written(docs.join(named, same).groupBy("row").agg(F.first("text").alias("text")), "texts")  # rows with equal keys hold equal texts
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(_on_rings(pairs, nodes, similarity, width, segments), "pairs")
+        checked = compared(pairs, texts, lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double")
+        return checked.where(F.col("jaccard") >= similarity - 1e-9).select("hub", "row")
+
+    links = written(verified(pairs), "checked")
+    if not large.isEmpty():
+        links = links.unionByName(crowded_links(members.where("crowded"), texts.join(large, "row", "left_semi"), k, similarity, verified))
+    labels = components(written(_thinned(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
     nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
     nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
     return rows.drop("ring").join(nodes, ["digest", "size"]).select(*keys, "component")
