@@ -390,6 +390,22 @@ def test_near_copies_are_found(spark):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_near_copies_behind_smaller_rows_are_found(spark):
+    """Smaller rows hold halves of the passages apart, share keys with both copies and fail on them."""
+    rng = random.Random(19)
+    docs, parts = [], [[] for _ in range(6)]
+    for i in range(60):
+        p = some_text(rng, 60, 10**6).split()
+        q = list(p)
+        q[30] = "changed"
+        docs += [(100 + 2 * i, " ".join(p)), (101 + 2 * i, " ".join(q))]
+        for j, part in enumerate(parts):
+            part.append(" ".join([*p[j : 30 + j], *some_text(rng, 20, 10**6).split(), *p[30 + j - 6 :]]))
+    docs += [(j, " ".join(part)) for j, part in enumerate(parts)]
+    got = {r["doc_id"]: r["class_id"] for r in sub.substring_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[101 + 2 * i] == got[100 + 2 * i] for i in range(60))
+
+
 def test_passages_with_repeated_ids_and_white_space(spark):
     rng = random.Random(17)
     a, b, c = (some_text(rng, 49, 10**6) for _ in range(3))

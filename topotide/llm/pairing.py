@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import tidied
+from topotide.llm.shingling import shingle_lists, slices
+from topotide.plans.scratch import written
 
 #: Partners of a hub that one task compares together.
 PARTNERS = 256
+#: A shingle that fewer of some texts hold is a rare one.
+RARE = 8
 
 
 def compared(pairs: DataFrame, docs: DataFrame, prepare: Callable[[pa.Array], list[Any]], compare: Callable[[Any, Any], list[tuple]], columns: str) -> DataFrame:
@@ -47,3 +52,16 @@ def compared(pairs: DataFrame, docs: DataFrame, prepare: Callable[[pa.Array], li
     both = dealt.unionByName(heads).join(texts, F.col("row") == F.col("r")).select("hub", "part", "kind", "row", "text")
     stream = both.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "row").select("hub", "kind", "row", "text")
     return stream.mapInArrow(tidied(run), "hub long, row long, " + columns)
+
+
+def rare_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(s, row, n): the distinct shingles s of ``texts`` (row, text) that n < RARE of them hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
+                own = np.unique(shingles).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row, np.int64))], ["s", "row"])
+
+    each = written(texts.select("row", "text").mapInArrow(tidied(run), "s long, row long"), "shingles")
+    return written(each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < RARE), "s"), "rare")

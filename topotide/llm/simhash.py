@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import tidied
-from topotide.llm.pairing import compared
+from topotide.llm.pairing import compared, rare_shingles
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import plainly_named, table, text_of
 from topotide.operators.graphs import components
@@ -31,8 +31,6 @@ SEED = 42
 BITS = 64
 #: Largest bucket whose members are compared pair by pair.
 PAIR_BUCKET = 32
-#: Texts of crowded buckets that hold a shingle, fewer than which make it a rare one.
-RARE = 8
 #: What near-duplicate documents are: words of a shingle, Jaccard similarity, and the least chance to find a pair just as similar.
 WORDS_A_SHINGLE = 5
 SIMILARITY = 0.8
@@ -259,19 +257,6 @@ def _pairs_within(members: DataFrame, near: Column, *more: str) -> DataFrame:
     return members.select("bucket", "row", "size", "f", *more).join(a, "bucket").where(F.col("hub") < F.col("row")).where(near).select("hub", "row").distinct()
 
 
-def _rare(texts: DataFrame, k: int) -> DataFrame:
-    """(s, row, n): the distinct shingles s of ``texts`` (row, text) that n < RARE of them hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
-            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
-                own = np.unique(shingles).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row, np.int64))], ["s", "row"])
-
-    each = written(texts.select("row", "text").mapInArrow(tidied(run), "s long, row long"), "shingles")
-    return written(each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < RARE), "s"), "rare")
-
-
 def _on_rings(pairs: DataFrame, nodes: DataFrame, similarity: float, width: int, segments: int) -> DataFrame:
     """The pairs (hub, row) whose rings keep to the budget all along a chain: some chain of words keeps to its share at every length."""
     words = -(-width * segments // 64)
@@ -299,7 +284,7 @@ def crowded_links(members: DataFrame, texts: DataFrame, k: int, similarity: floa
     pair, so none is left out: those that have a rare shingle in common, and
     those of one bucket whose bound is high enough without the rare ones.
     """
-    rare = _rare(texts, k)
+    rare = rare_shingles(texts, k)
     few = rare.groupBy("row").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.count(F.lit(1)).alias("rare"))
     counts = {"shared": F.col("size") - F.coalesce("single", F.lit(0)), "common": F.col("size") - F.coalesce("rare", F.lit(0))}
     open_ = members.select("bucket", "row", "size", "f").join(written(few, "few"), "row", "left").withColumns(counts).drop("single", "rare")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topotide.llm.pairing import compared
+from topotide.llm.pairing import compared, rare_shingles
 from topotide.llm.shingling import SHINGLE, mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
@@ -337,17 +337,21 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, k: int = SHINGLE, sim
     and not with the pairs in a group.  Texts that hold ``words`` words alike
     end up connected in any case: where a row shares a verbatim stretch with a
     hub but no passage, all runs of that hub's group are hashed whole, and
-    rows with an equal run are linked.  Near copies that agree with the
-    smallest row of none of their keys can be missed.
+    rows with an equal run are linked.  Rows that fail on a hub meet the other
+    rows of its keys (``_behind_hubs``).
     """
     t = words - k + 1
-    pairs = written(stars(_keyed(docs, lambda base, starts: run_keys(base, starts, t, functions, enough, step))), "pairs")
+
+    def keys_of(base: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return run_keys(base, starts, t, functions, enough, step)
+
+    pairs = written(stars(_keyed(docs, keys_of)), "pairs")
     found = written(verified(pairs, docs, t, k, similarity), "verified")
     broken = found.where("start < 0").join(pairs.where("verbatim"), ["hub", "row"], "left_semi").select("hub").distinct()
     group = pairs.where("verbatim").join(broken, "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct()
     group = written(group, "broken")
     if group.isEmpty():
-        return found.where("start >= 0")
+        return _behind_hubs(docs, keys_of, pairs, found, t, k, similarity)
 
     def whole(base: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs = np.maximum(np.diff(starts) - t + 1, 0)
@@ -356,7 +360,38 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, k: int = SHINGLE, sim
         return text, run_hashes(base, t)[at] if len(at) else np.zeros(0, np.uint64)
 
     more = stars(_keyed(docs.join(group, "row", "left_semi"), whole)).join(pairs, ["hub", "row"], "left_anti")
-    return written(verified(written(more, "pairs"), docs, t, k, similarity), "verified").unionByName(found).where("start >= 0")
+    more = written(more, "pairs")
+    found = written(verified(more, docs, t, k, similarity), "verified").unionByName(found)
+    return _behind_hubs(docs, keys_of, pairs.unionByName(more), found, t, k, similarity)
+
+
+def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
+    """The passages of ``found``, and those between rows that share a key and a hub, of which one failed.
+
+    Two texts with a passage in common share ``similarity`` of t shingles at
+    least: a rare one, of those that few texts of the group hold, or so many
+    common ones.  So of the hub's rows that aren't connected yet, those with a
+    rare shingle in common meet, and those of one key that hold enough common
+    shingles.
+    """
+    passed = found.where("start >= 0")
+    failed = found.where("start < 0").select("hub").distinct()
+    group = written(pairs.join(failed, "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
+    if group.isEmpty():
+        return passed
+    labels = components(passed.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
+    group = written(group.join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("label")), "group")
+    texts = docs.join(group.select("row"), "row", "left_semi").select("row", "text")
+    rare = rare_shingles(texts, k)
+    sizes = texts.select("row", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("size"))
+    few = rare.groupBy("row").agg(F.count(F.lit(1)).alias("rare"))
+    enough = int(np.ceil(similarity * t - 1e-9))
+    dense = sizes.join(few, "row", "left").where(F.col("size") - k + 1 - F.coalesce("rare", F.lit(0)) >= enough).select("row")
+    keyed = _keyed(texts.join(written(dense, "dense"), "row", "left_semi"), keys_of)
+    meeting = keyed.select("key", "row").unionByName(rare.where("n > 1").select(F.col("s").alias("key"), "row")).join(group, "row")
+    other = meeting.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"))
+    more = meeting.join(other, "key").where("hub < row and label <> label2").select("hub", "row").distinct().join(pairs, ["hub", "row"], "left_anti")
+    return written(verified(written(more, "pairs"), docs, t, k, similarity), "verified").where("start >= 0").unionByName(passed)
 
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
