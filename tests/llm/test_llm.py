@@ -559,6 +559,30 @@ def test_near_copies_in_a_template_family_meet(spark, monkeypatch, pair_bucket):
     assert sorted(r["doc_id"] for r in sim.drop_near_duplicates(df).collect()) == expected
 
 
+def test_a_large_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts near one middle text, which miss each other's similarity, meet that text."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        words = list(base)
+        for at in (rng.randrange(150) for _ in range(3)):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    compared = sim.compared
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(sim, "compared", counted)
+    monkeypatch.setattr(sim, "PAIR_BUCKET", 4)
+    kept = rows_of(sim.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id"))
+    assert len(kept) < 5
+    assert sum(seen) < 4 * len(rows), seen
+
+
 def test_recall_of_near_copies(spark):
     """Pairs at Jaccard similarities from 0.8 upward, by words changed and by words added; and none below."""
     rng = random.Random(24)

@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import tidied
@@ -54,6 +54,23 @@ def compared(pairs: DataFrame, docs: DataFrame, prepare: Callable[[pa.Array], li
     return stream.mapInArrow(tidied(run), "hub long, row long, " + columns)
 
 
+def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(s, row, at, times, n): the distinct shingles s of ``texts`` (row, text) that n > 1 of them hold, with their first place in the row's text and how often it holds them.
+
+    Those with n below RARE are rare ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
+                own, at, times = np.unique(shingles, return_index=True, return_counts=True)
+                columns = own.view(np.int64), np.full(len(own), row, np.int64), at.astype(np.int32), times.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "row", "at", "times"])
+
+    each = texts.select("row", "text").mapInArrow(tidied(run), "s long, row long, at int, times int")
+    return written(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where(F.col("n") > 1), "shingles")
+
+
 def rare_shingles(texts: DataFrame, k: int) -> DataFrame:
     """(s, row, n): the distinct shingles s of ``texts`` (row, text) that n < RARE of them hold."""
 

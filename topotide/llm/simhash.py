@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import tidied
-from topotide.llm.pairing import compared, rare_shingles
+from topotide.llm.pairing import RARE, compared, shared_shingles
 from topotide.llm.shingling import mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import plainly_named, table, text_of
 from topotide.operators.graphs import components
@@ -192,11 +192,11 @@ def rings_of(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
 def ring_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
     """(width, segments) of a ring for n texts.
 
-    Segments have some two bits less than it takes to number the texts, so a
-    text meets a few others by chance at any n; there are as many as let a
+    Segments have the bits it takes to number the texts, so a text meets less
+    than one other in a segment by chance at any n; there are as many as let a
     pair of that Jaccard similarity agree in one with probability ``recall``.
     """
-    width = max(16, min(48, int(np.ceil(np.log2(max(2, n)))) - 2))
+    width = max(16, min(48, int(np.ceil(np.log2(max(2, n))))))
     same = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** width
     return width, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
 
@@ -274,20 +274,22 @@ def crowded_links(members: DataFrame, texts: DataFrame, k: int, similarity: floa
     ``texts`` (row, text) has the rows' texts, and ``verified`` gets pairs (hub, row) and
     returns those that link.  A shingle that one row alone has is in no
     intersection, which bounds the similarity of every pair from above; pairs
-    whose bound is too low don't meet.  In a round every bucket has a hub, at
-    first the row with the largest share of shingles that others have too, then
-    any, in an order that all buckets share.  Every row is set against the
-    nearest of its buckets' hubs: so a row makes one pair, however many buckets
-    it shares with others of its group.  Linked rows have a common label, and a
-    bucket with one label is done.  A row that fails on its hub stays.  When
-    rounds no longer link a tenth of their pairs, rows with different labels meet pair by
-    pair, so none is left out: those that have a rare shingle in common, and
-    those of one bucket whose bound is high enough without the rare ones.
+    whose bound is too low don't meet.  Linked rows have a common label, and a
+    bucket with one label is done.  In a round every bucket has a hub, and every
+    row is set against one hub of its buckets that it hasn't met: so a row makes
+    one pair, however many buckets it shares with others of its group.  At
+    first hubs are the rows with the largest share of shingles that others have
+    too; then, in turn, any rows, of which the nearest is met, and the rows with most links
+    of the labels in the bucket, which needn't be in it themselves: so the
+    middle of a group meets all that share a bucket with any of the group.  A
+    row that fails on its hub stays.  When two rounds together link no more
+    than a tenth of their pairs, rows with different labels meet pair by pair,
+    so none is left out: those that have a rare shingle in common, and those of
+    one bucket whose bound is high enough without the rare ones.
     """
-    rare = rare_shingles(texts, k)
-    few = rare.groupBy("row").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.count(F.lit(1)).alias("rare"))
-    counts = {"shared": F.col("size") - F.coalesce("single", F.lit(0)), "common": F.col("size") - F.coalesce("rare", F.lit(0))}
-    open_ = members.select("bucket", "row", "size", "f").join(written(few, "few"), "row", "left").withColumns(counts).drop("single", "rare")
+    shingles = shared_shingles(texts, k)
+    counts = shingles.groupBy("row").agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(F.col("n") >= RARE, 1)).alias("common"))
+    open_ = members.select("bucket", "row", "size", "f").join(written(counts, "counts"), "row")  # a row without shared shingles is near none
     open_ = open_.where(F.col("shared") >= F.lit(similarity) * F.col("size") - 1e-9).withColumn("label", F.col("row"))
     apart = _near(similarity) & (F.col("label") != F.col("label2"))
 
@@ -297,23 +299,20 @@ def crowded_links(members: DataFrame, texts: DataFrame, k: int, similarity: floa
 
     near = apart & bounded("shared")
     links = tested = open_.select(F.col("row").alias("hub"), "row").limit(0)
-    last, number = False, 0
+    middles, shares, number = None, [], 0
     while True:
         bucket = Window.partitionBy("bucket")
         several = open_.withColumns({"low": F.min("label").over(bucket), "high": F.max("label").over(bucket)}).where("low < high").drop("low", "high")
         open_ = written(several, "open")
         if open_.isEmpty():
             return links
+        last = len(shares) > 1 and sum(x for x, _ in shares[-2:]) * 10 <= sum(y for _, y in shares[-2:])
         if last:
-            rows = open_.drop("bucket").distinct()
-            alike = _pairs_within(rare.where("n > 1").select(F.col("s").alias("bucket"), "row").join(rows, "row"), near, "shared", "label")
+            rare = shingles.where(F.col("n") < RARE).select(F.col("s").alias("bucket"), "row")
+            alike = _pairs_within(rare.join(open_.drop("bucket").distinct(), "row"), near, "shared", "label")
             pairs = _pairs_within(open_, apart & bounded("common"), "common", "label").unionByName(alike).distinct().join(tested, ["hub", "row"], "left_anti")
         else:
-            order = F.struct(F.lit(0.0) if number else -F.col("shared") / F.col("size"), F.xxhash64(F.lit(number), "row"))
-            first = F.min(F.struct(order.alias("o"), F.col("row").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("size", "f", "shared", "label")])).alias("h")
-            told = open_.join(open_.groupBy("bucket").agg(first).select("bucket", "h.*"), "bucket").where(near)
-            told = told.groupBy("row").agg(F.min(F.struct(_differing().alias("d"), "hub")).alias("h"))
-            pairs = told.select(F.least("row", "h.hub").alias("hub"), F.greatest("row", "h.hub").alias("row")).distinct()
+            pairs = _round(open_, near, middles, number, tested)
         pairs = written(pairs, "candidates")
         found = written(verified(pairs), "crowded")
         links = links.unionByName(found)
@@ -321,8 +320,31 @@ def crowded_links(members: DataFrame, texts: DataFrame, k: int, similarity: floa
             return links
         tested = tested.unionByName(pairs)
         labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
+        if not number:
+            rows = written(open_.select("row", "size", "f", "shared").distinct(), "crowd")
+        degrees = links.select(F.explode(F.array("hub", "row")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
+        most = F.max(F.struct("links", F.col("row").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("size", "f", "shared")])).alias("x")
+        middles = written(labels.join(degrees, "row").join(rows, "row").groupBy(F.col("component").alias("label")).agg(most).select("label", "x.*"), "middles")
         open_ = open_.drop("label").join(labels, "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
-        last, number = found.count() * 10 <= pairs.count(), number + 1
+        shares.append((found.count(), pairs.count()))
+        number += 1
+
+
+def _round(open_: DataFrame, near: Column, middles: DataFrame | None, number: int, tested: DataFrame) -> DataFrame:
+    """Pairs (hub, row) of a round of ``crowded_links``: one for each row that has a near hub it wasn't set against."""
+    hubs = open_.select("bucket", F.col("row").alias("hub"), *[F.col(c).alias(f"{c}2") for c in ("size", "f", "shared", "label")])
+    order = [F.xxhash64(F.lit(number), "hub")]
+    if number == 0:
+        order = [-F.col("shared2") / F.col("size2"), *order]
+    ranked = number % 2 == 0
+    if ranked and number:
+        hubs = open_.select("bucket", "label").distinct().join(middles, "label").withColumn("label2", F.col("label"))
+        order = [-F.col("links"), *order]
+    first = F.min(F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), "hub", "size2", "f2", "shared2", "label2")).alias("h")
+    told = open_.join(hubs.groupBy("bucket").agg(first).select("bucket", "h.*"), "bucket").where(near)
+    told = told.select(F.col("row").alias("own"), "o", _differing().alias("d"), F.least("row", "hub").alias("hub"), F.greatest("row", "hub").alias("row"))
+    best = F.min(F.struct("o", "hub", "row") if ranked else F.struct("d", "hub", "row")).alias("h")
+    return told.join(tested, ["hub", "row"], "left_anti").groupBy("own").agg(best).select("h.hub", "h.row").distinct()
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> list[tuple[float]]:
@@ -370,6 +392,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     members = members.join(large.withColumn("crowded", F.lit(True)), "row", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     few = members.where(F.col("n") <= PAIR_BUCKET)
     pairs = written(_pairs_within(few, _near(similarity) & ~(F.col("crowded") & F.col("crowded2")), "crowded"), "candidates")
+    pairs = written(_on_rings(pairs, nodes, similarity, width, segments), "pairs")  # texts are read for these alone
     ends = pairs.select(F.col("hub").alias("r")).unionByName(pairs.select(F.col("row").alias("r"))).unionByName(large.select(F.col("row").alias("r"))).distinct()
     named = nodes.join(ends, F.col("row") == F.col("r")).select("row", *[F.col(f"first.{c}").alias(f"__f_{c}") for c in keys])
     same = F.lit(True)
@@ -378,13 +401,12 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, k: int =
     texts = written(docs.join(named, same).groupBy("row").agg(F.first("text").alias("text")), "texts")  # rows with equal keys hold equal texts
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(_on_rings(pairs, nodes, similarity, width, segments), "pairs")
         checked = compared(pairs, texts, lambda t: [np.unique(x) for x in shingle_lists(t, k)], _jaccard, "jaccard double")
         return checked.where(F.col("jaccard") >= similarity - 1e-9).select("hub", "row")
 
     links = written(verified(pairs), "checked")
     if not large.isEmpty():
-        links = links.unionByName(crowded_links(members.where("crowded"), texts.join(large, "row", "left_semi"), k, similarity, verified))
+        links = links.unionByName(crowded_links(members.where("crowded"), texts.join(large, "row", "left_semi"), k, similarity, lambda pairs: verified(written(_on_rings(pairs, nodes, similarity, width, segments), "pairs"))))
     labels = components(written(_thinned(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))), "links"))
     nodes = nodes.select("digest", "size", "row").join(labels.select(F.col("node").alias("row"), "component"), "row", "left")
     nodes = written(nodes.select("digest", "size", F.coalesce("component", "row").alias("component")), "labelled")
