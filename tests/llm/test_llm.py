@@ -375,6 +375,11 @@ def test_passages_of_equal_runs_and_near_copies_link(spark):
     assert all(families[i] == families[got[i]] for i in range(len(docs)))
 
 
+def test_stars_tell_keys_with_a_third_row(spark):
+    keyed = spark.createDataFrame([(2, 1), (2, 5), (4, 1), (4, 6), (4, 7), *[(k, 9) for k in range(6, 2000, 2)]], "key long, row long")
+    assert sorted(map(tuple, sub.stars(keyed).select("hub", "row", "more").collect())) == [(1, 5, False), (1, 6, True), (1, 7, True)]
+
+
 def test_near_copies_are_found(spark):
     """Recall of copies with one word in fifty changed, the farthest that reach 0.8."""
     rng = random.Random(16)

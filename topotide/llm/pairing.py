@@ -69,16 +69,3 @@ def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
 
     each = texts.select("row", "text").mapInArrow(tidied(run), "s long, row long, at int, times int")
     return written(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where(F.col("n") > 1), "shingles")
-
-
-def rare_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(s, row, n): the distinct shingles s of ``texts`` (row, text) that n < RARE of them hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
-            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
-                own = np.unique(shingles).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row, np.int64))], ["s", "row"])
-
-    each = written(texts.select("row", "text").mapInArrow(tidied(run), "s long, row long"), "shingles")
-    return written(each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < RARE), "s"), "rare")

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.pairing import compared, rare_shingles
+from topotide.llm.pairing import RARE, compared, shared_shingles
 from topotide.llm.shingling import SHINGLE, mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
@@ -295,29 +295,33 @@ def _keyed(docs: DataFrame, keys_of) -> DataFrame:
 
 
 def stars(keyed: DataFrame) -> DataFrame:
-    """(hub, row, verbatim): rows that share a key, each with the key's smallest row.
+    """(hub, row, verbatim, more): rows that share a key, each with the key's smallest row.
 
     Sorted partitions are read as streams that remember the last key alone, so
     a key of any size needs no memory.  verbatim tells that one of the shared
-    keys was odd.
+    keys was odd, more that one of them may have a third row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub = None, None
+        key, hub, seen = None, None, 0
         for batch in batches:
             keys, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
             new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-            place = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+            at = np.arange(len(keys))
+            place = np.maximum.accumulate(np.where(new, at, -1))
             hubs = np.where(place < 0, hub if hub is not None else 0, rows[np.maximum(place, 0)])
-            key, hub = keys[-1], hubs[-1]
+            nth = at - place + np.where(place < 0, seen - 1, 0)
+            more = (nth > 1) | np.concatenate((~new[1:], [True]))  # what comes behind the batch isn't known
+            key, hub, seen = keys[-1], hubs[-1], int(nth[-1]) + 1
             other = hubs != rows
-            pairs = np.unique(np.stack((hubs[other], rows[other], keys[other] & 1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["hub", "row", "odd"])
+            pairs = np.unique(np.stack((hubs[other], rows[other], keys[other] & 1, more[other]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["hub", "row", "odd", "more"])
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "row")
-    return dealt.mapInArrow(run, "hub long, row long, odd long").groupBy("hub", "row").agg((F.max("odd") == 1).alias("verbatim"))
+    found = dealt.mapInArrow(run, "hub long, row long, odd long, more long")
+    return found.groupBy("hub", "row").agg((F.max("odd") == 1).alias("verbatim"), (F.max("more") == 1).alias("more"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
@@ -368,29 +372,68 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, k: int = SHINGLE, sim
 def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
     """The passages of ``found``, and those between rows that share a key and a hub, of which one failed.
 
-    Two texts with a passage in common share ``similarity`` of t shingles at
-    least: a rare one, of those that few texts of the group hold, or so many
-    common ones.  So of the hub's rows that aren't connected yet, those with a
-    rare shingle in common meet, and those of one key that hold enough common
-    shingles.
+    A passage has a window of t shingles in the larger row of which the other
+    text holds the share ``similarity`` at least, and so that share again in a
+    window of the other: rare ones, of those that few texts of the group hold,
+    or common ones alone.  So of the hub's rows that aren't connected yet,
+    those with a rare shingle in common meet, and those of one key that have
+    windows with enough common shingles.  Before that, in rounds, every such
+    row meets a middle row of its keys' best linked label, which needn't have
+    the key itself: in turn the row with most links and that with most common
+    shingles.  So one pair a row connects most of a large group; the others
+    meet pair by pair.  Only keys of a hub that failed on a row of a key with a third row
+    have any behind them.
     """
     passed = found.where("start >= 0")
-    failed = found.where("start < 0").select("hub").distinct()
-    group = written(pairs.join(failed, "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
-    if group.isEmpty():
+    failed = found.where("start < 0").select("hub", "row")
+    rows = written(pairs.join(failed.select("hub").distinct(), "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
+    if rows.isEmpty():
         return passed
-    labels = components(passed.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
-    group = written(group.join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("label")), "group")
-    texts = docs.join(group.select("row"), "row", "left_semi").select("row", "text")
-    rare = rare_shingles(texts, k)
-    sizes = texts.select("row", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("size"))
-    few = rare.groupBy("row").agg(F.count(F.lit(1)).alias("rare"))
+    shingles = shared_shingles(docs.join(rows, "row", "left_semi").select("row", "text"), k)
+    rare = shingles.where(F.col("n") < RARE).select(F.col("s").alias("key"), "row")
     enough = int(np.ceil(similarity * t - 1e-9))
-    dense = sizes.join(few, "row", "left").where(F.col("size") - k + 1 - F.coalesce("rare", F.lit(0)) >= enough).select("row")
-    keyed = _keyed(texts.join(written(dense, "dense"), "row", "left_semi"), keys_of)
-    meeting = keyed.select("key", "row").unionByName(rare.where("n > 1").select(F.col("s").alias("key"), "row")).join(group, "row")
-    other = meeting.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"))
-    more = meeting.join(other, "key").where("hub < row and label <> label2").select("hub", "row").distinct().join(pairs, ["hub", "row"], "left_anti")
+    ahead = Window.partitionBy("row").orderBy("at").rangeBetween(0, t - 1)
+    counts = shingles.where(F.col("n") >= RARE).select("row", "times", F.count(F.lit(1)).over(ahead).alias("near"))
+    counts = counts.groupBy("row").agg(F.max("near").alias("near"), F.max("times").alias("most"), F.sum("times").alias("all"))
+    reach = F.when(F.col("most") > 1, F.col("all")).otherwise(F.col("near"))  # a text with repeats may have it all in one window
+    weak = int(np.ceil(similarity * similarity * t - 1e-9))
+    dense = counts.where((reach >= weak) | (F.col("all") >= enough) | (F.col("most") > 1)).select("row", "all", (reach >= enough).alias("full"), (reach >= weak).alias("half"), (F.col("most") > 1).alias("again"))
+    crowd = pairs.where("more").select("hub", "row", "more")
+    crowd = crowd.join(failed.join(crowd, ["hub", "row"], "left_semi").select("hub").distinct(), "hub").select("row").distinct()
+    dense = written(dense.join(crowd, "row", "left_semi"), "dense")
+    texts = docs.join(dense, "row", "left_semi")
+    several = Window.partitionBy("key")
+    open_ = _keyed(texts, keys_of).select("key", "row").withColumn("label", F.col("row"))
+    tested = pairs.select("hub", "row")
+    links = written(passed.select("hub", "row").distinct(), "links")
+    idle = number = 0
+    while True:
+        labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
+        open_ = open_.drop("label").join(labels, "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
+        open_ = open_.withColumns({"low": F.min("label").over(several), "high": F.max("label").over(several)}).where("low < high").select("key", "row", "label")
+        open_ = written(open_, "open")
+        degrees = links.select(F.explode(F.array("hub", "row")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
+        most = F.max(F.struct("all" if number % 2 else "links", F.col("row").alias("hub"))).alias("x")
+        ranked = labels.join(degrees, "row").join(dense.select("row", "all"), "row", "left")
+        middles = ranked.groupBy(F.col("component").alias("label")).agg(most, F.count(F.lit(1)).alias("links")).select("label", "links", "x.hub")
+        first = F.max(F.struct("links", "hub", "label")).alias("h")
+        hubs = open_.select("key", "label").distinct().join(middles, "label").groupBy("key").agg(first).select("key", "h.links", F.col("h.hub").alias("middle"), F.col("h.label").alias("label2"))
+        told = open_.join(hubs, "key").where("label <> label2").select("links", F.col("row").alias("own"), F.least("row", "middle").alias("hub"), F.greatest("row", "middle").alias("row")).distinct()
+        told = told.join(tested, ["hub", "row"], "left_anti").groupBy("own").agg(F.max(F.struct("links", "hub", "row")).alias("h")).select("h.hub", "h.row").distinct()
+        more = written(told, "pairs")
+        met = written(verified(more, docs, t, k, similarity), "verified").where("start >= 0")
+        tested, passed = tested.unionByName(more), passed.unionByName(met)
+        new = written(met.select("hub", "row").distinct(), "links")
+        links = links.unionByName(new)
+        idle, number = idle + 1 if new.isEmpty() else 0, number + 1
+        if idle == 2:
+            break
+    group = written(rows.join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("label")), "group")
+    marks = [F.lit(True).alias(c) for c in ("full", "half", "again")]
+    meeting = open_.select("key", "row").join(dense.drop("all"), "row").unionByName(rare.select("key", "row", *marks)).join(group, "row")
+    other = meeting.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"), F.col("half").alias("half2"))
+    near = "hub < row and label <> label2 and (half2 or again)"  # the set of a text with repeats may be that of a short stretch
+    more = meeting.where("full").join(other, "key").where(near).select("hub", "row").distinct().join(tested, ["hub", "row"], "left_anti")
     return written(verified(written(more, "pairs"), docs, t, k, similarity), "verified").where("start >= 0").unionByName(passed)
 
 
