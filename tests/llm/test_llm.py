@@ -10,6 +10,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ from topotide.llm import decontaminate as dc
 from topotide.llm import exact_dedup as ed
 from topotide.llm import mixing as mx
 from topotide.llm import pii_crf as pii
+from topotide.llm import pairing
 from topotide.llm import sharding as sh
 from topotide.llm import simhash as sim
 from topotide.llm import site_style_tree as sst
 from topotide.llm import substring_dedup as sub
 from topotide.llm import token_output as tok
 from topotide.llm import toxicity as tox
+from topotide.llm.shingling import shingle_lists
 from topotide.llm.tables import unique_rows
 from topotide.plans.scratch import new_path
 
@@ -380,6 +383,36 @@ def test_stars_tell_keys_with_a_third_row(spark):
     assert sorted(map(tuple, sub.stars(keyed).select("hub", "row", "more").collect())) == [(1, 5, False), (1, 6, True), (1, 7, True)]
 
 
+def test_pairs_are_sifted_by_what_they_hold_in_common(spark):
+    """The exact number of a row's places with shingles of the hub, repeats included, without texts."""
+    rng = random.Random(21)
+    lines = [some_text(rng, rng.randint(5, 30), 10**6) for _ in range(12)]
+    docs = [(i, " ".join(rng.choice(lines) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    texts = spark.createDataFrame(docs, "row long, text string")
+    sets = pairing.shared_shingles(texts, 5, holders=True).groupBy("row", "holders").agg(F.sum("times").alias("times"))
+    lists = {i: x.tolist() for i, x in zip(range(40), shingle_lists(pa.array([t for _, t in docs])))}
+    held = {r["row"] for r in sets.select("row").distinct().collect()}
+    every = [(i, j) for i in held for j in held if i < j]
+    pairs = spark.createDataFrame(every, "hub long, row long")
+    for enough in (1, 20, 37):
+        want = {(i, j) for i, j in every if sum(s in set(lists[i]) for s in lists[j]) >= enough}
+        assert want and {(r["hub"], r["row"]) for r in pairing.with_common(pairs, sets, enough).collect()} == want
+
+
+def test_labels_are_joined_by_later_links(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "row long, component long")
+    links = spark.createDataFrame([(5, 6), (4, 9), (7, 8)], "hub long, row long")
+    got = sorted(map(tuple, sub._joined(labels, links).select("row", "component").collect()))
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2), (6, 2), (7, 7), (8, 7), (9, 1)]
+
+
+def test_long_texts_are_told_by_their_first_words(spark):
+    words = ["\x85w\u00a0\u2028"] * 50  # no white space in ASCII
+    rows = [(0, ""), (1, " \t\n"), (2, " ".join(words[1:])), (3, "\x0b" + " \r\n".join(words)), (4, " ".join(words) + " end "), (5, " ".join(words[1:]) + "\n")]
+    got = {r["i"]: r["long"] for r in spark.createDataFrame(rows, "i long, text string").select("i", F.col("text").rlike(sub.LONG).alias("long")).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False}
+
+
 def test_near_copies_are_found(spark):
     """Recall of copies with one word in fifty changed, the farthest that reach 0.8."""
     rng = random.Random(16)

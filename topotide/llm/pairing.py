@@ -23,7 +23,8 @@ RARE = 8
 def compared(pairs: DataFrame, docs: DataFrame, prepare: Callable[[pa.Array], list[Any]], compare: Callable[[Any, Any], list[tuple]], columns: str) -> DataFrame:
     """(hub, row, *columns) of the pairs (hub, row): what ``compare`` returns for the texts of both, as ``prepare`` made them of some texts at a time, a row for each tuple.
 
-    ``docs`` has unique rows (row, text).  A hub's text goes once to each task
+    ``docs`` has unique rows (row, text), where text may be of any type and no
+    row of a pair is missing.  A hub's text goes once to each task
     that compares up to PARTNERS of its partners, and the partners are read as
     a stream behind it, so neither a hot hub nor a long text is gathered.
     """
@@ -54,10 +55,11 @@ def compared(pairs: DataFrame, docs: DataFrame, prepare: Callable[[pa.Array], li
     return stream.mapInArrow(tidied(run), "hub long, row long, " + columns)
 
 
-def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+def shared_shingles(texts: DataFrame, k: int, holders: bool = False) -> DataFrame:
     """(s, row, at, times, n): the distinct shingles s of ``texts`` (row, text) that n > 1 of them hold, with their first place in the row's text and how often it holds them.
 
-    Those with n below RARE are rare ones.
+    Those with n below RARE are rare ones.  With ``holders`` a column of that
+    name has a number for the set of rows that hold the shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,4 +70,31 @@ def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "row", "at", "times"])
 
     each = texts.select("row", "text").mapInArrow(tidied(run), "s long, row long, at int, times int")
-    return written(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where(F.col("n") > 1), "shingles")
+    same = Window.partitionBy("s")
+    more = {"holders": F.bit_xor(F.xxhash64("row")).over(same)} if holders else {}
+    return written(each.withColumns({"n": F.count(F.lit(1)).over(same), **more}).where(F.col("n") > 1), "shingles")
+
+
+def with_common(pairs: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
+    """The pairs (hub, row) of which the row has ``enough`` places or more whose shingles the hub holds too.
+
+    ``sets`` has (row, holders, times): how many places of a row have shingles
+    that one set of rows holds.  Shingles with the same holders are in a text
+    together or not at all, so a text is a short list, and pairs are sifted
+    without any text.  Holders go as 32 bits; where two meet, a pair too many stays.
+    """
+
+    def lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, times = column.flatten()
+        bounds = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist() if len(ids) else [0]
+        ids, times = ids.flatten().to_numpy(), times.flatten().to_numpy()
+        return [(ids[i:j], times[i:j]) for i, j in zip(bounds, bounds[1:])]
+
+    def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int]]:
+        at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+        n = int(b[1][a[0][at] == b[0]].sum())
+        return [(n,)] if n >= enough else []
+
+    own = sets.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.hash("holders").alias("id"), F.col("times").cast("int").alias("times")))).alias("x"))
+    own = own.select("row", F.struct(F.col("x.id").alias("ids"), F.col("x.times").alias("times")).alias("text"))
+    return compared(pairs, own, lists, common, "common long").select("hub", "row")

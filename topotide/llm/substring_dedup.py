@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.pairing import RARE, compared, shared_shingles
+from topotide.llm.pairing import RARE, compared, shared_shingles, with_common
 from topotide.llm.shingling import SHINGLE, mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
@@ -35,6 +35,8 @@ FUNCTIONS = 4
 ENOUGH = 2
 #: Verbatim stretches start at every STEP-th place around a centre.
 STEP = 16
+#: WORDS words or more; no more of a text is read.
+LONG = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{WORDS - 1}}}[^\x20\x09-\x0D]"
 
 
 def run_hashes(v: np.ndarray, t: int) -> np.ndarray:
@@ -175,6 +177,7 @@ class Shingled:
         self.s = s
         self._first: tuple[np.ndarray, np.ndarray] | None = None
         self._runs: tuple[int, np.ndarray] | None = None
+        self._first_runs: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
 
     def places(self, other: np.ndarray) -> np.ndarray:
         """The first place of each value of ``other`` in this text, -1 if it has none."""
@@ -191,6 +194,12 @@ class Shingled:
             self._runs = t, run_hashes(self.s, t)
         return self._runs[1]
 
+    def first_runs(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of ``runs`` in order, and their first places."""
+        if self._first_runs is None or self._first_runs[0] != t:
+            self._first_runs = t, np.unique(self.runs(t), return_index=True)
+        return self._first_runs[1]
+
 
 def passages(a: Shingled, b: Shingled, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Verified passages (start and end in a, start and end in b; ends exclusive) of at least t shingles that both hold.
@@ -219,7 +228,7 @@ def _equal_passages(a: Shingled, b: Shingled, t: int, known: list[tuple[int, int
         open_[s : max(s, e - t + 1)] = False
     if not open_.any() or len(a.s) < t:
         return []
-    runs, first = np.unique(a.runs(t), return_index=True)
+    runs, first = a.first_runs(t)
     at = np.minimum(np.searchsorted(runs, mine), len(runs) - 1)
     new = np.flatnonzero(open_ & (runs[at] == mine))
     if not len(new):
@@ -389,12 +398,14 @@ def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t
     rows = written(pairs.join(failed.select("hub").distinct(), "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
     if rows.isEmpty():
         return passed
-    shingles = shared_shingles(docs.join(rows, "row", "left_semi").select("row", "text"), k)
+    shingles = shared_shingles(docs.join(rows, "row", "left_semi").select("row", "text"), k, holders=True)
     rare = shingles.where(F.col("n") < RARE).select(F.col("s").alias("key"), "row")
     enough = int(np.ceil(similarity * t - 1e-9))
     ahead = Window.partitionBy("row").orderBy("at").rangeBetween(0, t - 1)
-    counts = shingles.where(F.col("n") >= RARE).select("row", "times", F.count(F.lit(1)).over(ahead).alias("near"))
-    counts = counts.groupBy("row").agg(F.max("near").alias("near"), F.max("times").alias("most"), F.sum("times").alias("all"))
+    common = F.col("n") >= RARE
+    sums = [F.sum("times").alias("times"), F.max(F.when(common, F.col("near"))).alias("near"), F.max(F.when(common, F.col("times"))).alias("most"), F.sum(F.when(common, F.col("times"))).alias("all")]
+    sets = written(shingles.withColumn("near", F.count(F.when(common, 1)).over(ahead)).groupBy("row", "holders").agg(*sums), "sets")
+    counts = sets.groupBy("row").agg(F.max("near").alias("near"), F.max("most").alias("most"), F.sum("all").alias("all"))
     reach = F.when(F.col("most") > 1, F.col("all")).otherwise(F.col("near"))  # a text with repeats may have it all in one window
     weak = int(np.ceil(similarity * similarity * t - 1e-9))
     dense = counts.where((reach >= weak) | (F.col("all") >= enough) | (F.col("most") > 1)).select("row", "all", (reach >= enough).alias("full"), (reach >= weak).alias("half"), (F.col("most") > 1).alias("again"))
@@ -406,12 +417,13 @@ def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t
     open_ = _keyed(texts, keys_of).select("key", "row").withColumn("label", F.col("row"))
     tested = pairs.select("hub", "row")
     links = written(passed.select("hub", "row").distinct(), "links")
+    labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
     idle = number = 0
     while True:
-        labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
-        open_ = open_.drop("label").join(labels, "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
-        open_ = open_.withColumns({"low": F.min("label").over(several), "high": F.max("label").over(several)}).where("low < high").select("key", "row", "label")
-        open_ = written(open_, "open")
+        if not idle:  # labels are new
+            open_ = open_.drop("label").join(labels, "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
+            open_ = open_.withColumns({"low": F.min("label").over(several), "high": F.max("label").over(several)}).where("low < high").select("key", "row", "label")
+            open_ = written(open_, "open")
         degrees = links.select(F.explode(F.array("hub", "row")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
         most = F.max(F.struct("all" if number % 2 else "links", F.col("row").alias("hub"))).alias("x")
         ranked = labels.join(degrees, "row").join(dense.select("row", "all"), "row", "left")
@@ -424,19 +436,33 @@ def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t
         met = written(verified(more, docs, t, k, similarity), "verified").where("start >= 0")
         tested, passed = tested.unionByName(more), passed.unionByName(met)
         new = written(met.select("hub", "row").distinct(), "links")
-        links = links.unionByName(new)
         idle, number = idle + 1 if new.isEmpty() else 0, number + 1
         if idle == 2:
             break
+        if not idle:
+            links, labels = links.unionByName(new), _joined(labels, new)
     group = written(rows.join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("label")), "group")
     marks = [F.lit(True).alias(c) for c in ("full", "half", "again")]
     meeting = open_.select("key", "row").join(dense.drop("all"), "row").unionByName(rare.select("key", "row", *marks)).join(group, "row")
     other = meeting.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"), F.col("half").alias("half2"))
     near = "hub < row and label <> label2 and (half2 or again)"  # the set of a text with repeats may be that of a short stretch
     more = meeting.where("full").join(other, "key").where(near).select("hub", "row").distinct().join(tested, ["hub", "row"], "left_anti")
+    more = with_common(written(more, "pairs"), sets, enough)  # fewer places have no passage
     return written(verified(written(more, "pairs"), docs, t, k, similarity), "verified").where("start >= 0").unionByName(passed)
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (row, component) after more links (hub, row): only the labels at their ends are gone through."""
+    known = labels.select(F.col("row").alias("node"), "component")
+    ends = links.join(known, F.col("hub") == F.col("node"), "left").select("hub", "row", F.coalesce("component", "hub").alias("u"))
+    ends = ends.join(known, F.col("row") == F.col("node"), "left").select("hub", "row", "u", F.coalesce("component", "row").alias("v"))
+    ends = written(ends, "ends")
+    over = components(ends).select(F.col("node").alias("component"), F.col("component").alias("lowest"))
+    both = ends.select(F.col("hub").alias("row"), F.col("u").alias("component")).unionByName(ends.select("row", F.col("v").alias("component")))
+    both = labels.select("row", "component").unionByName(both).distinct().join(over, "component", "left")
+    return written(both.select("row", F.coalesce("lowest", "component").alias("component")), "labels")
+
+
 def substring_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, spans: a row for each row of ``docs``.
 
@@ -452,7 +478,7 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives no rows.
     """
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    digests = written(keyed.select("doc_id", "digest", (F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= WORDS).alias("long")), "digests")
+    digests = written(keyed.select("doc_id", "digest", F.col("text").rlike(LONG).alias("long")), "digests")
     nodes = digests.where("long").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "nodes")
     chosen = nodes.select(F.col("first"), F.col("digest").alias("d"), "row")
