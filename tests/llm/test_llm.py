@@ -15,12 +15,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from topotide.llm import dealing
 from topotide.llm import decontaminate as dc
 from topotide.llm import exact_dedup as ed
 from topotide.llm import mixing as mx
 from topotide.llm import pii_crf as pii
 from topotide.llm import pairing
 from topotide.llm import sharding as sh
+from topotide.llm import shingling
 from topotide.llm import simhash as sim
 from topotide.llm import site_style_tree as sst
 from topotide.llm import substring_dedup as sub
@@ -399,6 +401,76 @@ def test_pairs_are_sifted_by_what_they_hold_in_common(spark):
         assert want and {(r["hub"], r["row"]) for r in pairing.with_common(pairs, sets, enough).collect()} == want
 
 
+def test_words_are_hashed_together():
+    rng = random.Random(22)
+    pieces = ["a", "B", "Z", "é", "漢字", " ", "\t", "\n", "\x0b", "\x1c", "  ", "x" * 31, "Y" * 32, "q" * 90, ""]
+    texts = ["", " ", *["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(300)]]
+    want = [[xxhash.xxh64_intdigest(w.lower()) for w in t.encode().split()] for t in texts]
+    for part, low, high in ((pa.array(texts), 0, 302), (pa.array(texts)[7:200], 7, 200), (pa.array(texts, pa.large_string()), 0, 302), (pa.array([], pa.string()), 0, 0)):
+        hashes, at = shingling.word_hashes(part)
+        assert [hashes[i:j].tolist() for i, j in zip(at, at[1:])] == want[low:high]
+
+
+def test_entries_meet_by_key_in_blobs(spark):
+    """Against a dictionary, with a key that most rows have, in memory and by way of a file."""
+    rng = np.random.default_rng(23)
+    keys, rows, at = rng.integers(0, 900, 6000), rng.integers(-5, 1 << 40, 6000), rng.integers(0, 1 << 32, 6000)
+    rows[::2] %= 300
+    keys[:2500] = 77
+    keys = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    order = np.argsort(rows, kind="stable")  # what a row has of a key comes at once
+    source = spark.createDataFrame(list(zip(rows[order].tolist(), keys[order].tolist(), at[order].tolist())), "row long, key long, at long").coalesce(1)
+    held = {}
+    for k, r, a in zip(keys.tolist(), rows.tolist(), at.tolist()):
+        held.setdefault(k, []).append((r, a))
+
+    def entries(batch):
+        row, key, place = (c.to_numpy() for c in batch.columns)
+        distinct, text = np.unique(row, return_inverse=True)
+        yield distinct, text, key.view(np.uint64), place
+
+    for most in (1 << 22, 40):
+        for extra in (0, 1):
+            found = dealing.met(source, (lambda b: (x[: 3 + extra] for x in entries(b))), (lambda k, r, n, least, holders, *a: [k, r, n, least, holders, *[x.astype(np.int64) for x in a]]), "k long, r long, n long, least long, holders long" + ", at long" * extra, extra, most).collect()  # noqa: B023
+            groups = {}
+            for x in found:
+                groups.setdefault(x["k"], []).append(x)
+            several = {k: v for k, v in held.items() if len(v) > 1}
+            assert sorted(sorted({tuple(x)[1::4] if extra else x["r"] for x in v}) for v in groups.values()) == sorted(sorted(set(v) if extra else {r for r, _ in v}) for v in several.values())
+            assert all({(x["n"], x["least"]) for x in v} == {(len({y["r"] for y in v}), min(y["r"] for y in v))} for v in groups.values())
+            sets = {}
+            for v in groups.values():
+                sets.setdefault(frozenset(x["r"] for x in v), set()).update(x["holders"] for x in v)
+            assert all(len(x) == 1 for x in sets.values()) and len(set.union(*sets.values())) == len(sets)
+
+
+def test_parts_are_dealt_evenly(spark):
+    for n in (1, 7, 211):
+        numbers = spark.createDataFrame([(int(x),) for x in dealing.spread_numbers(n)], "x int")
+        assert [r["p"] for r in numbers.select(F.pmod(F.hash("x"), F.lit(n)).alias("p")).collect()] == list(range(n))
+
+
+def test_texts_with_a_common_window_hold_a_picked_shingle(spark):
+    """Every text that holds enough places of a window of the larger row, lines repeated, holds a shingle that is picked for it."""
+    rng = random.Random(24)
+    lines = [some_text(rng, rng.randint(3, 14), 10**6) for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(lines[: rng.choice((8, 40))]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    lists = {i: x.tolist() for (i, _), x in zip(docs, shingle_lists(pa.array([t for _, t in docs])))}
+    t, enough = 20, 16
+    marks = pairing.marked(pairing.held_places(spark.createDataFrame(docs, "row long, text string"), 5), t, enough).collect()
+    places = pairing.held_places(spark.createDataFrame(docs, "row long, text string"), 5).collect()
+    holders = {}
+    for x in places:
+        holders.setdefault(x["s"], set()).add(x["row"])
+    assert all(len(v) == x["n"] for x in places for v in [holders[x["s"]]]) and len(places) == sum(sum(any(s in set(lists[j]) for j in lists if j != i) for s in lists[i]) for i in lists)
+    picked = {}
+    for x in marks:
+        if x["picked"]:
+            picked.setdefault(x["row"], set()).update(holders[x["id"]])
+    near = {(i, j) for i in lists for j in lists if i < j and any(sum(s in set(lists[i]) for s in lists[j][a : a + t]) >= enough for a in range(max(1, len(lists[j]) - t + 1)))}
+    assert len(near) > 50 and all(i in picked[j] for i, j in near)
+
+
 def test_labels_are_joined_by_later_links(spark):
     labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "row long, component long")
     links = spark.createDataFrame([(5, 6), (4, 9), (7, 8)], "hub long, row long")

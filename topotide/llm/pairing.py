@@ -7,11 +7,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topotide.llm.caches import tidied
-from topotide.llm.shingling import shingle_lists, slices
+from topotide.llm.dealing import met
+from topotide.llm.shingling import mixed, shingles_of, slices
 from topotide.plans.scratch import written
 
 #: Partners of a hub that one task compares together.
@@ -62,21 +63,98 @@ def shared_shingles(texts: DataFrame, k: int, holders: bool = False) -> DataFram
     name has a number for the set of rows that hold the shingle.
     """
 
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for part in slices(batch):
+            hashes, starts = shingles_of(part.column(1), k)
+            text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            own, times = np.unique(hashes ^ mixed(text.astype(np.uint64) << np.uint64(1)), return_index=True, return_counts=True)[1:]
+            yield part.column(0).to_numpy(), text[own], hashes[own], own - starts[text[own]], times
+
+    def emit(s: np.ndarray, rows: np.ndarray, n: np.ndarray, least: np.ndarray, sets: np.ndarray, at: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+        return [s, rows, at.astype(np.int32), times.astype(np.int32), n, *([sets] if holders else [])]
+
+    return written(met(texts.select("row", "text"), entries, emit, "s long, row long, at int, times int, n long" + ", holders long" * holders, extra=2), "shingles")
+
+
+def held_places(texts: DataFrame, k: int) -> DataFrame:
+    """(s, row, at, n, holders): the places of ``texts`` (row, text) whose shingle s n > 1 of them hold, with a number for the set of these."""
+
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for part in slices(batch):
+            hashes, starts = shingles_of(part.column(1), k)
+            text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            yield part.column(0).to_numpy(), text, hashes, np.arange(len(hashes)) - starts[text]
+
+    def emit(s: np.ndarray, rows: np.ndarray, n: np.ndarray, least: np.ndarray, sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        held = n > 1  # not by one text alone, several times
+        return [s[held], rows[held], at[held].astype(np.int32), n[held], sets[held]]
+
+    return written(met(texts.select("row", "text"), entries, emit, "s long, row long, at int, n long, holders long", extra=1), "places")
+
+
+def _marks(row: np.ndarray, at: np.ndarray, s: np.ndarray, n: np.ndarray, holders: np.ndarray, t: int, enough: int) -> tuple[np.ndarray, ...]:
+    """Places of whole texts, in order, as columns of ``marked``."""
+    new = np.concatenate(([True], row[1:] != row[:-1]))
+    text = np.cumsum(new) - 1
+    along = at.astype(np.int64) + text * (int(at.max()) + t + 1)
+    count = np.searchsorted(along, along + t) - np.arange(len(along))
+    rank = np.empty(len(row), np.int64)
+    rank[np.lexsort((s, n))] = np.arange(len(row))
+    pick = np.zeros(len(row), bool)
+    starts = np.flatnonzero(count >= enough)
+    for block in range(0, len(starts), 4096):
+        some = starts[block : block + 4096]
+        places = np.minimum(some[:, None] + np.arange(t), len(row) - 1)
+        ranks = np.where(np.arange(t) < count[some][:, None], rank[places], len(row))
+        most = np.sort(ranks, axis=1)[np.arange(len(some)), count[some] - enough]
+        pick[places[ranks <= most[:, None]]] = True
+
+    def sets(ids: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each set of equal ids in a text, and their number."""
+        order = some[np.lexsort((ids[some], text[some]))]
+        if not len(order):
+            return order, order
+        first = np.flatnonzero(np.concatenate(([True], (ids[order[1:]] != ids[order[:-1]]) | (text[order[1:]] != text[order[:-1]]))))
+        return order[first], np.diff(np.concatenate((first, [len(order)])))
+
+    held, times = sets(holders, np.arange(len(row)))
+    picked, again = sets(s, np.flatnonzero(pick))
+    return np.repeat([False, True], (len(held), len(picked))), *(np.concatenate(x) for x in ((row[held], row[picked]), (holders[held], s[picked]), (n[held], n[picked]), (times, again)))
+
+
+def marked(places: DataFrame, t: int, enough: int) -> DataFrame:
+    """(picked, row, id, n, times) of ``places`` (s, row, at, n, holders) of texts: their sets of holders, and the shingles that are picked.
+
+    Sets of holders, with how many places of the row have shingles that they
+    hold; and of each window of t places of which others hold c >= ``enough``,
+    the c - ``enough`` + 1 shingles that fewest texts hold.  So a text that holds
+    ``enough`` places of some window holds a picked shingle of the row.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
-            for row, shingles in zip(part.column(0).to_pylist(), shingle_lists(part.column(1), k)):
-                own, at, times = np.unique(shingles, return_index=True, return_counts=True)
-                columns = own.view(np.int64), np.full(len(own), row, np.int64), at.astype(np.int32), times.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "row", "at", "times"])
+        def result(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _marks(*columns, t, enough)], ["picked", "row", "id", "n", "times"])
 
-    each = texts.select("row", "text").mapInArrow(tidied(run), "s long, row long, at int, times int")
-    same = Window.partitionBy("s")
-    more = {"holders": F.bit_xor(F.xxhash64("row")).over(same)} if holders else {}
-    return written(each.withColumns({"n": F.count(F.lit(1)).over(same), **more}).where(F.col("n") > 1), "shingles")
+        held: list[list[np.ndarray]] = []  # the places of the last text
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            row = columns[0]
+            if not len(row):
+                continue
+            last = int(np.searchsorted(row, row[-1])) if row[0] <= row[-1] else len(row) - int(np.argmax(row[::-1] != row[-1]))
+            if last or (held and held[-1][0][-1] != row[0]):
+                yield result([np.concatenate(x) for x in zip(*held, [c[:last] for c in columns])])
+                held = []
+            held.append([c[last:] for c in columns])
+        if held:
+            yield result([np.concatenate(x) for x in zip(*held)])
+
+    dealt = places.select("row", "at", "s", "n", "holders").repartition("row").sortWithinPartitions("row", "at")
+    return written(dealt.mapInArrow(tidied(run), "picked boolean, row long, id long, n long, times long"), "marked")
 
 
 def with_common(pairs: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
-    """The pairs (hub, row) of which the row has ``enough`` places or more whose shingles the hub holds too.
+    """(hub, row, common) of the pairs (hub, row) of which the row has ``enough`` places or more whose shingles the hub holds too; common is their number.
 
     ``sets`` has (row, holders, times): how many places of a row have shingles
     that one set of rows holds.  Shingles with the same holders are in a text
@@ -97,4 +175,4 @@ def with_common(pairs: DataFrame, sets: DataFrame, enough: int) -> DataFrame:
 
     own = sets.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.hash("holders").alias("id"), F.col("times").cast("int").alias("times")))).alias("x"))
     own = own.select("row", F.struct(F.col("x.id").alias("ids"), F.col("x.times").alias("times")).alias("text"))
-    return compared(pairs, own, lists, common, "common long").select("hub", "row")
+    return compared(pairs, own, lists, common, "common long")

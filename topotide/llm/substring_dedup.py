@@ -16,14 +16,16 @@ group, all runs of its texts are hashed whole.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topotide.llm.pairing import RARE, compared, shared_shingles, with_common
+from topotide.llm.dealing import met
+from topotide.llm.pairing import RARE, compared, held_places, marked, with_common
 from topotide.llm.shingling import SHINGLE, mixed, shingle_lists, shingles_of, slices
 from topotide.llm.tables import table, text_of
 from topotide.operators.graphs import components
@@ -35,6 +37,10 @@ FUNCTIONS = 4
 ENOUGH = 2
 #: Verbatim stretches start at every STEP-th place around a centre.
 STEP = 16
+#: Pairs whose rows are broadcast.
+FEW = 100_000
+#: Windows of a text that are compared at a time.
+WINDOWS = 4096
 #: WORDS words or more; no more of a text is read.
 LONG = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{WORDS - 1}}}[^\x20\x09-\x0D]"
 
@@ -171,75 +177,129 @@ def run_keys(base: np.ndarray, starts: np.ndarray, t: int, functions: int, enoug
 
 
 class Shingled:
-    """The shingles of a text with what comparisons need of them: distinct values in order, their first places, run hashes."""
+    """The shingles of a text with what comparisons need of them: distinct values in order, numbers of the shingles among them, places, run hashes."""
 
     def __init__(self, s: np.ndarray):
         self.s = s
-        self._first: tuple[np.ndarray, np.ndarray] | None = None
-        self._runs: tuple[int, np.ndarray] | None = None
         self._first_runs: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
 
-    def places(self, other: np.ndarray) -> np.ndarray:
-        """The first place of each value of ``other`` in this text, -1 if it has none."""
+    @cached_property
+    def _order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the order of their values, and which of them are the first of a value."""
+        order = np.argsort(self.s, kind="stable")
+        ordered = self.s[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        return order, new
+
+    @cached_property
+    def values(self) -> np.ndarray:
+        """The distinct values in order."""
+        order, new = self._order
+        return self.s[order[new]]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The first place of each of ``values``."""
+        order, new = self._order
+        return order[new]
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """For each place the number of its value."""
+        order, new = self._order
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """For each place the last place before it with the same value, -1 if there is none."""
+        order, new = self._order
+        out = np.full(len(order), -1)
+        out[order[1:]] = np.where(new[1:], -1, order[:-1])
+        return out
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Number of the value times the length, plus the place, in order."""
+        order, new = self._order
+        return (np.cumsum(new) - 1) * len(order) + order
+
+    def found(self, other: np.ndarray) -> np.ndarray:
+        """The number of each value of ``other`` in this text, -1 if it has none."""
         if not len(self.s):
             return np.full(len(other), -1)
-        if self._first is None:
-            self._first = np.unique(self.s, return_index=True)
-        values, first = self._first
-        at = np.minimum(np.searchsorted(values, other), len(values) - 1)
-        return np.where(values[at] == other, first[at], -1)
-
-    def runs(self, t: int) -> np.ndarray:
-        if self._runs is None or self._runs[0] != t:
-            self._runs = t, run_hashes(self.s, t)
-        return self._runs[1]
+        at = np.minimum(np.searchsorted(self.values, other), len(self.values) - 1)
+        return np.where(self.values[at] == other, at, -1)
+
+    def within(self, numbers: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> np.ndarray:
+        """Whether the values with these numbers have a place from lo to hi, the end exclusive; not for -1."""
+        if len(self.values) == len(self.s):
+            at = self.first[numbers]
+            return (numbers >= 0) & (at >= lo) & (at < hi)
+        n = len(self.s)
+        at = np.minimum(np.searchsorted(self.slots, numbers * n + lo), n - 1)
+        return (numbers >= 0) & (self.slots[at] >= numbers * n + lo) & (self.slots[at] < numbers * n + hi)
 
     def first_runs(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes of ``runs`` in order, and their first places."""
+        """The distinct hashes of the runs of t shingles in order, and their first places."""
         if self._first_runs is None or self._first_runs[0] != t:
-            self._first_runs = t, np.unique(self.runs(t), return_index=True)
+            self._first_runs = t, np.unique(run_hashes(self.s, t), return_index=True)
         return self._first_runs[1]
 
 
+def _sums(held: np.ndarray, t: int) -> np.ndarray:
+    """How many of each t places in a row are held; none if there are fewer."""
+    sums = np.concatenate(([0], np.cumsum(held)))
+    return sums[t:] - sums[:-t] if len(held) >= t else sums[:0]
+
+
 def passages(a: Shingled, b: Shingled, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Verified passages (start and end in a, start and end in b; ends exclusive) of at least t shingles that both hold.
 
     Near copies, and all places in either text of runs of t shingles that both
     hold alike and no near copy covers.
     """
-    places = a.places(b.s)
-    sums = np.concatenate(([0], np.cumsum(places >= 0)))
-    found = sums[t:] - sums[:-t] if len(b.s) >= t else sums[:0]
+    numbers = a.found(b.s)
+    found = _sums(numbers >= 0, t)
     dense = np.flatnonzero(found >= np.ceil(similarity * t - 1e-9))
     if not len(dense):
         return []
-    out = _near_passages(a, b, places, dense, t, similarity)
-    if found.max() < t:  # an equal run would be full of shared shingles
+    out = _near_passages(a, b, numbers, dense, t, similarity)
+    full = np.flatnonzero(found == t)  # an equal run is full of shared shingles
+    if not len(full):
         return out
-    out += _equal_passages(a, b, t, [x[2:] for x in out])
-    return out + [(lo, hi, s, e) for s, e, lo, hi in _equal_passages(b, a, t, [x[:2] for x in out])]
-
-
-def _equal_passages(a: Shingled, b: Shingled, t: int, known: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Runs of b of t shingles or more outside the stretches ``known`` of b, each with its first place in a."""
-    mine = b.runs(t)
-    open_ = np.ones(len(mine), bool)
-    for s, e in known:
-        open_[s : max(s, e - t + 1)] = False
-    if not open_.any() or len(a.s) < t:
+    out += _equal_passages(a, b, t, [x[2:] for x in out], full)
+    held = np.zeros(len(a.values), bool)
+    held[numbers[numbers >= 0]] = True
+    full = np.flatnonzero(_sums(held[a.numbers], t) == t)
+    return out + [(lo, hi, s, e) for s, e, lo, hi in _equal_passages(b, a, t, [x[:2] for x in out], full)]
+
+
+def _equal_passages(a: Shingled, b: Shingled, t: int, known: list[tuple[int, int]], full: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of b of t shingles or more outside the stretches ``known`` of b, each with its first place in a; their first t shingles and all others begin at places of ``full``."""
+    if known and len(full):
+        s, e = np.array(known).T
+        steps = np.zeros(len(b.s) + 1, np.int64)
+        np.add.at(steps, s, 1)
+        np.add.at(steps, np.maximum(s, e - t + 1), -1)
+        full = full[np.cumsum(steps)[full] == 0]
+    if not len(full) or len(a.s) < t:
         return []
+    mine = run_hashes(b.s, t)[full]
     runs, first = a.first_runs(t)
     at = np.minimum(np.searchsorted(runs, mine), len(runs) - 1)
-    new = np.flatnonzero(open_ & (runs[at] == mine))
+    equal = runs[at] == mine
+    new, place = full[equal], first[at[equal]]
     if not len(new):
         return []
-    place = first[at[new]]
     cut = np.flatnonzero((np.diff(new) > 1) | (np.diff(place) != 1))
     begin, end = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(new) - 1]))
     return [(int(place[i]), int(place[j]) + t, int(new[i]), int(new[j]) + t) for i, j in zip(begin, end)]
 
 
-def _near_passages(a: Shingled, b: Shingled, places: np.ndarray, dense: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
+def _near_passages(a: Shingled, b: Shingled, numbers: np.ndarray, dense: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Passages of a and b that are near copies.
 
     Runs of b whose every window of t shingles is found to the share
@@ -250,10 +310,10 @@ def _near_passages(a: Shingled, b: Shingled, places: np.ndarray, dense: np.ndarr
     cut = np.flatnonzero(np.diff(dense) > 1)
     out = []
     for s, e in zip(dense[np.concatenate(([0], cut + 1))], dense[np.concatenate((cut, [len(dense) - 1]))] + t):
-        inside = np.flatnonzero(places[s:e] >= 0)
+        inside = np.flatnonzero(numbers[s:e] >= 0)
         s, e = s + inside[0], s + inside[-1] + 1
-        first = places[s:e]
-        first = first[first >= 0]
+        own = numbers[s:e]
+        first = a.first[own[own >= 0]]
         # the run of a near the alignment of most shingles
         shift = first - (inside - inside[0])
         mid = int(np.sort(shift)[len(shift) // 2])
@@ -261,80 +321,83 @@ def _near_passages(a: Shingled, b: Shingled, places: np.ndarray, dense: np.ndarr
         if not len(near):
             continue
         lo, hi = int(near.min()), int(near.max()) + 1
-        one, two = set(a.s[lo:hi].tolist()), set(b.s[s:e].tolist())
-        common = len(one & two)
-        if e - s >= t * similarity and common >= similarity * (len(one) + len(two) - common) - 1e-9:
+        new = b.before[s:e] < s  # each value once
+        one, two = np.count_nonzero(a.before[lo:hi] < lo), np.count_nonzero(new)
+        common = np.count_nonzero(a.within(own[new], lo, hi))
+        if e - s >= t * similarity and common >= similarity * (one + two - common) - 1e-9:
             out.append((lo, hi, int(s), int(e)))
         else:
-            out += _similar_windows(a, b, places, dense[(dense >= s) & (dense + t <= e)], t, similarity)
+            out += _similar_windows(a, b, numbers, dense[(dense >= s) & (dense + t <= e)], t, similarity)
     return out
 
 
-def _similar_windows(a: Shingled, b: Shingled, places: np.ndarray, starts: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
+def _similar_windows(a: Shingled, b: Shingled, numbers: np.ndarray, starts: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """Passages inside a run that is not similar as a whole: windows of t shingles at ``starts``, set against their aligned windows of a, joined where they overlap."""
     out: list[tuple[int, int, int, int]] = []
-    own, theirs, where, done = a.s.tolist(), b.s.tolist(), places.tolist(), -1
-    for i in starts.tolist():
-        if i < done:
-            continue
-        shifts = sorted([x - j for j, x in enumerate(where[i : i + t]) if x >= 0])
-        shift = shifts[len(shifts) // 2]
-        lo, hi = max(0, shift), min(len(own), shift + t)
-        one, two = set(own[lo:hi]), set(theirs[i : i + t])
-        common = len(one & two)
-        if common < similarity * (len(one) + len(two) - common) - 1e-9:
-            continue
-        if out and i <= out[-1][3] and lo <= out[-1][1] and hi >= out[-1][0]:
-            out[-1] = (min(lo, out[-1][0]), max(hi, out[-1][1]), out[-1][2], i + t)
-        else:
-            out.append((lo, hi, i, i + t))
-        done = i + t // 4 if i + t // 4 <= starts[-1] else starts[-1]
+    done, places = -1, np.arange(t)
+    for block in range(0, len(starts), WINDOWS):
+        some = starts[block : block + WINDOWS]
+        own = numbers[some[:, None] + places]
+        shift = np.sort(np.where(own >= 0, a.first[own] - places, np.iinfo(np.int64).max), axis=1)
+        shift = shift[np.arange(len(some)), np.count_nonzero(own >= 0, axis=1) // 2]
+        lo, hi = np.maximum(0, shift), np.minimum(len(a.s), shift + t)
+        theirs = lo[:, None] + places
+        one = np.count_nonzero((a.before[np.minimum(theirs, len(a.s) - 1)] < lo[:, None]) & (theirs < hi[:, None]), axis=1)
+        new = b.before[some[:, None] + places] < some[:, None]  # each value once
+        two = np.count_nonzero(new, axis=1)
+        common = np.count_nonzero(new & a.within(own, lo[:, None], hi[:, None]), axis=1)
+        similar = common >= similarity * (one + two - common) - 1e-9
+        for i, low, high in zip(some[similar].tolist(), lo[similar].tolist(), hi[similar].tolist()):
+            if i < done:
+                continue
+            if out and i <= out[-1][3] and low <= out[-1][1] and high >= out[-1][0]:
+                out[-1] = (min(low, out[-1][0]), max(high, out[-1][1]), out[-1][2], i + t)
+            else:
+                out.append((low, high, i, i + t))
+            done = min(i + t // 4, int(starts[-1]))
     return out
 
 
-def _keyed(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, row) of each text; ``keys_of`` gets the shingles of some texts and where each begins."""
+def _stars_of(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, least: np.ndarray, holders: np.ndarray) -> list[np.ndarray]:
+    other = rows != least
+    return [least[other], rows[other], keys[other] & 1, (n[other] > 2).astype(np.int64)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
-            texts, keys = keys_of(*shingles_of(part.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(pa.array(texts))], ["key", "row"])
 
-    return docs.select("row", "text").mapInArrow(run, "key long, row long")
+def _of_texts(keys_of: Callable) -> Callable:
+    """Entries of texts for ``met``; ``keys_of`` gets the shingles of some texts and where each begins."""
 
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for part in slices(batch):
+            yield part.column(0).to_numpy(), *keys_of(*shingles_of(part.column(1)))
 
-def stars(keyed: DataFrame) -> DataFrame:
+    return entries
+
+
+def _of_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    keys, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    yield rows, np.arange(len(rows)), keys.view(np.uint64)
+
+
+def stars(source: DataFrame, keys_of: Callable | None = None) -> DataFrame:
     """(hub, row, verbatim, more): rows that share a key, each with the key's smallest row.
 
-    Sorted partitions are read as streams that remember the last key alone, so
-    a key of any size needs no memory.  verbatim tells that one of the shared
-    keys was odd, more that one of them may have a third row.
+    ``source`` has keys and rows, or with ``keys_of`` rows and texts.  verbatim
+    tells that one of the shared keys was odd, more that one of them has a third
+    row.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub, seen = None, None, 0
-        for batch in batches:
-            keys, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
-            new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-            at = np.arange(len(keys))
-            place = np.maximum.accumulate(np.where(new, at, -1))
-            hubs = np.where(place < 0, hub if hub is not None else 0, rows[np.maximum(place, 0)])
-            nth = at - place + np.where(place < 0, seen - 1, 0)
-            more = (nth > 1) | np.concatenate((~new[1:], [True]))  # what comes behind the batch isn't known
-            key, hub, seen = keys[-1], hubs[-1], int(nth[-1]) + 1
-            other = hubs != rows
-            pairs = np.unique(np.stack((hubs[other], rows[other], keys[other] & 1, more[other]), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["hub", "row", "odd", "more"])
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "row")
-    found = dealt.mapInArrow(run, "hub long, row long, odd long, more long")
+    source = source.select("row", "text") if keys_of else source.select("key", "row")
+    found = met(source, _of_texts(keys_of) if keys_of else _of_rows, _stars_of, "hub long, row long, odd long, more long")
     return found.groupBy("hub", "row").agg((F.max("odd") == 1).alias("verbatim"), (F.max("more") == 1).alias("more"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
-    """(hub, row, hub_start, hub_end, start, end) of the passages of each pair; a pair without any has -1 in their place."""
+    """(hub, row, hub_start, hub_end, start, end) of the passages of each pair; a pair without any has -1 in their place.
+
+    ``pairs`` is a written table; of few pairs only their own texts are shuffled.
+    """
+    if pairs.count() <= FEW:
+        ends = pairs.select(F.explode(F.array("hub", "row")).alias("row")).distinct()
+        docs = docs.join(F.broadcast(ends), "row", "left_semi")
 
     def compare(a: Shingled, b: Shingled) -> list[tuple[int, int, int, int]]:
         return [(lo, hi + k - 1, s, e + k - 1) for lo, hi, s, e in passages(a, b, t, similarity)] or [(-1, -1, -1, -1)]
@@ -350,21 +413,21 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, k: int = SHINGLE, sim
     and not with the pairs in a group.  Texts that hold ``words`` words alike
     end up connected in any case: where a row shares a verbatim stretch with a
     hub but no passage, all runs of that hub's group are hashed whole, and
-    rows with an equal run are linked.  Rows that fail on a hub meet the other
-    rows of its keys (``_behind_hubs``).
+    rows with an equal run are linked.  Rows of hubs that failed on one of them
+    meet by shingles in common (``_behind_hubs``).
     """
     t = words - k + 1
 
     def keys_of(base: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return run_keys(base, starts, t, functions, enough, step)
 
-    pairs = written(stars(_keyed(docs, keys_of)), "pairs")
+    pairs = written(stars(docs, keys_of), "pairs")
     found = written(verified(pairs, docs, t, k, similarity), "verified")
     broken = found.where("start < 0").join(pairs.where("verbatim"), ["hub", "row"], "left_semi").select("hub").distinct()
     group = pairs.where("verbatim").join(broken, "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct()
     group = written(group, "broken")
     if group.isEmpty():
-        return _behind_hubs(docs, keys_of, pairs, found, t, k, similarity)
+        return _behind_hubs(docs, pairs, found, t, k, similarity)
 
     def whole(base: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs = np.maximum(np.diff(starts) - t + 1, 0)
@@ -372,83 +435,92 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, k: int = SHINGLE, sim
         at = np.repeat(starts[:-1] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(len(text))
         return text, run_hashes(base, t)[at] if len(at) else np.zeros(0, np.uint64)
 
-    more = stars(_keyed(docs.join(group, "row", "left_semi"), whole)).join(pairs, ["hub", "row"], "left_anti")
+    more = stars(docs.join(group, "row", "left_semi"), whole).join(pairs, ["hub", "row"], "left_anti")
     more = written(more, "pairs")
     found = written(verified(more, docs, t, k, similarity), "verified").unionByName(found)
-    return _behind_hubs(docs, keys_of, pairs.unionByName(more), found, t, k, similarity)
+    return _behind_hubs(docs, pairs.unionByName(more), found, t, k, similarity)
 
 
-def _behind_hubs(docs: DataFrame, keys_of, pairs: DataFrame, found: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
-    """The passages of ``found``, and those between rows that share a key and a hub, of which one failed.
+def _behind_hubs(docs: DataFrame, pairs: DataFrame, found: DataFrame, t: int, k: int, similarity: float) -> DataFrame:
+    """The passages of ``found``, and those between rows of hubs that failed on one of their rows.
 
     A passage has a window of t shingles in the larger row of which the other
-    text holds the share ``similarity`` at least, and so that share again in a
-    window of the other: rare ones, of those that few texts of the group hold,
-    or common ones alone.  So of the hub's rows that aren't connected yet,
-    those with a rare shingle in common meet, and those of one key that have
-    windows with enough common shingles.  Before that, in rounds, every such
-    row meets a middle row of its keys' best linked label, which needn't have
-    the key itself: in turn the row with most links and that with most common
-    shingles.  So one pair a row connects most of a large group; the others
-    meet pair by pair.  Only keys of a hub that failed on a row of a key with a third row
-    have any behind them.
+    text holds the share ``similarity`` at least.  So of each window that
+    others hold that much of, the shingles that fewest hold are picked, enough
+    that the other text must hold one of them, and the rows of a picked shingle
+    meet: those that aren't connected yet, and of which the larger one picked
+    it.  Before that, in rounds, every such row meets a middle row of its
+    shingles' best linked label, which needn't hold the shingle itself: in turn
+    the row with most links and that with most common shingles.  So one pair a
+    row connects most of a large group.  When two rounds together link no more
+    than a tenth of their pairs, labels meet: of each shingle one row of each
+    label, and of these pairs the one of two labels with most in common, as long
+    as that links more than a tenth.  Then the others meet pair by pair.
     """
     passed = found.where("start >= 0")
-    failed = found.where("start < 0").select("hub", "row")
-    rows = written(pairs.join(failed.select("hub").distinct(), "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
+    failed = found.where("start < 0").select("hub").distinct()
+    rows = written(pairs.join(failed, "hub").select(F.explode(F.array("hub", "row")).alias("row")).distinct(), "group")
     if rows.isEmpty():
         return passed
-    shingles = shared_shingles(docs.join(rows, "row", "left_semi").select("row", "text"), k, holders=True)
-    rare = shingles.where(F.col("n") < RARE).select(F.col("s").alias("key"), "row")
     enough = int(np.ceil(similarity * t - 1e-9))
-    ahead = Window.partitionBy("row").orderBy("at").rangeBetween(0, t - 1)
-    common = F.col("n") >= RARE
-    sums = [F.sum("times").alias("times"), F.max(F.when(common, F.col("near"))).alias("near"), F.max(F.when(common, F.col("times"))).alias("most"), F.sum(F.when(common, F.col("times"))).alias("all")]
-    sets = written(shingles.withColumn("near", F.count(F.when(common, 1)).over(ahead)).groupBy("row", "holders").agg(*sums), "sets")
-    counts = sets.groupBy("row").agg(F.max("near").alias("near"), F.max("most").alias("most"), F.sum("all").alias("all"))
-    reach = F.when(F.col("most") > 1, F.col("all")).otherwise(F.col("near"))  # a text with repeats may have it all in one window
-    weak = int(np.ceil(similarity * similarity * t - 1e-9))
-    dense = counts.where((reach >= weak) | (F.col("all") >= enough) | (F.col("most") > 1)).select("row", "all", (reach >= enough).alias("full"), (reach >= weak).alias("half"), (F.col("most") > 1).alias("again"))
-    crowd = pairs.where("more").select("hub", "row", "more")
-    crowd = crowd.join(failed.join(crowd, ["hub", "row"], "left_semi").select("hub").distinct(), "hub").select("row").distinct()
-    dense = written(dense.join(crowd, "row", "left_semi"), "dense")
-    texts = docs.join(dense, "row", "left_semi")
+    places = held_places(docs.join(rows, "row", "left_semi"), k)
+    marks = marked(places, t, enough)
+    sets = marks.where("not picked").select("row", F.col("id").alias("holders"), "n", "times")
+    common = sets.where(F.col("n") >= RARE).groupBy("row").agg(F.sum("times").alias("all"))
+    picked = marks.where("picked").select(F.col("id").alias("key"), "row", F.lit(True).alias("pick"))
+    held = places.select(F.col("s").alias("key"), "row").join(picked.select("key").distinct(), "key", "left_semi").withColumn("pick", F.lit(False))
+    open_ = written(held.unionByName(picked).groupBy("key", "row").agg(F.max("pick").alias("pick")), "open")
     several = Window.partitionBy("key")
-    open_ = _keyed(texts, keys_of).select("key", "row").withColumn("label", F.col("row"))
+
+    def apart(open_: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of shingles that rows of different labels hold."""
+        open_ = open_.join(labels, "row", "left").select("key", "row", "pick", F.coalesce("component", "row").alias("label"))
+        open_ = open_.withColumns({"low": F.min("label").over(several), "high": F.max("label").over(several)}).where("low < high")
+        return written(open_.drop("low", "high"), "open")
+
+    def sifted(more: DataFrame) -> DataFrame:
+        """(hub, row, common) of the pairs that weren't tested; fewer common places have no passage."""
+        more = more.select("hub", "row").distinct().join(tested, ["hub", "row"], "left_anti")
+        return written(with_common(written(more, "pairs"), sets, enough), "pairs")
+
     tested = pairs.select("hub", "row")
     links = written(passed.select("hub", "row").distinct(), "links")
     labels = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).withColumnRenamed("node", "row")
-    idle = number = 0
+    open_ = apart(open_, labels)
+    rounds: list[tuple[int, int]] = []  # pairs and links
     while True:
-        if not idle:  # labels are new
-            open_ = open_.drop("label").join(labels, "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
-            open_ = open_.withColumns({"low": F.min("label").over(several), "high": F.max("label").over(several)}).where("low < high").select("key", "row", "label")
-            open_ = written(open_, "open")
-        degrees = links.select(F.explode(F.array("hub", "row")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
-        most = F.max(F.struct("all" if number % 2 else "links", F.col("row").alias("hub"))).alias("x")
-        ranked = labels.join(degrees, "row").join(dense.select("row", "all"), "row", "left")
-        middles = ranked.groupBy(F.col("component").alias("label")).agg(most, F.count(F.lit(1)).alias("links")).select("label", "links", "x.hub")
-        first = F.max(F.struct("links", "hub", "label")).alias("h")
-        hubs = open_.select("key", "label").distinct().join(middles, "label").groupBy("key").agg(first).select("key", "h.links", F.col("h.hub").alias("middle"), F.col("h.label").alias("label2"))
-        told = open_.join(hubs, "key").where("label <> label2").select("links", F.col("row").alias("own"), F.least("row", "middle").alias("hub"), F.greatest("row", "middle").alias("row")).distinct()
-        told = told.join(tested, ["hub", "row"], "left_anti").groupBy("own").agg(F.max(F.struct("links", "hub", "row")).alias("h")).select("h.hub", "h.row").distinct()
-        more = written(told, "pairs")
+        if len(rounds) < 2 or 10 * sum(x[1] for x in rounds[-2:]) > sum(x[0] for x in rounds[-2:]):
+            degrees = links.select(F.explode(F.array("hub", "row")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
+            most = F.max(F.struct("all" if len(rounds) % 2 else "links", F.col("row").alias("hub"))).alias("x")
+            ranked = labels.join(degrees, "row").join(common, "row", "left")
+            middles = ranked.groupBy(F.col("component").alias("label")).agg(most, F.count(F.lit(1)).alias("links")).select("label", "links", "x.hub")
+            first = F.max(F.struct("links", "hub", "label")).alias("h")
+            hubs = open_.select("key", "label").distinct().join(middles, "label").groupBy("key").agg(first).select("key", "h.links", F.col("h.hub").alias("middle"), F.col("h.label").alias("label2"))
+            told = open_.join(hubs, "key").where("label <> label2").select("links", F.col("row").alias("own"), F.least("row", "middle").alias("hub"), F.greatest("row", "middle").alias("row")).distinct()
+            told = told.join(tested, ["hub", "row"], "left_anti").groupBy("own").agg(F.max(F.struct("links", "hub", "row")).alias("h"))
+            numbers = rounds
+        else:
+            any_of = lambda rows: rows.groupBy("key", "label").agg(F.max(F.struct(F.xxhash64("key", "row"), "row")).getField("row").alias("row"))
+            other = any_of(open_).select("key", F.col("label").alias("label2"), F.col("row").alias("hub"))
+            told = any_of(open_.where("pick")).join(other, "key").where("label <> label2")
+            told = sifted(told.select(F.least("row", "hub").alias("hub"), F.greatest("row", "hub").alias("row")))
+            of = open_.select("row", "label").distinct()
+            told = told.join(of, "row").join(of.select(F.col("row").alias("hub"), F.col("label").alias("label2")), "hub")
+            told = told.groupBy(F.least("label", "label2"), F.greatest("label", "label2")).agg(F.max(F.struct("common", "hub", "row")).alias("h"))
+            numbers = last = []
+        more = written(told.select("h.hub", "h.row").distinct(), "pairs")
         met = written(verified(more, docs, t, k, similarity), "verified").where("start >= 0")
         tested, passed = tested.unionByName(more), passed.unionByName(met)
         new = written(met.select("hub", "row").distinct(), "links")
-        idle, number = idle + 1 if new.isEmpty() else 0, number + 1
-        if idle == 2:
-            break
-        if not idle:
+        numbers.append((more.count(), new.count()))
+        if numbers[-1][1]:
             links, labels = links.unionByName(new), _joined(labels, new)
-    group = written(rows.join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("label")), "group")
-    marks = [F.lit(True).alias(c) for c in ("full", "half", "again")]
-    meeting = open_.select("key", "row").join(dense.drop("all"), "row").unionByName(rare.select("key", "row", *marks)).join(group, "row")
-    other = meeting.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"), F.col("half").alias("half2"))
-    near = "hub < row and label <> label2 and (half2 or again)"  # the set of a text with repeats may be that of a short stretch
-    more = meeting.where("full").join(other, "key").where(near).select("hub", "row").distinct().join(tested, ["hub", "row"], "left_anti")
-    more = with_common(written(more, "pairs"), sets, enough)  # fewer places have no passage
-    return written(verified(written(more, "pairs"), docs, t, k, similarity), "verified").where("start >= 0").unionByName(passed)
+            open_ = apart(open_.drop("label"), labels)
+        if numbers is not rounds and 10 * last[0][1] <= last[0][0]:
+            break
+    other = open_.select("key", F.col("row").alias("hub"), F.col("label").alias("label2"))
+    more = sifted(open_.where("pick").join(other, "key").where("hub < row and label <> label2")).drop("common")
+    return written(verified(more, docs, t, k, similarity), "verified").where("start >= 0").unionByName(passed)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
