@@ -471,6 +471,25 @@ def test_texts_with_a_common_window_hold_a_picked_shingle(spark):
     assert len(near) > 50 and all(i in picked[j] for i, j in near)
 
 
+def test_rows_behind_a_hub_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Texts that share a line too short to be a passage, and have windows of lines that others hold, hardly two the same."""
+    rng = random.Random(25)
+    head = some_text(rng, 40, 10**6)
+    lines = [some_text(rng, 17, 10**6) for _ in range(120)]
+    docs = [(i, " ".join([head, *some_text(rng, 60, 10**6).split(), *rng.sample(lines, 9)])) for i in range(120)]
+    docs += [(500, some_text(rng, 70, 10**6)), (501, docs[7][1].split(" ", 80)[-1] + " " + some_text(rng, 9, 10**6))]
+    sent, real = [], sub.with_common
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(sub, "with_common", counted)
+    got = {r["doc_id"]: r["class_id"] for r in sub.substring_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[501] == got[7] == 7 and got[500] == 500
+    assert sent and sum(sent) < 120 * 119 // 4
+
+
 def test_labels_are_joined_by_later_links(spark):
     labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "row long, component long")
     links = spark.createDataFrame([(5, 6), (4, 9), (7, 8)], "hub long, row long")
